@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gearsight.config import DEFAULT, SENSOR_CATALOG, Thresholds
+from gearsight.functions.numeric import rnd
 
 
 def _c(x) -> Column:
@@ -80,20 +81,9 @@ def anomaly_device(health: Column) -> Column:
     return F.least(F.lit(1.0), (F.lit(100.0) - health) / 70.0)
 
 
-def round_scaled(c: Column, decimals: int) -> Column:
-    """Round on the binary value: scale by 10^d in double, round, scale back.
-
-    Spark's ``round`` rounds the shortest decimal text of a double half-up,
-    so 4.725 (binary 4.72499...) would become 4.73; pandas keeps 4.72.
-    Rounding the scaled double keeps the binary value's side (Q4).
-    """
-    f = float(10 ** decimals)
-    return F.round(c * f, 0) / f
-
-
 def power_consumption(voltage: Column, current: Column, power_factor: Column) -> Column:
     """round(V * I * pf / 1000, 2)."""
-    return round_scaled(voltage * current * power_factor / 1000.0, 2)
+    return rnd(voltage * current * power_factor / 1000.0, 2)
 
 
 def score(df, sensors: dict[str, str], t: Thresholds = DEFAULT.thresholds):

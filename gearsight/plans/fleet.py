@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gearsight.functions.numeric import rnd
+
 from gearsight.config import DEFAULT
 from gearsight.functions.scoring import score
 from gearsight.operators.latest import latest_per_device
@@ -38,12 +40,12 @@ def fleet_summary_of(latest: DataFrame) -> DataFrame:
     return long.select(
         "status",
         F.col("n_devices").cast("bigint").alias("n_devices"),
-        F.round(F.when(F.col("fleet_devices") > 0,
+        rnd(F.when(F.col("fleet_devices") > 0,
                        F.col("n_devices") * 100.0 / F.col("fleet_devices"))
                 .otherwise(F.lit(0.0)), 6).alias("pct_devices"),
-        F.round(F.coalesce(F.col("avg_health"), F.lit(0.0)), 6).alias("avg_health"),
+        rnd(F.coalesce(F.col("avg_health"), F.lit(0.0)), 6).alias("avg_health"),
         F.col("fleet_devices").cast("bigint").alias("fleet_devices"),
-        F.round(F.coalesce(F.col("fleet_avg_health"), F.lit(0.0)), 6).alias("fleet_avg_health"),
+        rnd(F.coalesce(F.col("fleet_avg_health"), F.lit(0.0)), 6).alias("fleet_avg_health"),
     )
 
 
@@ -115,8 +117,8 @@ from ({scored_sql()}) s
 def reading_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored_telemetry(spark, sf_dir)
     return s.select("event_id", "device_id", "ts",
-                    F.round("health_score", 6).alias("health_score"),
-                    F.round("anomaly_score", 6).alias("anomaly_score"), "status")
+                    rnd("health_score", 6).alias("health_score"),
+                    rnd("anomaly_score", 6).alias("anomaly_score"), "status")
 
 
 LATEST_READINGS_SQL = f"""
@@ -132,5 +134,5 @@ def latest_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = latest_per_device(scored_telemetry(spark, sf_dir), "device_id",
                                order=["ts", "event_id"])
     return latest.select("device_id", "ts", "event_id",
-                         F.round("health_score", 6).alias("health_score"),
-                         F.round("anomaly_score", 6).alias("anomaly_score"), "status")
+                         rnd("health_score", 6).alias("health_score"),
+                         rnd("anomaly_score", 6).alias("anomaly_score"), "status")

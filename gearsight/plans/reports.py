@@ -12,6 +12,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gearsight.functions.numeric import rnd
+
 from gearsight.config import SENSOR_CATALOG
 from gearsight.functions.calendar import add_time_features
 from gearsight.functions.scoring import power_consumption
@@ -40,12 +42,12 @@ def _hours_span():
 # ---------------------------------------------------------------- A3
 def device_stats_of(scored: DataFrame, decimals: int = 2) -> DataFrame:
     return scored.groupBy("device_id").agg(
-        F.round(F.avg("health_score"), decimals).alias("health_mean"),
-        F.round(F.min("health_score"), decimals).alias("health_min"),
-        F.round(F.stddev_samp("health_score"), decimals).alias("health_std"),
-        F.round(F.avg("anomaly_score"), decimals).alias("anomaly_mean"),
-        F.round(F.max("anomaly_score"), decimals).alias("anomaly_max"),
-        F.round(_hours_span(), decimals).alias("hours_max"),
+        rnd(F.avg("health_score"), decimals).alias("health_mean"),
+        rnd(F.min("health_score"), decimals).alias("health_min"),
+        rnd(F.stddev_samp("health_score"), decimals).alias("health_std"),
+        rnd(F.avg("anomaly_score"), decimals).alias("anomaly_mean"),
+        rnd(F.max("anomaly_score"), decimals).alias("anomaly_max"),
+        rnd(_hours_span(), decimals).alias("hours_max"),
     )
 
 
@@ -71,8 +73,8 @@ def dataset_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.countDistinct("device_id").alias("n_devices"),
-        F.round(F.avg("health_score"), 6).alias("health_mean"),
-        F.round(F.avg((F.col("anomaly_score") > 0.7).cast("double")), 6).alias("high_anomaly_share"),
+        rnd(F.avg("health_score"), 6).alias("health_mean"),
+        rnd(F.avg((F.col("anomaly_score") > 0.7).cast("double")), 6).alias("high_anomaly_share"),
     )
 
 
@@ -84,7 +86,7 @@ from {SCORED} group by 1
 def hourly_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored_telemetry(spark, sf_dir)
     return (s.groupBy(F.hour("ts").cast("bigint").alias("hour"))
-             .agg(F.round(F.avg("anomaly_score"), 6).alias("anomaly_mean"),
+             .agg(rnd(F.avg("anomaly_score"), 6).alias("anomaly_mean"),
                   F.count(F.lit(1)).alias("n")))
 
 
@@ -113,8 +115,8 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     spine = spark.range(bins).select(F.col("id").alias("bin"))
     return (spine.join(counts, "bin", "left")
             .select("bin",
-                    F.round(F.lit(lo) + F.col("bin") * F.lit(width), 6).alias("bin_lo"),
-                    F.round(F.lit(lo) + (F.col("bin") + 1) * F.lit(width), 6).alias("bin_hi"),
+                    rnd(F.lit(lo) + F.col("bin") * F.lit(width), 6).alias("bin_lo"),
+                    rnd(F.lit(lo) + (F.col("bin") + 1) * F.lit(width), 6).alias("bin_hi"),
                     F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
@@ -176,7 +178,7 @@ CORR_SQL = _corr_sql(CORR_COLS, SCORED)
           ids=("A8",))
 def sensor_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = correlation_long(scored_telemetry(spark, sf_dir), CORR_COLS)
-    return c.select("col_a", "col_b", F.round("r", 6).alias("r"))
+    return c.select("col_a", "col_b", rnd("r", 6).alias("r"))
 
 
 def strong_pairs(corr: DataFrame, threshold: float = 0.7, k: int = 5) -> DataFrame:
@@ -191,7 +193,7 @@ where col_a < col_b and abs(r) > 0.7 order by abs(r) desc, col_a, col_b limit 5
 """, ids=("A9", "O4"))
 def correlated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = correlation_long(scored_telemetry(spark, sf_dir), CORR_COLS)
-    return strong_pairs(c).select("col_a", "col_b", F.round("r", 6).alias("r"))
+    return strong_pairs(c).select("col_a", "col_b", rnd("r", 6).alias("r"))
 
 
 # ---------------------------------------------------------------- A10
@@ -199,7 +201,7 @@ def status_distribution_of(df: DataFrame, col: str = "status") -> DataFrame:
     """A10: count per value and its share of all rows (a window over the few groups)."""
     from pyspark.sql import Window
     g = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return g.select(col, "n", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 6)
+    return g.select(col, "n", rnd(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 6)
                     .alias("pct"))
 
 
@@ -220,7 +222,7 @@ from events
 def time_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-                 F.round((F.max(_micros("ts")) - F.min(_micros("ts"))) / 1e6, 6).alias("duration_sec"),
+                 rnd((F.max(_micros("ts")) - F.min(_micros("ts"))) / 1e6, 6).alias("duration_sec"),
                  F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -234,7 +236,7 @@ def missing_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     long = agg.selectExpr("_n", f"stack({len(cols)}, {stacked}) as (column_name, n_missing)")
     return (long.where(F.col("n_missing") > 0)
                 .select("column_name", F.col("n_missing").cast("bigint").alias("n_missing"),
-                        F.round(F.col("n_missing") * 100.0 / F.col("_n"), 6).alias("pct_missing")))
+                        rnd(F.col("n_missing") * 100.0 / F.col("_n"), 6).alias("pct_missing")))
 
 
 TELE_COLS = ["event_id", "device_id", "ts"] + list(TELEMETRY_SENSORS.values())
@@ -257,7 +259,7 @@ from {SCORED}
 """, ids=("A13",))
 def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored_telemetry(spark, sf_dir)
-    return s.agg(*[F.round(f(c), 6).alias(f"{c.split('_')[0]}_{n}")
+    return s.agg(*[rnd(f(c), 6).alias(f"{c.split('_')[0]}_{n}")
                    for c in ("health_score", "anomaly_score")
                    for f, n in ((F.avg, "mean"), (F.min, "min"), (F.max, "max"))])
 
@@ -267,15 +269,15 @@ def device_trend_of(scored: DataFrame) -> DataFrame:
     """One aggregate per device; 'current' values by max_by on (ts, event_id)."""
     key = F.struct("ts", "event_id")
     return scored.groupBy("device_id").agg(
-        F.round(F.max_by("health_score", key), 6).alias("health_current"),
-        F.round(F.avg("health_score"), 6).alias("health_mean"),
-        F.round(F.min("health_score"), 6).alias("health_min"),
-        F.round(F.max("health_score"), 6).alias("health_max"),
-        F.round(F.stddev_samp("health_score"), 6).alias("health_std"),
-        F.round(F.avg("anomaly_score"), 6).alias("anomaly_mean"),
-        F.round(F.max("anomaly_score"), 6).alias("anomaly_max"),
-        F.round(F.max_by("anomaly_score", key), 6).alias("anomaly_current"),
-        F.round(_hours_span(), 6).alias("operating_hours"),
+        rnd(F.max_by("health_score", key), 6).alias("health_current"),
+        rnd(F.avg("health_score"), 6).alias("health_mean"),
+        rnd(F.min("health_score"), 6).alias("health_min"),
+        rnd(F.max("health_score"), 6).alias("health_max"),
+        rnd(F.stddev_samp("health_score"), 6).alias("health_std"),
+        rnd(F.avg("anomaly_score"), 6).alias("anomaly_mean"),
+        rnd(F.max("anomaly_score"), 6).alias("anomaly_max"),
+        rnd(F.max_by("anomaly_score", key), 6).alias("anomaly_current"),
+        rnd(_hours_span(), 6).alias("operating_hours"),
         F.count(F.lit(1)).alias("data_points"),
     )
 
@@ -310,7 +312,7 @@ def label_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.count_if(lab == 1).alias("_c1"))
     long = agg.selectExpr("_n", "stack(2, 0, _c0, 1, _c1) as (label, n)")
     return long.select(F.col("label").cast("bigint").alias("label"), F.col("n").cast("bigint").alias("n"),
-                       F.round(F.when(F.col("_n") > 0, F.col("n") / F.col("_n")).otherwise(0.0), 6)
+                       rnd(F.when(F.col("_n") > 0, F.col("n") / F.col("_n")).otherwise(0.0), 6)
                        .alias("share"))
 
 
@@ -321,7 +323,7 @@ def variance_top(df: DataFrame, cols: list[str], k: int = 50) -> DataFrame:
     stacked = ", ".join(f"'{c}', _v{i}" for i, c in enumerate(cols))
     long = agg.selectExpr(f"stack({len(cols)}, {stacked}) as (column_name, variance)")
     return (long.orderBy(F.col("variance").desc_nulls_last(), "column_name").limit(k)
-                .select("column_name", F.round("variance", 6).alias("variance")))
+                .select("column_name", rnd("variance", 6).alias("variance")))
 
 
 LINEITEM_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
@@ -401,7 +403,7 @@ def _norm_sql() -> str:
 @register("sensor_normalized", _norm_sql(), ids=("P8",))
 def sensor_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = telemetry(spark, sf_dir)
-    return t.select("event_id", *[F.round(normalize(n, F.col(c)), 6).alias(c)
+    return t.select("event_id", *[rnd(normalize(n, F.col(c)), 6).alias(c)
                                   for n, c in TELEMETRY_SENSORS.items()])
 
 
