@@ -16,50 +16,50 @@ from gearsight.config import DEFAULT, SENSOR_CATALOG, Thresholds
 from gearsight.functions.numeric import rnd
 
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+def _known(sensors: dict[str, str]) -> list[tuple[str, str]]:
+    """(catalogue name, column name) for the sensors the catalogue knows."""
+    return [(name, col) for name, col in sensors.items() if name in SENSOR_CATALOG]
 
 
-def _known(sensors: dict[str, str | Column]) -> list[tuple[str, Column]]:
-    """(catalogue name, column) for the sensors the catalogue knows."""
-    return [(name, _c(col)) for name, col in sensors.items() if name in SENSOR_CATALOG]
+# The scores are written as Spark SQL text and parsed once (``F.expr``):
+# one driver call per score instead of one per sub-expression.
 
+def _count_sql(known: list[tuple[str, str]]) -> str:
+    return " + ".join(f"(CASE WHEN `{c}` IS NOT NULL THEN 1 ELSE 0 END)" for _, c in known)
 
-def _present(c: Column) -> Column:
-    return F.when(c.isNotNull(), F.lit(1)).otherwise(F.lit(0))
 
-
-def health_score(sensors: dict[str, str | Column]) -> Column:
+def health_score_sql(sensors: dict[str, str]) -> str:
     """max(0, 100 - 100 * mean(|v - baseline| / baseline)); 100 when no known sensor."""
     known = _known(sensors)
     if not known:
-        return F.lit(100.0)
-    dev = [F.coalesce(F.abs(c - F.lit(SENSOR_CATALOG[n][0])) / F.lit(SENSOR_CATALOG[n][0]),
-                      F.lit(0.0)) for n, c in known]
-    cnt = reduce(add, [_present(c) for _, c in known])
-    total = reduce(add, dev)
-    return (F.when(cnt == 0, F.lit(100.0))
-            .otherwise(F.greatest(F.lit(0.0), F.lit(100.0) - total / cnt * 100.0)))
-
-
-def _range_ratio(name: str, c: Column) -> Column:
-    _, lo, hi = SENSOR_CATALOG[name]
-    return (F.when(c < F.lit(lo), (F.lit(lo) - c) / F.lit(lo))
-            .when(c > F.lit(hi), (c - F.lit(hi)) / F.lit(hi))
-            .when(c.isNotNull(), F.lit(0.0))
-            .otherwise(F.lit(0.0)))
+        return "100D"
+    dev = " + ".join(f"coalesce(abs(`{c}` - {SENSOR_CATALOG[n][0]}D) / {SENSOR_CATALOG[n][0]}D, 0D)"
+                     for n, c in known)
+    cnt = _count_sql(known)
+    return f"CASE WHEN ({cnt}) = 0 THEN 100D ELSE greatest(0D, 100D - ({dev}) / ({cnt}) * 100D) END"
 
 
-def anomaly_score(sensors: dict[str, str | Column], health: Column) -> Column:
+def anomaly_score_sql(sensors: dict[str, str], health: str = "health_score") -> str:
     """min(1, 0.7 * (100 - h) / 100 + 0.3 * mean(out-of-range ratio))."""
     known = _known(sensors)
-    health_part = (F.lit(100.0) - health) / 100.0 * 0.7
+    health_part = f"(100D - `{health}`) / 100D * 0.7D"
     if not known:
-        return F.least(F.lit(1.0), health_part)
-    cnt = reduce(add, [_present(c) for _, c in known])
-    total = reduce(add, [_range_ratio(n, c) for n, c in known])
-    sensor_part = F.when(cnt == 0, F.lit(0.0)).otherwise(total / cnt)
-    return F.least(F.lit(1.0), health_part + sensor_part * 0.3)
+        return f"least(1D, {health_part})"
+    ratio = " + ".join(
+        f"(CASE WHEN `{c}` < {lo}D THEN ({lo}D - `{c}`) / {lo}D "
+        f"WHEN `{c}` > {hi}D THEN (`{c}` - {hi}D) / {hi}D ELSE 0D END)"
+        for n, c in known for _, lo, hi in [SENSOR_CATALOG[n]])
+    cnt = _count_sql(known)
+    return (f"least(1D, {health_part} + "
+            f"(CASE WHEN ({cnt}) = 0 THEN 0D ELSE ({ratio}) / ({cnt}) END) * 0.3D)")
+
+
+def health_score(sensors: dict[str, str]) -> Column:
+    return F.expr(health_score_sql(sensors))
+
+
+def anomaly_score(sensors: dict[str, str], health: str = "health_score") -> Column:
+    return F.expr(anomaly_score_sql(sensors, health))
 
 
 def status_generic(health: Column, t: Thresholds = DEFAULT.thresholds) -> Column:
@@ -86,12 +86,16 @@ def power_consumption(voltage: Column, current: Column, power_factor: Column) ->
     return rnd(voltage * current * power_factor / 1000.0, 2)
 
 
+def status_generic_sql(health: str = "health_score", t: Thresholds = DEFAULT.thresholds) -> str:
+    return (f"CASE WHEN `{health}` >= {t.health_normal}D THEN 'normal' "
+            f"WHEN `{health}` >= {t.health_warning}D THEN 'warning' ELSE 'critical' END")
+
+
 def score(df, sensors: dict[str, str], t: Thresholds = DEFAULT.thresholds):
     """Add health_score, anomaly_score, status (F3 + F4 + F5) to a reading frame."""
-    h = health_score(sensors)
-    return (df.withColumn("health_score", h)
-              .withColumn("anomaly_score", anomaly_score(sensors, F.col("health_score")))
-              .withColumn("status", status_generic(F.col("health_score"), t)))
+    return (df.withColumn("health_score", health_score(sensors))
+              .withColumns({"anomaly_score": anomaly_score(sensors, "health_score"),
+                            "status": F.expr(status_generic_sql("health_score", t))}))
 
 
 # ---- robot scores (F12-F14) ----

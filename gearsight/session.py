@@ -23,6 +23,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
                .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.driver.memory", os.environ.get("GEARSIGHT_DRIVER_MEM", "16g")))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -32,8 +33,17 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def apply_defaults(spark: SparkSession) -> SparkSession:
-    """Settings the operators assume: naive time in UTC, AQE on."""
+    """Settings the operators assume: naive time in UTC, AQE on.
+
+    Python call-site capture for DataFrame error context walks the Python
+    stack on every Column call (milliseconds each); plans here build
+    hundreds of expressions, so it is switched off.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        spark.conf.set("spark.python.sql.dataFrameDebugging.enabled", "false")
+    except Exception:  # noqa: BLE001 - static or unknown in some deployments
+        pass
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     return spark

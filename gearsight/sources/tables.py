@@ -34,25 +34,25 @@ def _k(props: Column) -> Column:
     return F.get_json_object(props, "$.k").cast("int")
 
 
+TELEMETRY_SELECT = [
+    "event_id",
+    "concat('DEVICE_', lpad(cast(user_id AS STRING), 5, '0')) AS device_id",
+    "ts",
+    "CASE WHEN event_id % 97 = 0 THEN 200.0D WHEN event_id % 17 = 0 THEN CAST(NULL AS DOUBLE) "
+    "ELSE 55.0D + (event_id * 7) % 41 END AS temperature",
+    "0.3D + CAST((event_id * 11) % 20 AS DOUBLE) / 10 AS vibration_x",
+    "1.5D + CAST(k % 30 AS DOUBLE) / 10 AS pressure",
+    "10.0D + (event_id * 13) % 17 AS current_a",
+    "200.0D + k % 45 AS voltage",
+    "0.8D + CAST(k % 20 AS DOUBLE) / 100 AS power_factor",
+]
+
+
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One reading per event (FIXTURES.md section 2)."""
-    e = table(spark, sf_dir, "events")
-    eid = F.col("event_id")
-    k = _k(F.col("props"))
-    temperature = (F.when(eid % 97 == 0, F.lit(200.0))
-                   .when(eid % 17 == 0, F.lit(None).cast("double"))
-                   .otherwise(F.lit(55.0) + (eid * 7) % 41))
-    return e.select(
-        eid.alias("event_id"),
-        device_id_of(F.col("user_id")).alias("device_id"),
-        F.col("ts"),
-        temperature.alias("temperature"),
-        (F.lit(0.3) + ((eid * 11) % 20).cast("double") / 10).alias("vibration_x"),
-        (F.lit(1.5) + (k % 30).cast("double") / 10).alias("pressure"),
-        (F.lit(10.0) + (eid * 13) % 17).alias("current_a"),
-        (F.lit(200.0) + k % 45).alias("voltage"),
-        (F.lit(0.8) + (k % 20).cast("double") / 100).alias("power_factor"),
-    )
+    """One reading per event (FIXTURES.md section 2); ``k`` is parsed once."""
+    e = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "user_id", "ts", "CAST(get_json_object(props, '$.k') AS INT) AS k")
+    return e.selectExpr(*TELEMETRY_SELECT)
 
 
 def tag_long(spark: SparkSession, sf_dir: str) -> DataFrame:
