@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gearsight.config import DEFAULT, SENSOR_CATALOG, Thresholds
-from gearsight.functions.numeric import rnd
+from gearsight.functions.numeric import round_half_even_sql
 
 
 def _known(sensors: dict[str, str]) -> list[tuple[str, str]]:
@@ -81,9 +81,10 @@ def anomaly_device(health: Column) -> Column:
     return F.least(F.lit(1.0), (F.lit(100.0) - health) / 70.0)
 
 
-def power_consumption(voltage: Column, current: Column, power_factor: Column) -> Column:
-    """round(V * I * pf / 1000, 2)."""
-    return rnd(voltage * current * power_factor / 1000.0, 2)
+def power_consumption(voltage: str, current: str, power_factor: str) -> Column:
+    """round(V * I * pf / 1000, 2), rounding the binary value half-even
+    as Python does (Q4)."""
+    return F.expr(round_half_even_sql(f"(`{voltage}` * `{current}` * `{power_factor}` / 1000.0D)", 2))
 
 
 def status_generic_sql(health: str = "health_score", t: Thresholds = DEFAULT.thresholds) -> str:
@@ -100,21 +101,26 @@ def score(df, sensors: dict[str, str], t: Thresholds = DEFAULT.thresholds):
 
 # ---- robot scores (F12-F14) ----
 
+def _capped(x: Column, cap: float) -> Column:
+    """min(cap, x), null when x is null (Spark's ``least`` would skip the null)."""
+    return F.when(x.isNotNull(), F.least(F.lit(cap), x))
+
+
 def robot_health(rms: Column, imbalance: Column, torque_total: Column) -> Column:
     """F12; a null term is skipped."""
-    p_err = F.coalesce(F.least(F.lit(60.0), rms * 20.0), F.lit(0.0))
-    p_imb = F.coalesce(F.least(F.lit(25.0), imbalance * 2.0), F.lit(0.0))
-    p_tq = F.coalesce(F.when(torque_total > 100.0,
-                             F.least(F.lit(15.0), (torque_total - 100.0) * 0.1)), F.lit(0.0))
+    p_err = F.coalesce(_capped(rms * 20.0, 60.0), F.lit(0.0))
+    p_imb = F.coalesce(_capped(imbalance * 2.0, 25.0), F.lit(0.0))
+    p_tq = F.coalesce(F.when(torque_total > 100.0, _capped((torque_total - 100.0) * 0.1, 15.0)),
+                      F.lit(0.0))
     return F.greatest(F.lit(0.0), F.lit(100.0) - p_err - p_imb - p_tq)
 
 
 def robot_anomaly(rms: Column, health: Column, imbalance: Column, err_std: Column) -> Column:
     """F13; a null term is skipped."""
-    s = (F.coalesce(F.least(F.lit(0.6), rms / 5.0), F.lit(0.0))
+    s = (F.coalesce(_capped(rms / 5.0, 0.6), F.lit(0.0))
          + (F.lit(100.0) - health) / 150.0
-         + F.coalesce(F.least(F.lit(0.3), imbalance / 30.0), F.lit(0.0))
-         + F.coalesce(F.least(F.lit(0.1), err_std / 10.0), F.lit(0.0)))
+         + F.coalesce(_capped(imbalance / 30.0, 0.3), F.lit(0.0))
+         + F.coalesce(_capped(err_std / 10.0, 0.1), F.lit(0.0)))
     return F.least(F.lit(1.0), s)
 
 

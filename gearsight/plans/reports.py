@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gearsight.functions.numeric import rnd
+from gearsight.functions.numeric import rnd, round_half_even, round_half_even_sql
 
 from gearsight.config import SENSOR_CATALOG
 from gearsight.functions.calendar import add_time_features
@@ -49,21 +49,27 @@ def with_total(df: DataFrame, col: str, out: str) -> DataFrame:
 
 # ---------------------------------------------------------------- A3
 def device_stats_of(scored: DataFrame, decimals: int = 2) -> DataFrame:
-    return scored.groupBy("device_id").agg(
-        rnd(F.avg("health_score"), decimals).alias("health_mean"),
-        rnd(F.min("health_score"), decimals).alias("health_min"),
-        rnd(F.stddev_samp("health_score"), decimals).alias("health_std"),
-        rnd(F.avg("anomaly_score"), decimals).alias("anomaly_mean"),
-        rnd(F.max("anomaly_score"), decimals).alias("anomaly_max"),
-        rnd(_hours_span(), decimals).alias("hours_max"),
+    """A3; values rounded like pandas ``.round(2)`` (binary value, half-even)."""
+    agg = scored.groupBy("device_id").agg(
+        F.avg("health_score").alias("health_mean"),
+        F.min("health_score").alias("health_min"),
+        F.stddev_samp("health_score").alias("health_std"),
+        F.avg("anomaly_score").alias("anomaly_mean"),
+        F.max("anomaly_score").alias("anomaly_max"),
+        _hours_span().alias("hours_max"),
     )
+    return agg.select("device_id", *[round_half_even(c, decimals).alias(c) for c in agg.columns[1:]])
+
+
+_A3 = ["health_mean", "health_min", "health_std", "anomaly_mean", "anomaly_max", "hours_max"]
 
 
 @register("device_stats", f"""
-select device_id, round(avg(health_score), 2) as health_mean, round(min(health_score), 2) as health_min,
-  round(stddev_samp(health_score), 2) as health_std, round(avg(anomaly_score), 2) as anomaly_mean,
-  round(max(anomaly_score), 2) as anomaly_max, round({HOURS_SQL}, 2) as hours_max
-from {SCORED} group by device_id
+select device_id, {", ".join(round_half_even_sql(c, 2) + " as " + c for c in _A3)} from (
+select device_id, avg(health_score) as health_mean, min(health_score) as health_min,
+  stddev_samp(health_score) as health_std, avg(anomaly_score) as anomaly_mean,
+  max(anomaly_score) as anomaly_max, {HOURS_SQL} as hours_max
+from {SCORED} group by device_id) x
 """, ids=("A3",))
 def device_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return device_stats_of(scored_telemetry(spark, sf_dir))
@@ -427,12 +433,12 @@ def sensor_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- F7
 @register("power_consumption", f"""
-select event_id, round(voltage * current_a * power_factor / 1000.0e0, 2) as power_consumption from {TELE}
+select event_id, {round_half_even_sql("(voltage * current_a * power_factor / 1000.0e0)", 2)} as power_consumption from {TELE}
 """, ids=("F7",))
 def power_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = telemetry(spark, sf_dir)
-    return t.select("event_id", power_consumption(F.col("voltage"), F.col("current_a"),
-                                                  F.col("power_factor")).alias("power_consumption"))
+    return t.select("event_id", power_consumption("voltage", "current_a", "power_factor")
+                    .alias("power_consumption"))
 
 
 # ---------------------------------------------------------------- A4 helper re-export
