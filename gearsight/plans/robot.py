@@ -1,3 +1,251 @@
-"""robot queries."""
+"""Robot tag-history pipeline (M1): scan -> clean -> pivot/resample/fill ->
+engineered features (F1, F8-F11, W4, W5) -> robot scores (F12-F14) ->
+summary (A10-A13), plus the tag reports (A18, A19, F19, J1 report).
 
-from gearsight.plans.registry import register  # noqa: F401
+One lazy plan: shuffles at the pivot/resample aggregates and one window
+partitioning per device over the *resampled* series, whose length is set
+by the time span and interval, not by how many raw rows a device sent.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gearsight.config import DEFAULT, TAG_PATTERNS
+from gearsight.functions import rowwise
+from gearsight.functions.numeric import rnd
+from gearsight.functions.scoring import robot_anomaly, robot_health, robot_status
+from gearsight.functions.sensors import suggest_sensor_name
+from gearsight.operators.series import interval_micros, regular_series
+from gearsight.plans.registry import register
+from gearsight.sources.tables import TAG_LONG_SQL, tag_long
+from gearsight.sources.xml import (clean_tag_history, list_files, read_tag_history, tag_map_frame,
+                                   tag_pattern_groups, tag_profile)
+
+CALENDAR = ("hour", "day_of_week", "minute")
+NUMERIC = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.DecimalType)
+
+
+def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
+    """P10-style schema-driven list (sorted for a stable plan)."""
+    return sorted(f.name for f in df.schema.fields
+                  if isinstance(f.dataType, NUMERIC) and f.name not in exclude)
+
+
+def robot_features(series: DataFrame, key: list[str], ts: str = "ts",
+                   windows: tuple[int, ...] = DEFAULT.robot_rolling_windows) -> DataFrame:
+    """Engineered features on a regular wide series (one row per key and bin)."""
+    cols = [c for c in series.columns if c not in (*key, ts)]
+    w = Window.partitionBy(*key).orderBy(ts)
+    out = series.withColumns({"hour": F.hour(ts), "day_of_week": F.weekday(ts), "minute": F.minute(ts)})
+    err = [c for c in cols if "pos_error" in c]
+    tq_cmd = [c for c in cols if "torque_cmd" in c]
+    tq_fb = [c for c in cols if "torque_feedback" in c]
+    act = [c for c in cols if "actual_pos" in c and "joint" in c]
+    new = {}
+    if err:
+        new["total_position_error"] = rowwise.row_rms_null_zero(err)
+        new["mean_position_error"] = rowwise.row_mean(err)
+        new["max_position_error"] = rowwise.row_max(err)
+        new["position_error_std"] = rowwise.row_std(err)
+    if tq_cmd:
+        new["total_torque_cmd"] = rowwise.row_abs_sum(tq_cmd)
+        new["torque_cmd_imbalance"] = rowwise.row_std(tq_cmd)
+        for c in tq_cmd:
+            new[f"{c}_change"] = F.abs(F.col(c) - F.lag(c, 1).over(w))
+    if tq_fb:
+        new["total_torque_feedback"] = rowwise.row_abs_sum(tq_fb)
+    for c in act:
+        new[f"{c.replace('_actual_pos', '')}_velocity_est"] = F.abs(F.col(c) - F.lag(c, 1).over(w))
+    xyz = [f"cartesian_{a}" for a in ("x", "y", "z")]
+    if all(c in cols for c in xyz):
+        new["cartesian_distance"] = rowwise.vector_norm_null_zero(xyz)   # Q9: named axes
+    out = out.withColumns(new)
+    # List fixed before the loop; calendar parts excluded; one window spec
+    roll = numeric_columns(out, exclude=(*key, ts, *CALENDAR))
+    feats = {}
+    for n in windows:
+        fr = w.rowsBetween(-(n - 1), 0)
+        for c in roll:
+            feats[f"{c}_ma_{n}"] = F.avg(c).over(fr)
+            feats[f"{c}_std_{n}"] = F.coalesce(F.stddev_samp(c).over(fr), F.lit(0.0))
+    out = out.withColumns(feats)
+    z = F.lit(None).cast("double")
+    rms = F.col("total_position_error") if err else z
+    imb = F.col("torque_cmd_imbalance") if tq_cmd else z
+    tot = F.col("total_torque_cmd") if tq_cmd else z
+    sd = F.col("position_error_std") if err else z
+    out = out.withColumn("health_score", robot_health(rms, imb, tot))
+    out = out.withColumn("anomaly_score", robot_anomaly(rms, F.col("health_score"), imb, sd))
+    return out.withColumn("status", robot_status(F.col("health_score"), F.col("anomaly_score")))
+
+
+def robot_from_long(clean: DataFrame, key: list[str], sensors: list[str], interval: str | None) -> DataFrame:
+    """Pivot/resample/fill (A1, A2, W6) then features."""
+    series = regular_series(clean, key, "ts", "sensor_name", "tag_value", sensors, interval)
+    return robot_features(series, key, "ts")
+
+
+def robot_from_xml(spark: SparkSession, pattern: str, interval: str | None = "5s",
+                   max_files: int | None = None, device_id: str = "SCARA_ROBOT_001",
+                   tag_map: DataFrame | None = None) -> DataFrame:
+    """M1 end to end from tag-history files."""
+    paths = list_files(spark, pattern, max_files) if max_files else pattern
+    recs = read_tag_history(spark, paths)
+    tm = tag_map if tag_map is not None else tag_map_frame(spark)
+    clean = clean_tag_history(recs, tm).withColumn("device_id", F.lit(device_id))
+    sensors = sorted(r[0] for r in tm.select("sensor_name").distinct().collect())
+    return robot_from_long(clean, ["device_id"], sensors, interval)
+
+
+def pipeline_summary(features: DataFrame) -> DataFrame:
+    """A10 + A11 + A13 over the feature frame as (metric, key, value)."""
+    span = features.agg(
+        F.min("ts").cast("string").alias("first"), F.max("ts").cast("string").alias("last"),
+        ((F.max(F.unix_micros(F.col("ts").cast("timestamp"))) - F.min(F.unix_micros(F.col("ts").cast("timestamp"))))
+         / 1e6).alias("duration_sec"),
+        F.count(F.lit(1)).alias("rows"),
+        F.avg("health_score").alias("health_mean"), F.min("health_score").alias("health_min"),
+        F.max("health_score").alias("health_max"), F.avg("anomaly_score").alias("anomaly_mean"),
+        F.min("anomaly_score").alias("anomaly_min"), F.max("anomaly_score").alias("anomaly_max"))
+    kv = span.select(F.explode(F.create_map(*[x for c in span.columns
+                                               for x in (F.lit(c), F.col(c).cast("string"))])))
+    dist = features.groupBy("status").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("status").alias("metric"), F.col("status").alias("key"), F.col("n").cast("string").alias("value"))
+    return kv.select(F.lit("summary").alias("metric"), F.col("key"), F.col("value")).unionByName(dist)
+
+
+# ---------------------------------------------------------------- registered queries
+# The test tables carry no robot files; the events table stands in for a tag
+# history: each event type is read as one robot tag through this map.
+EVENT_TAG_MAP = {
+    "click": "joint1_pos_error",
+    "error": "joint2_pos_error",
+    "purchase": "joint1_torque_cmd",
+    "signup": "joint2_torque_cmd",
+    "view": "joint1_actual_pos",
+}
+ROBOT_SENSORS = sorted(EVENT_TAG_MAP.values())
+ROBOT_OUT = ["total_position_error", "mean_position_error", "max_position_error", "position_error_std",
+             "total_torque_cmd", "torque_cmd_imbalance", "joint1_torque_cmd_change", "joint1_velocity_est",
+             "joint1_pos_error_ma_5", "joint1_pos_error_std_20", "total_torque_cmd_ma_10",
+             "health_score", "anomaly_score"]
+
+
+def events_robot_features(spark: SparkSession, sf_dir: str, interval: str = "6h") -> DataFrame:
+    long = tag_long(spark, sf_dir).withColumnRenamed("tag", "tag_name")
+    tm = spark.createDataFrame(sorted(EVENT_TAG_MAP.items()), "tag_name string, sensor_name string")
+    clean = long.join(F.broadcast(tm), "tag_name", "inner").where(F.col("status") == 0)
+    return robot_from_long(clean, ["device_id"], ROBOT_SENSORS, interval)
+
+
+def _std2_sql(a: str, b: str) -> str:
+    n = f"((case when {a} is not null then 1 else 0 end) + (case when {b} is not null then 1 else 0 end))"
+    m = f"((coalesce({a}, 0e0) + coalesce({b}, 0e0)) / {n})"
+    ss = f"(coalesce(({a} - {m}) * ({a} - {m}), 0e0) + coalesce(({b} - {m}) * ({b} - {m}), 0e0))"
+    return f"(case when {n} >= 2 then sqrt({ss} / ({n} - 1)) end)"
+
+
+def _robot_sql(interval: str) -> str:
+    """DuckDB text of ``events_robot_features`` restricted to ROBOT_OUT."""
+    from gearsight.plans.series import _tag_series_sql
+    mapped = "case tag " + " ".join(f"when '{k}' then '{v}'" for k, v in EVENT_TAG_MAP.items()) + " end"
+    series = _tag_series_sql(interval, ROBOT_SENSORS, decimals=None, tag_sql=mapped)
+    e1, e2 = "joint1_pos_error", "joint2_pos_error"
+    t1, t2 = "joint1_torque_cmd", "joint2_torque_cmd"
+    w = "partition by device_id order by ts"
+    cnt_e = f"((case when {e1} is not null then 1 else 0 end) + (case when {e2} is not null then 1 else 0 end))"
+    return f"""
+with g as ({series}),
+e as (select *,
+  sqrt((pow(coalesce({e1}, 0e0), 2) + pow(coalesce({e2}, 0e0), 2)) / 2) as total_position_error,
+  (case when {cnt_e} > 0 then (coalesce({e1}, 0e0) + coalesce({e2}, 0e0)) / {cnt_e} end) as mean_position_error,
+  greatest({e1}, {e2}) as max_position_error,
+  {_std2_sql(e1, e2)} as position_error_std,
+  coalesce(abs({t1}), 0e0) + coalesce(abs({t2}), 0e0) as total_torque_cmd,
+  {_std2_sql(t1, t2)} as torque_cmd_imbalance,
+  abs({t1} - lag({t1}) over ({w})) as joint1_torque_cmd_change,
+  abs(joint1_actual_pos - lag(joint1_actual_pos) over ({w})) as joint1_velocity_est
+from g),
+r as (select *,
+  avg({e1}) over ({w} rows between 4 preceding and current row) as joint1_pos_error_ma_5,
+  coalesce(stddev_samp({e1}) over ({w} rows between 19 preceding and current row), 0e0) as joint1_pos_error_std_20,
+  avg(total_torque_cmd) over ({w} rows between 9 preceding and current row) as total_torque_cmd_ma_10,
+  greatest(0e0, 100e0
+     - coalesce(case when total_position_error is not null then least(60e0, total_position_error * 20) end, 0e0)
+     - coalesce(case when torque_cmd_imbalance is not null then least(25e0, torque_cmd_imbalance * 2) end, 0e0)
+     - coalesce(case when total_torque_cmd > 100 then least(15e0, (total_torque_cmd - 100) * 0.1e0) end, 0e0))
+   as health_score
+from e),
+s as (select *, least(1e0,
+     coalesce(case when total_position_error is not null then least(0.6e0, total_position_error / 5) end, 0e0)
+   + (100e0 - health_score) / 150e0
+   + coalesce(case when torque_cmd_imbalance is not null then least(0.3e0, torque_cmd_imbalance / 30) end, 0e0)
+   + coalesce(case when position_error_std is not null then least(0.1e0, position_error_std / 10) end, 0e0))
+   as anomaly_score
+from r)
+select device_id, ts, {", ".join(f"round({c}, 6) as {c}" for c in ROBOT_OUT)},
+  case when health_score >= 85 and anomaly_score < 0.2 then 'normal'
+       when health_score >= 60 and anomaly_score < 0.5 then 'warning' else 'critical' end as status
+from s
+"""
+
+
+@register("robot_features", _robot_sql("6h"), ids=("M1", "J1", "P5", "A1", "A2", "W6", "F1", "F8",
+                                                        "F9", "F11", "W4", "W5", "F12", "F13", "F14"))
+def robot_features_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = events_robot_features(spark, sf_dir, "6h")
+    return f.select("device_id", "ts", *[rnd(c, 6).alias(c) for c in ROBOT_OUT], "status")
+
+
+@register("tag_profile", f"""
+select tag_name, n, round(sample_value, 6) as sample_value, sample_timestamp, sample_status from (
+  select tag as tag_name, count(*) as n, arg_min(tag_value, (ts, event_id)) as sample_value,
+    arg_min(ts, (ts, event_id)) as sample_timestamp, cast(arg_min(status, (ts, event_id)) as integer) as sample_status
+  from ({TAG_LONG_SQL}) x group by tag) y order by n desc, tag_name limit 20
+""", ids=("A18", "O4"))
+def tag_profile_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recs = tag_long(spark, sf_dir).select(F.col("tag").alias("tag_name"), "tag_value",
+                                          F.col("ts").alias("timestamp"), "status", "event_id")
+    p = tag_profile(recs, "tag_name", ["timestamp", "event_id"], 20)
+    return p.select("tag_name", "n", rnd("sample_value", 6).alias("sample_value"), "sample_timestamp",
+                    F.col("sample_status").cast("int").alias("sample_status"))
+
+
+@register("tag_pattern_groups", f"""
+select p.pattern, t.tag_name from (select distinct tag as tag_name from ({TAG_LONG_SQL}) x) t
+join (values {", ".join(f"('{p}')" for p in TAG_PATTERNS)}) p(pattern) on contains(lower(t.tag_name), p.pattern)
+""", ids=("A19",))
+def tag_pattern_groups_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recs = tag_long(spark, sf_dir).select(F.col("tag").alias("tag_name"))
+    return tag_pattern_groups(recs, TAG_PATTERNS)
+
+
+def _suggest_sql(tag: str) -> str:
+    t = f"lower({tag})"
+    joint = "case " + " ".join(
+        f"when contains({t}, 'j{i}') or contains({t}, 'ax{i}') or contains({t}, 'axis{i}') then {i}"
+        for i in range(1, 10)) + " end"
+    rules = [("actualposition", "actual_pos", "actual_position"), ("positioncommand", "cmd_pos", "cmd_position"),
+             ("positionerror", "pos_error", "position_error"), ("actualvelocity", "velocity", "velocity"),
+             ("actualtorque", "torque", "torque"), ("temperature", "temp", "temperature"),
+             ("current", "current", "current")]
+    return "case " + " ".join(
+        f"when contains({t}, '{kw}') then (case when ({joint}) is not null "
+        f"then 'joint' || cast(({joint}) as varchar) || '_{wj}' else '{wo}' end)"
+        for kw, wj, wo in rules) + " end"
+
+
+@register("tag_name_suggestions", f"""
+select tag_name, n, {_suggest_sql("tag_name")} as suggested from (
+  select tag as tag_name, count(*) as n from ({TAG_LONG_SQL}) x group by tag) y
+order by n desc, tag_name limit 50
+""", ids=("F19", "O4"))
+def tag_name_suggestions_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F19 over the 50 most frequent tags (A18 order)."""
+    recs = tag_long(spark, sf_dir)
+    top = recs.groupBy(F.col("tag").alias("tag_name")).agg(F.count(F.lit(1)).alias("n")) \
+              .orderBy(F.col("n").desc(), "tag_name").limit(50)
+    return top.withColumn("suggested", suggest_sensor_name(F.col("tag_name")))

@@ -27,7 +27,7 @@ def tag_series(spark: SparkSession, sf_dir: str, interval: str) -> DataFrame:
     return s.select("device_id", "ts", *[rnd(F.col(f"`{n}`"), 6).alias(n) for n in names])
 
 
-def _tag_series_sql(interval: str, names: list[str]) -> str:
+def _tag_series_sql(interval: str, names: list[str], decimals: int | None = 6, tag_sql: str = "tag") -> str:
     iv = interval_micros(interval)
     piv = ", ".join(f"avg(v) filter (where tag = '{n}') as {n}" for n in names)
     fills = []
@@ -41,13 +41,15 @@ def _tag_series_sql(interval: str, names: list[str]) -> str:
         next_v = (f"first_value({n} ignore nulls) over "
                   f"(partition by device_id order by ts rows between current row and unbounded following)")
         fills.append(f"{prev_p} as {n}_pp, {prev_v} as {n}_pv, {next_p} as {n}_np, {next_v} as {n}_nv")
-    final = ", ".join(
-        f"round(case when {n} is not null then {n} "
-        f"when {n}_pv is not null and {n}_nv is not null then {n}_pv + ({n}_nv - {n}_pv) * (p - {n}_pp) / ({n}_np - {n}_pp) "
-        f"else coalesce({n}_pv, {n}_nv) end, 6) as {n}" for n in names)
+    def fin(n: str) -> str:
+        v = (f"case when {n} is not null then {n} "
+             f"when {n}_pv is not null and {n}_nv is not null then {n}_pv + ({n}_nv - {n}_pv) * (p - {n}_pp) / ({n}_np - {n}_pp) "
+             f"else coalesce({n}_pv, {n}_nv) end")
+        return (f"round({v}, {decimals})" if decimals is not None else v) + f" as {n}"
+    final = ", ".join(fin(n) for n in names)
     return f"""
-with l as (select * from ({TAG_LONG_SQL}) x where status = 0),
-pv as (select device_id, ts, tag, avg(tag_value) as v from l group by device_id, ts, tag),
+with l as (select * exclude (tag), {tag_sql} as tag from ({TAG_LONG_SQL}) x where status = 0),
+pv as (select device_id, ts, tag, avg(tag_value) as v from l where tag is not null group by device_id, ts, tag),
 wide as (select device_id, ts, {piv} from pv group by device_id, ts),
 bn as (select device_id, make_timestamp(cast(floor(epoch_us(ts) / {iv}) as bigint) * {iv}) as bin,
               {", ".join(f"avg({n}) as {n}" for n in names)} from wide group by 1, 2),
