@@ -1,3 +1,247 @@
-"""model queries."""
+"""Sequences, scaling, split, classifier, prediction and evaluation
+(M2-M8, W8, W9, A22, S13).
 
-from gearsight.plans.registry import register  # noqa: F401
+The reference trains a recurrent network on (L x F) windows. Here the same
+samples feed a ``pyspark.ml`` LogisticRegression on the flattened window
+(re-aimed, M6): the data work — features, scaling, windows, split,
+prediction for every device at once, evaluation — is the same, and every
+step is a distributed DataFrame/ML job.
+"""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gearsight.config import DEFAULT, ModelSettings
+from gearsight.functions.calendar import add_time_features
+from gearsight.functions.numeric import rnd
+from gearsight.functions.sensors import (failure_risk, finite_or_zero, label_generic,
+                                         prediction_risk, risk_advice)
+from gearsight.operators.sequences import latest_sequence, sequence_samples
+from gearsight.plans.fleet import scored_sql, scored_telemetry
+from gearsight.plans.registry import register
+from gearsight.sources.tables import TELEMETRY_SENSORS
+
+# ---------------------------------------------------------------- M2 / M8
+
+
+def prepare_features(readings: DataFrame, ts: str = "ts") -> DataFrame:
+    """M2 for sensor readings: calendar parts, generic label (F15) and risk bin (F16)."""
+    cols = set(readings.columns)
+    a = F.col("anomaly_score") if "anomaly_score" in cols else None
+    h = F.col("health_score") if "health_score" in cols else None
+    out = add_time_features(readings, ts, with_minute=False)
+    return out.withColumns({"maintenance_needed": label_generic(a, h), "failure_risk": failure_risk(a)})
+
+
+def variance_ranked(df: DataFrame, cols: list[str], k: int) -> list[str]:
+    """A21 applied: keep the k columns of largest sample variance (ties by
+    name); one aggregate, 2 numbers per column to the driver."""
+    if len(cols) <= k:
+        return cols
+    v = df.agg(*[F.var_samp(c).alias(c) for c in cols]).first().asDict()
+    return sorted(cols, key=lambda c: (-(v[c] if v[c] is not None else float("-inf")), c))[:k]
+
+
+# ---------------------------------------------------------------- M3
+
+def fit_scaler(df: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
+    """M3: mean and population std per feature (zero std -> 1), one aggregate.
+    NaN/infinity count as 0 first (P12)."""
+    clean = df.select(*[finite_or_zero(F.col(c)).alias(c) for c in features])
+    r = clean.agg(*[x for c in features for x in (F.avg(c).alias(f"m_{c}"),
+                                                  F.stddev_pop(c).alias(f"s_{c}"))]).first()
+    out = {}
+    for c in features:
+        s = r[f"s_{c}"]
+        out[c] = (r[f"m_{c}"] or 0.0, s if s not in (None, 0.0) else 1.0)
+    return out
+
+
+def apply_scaler(df: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataFrame:
+    return df.withColumns({c: (finite_or_zero(F.col(c)) - F.lit(m)) / F.lit(s) for c, (m, s) in scaler.items()})
+
+
+# ---------------------------------------------------------------- M5
+
+def split_flag(key: Column, seed: int, share: float) -> Column:
+    """M5: repeatable hash split; each label class is split independently,
+    so every class keeps about ``share`` of its samples in the hold-out."""
+    u = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_003)).cast("double") / 1_000_003.0)
+    return u < share
+
+
+# ---------------------------------------------------------------- M6 / M7 / A22
+
+def train(samples: DataFrame, settings: ModelSettings = DEFAULT.model, max_iter: int = 50
+          ) -> tuple[PipelineModel, DataFrame]:
+    """M6 on samples (seq array, label); returns the model and the hold-out
+    predictions. A single-class training set raises (Q12)."""
+    s = samples.withColumn("features", array_to_vector("seq")).withColumn("label", F.col("label").cast("double"))
+    key = F.to_json(F.struct(*[c for c in samples.columns if c not in ("seq", "label")]))
+    s = s.withColumn("_test", split_flag(key, settings.seed, settings.validation_split))
+    tr, te = s.where(~F.col("_test")), s.where(F.col("_test"))
+    classes = tr.agg(F.countDistinct("label")).first()[0]
+    if classes < 2:
+        raise ValueError("training labels hold a single class; need both classes to train")
+    model = Pipeline(stages=[LogisticRegression(maxIter=max_iter, regParam=0.01)]).fit(tr)
+    return model, model.transform(te)
+
+
+def evaluation(pred: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Per class precision, recall, f1, support from one confusion
+    aggregate (zero on an empty denominator)."""
+    p1 = vector_to_array("probability")[1]
+    cm = pred.select(F.col("label").cast("int").alias("y"), (p1 > threshold).cast("int").alias("p"))
+    agg = cm.agg(*[F.count_if((F.col("y") == a) & (F.col("p") == b)).alias(f"c{a}{b}")
+                   for a in (0, 1) for b in (0, 1)])
+    rows = []
+    for k in (0, 1):
+        o = 1 - k
+        tp, fp, fn = F.col(f"c{k}{k}"), F.col(f"c{o}{k}"), F.col(f"c{k}{o}")
+        prec = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0)
+        rec = F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0)
+        f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0)
+        rows.append(agg.select(F.lit(k).alias("label"), rnd(prec, 6).alias("precision"),
+                               rnd(rec, 6).alias("recall"), rnd(f1, 6).alias("f1"),
+                               (tp + fn).cast("bigint").alias("support")))
+    return rows[0].unionByName(rows[1])
+
+
+def predict_all(model: PipelineModel, latest: DataFrame, key: str = "device_id",
+                settings: ModelSettings = DEFAULT.model, method: str = "sequence_logistic") -> DataFrame:
+    """M7 for every device at once; short histories give an error row."""
+    ok = latest.where(F.col("seq").isNotNull()).withColumn("features", array_to_vector("seq"))
+    scored = model.transform(ok).withColumn("maintenance_probability", vector_to_array("probability")[1])
+    t = DEFAULT.thresholds
+    good = scored.select(
+        key, "maintenance_probability",
+        (F.col("maintenance_probability") > t.maintenance_threshold).alias("maintenance_needed"),
+        prediction_risk(F.col("maintenance_probability")).alias("risk_level"),
+        F.lit(settings.prediction_horizon).alias("prediction_horizon_minutes"),
+        F.col("ts").alias("timestamp"), F.lit(method).alias("method"), F.lit(None).cast("string").alias("error"))
+    short = latest.where(F.col("seq").isNull()).select(
+        key, F.lit(None).cast("double").alias("maintenance_probability"),
+        F.lit(None).cast("boolean").alias("maintenance_needed"), F.lit(None).cast("string").alias("risk_level"),
+        F.lit(settings.prediction_horizon).alias("prediction_horizon_minutes"),
+        F.col("ts").alias("timestamp"), F.lit(method).alias("method"),
+        F.lit("not enough data").alias("error"))
+    return good.unionByName(short).withColumn("advice", risk_advice(F.col("risk_level")))
+
+
+def save_model(model: PipelineModel, path: str, features: list[str], settings: ModelSettings,
+               spark: SparkSession) -> None:
+    """The fitted pipeline plus a one-row metadata JSON beside it."""
+    model.write().overwrite().save(f"{path}/pipeline")
+    meta = {"sequence_length": settings.sequence_length, "prediction_horizon": settings.prediction_horizon,
+            "feature_columns": features, "model_type": "sequence_logistic"}
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1) \
+        .write.mode("overwrite").text(f"{path}/metadata")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
+    meta = json.loads(spark.read.text(f"{path}/metadata").first()[0])
+    return PipelineModel.load(f"{path}/pipeline"), meta
+
+
+# ---------------------------------------------------------------- registered queries
+# Telemetry has about two readings per device and day, so the registered
+# sequence queries use a window of 10 readings and a 2-reading horizon.
+SEQ_LEN, SEQ_H = 10, 2
+FEATURES = list(TELEMETRY_SENSORS.values())
+
+
+def telemetry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 per-reading frame: key, order, finite features, label."""
+    f = prepare_features(scored_telemetry(spark, sf_dir))
+    return f.select("device_id", "ts", "event_id", *[finite_or_zero(F.col(c)).alias(c) for c in FEATURES],
+                    "maintenance_needed")
+
+
+def telemetry_samples(spark: SparkSession, sf_dir: str, length: int = SEQ_LEN, horizon: int = SEQ_H,
+                      scaler: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    rows = telemetry_rows(spark, sf_dir)
+    if scaler:
+        rows = apply_scaler(rows, scaler)
+    return sequence_samples(rows, ["device_id"], ["ts", "event_id"], FEATURES, "maintenance_needed",
+                            length, horizon)
+
+
+def training_scaler(spark: SparkSession, sf_dir: str) -> dict[str, tuple[float, float]]:
+    """M3 fitted on the readings of the training share (Q11: not on one device)."""
+    rows = telemetry_rows(spark, sf_dir)
+    tr = rows.where(~split_flag(F.col("event_id").cast("string"), DEFAULT.model.seed,
+                                DEFAULT.model.validation_split))
+    return fit_scaler(tr, FEATURES)
+
+
+def _seq_sql(length: int, horizon: int) -> str:
+    w = "partition by device_id order by ts, event_id"
+    rowsum = " + ".join(f"coalesce({c}, 0e0)" for c in FEATURES)
+    return f"""
+with s as ({scored_sql()}),
+f as (select device_id, ts, event_id, ({rowsum}) as rs, case when anomaly_score > 0.7 then 1 else 0 end as y,
+             row_number() over ({w}) - 1 as pos from s),
+g as (select *, sum(rs) over ({w} rows between {length - 1} preceding and current row) as seq_sum,
+             lead(y, {horizon}) over ({w}) as label from f)
+select device_id, ts, event_id, round(seq_sum, 6) as seq_sum, cast({length * len(FEATURES)} as integer) as seq_size,
+       cast(label as integer) as label
+from g where pos >= {length - 1} and label is not null
+"""
+
+
+@register("sequence_samples", _seq_sql(SEQ_LEN, SEQ_H), ids=("W8", "M2", "M4", "F15", "P12"))
+def sequence_samples_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = telemetry_samples(spark, sf_dir)
+    return s.select("device_id", "ts", "event_id",
+                    rnd(F.aggregate("seq", F.lit(0.0), lambda a, x: a + x), 6).alias("seq_sum"),
+                    F.size("seq").alias("seq_size"), F.col("label").cast("int").alias("label"))
+
+
+@register("latest_sequences", f"""
+with s as ({scored_sql()}),
+r as (select *, row_number() over (partition by device_id order by ts desc, event_id desc) as rn from s),
+l as (select * from r where rn <= {SEQ_LEN})
+select device_id, max(ts) as ts, count(*) as n_rows,
+  case when count(*) >= {SEQ_LEN} then round(sum({" + ".join(f"coalesce({c}, 0e0)" for c in FEATURES)}), 6) end as seq_sum
+from l group by device_id
+""", ids=("W9", "W10"))
+def latest_sequences_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scored_telemetry(spark, sf_dir).select("device_id", "ts", "event_id",
+                                               *[finite_or_zero(F.col(c)).alias(c) for c in FEATURES])
+    ls = latest_sequence(s, ["device_id"], ["ts", "event_id"], FEATURES, SEQ_LEN)
+    return ls.select("device_id", "ts", "n_rows",
+                     rnd(F.aggregate("seq", F.lit(0.0), lambda a, x: a + x), 6).alias("seq_sum"))
+
+
+def _trained(spark: SparkSession, sf_dir: str):
+    scaler = training_scaler(spark, sf_dir)
+    model, held_out = train(telemetry_samples(spark, sf_dir, scaler=scaler), DEFAULT.model, max_iter=30)
+    return model, held_out, scaler
+
+
+@register("model_evaluation", None, ids=("M5", "M6", "A22"))
+def model_evaluation_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, held_out, _ = _trained(spark, sf_dir)
+    return evaluation(held_out)
+
+
+@register("device_predictions", None, ids=("M7", "F17", "2.13"))
+def device_predictions_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, _, scaler = _trained(spark, sf_dir)
+    rows = apply_scaler(telemetry_rows(spark, sf_dir), scaler)
+    return predict_all(model, latest_sequence(rows, ["device_id"], ["ts", "event_id"], FEATURES, SEQ_LEN))
+
+
+@register("feature_scaler", None, ids=("M3",))
+def feature_scaler_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3 statistics on the training share of the per-reading features."""
+    sc = training_scaler(spark, sf_dir)
+    return spark.createDataFrame([(c, float(m), float(s)) for c, (m, s) in sc.items()],
+                                 "feature string, mean double, scale double")
