@@ -33,6 +33,6 @@ def register(name: str, sql: str | None = None, ids: tuple[str, ...] = ()):
 
 def load_all() -> dict[str, Query]:
     # importing the plan modules fills QUERIES
-    from gearsight.plans import alerts, fleet, model, reports, robot, series  # noqa: F401
+    from gearsight.plans import alerts, fleet, model, reports, robot, series, storage  # noqa: F401
     from gearsight.streaming import queries as _sq  # noqa: F401
     return QUERIES
