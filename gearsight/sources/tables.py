@@ -48,13 +48,17 @@ TELEMETRY_SELECT = [
 ]
 
 
-def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One reading per event (FIXTURES.md section 2); ``k`` is parsed once."""
-    e = table(spark, sf_dir, "events").selectExpr(
-        "event_id", "user_id", "ts", "CAST(get_json_object(props, '$.k') AS INT) AS k")
+def telemetry_of(events: DataFrame) -> DataFrame:
+    """Events (batch or stream) -> one reading per event; ``k`` is parsed once."""
+    e = events.selectExpr("event_id", "user_id", "ts", "CAST(get_json_object(props, '$.k') AS INT) AS k")
     return e.selectExpr(*TELEMETRY_SELECT)
 
 
+def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One reading per event (FIXTURES.md section 2)."""
+    return telemetry_of(table(spark, sf_dir, "events"))
+
+
 def tag_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long tag history: device, ts, tag, tag_value, status."""
     e = table(spark, sf_dir, "events")

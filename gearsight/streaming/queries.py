@@ -1 +1,181 @@
-"""Streaming queries."""
+"""Structured Streaming queries (ST1-ST7).
+
+Source (ST1/S14): the ``events`` parquet read as a file stream
+(``maxFilesPerTrigger`` bounds each micro-batch; a file source waits
+instead of dropping, which replaces the reference's lossy queue). Each
+registered query runs its stream with ``availableNow`` to completion, with
+checkpoint and sink in a fresh folder under ``spark.checkpoint.dir``, and
+returns the sink read back as a batch DataFrame.
+
+Sinks: every stream writes through ``foreachBatch`` (ST7): one call per
+micro-batch fans the batch out to a list of handlers; a failing handler is
+logged and the others still run. Stateful aggregates in update mode write
+a changelog (rows tagged with the batch id); readers take the last change
+per key.
+"""
+
+from __future__ import annotations
+
+import logging
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gearsight.functions.numeric import rnd
+from gearsight.functions.scoring import score
+from gearsight.functions.sensors import sensor_fault
+from gearsight.plans.alerts import _hist_cols, _hist_cols_sql, default_rules, fired_sql, rule_matches, \
+    alert_id, threshold_alerts
+from gearsight.plans.fleet import LATEST_READINGS_SQL, scored_sql
+from gearsight.plans.registry import register
+from gearsight.session import checkpoint_dir
+from gearsight.sources.tables import TELEMETRY_SENSORS, TELEMETRY_SQL, telemetry_of
+from gearsight.streaming.stateful import stream_buffers, stream_cooldown
+
+log = logging.getLogger(__name__)
+Handler = Callable[[DataFrame, int], None]
+
+
+def event_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
+    """ST1: events as a file stream (schema from the table, no inference).
+    The stream source watches a folder; the glob filter picks the table's files."""
+    schema = spark.read.option("pathGlobFilter", "events*.parquet").parquet(sf_dir.rstrip("/")).schema
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+            .option("pathGlobFilter", "events*.parquet").parquet(sf_dir.rstrip("/")))
+
+
+def scored_stream(events: DataFrame) -> DataFrame:
+    return score(telemetry_of(events), TELEMETRY_SENSORS)
+
+
+def fan_out(handlers: list[Handler]) -> Handler:
+    """ST7: call every handler on the batch; one failure does not stop the rest."""
+    def run(batch: DataFrame, epoch: int) -> None:
+        for h in handlers:
+            try:
+                h(batch, epoch)
+            except Exception:  # noqa: BLE001 - a handler's failure is its own
+                log.exception("stream handler %s failed on batch %s", getattr(h, "__name__", h), epoch)
+    return run
+
+
+def parquet_appender(path: str) -> Handler:
+    def h(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("_batch", F.lit(epoch)).write.mode("append").parquet(path)
+    h.__name__ = f"append:{path}"
+    return h
+
+
+def run_available(stream: DataFrame, spark: SparkSession, name: str, output_mode: str = "append",
+                  extra: list[Handler] | None = None) -> str:
+    """Run a stream over everything available now; return its sink folder."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
+    sink = f"{base}/sink"
+    q = (stream.writeStream.outputMode(output_mode)
+         .option("checkpointLocation", f"{base}/checkpoint")
+         .foreachBatch(fan_out([parquet_appender(sink), *(extra or [])]))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception():
+        raise RuntimeError(str(q.exception()))
+    return sink
+
+
+def read_sink(spark: SparkSession, sink: str, schema_of: DataFrame) -> DataFrame:
+    """The sink as a batch frame (empty with the stream's schema if no batch wrote)."""
+    try:
+        return spark.read.parquet(sink)
+    except Exception:  # noqa: BLE001 - no file written yet
+        return spark.createDataFrame([], schema_of.schema.add("_batch", "long"))
+
+
+def last_change(changes: DataFrame, key: list[str]) -> DataFrame:
+    """Latest row per key from an update-mode changelog."""
+    w = Window.partitionBy(*key).orderBy(F.col("_batch").desc())
+    return changes.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "_batch")
+
+
+# ---------------------------------------------------------------- ST2
+def latest_state_stream(scored: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+    """ST2: latest reading per device by event time, update mode."""
+    s = scored.withColumn("_evt", F.col("ts").cast("timestamp")).withWatermark("_evt", watermark)
+    payload = F.struct("ts", "event_id", "health_score", "anomaly_score", "status")
+    return s.groupBy("device_id").agg(F.max_by(payload, F.struct("ts", "event_id")).alias("_r")) \
+            .select("device_id", "_r.*")
+
+
+@register("stream_latest_state", LATEST_READINGS_SQL, ids=("ST1", "ST2", "ST7", "S14", "S15"))
+def stream_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = latest_state_stream(scored_stream(event_stream(spark, sf_dir)))
+    sink = run_available(st, spark, "latest_state", "update")
+    latest = last_change(read_sink(spark, sink, st), ["device_id"])
+    return latest.select("device_id", "ts", "event_id", rnd("health_score", 6).alias("health_score"),
+                         rnd("anomaly_score", 6).alias("anomaly_score"), "status")
+
+
+# ---------------------------------------------------------------- ST3
+@register("stream_threshold_alerts", f"""
+select event_id, device_id, ts,
+  case when coalesce(anomaly_score, 0) > 0.7 then 'anomaly_threshold' else 'health_critical' end as alert_type,
+  case when coalesce(anomaly_score, 0) > 0.7 then (case when anomaly_score > 0.9 then 'high' else 'medium' end)
+       else 'critical' end as priority
+from ({scored_sql()}) s
+where coalesce(anomaly_score, 0) > 0.7 or coalesce(health_score, 100) < 30
+""", ids=("ST3",))
+def stream_threshold_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = threshold_alerts(scored_stream(event_stream(spark, sf_dir))).select(
+        "event_id", "device_id", "ts", "alert_type", "priority")
+    sink = run_available(st, spark, "threshold_alerts")
+    return read_sink(spark, sink, st).drop("_batch")
+
+
+# ---------------------------------------------------------------- ST4
+def rule_alert_stream(scored: DataFrame, rules=None) -> DataFrame:
+    rules = rules or default_rules()
+    r = scored.withColumn("sensor_fault", sensor_fault(TELEMETRY_SENSORS))
+    m = rule_matches(r, rules)
+    fired = stream_cooldown(m, ["rule", "device_id"], "ts", "event_id", "cooldown_us")
+    return fired.select(alert_id(F.col("device_id"), F.col("alert_type"), F.col("ts")).alias("alert_id"),
+                        "rule", "rule_order", "device_id", "alert_type", "priority", "message", "ts",
+                        "event_id", "health_score", "anomaly_score")
+
+
+@register("stream_rule_alerts", fired_sql(default_rules()) + f"select {_hist_cols_sql()} from hist",
+          ids=("ST4", "L2", "W13"))
+def stream_rule_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = rule_alert_stream(scored_stream(event_stream(spark, sf_dir)))
+    sink = run_available(st, spark, "rule_alerts")
+    return _hist_cols(read_sink(spark, sink, st))
+
+
+# ---------------------------------------------------------------- ST5
+@register("stream_buffers", f"""
+with s as ({TELEMETRY_SQL}), sc as ({scored_sql()}),
+l as (select * from (select *, row_number() over (partition by device_id order by ts desc, event_id desc) as rn
+                     from sc) x where rn <= 100)
+select device_id, count(*) as buffer_size, min(ts) as oldest, max(ts) as newest,
+  round(avg(health_score), 6) as health_mean
+from l group by device_id
+""", ids=("ST5", "W10"))
+def stream_buffers_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = stream_buffers(scored_stream(event_stream(spark, sf_dir)), 100)
+    sink = run_available(st, spark, "buffers")
+    last = last_change(read_sink(spark, sink, st), ["device_id"])
+    return last.select("device_id", "buffer_size",
+                       F.timestamp_micros("oldest_us").cast("timestamp_ntz").alias("oldest"),
+                       F.timestamp_micros("newest_us").cast("timestamp_ntz").alias("newest"),
+                       rnd("health_mean", 6).alias("health_mean"))
+
+
+# ---------------------------------------------------------------- ST6
+@register("stream_device_counts", """
+select concat('DEVICE_', lpad(cast(user_id as varchar), 5, '0')) as device_id, count(*) as n_messages
+from events group by 1
+""", ids=("ST6", "A23"))
+def stream_device_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = telemetry_of(event_stream(spark, sf_dir)).groupBy("device_id").agg(
+        F.count(F.lit(1)).alias("n_messages"))
+    sink = run_available(st, spark, "device_counts", "update")
+    return last_change(read_sink(spark, sink, st), ["device_id"])
