@@ -16,6 +16,11 @@ carry:      unbounded "last non-null" (forward fill) is done per block and
 
 Every step is an aggregate, an equi-join or a window over bounded
 partitions; nothing is collected.
+
+:func:`ordered_window` decides per key: one aggregate counts rows per key;
+keys above ``block_rows`` rows ("hot") take the blocked path, all others a
+plain ``partitionBy(key)`` window (one shuffle). The hot-key list is at
+most rows / block_rows long, so its size is known before it is broadcast.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK_ROWS = 1 << 20
+BROADCAST_KEYS_MAX = 100_000
 
 
 def default_slice(order_col: str) -> Column:
@@ -96,3 +102,44 @@ def forward_fill(df: DataFrame, key: list[str], cols: list[str], block_rows: int
     filled = {f"{c}{suffix}": F.coalesce(F.last(F.col(c), ignorenulls=True).over(w), F.col(f"_carry_{i}"))
               for i, c in enumerate(cols)}
     return d.withColumns(filled).drop("_blk", *[f"_carry_{i}" for i in range(len(cols))])
+
+
+def _hot_keys(df: DataFrame, key: list[str], block_rows: int) -> tuple[DataFrame, int]:
+    hot = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows).select(*key)
+    return hot, hot.count()
+
+
+def ordered_window(df: DataFrame, key: list[str], order: list[str],
+                   build: Callable[[WindowSpec], dict[str, Column]], lookback: int, lookahead: int = 0,
+                   ffill: list[str] | None = None, block_rows: int = DEFAULT_BLOCK_ROWS,
+                   slice_expr: Column | None = None) -> DataFrame:
+    """Window columns over rows ordered by ``order`` within ``key``.
+
+    ``build(w)`` gets a window ordered by the per-key position ``_pos`` (also
+    a column) and returns {name: column}; frames must stay within
+    ``lookback`` rows back and ``lookahead`` rows ahead. ``ffill`` columns get
+    a forward-filled twin ``<c>__ff`` (unbounded reach) before ``build``.
+    Hot keys are split into blocks; the rest use one plain window.
+    """
+    ffill = ffill or []
+    hot, n_hot = _hot_keys(df, key, block_rows)
+
+    def plain(part: DataFrame) -> DataFrame:
+        w0 = Window.partitionBy(*key).orderBy(*order)
+        p = part.withColumn("_pos", F.row_number().over(w0) - 1)
+        w = Window.partitionBy(*key).orderBy("_pos")
+        if ffill:
+            fr = w.rowsBetween(Window.unboundedPreceding, 0)
+            p = p.withColumns({f"{c}__ff": F.last(c, ignorenulls=True).over(fr) for c in ffill})
+        return p.withColumns(build(w))
+
+    def blocked(part: DataFrame) -> DataFrame:
+        p = with_positions(part, key, order, slice_expr)
+        if ffill:
+            p = forward_fill(p, key, ffill, block_rows, suffix="__ff")
+        return blocked_window(p, key, build, lookback, lookahead, block_rows)
+
+    if n_hot == 0:
+        return plain(df)
+    hk = F.broadcast(hot) if n_hot <= BROADCAST_KEYS_MAX else hot
+    return plain(df.join(hk, key, "left_anti")).unionByName(blocked(df.join(hk, key, "left_semi")))

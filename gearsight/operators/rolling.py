@@ -14,8 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from gearsight.operators.ordered import (DEFAULT_BLOCK_ROWS, blocked_window, forward_fill,
-                                         with_positions)
+from gearsight.operators.ordered import DEFAULT_BLOCK_ROWS, ordered_window
 
 
 def _rolling_cols(w: WindowSpec, cols: list[str], windows: list[int], stats: tuple[str, ...]
@@ -52,9 +51,6 @@ def rolling_features(df: DataFrame, key: list[str], order: list[str], cols: list
                      ) -> DataFrame:
     """W1 + W2 per key, ordered by ``order`` (unique within a key)."""
     windows = list(windows)
-    p = with_positions(df, key, order, slice_expr)
-    if with_pct:
-        p = forward_fill(p, key, cols, block_rows, suffix="__ff")
 
     def build(w: WindowSpec) -> dict[str, Column]:
         out = _rolling_cols(w, cols, windows, stats)
@@ -67,7 +63,8 @@ def rolling_features(df: DataFrame, key: list[str], order: list[str], cols: list
                                                          F.lag(f"{c}__ff", 1).over(w))
         return out
 
-    out = blocked_window(p, key, build, lookback=max(windows + [2]) - 1, block_rows=block_rows)
+    out = ordered_window(df, key, order, build, lookback=max(windows + [2]) - 1,
+                         ffill=cols if with_pct else None, block_rows=block_rows, slice_expr=slice_expr)
     drop = ["_pos"] + ([f"{c}__ff" for c in cols] if with_pct else [])
     return out.drop(*drop)
 
@@ -75,9 +72,8 @@ def rolling_features(df: DataFrame, key: list[str], order: list[str], cols: list
 def abs_step(df: DataFrame, key: list[str], order: list[str], cols: dict[str, str],
              block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """|c - previous c| per key; first row null. ``cols`` maps input -> output name."""
-    p = with_positions(df, key, order)
-    out = blocked_window(p, key, lambda w: {o: F.abs(F.col(c) - F.lag(c, 1).over(w))
-                                            for c, o in cols.items()},
+    out = ordered_window(df, key, order, lambda w: {o: F.abs(F.col(c) - F.lag(c, 1).over(w))
+                                                    for c, o in cols.items()},
                          lookback=1, block_rows=block_rows)
     return out.drop("_pos")
 
@@ -85,7 +81,6 @@ def abs_step(df: DataFrame, key: list[str], order: list[str], cols: dict[str, st
 def ffill_then_zero(df: DataFrame, key: list[str], order: list[str], cols: list[str],
                     block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Forward fill per key, leading nulls become 0."""
-    p = with_positions(df, key, order)
-    f = forward_fill(p, key, cols, block_rows, suffix="__ff")
+    f = ordered_window(df, key, order, lambda w: {}, lookback=0, ffill=cols, block_rows=block_rows)
     return (f.withColumns({c: F.coalesce(F.col(f"{c}__ff"), F.lit(0.0)) for c in cols})
              .drop("_pos", *[f"{c}__ff" for c in cols]))

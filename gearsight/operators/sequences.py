@@ -3,7 +3,7 @@
 W8: for each device, the sample ending at row j takes the feature rows
 j-L+1..j and the label at row j+H; a device yields n-L-H+1 samples and
 none when n < L+H. Built with ``collect_list`` over a bounded row frame
-and ``lead`` — evaluated by :func:`blocked_window`, so a hot device is cut
+and ``lead`` — evaluated by :func:`ordered_window`, so a hot device is cut
 into blocks with an (L-1)-row halo behind and an H-row halo ahead.
 
 W9: the newest L rows per device (``row_number`` desc <= L, a
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gearsight.operators.ordered import DEFAULT_BLOCK_ROWS, blocked_window, with_positions
+from gearsight.operators.ordered import DEFAULT_BLOCK_ROWS, ordered_window
 
 
 def _row_vector(features: list[str]) -> Column:
@@ -29,8 +29,6 @@ def sequence_samples(df: DataFrame, key: list[str], order: list[str], features:
                      slice_expr: Column | None = None) -> DataFrame:
     """One row per sample: key, end-row order columns, ``seq`` (L*F doubles,
     row-major, oldest first) and ``label`` (the label ``horizon`` rows later)."""
-    p = with_positions(df.withColumn("_x", _row_vector(features)), key, order, slice_expr)
-
     def build(w):
         fr = w.rowsBetween(-(length - 1), 0)
         return {
@@ -38,7 +36,8 @@ def sequence_samples(df: DataFrame, key: list[str], order: list[str], features:
             "_y": F.lead(label, horizon).over(w),
         }
 
-    out = blocked_window(p, key, build, lookback=length - 1, lookahead=horizon, block_rows=block_rows)
+    out = ordered_window(df.withColumn("_x", _row_vector(features)), key, order, build,
+                         lookback=length - 1, lookahead=horizon, block_rows=block_rows, slice_expr=slice_expr)
     out = out.where((F.col("_pos") >= length - 1) & F.col("_y").isNotNull())
     seq = F.flatten(F.transform(F.array_sort("_xs"), lambda s: s["x"]))
     return out.select(*key, *order, seq.alias("seq"), F.col("_y").alias("label"))

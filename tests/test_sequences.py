@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from gearsight.operators.rolling import rolling_features
@@ -21,11 +22,12 @@ def _frame(spark, n_dev=3, n=37, seed=7):
         .withColumn("ts", F.timestamp_seconds("t").cast("timestamp_ntz")), rows
 
 
-def test_sequences_match_loop_and_block_halo(spark):
+# 7: every device is "hot" and cut into blocks; 40: mixed; 10**6: plain windows
+@pytest.mark.parametrize("block_rows", [7, 40, 10**6])
+def test_sequences_match_loop_and_block_halo(spark, block_rows):
     df, rows = _frame(spark)
     L, H = 5, 2
-    # tiny blocks force samples across block edges
-    got = sequence_samples(df, ["device_id"], ["ts", "id"], ["a", "b"], "y", L, H, block_rows=7,
+    got = sequence_samples(df, ["device_id"], ["ts", "id"], ["a", "b"], "y", L, H, block_rows=block_rows,
                            slice_expr=F.date_trunc("minute", "ts")).collect()
     got = {(r.device_id, r.id): (r.seq, r.label) for r in got}
     pdf = pd.DataFrame(rows, columns=["device_id", "t", "id", "a", "b", "y"]).sort_values(["device_id", "t", "id"])
@@ -49,13 +51,14 @@ def test_latest_sequence(spark):
     assert np.allclose(out["D1"].seq, tail)
 
 
-def test_rolling_matches_pandas_across_blocks(spark):
+@pytest.mark.parametrize("block_rows", [6, 40, 10**6])
+def test_rolling_matches_pandas_across_blocks(spark, block_rows):
     df, rows = _frame(spark)
     pdf = pd.DataFrame(rows, columns=["device_id", "t", "id", "a", "b", "y"]).sort_values(["device_id", "t", "id"])
     pdf.loc[pdf.index[::5], "a"] = np.nan
     sdf = spark.createDataFrame(pdf.astype({"a": "float64"}).replace({np.nan: None})) \
         .withColumn("ts", F.timestamp_seconds("t").cast("timestamp_ntz"))
-    got = rolling_features(sdf, ["device_id"], ["ts", "id"], ["a"], [3, 5], block_rows=6,
+    got = rolling_features(sdf, ["device_id"], ["ts", "id"], ["a"], [3, 5], block_rows=block_rows,
                            slice_expr=F.date_trunc("minute", "ts")).toPandas().set_index("id").sort_index()
     for d, g in pdf.groupby("device_id"):
         s = g.set_index("id")["a"]
