@@ -115,8 +115,9 @@ def ordered_window(df: DataFrame, key: list[str], order: list[str],
                    slice_expr: Column | None = None) -> DataFrame:
     """Window columns over rows ordered by ``order`` within ``key``.
 
-    ``build(w)`` gets a window ordered by the per-key position ``_pos`` (also
-    a column) and returns {name: column}; frames must stay within
+    ``build(w)`` gets a window ordered within the key (by ``order``, or by the
+    per-key position ``_pos``, which is also a column) and returns
+    {name: column}; frames must stay within
     ``lookback`` rows back and ``lookahead`` rows ahead. ``ffill`` columns get
     a forward-filled twin ``<c>__ff`` (unbounded reach) before ``build``.
     Hot keys are split into blocks; the rest use one plain window.
@@ -125,9 +126,9 @@ def ordered_window(df: DataFrame, key: list[str], order: list[str],
     hot, n_hot = _hot_keys(df, key, block_rows)
 
     def plain(part: DataFrame) -> DataFrame:
-        w0 = Window.partitionBy(*key).orderBy(*order)
-        p = part.withColumn("_pos", F.row_number().over(w0) - 1)
-        w = Window.partitionBy(*key).orderBy("_pos")
+        # one spec for the position and the features: one shuffle, one sort
+        w = Window.partitionBy(*key).orderBy(*order)
+        p = part.withColumn("_pos", F.row_number().over(w) - 1)
         if ffill:
             fr = w.rowsBetween(Window.unboundedPreceding, 0)
             p = p.withColumns({f"{c}__ff": F.last(c, ignorenulls=True).over(fr) for c in ffill})

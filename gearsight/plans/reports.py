@@ -444,3 +444,65 @@ def power_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- A4 helper re-export
 def latest_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_per_device(scored_telemetry(spark, sf_dir), "device_id", ["ts", "event_id"])
+
+
+# ---------------------------------------------------------------- P7
+def validate_frame(df: DataFrame, required: list[str]) -> DataFrame:
+    """P7 as a report row: row count, required columns missing from the
+    schema (checked on the driver), null count per present required column
+    (one aggregate), and ``valid``."""
+    present = [c for c in required if c in df.columns]
+    missing = [c for c in required if c not in df.columns]
+    agg = df.agg(F.count(F.lit(1)).alias("n_rows"),
+                 *[F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in present])
+    nulls = F.map_from_arrays(F.array(*[F.lit(c) for c in present]),
+                              F.array(*[F.col(f"_null_{c}") for c in present])) if present \
+        else F.create_map().cast("map<string,bigint>")
+    out = agg.select("n_rows", F.array(*[F.lit(c) for c in missing]).cast("array<string>").alias("missing_columns"),
+                     nulls.alias("null_counts"))
+    return out.withColumn("valid", (F.col("n_rows") > 0) & (F.size("missing_columns") == 0)
+                          & F.forall(F.map_values("null_counts"), lambda v: v == 0))
+
+
+@register("frame_validation", f"""
+select count(*) as n_rows, '' as missing_columns,
+  {" || ',' || ".join(f"'{c}=' || cast(count(*) filter (where {c} is null) as varchar)" for c in ["device_id", "ts", "temperature", "pressure"])} as null_counts,
+  count(*) > 0 and {" and ".join(f"count(*) filter (where {c} is null) = 0" for c in ["device_id", "ts", "temperature", "pressure"])} as valid
+from {TELE}
+""", ids=("P7",))
+def frame_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = validate_frame(telemetry(spark, sf_dir), ["device_id", "ts", "temperature", "pressure"])
+    return v.select("n_rows", F.array_join("missing_columns", ",").alias("missing_columns"),
+                    F.array_join(F.transform(F.map_entries("null_counts"),
+                                             lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))),
+                                 ",").alias("null_counts"), "valid")
+
+
+# ---------------------------------------------------------------- 2.13 fleet views
+@register("device_list", f"""
+select device_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9, 6) as operating_hours,
+  round(arg_max(health_score, (ts, event_id)), 6) as health_score,
+  arg_max(status, (ts, event_id)) as status, max(ts) as last_seen
+from {SCORED} group by device_id
+""", ids=("2.13", "W11", "S9"))
+def device_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scored_telemetry(spark, sf_dir)
+    key = F.struct("ts", "event_id")
+    return s.groupBy("device_id").agg(
+        rnd(_hours_span(), 6).alias("operating_hours"),
+        rnd(F.max_by("health_score", key), 6).alias("health_score"),
+        F.max_by("status", key).alias("status"), F.max("ts").alias("last_seen"))
+
+
+RANGE_FROM, RANGE_TO = "2024-01-10 00:00:00", "2024-01-12 00:00:00"
+
+
+@register("device_range", f"""
+select event_id, device_id, ts, round(health_score, 6) as health_score, status from {SCORED}
+where ts >= timestamp '{RANGE_FROM}' and ts < timestamp '{RANGE_TO}'
+""", ids=("2.13", "P9"))
+def device_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Historical range for all devices: the time filter reaches the parquet scan."""
+    s = scored_telemetry(spark, sf_dir).where(
+        (F.col("ts") >= F.lit(RANGE_FROM).cast("timestamp_ntz")) & (F.col("ts") < F.lit(RANGE_TO).cast("timestamp_ntz")))
+    return s.select("event_id", "device_id", "ts", rnd("health_score", 6).alias("health_score"), "status")

@@ -249,3 +249,54 @@ def tag_name_suggestions_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = recs.groupBy(F.col("tag").alias("tag_name")).agg(F.count(F.lit(1)).alias("n")) \
               .orderBy(F.col("n").desc(), "tag_name").limit(50)
     return top.withColumn("suggested", suggest_sensor_name(F.col("tag_name")))
+
+
+# ---------------------------------------------------------------- P10, P11, P13, M8
+FEATURE_PATTERNS = {
+    # fixed values: name patterns of robot feature groups
+    "joint": ("joint", "actual_pos", "cmd_pos", "pos_error", "torque_cmd", "torque_feedback", "velocity"),
+    "coordinate": ("cartesian", "scara"),
+    "engineered": ("total_", "mean_", "max_", "_ma_", "_std_", "_change", "_imbalance"),
+}
+
+
+def feature_catalog(df: DataFrame) -> DataFrame:
+    """(category, column) for every numeric column matching a category
+    pattern (a column can be in several categories); schema-driven."""
+    spark = df.sparkSession
+    cols = numeric_columns(df)
+    rows = [(cat, c) for cat, pats in FEATURE_PATTERNS.items() for c in cols if any(p in c for p in pats)]
+    return spark.createDataFrame(rows, "category string, column_name string")
+
+
+def select_features(df: DataFrame, exclude: tuple[str, ...] = ("health_score", "anomaly_score"),
+                    keep_label_sources: bool = False) -> list[str]:
+    """P10: numeric columns matching the feature patterns, sorted; calendar
+    parts are left out (Q3) and so are the label sources unless asked (Q17)."""
+    ex = set(CALENDAR) | ({"maintenance_needed"}) | (set() if keep_label_sources else set(exclude))
+    cols = numeric_columns(df)
+    pats = [p for ps in FEATURE_PATTERNS.values() for p in ps]
+    return sorted(c for c in cols if c not in ex and any(p in c for p in pats))
+
+
+def with_device(df: DataFrame, device_id: str = "SCARA_ROBOT_001") -> DataFrame:
+    """Add ``device_id`` when the frame has none."""
+    return df if "device_id" in df.columns else df.withColumn("device_id", F.lit(device_id))
+
+
+def robot_training_set(features: DataFrame, key: list[str] | None = None, ts: str = "ts") -> DataFrame:
+    """M8: required columns checked (P7), robot label (F15 robot policy),
+    feature choice (P10), forward fill then 0 per device (W7)."""
+    from gearsight.functions.sensors import label_robot
+    from gearsight.operators.rolling import ffill_then_zero
+    from gearsight.plans.reports import validate_frame
+    df = with_device(features)
+    key = key or ["device_id"]
+    report = validate_frame(df, [*key, ts, "health_score", "anomaly_score"]).first()
+    if report["missing_columns"] or report["n_rows"] == 0:
+        raise ValueError(f"training frame invalid: {report.asDict()}")
+    df = df.withColumn("maintenance_needed", label_robot(F.col("health_score"), F.col("anomaly_score")))
+    feats = select_features(df)
+    df = df.select(*key, ts, *feats, "maintenance_needed")
+    return ffill_then_zero(df.withColumn("_tb", F.monotonically_increasing_id()), key, [ts, "_tb"], feats) \
+        .drop("_tb")

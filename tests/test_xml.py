@@ -84,3 +84,16 @@ def test_robot_pipeline_end_to_end(spark):
     assert rows[0].health_score <= 100 and rows[0].status in ("normal", "warning", "critical")
     s = {(r.metric, r.key) for r in pipeline_summary(f).collect()}
     assert ("summary", "rows") in s
+
+
+def test_training_set_and_catalog(spark):
+    from gearsight.plans.robot import feature_catalog, robot_training_set, select_features
+    d = _fixture_dir()
+    f = robot_from_xml(spark, f"{d}/*.dat", interval="5s")
+    ts = robot_training_set(f)
+    assert "maintenance_needed" in ts.columns and ts.count() == 3
+    feats = select_features(f)
+    assert "hour" not in feats and "health_score" not in feats and "total_torque_cmd" in feats
+    assert ts.where(F.col(feats[0]).isNull()).count() == 0          # forward fill then 0
+    cats = {r.category for r in feature_catalog(f).collect()}
+    assert {"joint", "engineered"} <= cats
