@@ -30,3 +30,11 @@ def test_train_predict_save_load(spark):
     again = predict_all(m2, latest_sequence(rows, ["device_id"], ["ts", "event_id"], FEATURES, SEQ_LEN))
     a = {r.device_id: r.maintenance_probability for r in again.collect()}
     assert all(a[r.device_id] == r.maintenance_probability for r in p)
+
+
+def test_single_class_raises(spark):
+    import pytest
+    s = spark.createDataFrame([("D", i, [0.1 * i, 0.2], 0) for i in range(20)],
+                              "device_id string, event_id long, seq array<double>, label int")
+    with pytest.raises(ValueError):
+        train(s, DEFAULT.model, max_iter=5)
