@@ -3,8 +3,9 @@
 pivot:     mean of duplicates per (device, timestamp, sensor) — a groupBy
            with a declared value list, so no extra job finds the columns.
 resample:  mean of those means per fixed bin (left-closed, left label);
-           bins start at ``origin`` (default midnight, which for any
-           interval dividing a day is the same as pandas' start of day).
+           bins start at midnight of the first day (pandas' default
+           origin; for intervals dividing a day this is epoch alignment,
+           otherwise one scalar aggregate finds the first day).
 spine:     every bin between a device's first and last bin is present,
            empty ones as nulls (``sequence`` + ``explode``; its size grows
            with the time span, not with the row count).
@@ -41,10 +42,20 @@ def _bin_start(ts: str, iv_us: int, origin_us: int):
     return F.timestamp_micros(start).cast("timestamp_ntz")
 
 
+def start_day_origin(df: DataFrame, ts: str) -> int:
+    """pandas' default origin: midnight of the first day in the data (one
+    scalar aggregate). Only matters for intervals that do not divide a day."""
+    first = df.agg(F.min(F.unix_micros(F.date_trunc("day", F.col(ts)).cast("timestamp")))).first()[0]
+    return int(first or 0)
+
+
 def resample_mean(wide: DataFrame, key: list[str], ts: str, names: list[str], interval: str,
-                  origin_us: int = 0, out_ts: str = "ts") -> DataFrame:
-    """A2: mean per bin of the per-timestamp means, with a full spine of bins."""
+                  origin_us: int | str = 0, out_ts: str = "ts") -> DataFrame:
+    """A2: mean per bin of the per-timestamp means, with a full spine of bins.
+    ``origin_us="start_day"`` aligns bins like pandas for any interval."""
     iv = interval_micros(interval)
+    if origin_us == "start_day":
+        origin_us = start_day_origin(wide, ts) if (86_400_000_000 % iv) else 0
     binned = (wide.withColumn("_bin", _bin_start(ts, iv, origin_us))
                   .groupBy(*key, "_bin").agg(*[F.avg(F.col(f"`{n}`")).alias(n) for n in names]))
     bounds = binned.groupBy(*key).agg(F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi"))
@@ -79,7 +90,7 @@ def gap_fill_linear(series: DataFrame, key: list[str], ts: str, names: list[str]
 
 def regular_series(long: DataFrame, key: list[str], ts: str, name_col: str, value_col: str,
                    names: list[str], interval: str | None, fill: bool = True,
-                   origin_us: int = 0) -> DataFrame:
+                   origin_us: int | str = "start_day") -> DataFrame:
     """A1 -> A2 -> W6 in one lazy plan."""
     wide = pivot_mean(long, key, ts, name_col, value_col, names)
     if interval:

@@ -31,8 +31,13 @@ from gearsight.sources.tables import TELEMETRY_SENSORS
 # ---------------------------------------------------------------- M2 / M8
 
 
-def prepare_features(readings: DataFrame, ts: str = "ts") -> DataFrame:
-    """M2 for sensor readings: calendar parts, generic label (F15) and risk bin (F16)."""
+def prepare_features(readings: DataFrame, ts: str = "ts", key: list[str] | None = None,
+                     order: list[str] | None = None) -> DataFrame:
+    """M2 for sensor readings: calendar parts, basic rolling when missing (W3,
+    needs ``key``/``order``), generic label (F15) and risk bin (F16)."""
+    if key and order:
+        from gearsight.plans.robot import numeric_columns
+        readings = ensure_basic_rolling(readings, key, order, numeric_columns(readings))
     cols = set(readings.columns)
     a = F.col("anomaly_score") if "anomaly_score" in cols else None
     h = F.col("health_score") if "health_score" in cols else None
@@ -40,6 +45,26 @@ def prepare_features(readings: DataFrame, ts: str = "ts") -> DataFrame:
     return out.withColumns({"maintenance_needed": label_generic(a, h), "failure_risk": failure_risk(a)})
 
 
+def ensure_basic_rolling(df: DataFrame, key: list[str], order: list[str], features: list[str]) -> DataFrame:
+    """When fewer than 5 rolling columns exist, add per-device mean 5/15,
+    std 5 and trend (diff, 0 first) for the first 10 joint columns."""
+    from gearsight.operators.ordered import ordered_window
+    have = [c for c in df.columns if "_ma_" in c or "_std_" in c]
+    joints = [c for c in features if any(j in c for j in ("joint1", "joint2", "joint3", "joint6"))][:10]
+    if len(have) >= 5 or not joints:
+        return df
+
+    def build(w):
+        out = {}
+        for c in joints:
+            out[f"{c}_ma_5"] = F.avg(c).over(w.rowsBetween(-4, 0))
+            out[f"{c}_ma_15"] = F.avg(c).over(w.rowsBetween(-14, 0))
+            out[f"{c}_std_5"] = F.coalesce(F.stddev_samp(c).over(w.rowsBetween(-4, 0)), F.lit(0.0))
+            out[f"{c}_trend"] = F.coalesce(F.col(c) - F.lag(c, 1).over(w), F.lit(0.0))
+        return out
+    return ordered_window(df, key, order, build, lookback=14).drop("_pos")
+
+
 def variance_ranked(df: DataFrame, cols: list[str], k: int) -> list[str]:
     """A21 applied: keep the k columns of largest sample variance (ties by
     name); one aggregate, 2 numbers per column to the driver."""

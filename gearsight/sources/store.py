@@ -140,3 +140,11 @@ def save_processed(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """S11."""
     w = df.write.mode("overwrite")
     (w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path))
+
+
+def concat_frames(frames: list[DataFrame]) -> DataFrame:
+    """Concatenate frames by column name; a column missing in one frame is null there."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out

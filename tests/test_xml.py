@@ -97,3 +97,18 @@ def test_training_set_and_catalog(spark):
     assert ts.where(F.col(feats[0]).isNull()).count() == 0          # forward fill then 0
     cats = {r.category for r in feature_catalog(f).collect()}
     assert {"joint", "engineered"} <= cats
+
+
+def test_basic_rolling_and_start_day_origin(spark):
+    import datetime as dt
+    from gearsight.operators.series import regular_series
+    from gearsight.plans.model import ensure_basic_rolling
+    rows = [("R", dt.datetime(2024, 1, 1, 0, 0, s), "joint1_pos_error", float(s)) for s in range(0, 30, 3)]
+    long = spark.createDataFrame(rows, "device_id string, ts timestamp_ntz, sensor_name string, tag_value double")
+    s7 = regular_series(long, ["device_id"], "ts", "sensor_name", "tag_value", ["joint1_pos_error"], "7s")
+    assert str(s7.orderBy("ts").first().ts) == "2024-01-01 00:00:00"     # origin = midnight, not epoch
+    f = ensure_basic_rolling(s7, ["device_id"], ["ts"], ["joint1_pos_error"])
+    assert {"joint1_pos_error_ma_5", "joint1_pos_error_ma_15", "joint1_pos_error_std_5",
+            "joint1_pos_error_trend"} <= set(f.columns)
+    first = f.orderBy("ts").first()
+    assert first.joint1_pos_error_trend == 0.0 and first.joint1_pos_error_std_5 == 0.0
