@@ -22,6 +22,7 @@ from gearsight.operators.cooldown import greedy_cooldown
 from gearsight.operators.latest import latest_per_device
 from gearsight.plans.fleet import scored_sql, scored_telemetry
 from gearsight.plans.registry import register
+from gearsight.session import materialize
 from gearsight.sources.tables import TELEMETRY_SENSORS
 
 
@@ -253,6 +254,12 @@ def history_of(spark: SparkSession, sf_dir: str, rules: list[Rule] | None = None
     return evaluate_rules(alert_readings(spark, sf_dir), rules or default_rules())
 
 
+def stored_history(spark: SparkSession, sf_dir: str, rules: list[Rule] | None = None) -> DataFrame:
+    """The alert history written once (the alert table the views read);
+    without it every branch of a view would re-run the cool-down."""
+    return materialize(history_of(spark, sf_dir, rules))
+
+
 # ---------------------------------------------------------------- oracle SQL
 
 def _matches_sql(rules: list[Rule]) -> str:
@@ -328,7 +335,7 @@ act as (select *, {_SEV_SQL} as severity from last)
 select alert_id, device_id, alert_type, priority, ts, cast(severity as integer) as severity from act
 """, ids=("L6", "Q7"))
 def active_alerts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = active_alerts(history_of(spark, sf_dir, DAILY))
+    a = active_alerts(stored_history(spark, sf_dir, DAILY))
     return a.select("alert_id", "device_id", "alert_type", "priority", "ts", "severity")
 
 
@@ -337,7 +344,7 @@ select alert_id, rule, device_id, ts from
   (select * from hist order by ts desc, alert_id desc, rule_order desc limit 100) x
 """, ids=("O3", "O4"))
 def alert_history_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alert_history(history_of(spark, sf_dir, DAILY)).select("alert_id", "rule", "device_id", "ts")
+    return alert_history(stored_history(spark, sf_dir, DAILY)).select("alert_id", "rule", "device_id", "ts")
 
 
 @register("alert_statistics", ACTIVE_SQL + """
@@ -349,7 +356,7 @@ union all select 'by_priority', priority, count(*) from hist group by priority
 union all select 'rules', 'all', 4
 """, ids=("A16",))
 def alert_statistics_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = history_of(spark, sf_dir, DAILY)
+    h = stored_history(spark, sf_dir, DAILY)
     return alert_statistics(h, active_alerts(h), len(DAILY))
 
 
@@ -362,8 +369,8 @@ union all select 'active', 'all', count(*), null from act
 union all select 'top', cast(rk as varchar), rk, alert_id from ranked where rk <= 10
 """, ids=("A17", "O2", "O4"))
 def alert_dashboard_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = history_of(spark, sf_dir, DAILY)
-    return alert_dashboard(active_alerts(h))
+    h = stored_history(spark, sf_dir, DAILY)
+    return alert_dashboard(materialize(active_alerts(h)))
 
 
 @register("threshold_alerts", f"""

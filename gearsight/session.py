@@ -65,3 +65,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and cut its lineage
+    (reliable checkpoint; survives executor loss). For results read by several
+    branches of one query, e.g. an alert history feeding many views."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
