@@ -6,9 +6,6 @@ A sensor whose value is null counts as absent, the same as a missing key.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
