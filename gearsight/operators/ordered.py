@@ -35,8 +35,9 @@ BROADCAST_KEYS_MAX = 100_000
 
 
 def default_slice(order_col: str) -> Column:
-    """Coarse, order-preserving bucket of the leading order column (hour)."""
-    return F.date_trunc("hour", F.col(order_col))
+    """Order-preserving bucket of the leading order column (minute): the unit
+    a hot key's rows are numbered in; the count table is keys x minutes."""
+    return F.date_trunc("minute", F.col(order_col))
 
 
 def with_positions(df: DataFrame, key: list[str], order: list[str],

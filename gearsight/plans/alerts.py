@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from gearsight.config import DEFAULT, PRIORITIES, Thresholds
 from gearsight.functions.numeric import rnd
 from gearsight.functions.sensors import sensor_fault
-from gearsight.operators.cooldown import greedy_cooldown
+from gearsight.operators.cooldown import DAY_US, greedy_cooldown
 from gearsight.operators.latest import latest_per_device
 from gearsight.plans.fleet import scored_sql, scored_telemetry
 from gearsight.plans.registry import register
@@ -103,7 +103,9 @@ def alert_id(device: Column, alert_type: Column, ts: Column) -> Column:
 def evaluate_rules(readings: DataFrame, rules: list[Rule], tiebreak: str = "event_id") -> DataFrame:
     """L2: matched, cooled-down alert rows (the alert history)."""
     m = rule_matches(readings, rules)
-    fired = greedy_cooldown(m, ["rule", "device_id"], "ts", tiebreak, F.col("cooldown_us"))
+    # chunks much longer than the longest cool-down keep the candidate table small
+    chunk = max(DAY_US, 16 * max(r.cooldown_minutes for r in rules) * 60_000_000)
+    fired = greedy_cooldown(m, ["rule", "device_id"], "ts", tiebreak, F.col("cooldown_us"), chunk_us=chunk)
     return fired.select(
         alert_id(F.col("device_id"), F.col("alert_type"), F.col("ts")).alias("alert_id"),
         "rule", "rule_order", "device_id", "alert_type", "priority", "message",
