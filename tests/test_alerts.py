@@ -86,3 +86,23 @@ def test_cooldown_matches_loop_with_many_chunks(spark):
                     want.add((kk, i))
                     last = t
         assert got == want
+
+
+def test_cooldown_properties(spark):
+    """Fired alerts are >= cool-down apart; every suppressed match has a fired
+    one less than the cool-down before it (SURVEY 5c)."""
+    rng = random.Random(11)
+    rows = []
+    t = T0
+    for i in range(400):
+        t += dt.timedelta(seconds=rng.choice([5, 30, 60, 299, 300, 301, 900, 3600]))
+        rows.append(("K", t, i))
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id long")
+    cd = dt.timedelta(minutes=5)
+    fired = sorted((r.ts, r.id) for r in greedy_cooldown(df, ["k"], "ts", "id", 300_000_000,
+                                                          chunk_us=1_800_000_000).collect())
+    assert all(b[0] - a[0] >= cd for a, b in zip(fired, fired[1:]))
+    fired_ids = {i for _, i in fired}
+    for tt, _, i in [(r[1], r[0], r[2]) for r in rows]:
+        if i not in fired_ids:
+            assert any(ft <= tt and tt - ft < cd for ft, _ in fired)
