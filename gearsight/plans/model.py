@@ -96,12 +96,27 @@ def apply_scaler(df: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataF
 # ---------------------------------------------------------------- M5
 
 def split_flag(key: Column, seed: int, share: float) -> Column:
-    """M5: repeatable hash split; each label class is split independently,
-    so every class keeps about ``share`` of its samples in the hold-out."""
+    """Repeatable hash split of single rows (about ``share`` held out)."""
     u = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_003)).cast("double") / 1_000_003.0)
     return u < share
 
 
+def stratified_split(df: DataFrame, label: str, key: Column, share: float, seed: int) -> DataFrame:
+    """M5: exact stratified hold-out. Within each class, samples are ranked by
+    xxhash64(key, seed) and the first round(share * n_class) are held out
+    (``_test``). The rank is exact and distributed: a class is a hot key, so
+    :func:`with_positions` numbers it by hash slices (counts per slice ->
+    running offsets -> row_number inside a slice), never in one task."""
+    from gearsight.operators.ordered import with_positions
+    h = df.withColumn("_h", F.xxhash64(key, F.lit(seed))).withColumn("_hk", F.to_json(F.struct(key.alias("k"))))
+    ranked = with_positions(h, [label], ["_h", "_hk"], F.shiftright(F.col("_h"), 40))
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per class: a fixed-size table
+    ranked = ranked.join(F.broadcast(sizes), label)
+    test = F.col("_pos") < F.round(F.col("_n") * share)
+    return ranked.withColumn("_test", test).drop("_h", "_hk", "_pos", "_n")
+
+
 # ---------------------------------------------------------------- M6 / M7 / A22
 
 def train(samples: DataFrame, settings: ModelSettings = DEFAULT.model, max_iter: int = 50
@@ -110,7 +125,7 @@ def train(samples: DataFrame, settings: ModelSettings = DEFAULT.model, max_iter:
     predictions. A single-class training set raises (Q12)."""
     s = samples.withColumn("features", array_to_vector("seq")).withColumn("label", F.col("label").cast("double"))
     key = F.to_json(F.struct(*[c for c in samples.columns if c not in ("seq", "label")]))
-    s = s.withColumn("_test", split_flag(key, settings.seed, settings.validation_split))
+    s = stratified_split(s, "label", key, settings.validation_split, settings.seed)
     tr, te = s.where(~F.col("_test")), s.where(F.col("_test"))
     classes = tr.agg(F.countDistinct("label")).first()[0]
     if classes < 2:

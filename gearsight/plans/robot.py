@@ -47,6 +47,7 @@ def robot_features(series: DataFrame, key: list[str], ts: str = "ts",
     new = {}
     if err:
         new["total_position_error"] = rowwise.row_rms_null_zero(err)
+        new["total_pos_error"] = rowwise.row_abs_sum(err)                 # F11
         new["mean_position_error"] = rowwise.row_mean(err)
         new["max_position_error"] = rowwise.row_max(err)
         new["position_error_std"] = rowwise.row_std(err)

@@ -38,3 +38,16 @@ def test_single_class_raises(spark):
                               "device_id string, event_id long, seq array<double>, label int")
     with pytest.raises(ValueError):
         train(s, DEFAULT.model, max_iter=5)
+
+
+def test_stratified_split_exact_share(spark):
+    from pyspark.sql import functions as F
+    from gearsight.plans.model import stratified_split
+    df = spark.range(0, 1037).withColumn("label", (F.col("id") % 7 == 0).cast("int"))
+    s = stratified_split(df, "label", F.col("id").cast("string"), 0.2, 42)
+    got = {(r.label, r._test): r["count"] for r in s.groupBy("label", "_test").count().collect()}
+    n1 = len([i for i in range(1037) if i % 7 == 0]); n0 = 1037 - n1
+    assert got[(1, True)] == round(n1 * 0.2) and got[(0, True)] == round(n0 * 0.2)
+    again = {r.id for r in stratified_split(df, "label", F.col("id").cast("string"), 0.2, 42)
+             .where("_test").collect()}
+    assert again == {r.id for r in s.where("_test").collect()}
