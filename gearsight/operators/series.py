@@ -7,8 +7,10 @@ resample:  mean of those means per fixed bin (left-closed, left label);
            origin; for intervals dividing a day this is epoch alignment,
            otherwise one scalar aggregate finds the first day).
 spine:     every bin between a device's first and last bin is present,
-           empty ones as nulls (``sequence`` + ``explode``; its size grows
-           with the time span, not with the row count).
+           empty ones as nulls: each present bin emits the empty bins up to
+           the key's next present bin (``lead`` + ``sequence`` + ``explode``),
+           so no join and no second scan; the window shares its partitioning
+           with the gap fill that follows.
 gap fill:  linear by position between neighbours, ends extended with the
            nearest value; a column that is null throughout stays null.
 The series after resampling has one row per device and bin, so its
@@ -30,10 +32,31 @@ def interval_micros(interval: str) -> int:
     return n * US_PER[unit]
 
 
+def _pivot_aggs(name_col: str, value_col: str, names: list[str]):
+    return [F.avg(F.when(F.col(name_col) == n, F.col(value_col))).alias(n) for n in names]
+
+
 def pivot_mean(df: DataFrame, key: list[str], ts: str, name_col: str, value_col: str,
                names: list[str]) -> DataFrame:
-    """A1: one row per (key, ts), one column per declared name, mean of duplicates."""
-    return df.groupBy(*key, ts).pivot(name_col, names).agg(F.avg(value_col))
+    """A1: one row per (key, ts), one column per declared name, mean of
+    duplicates — one aggregate with a conditional mean per name (the same
+    result as ``pivot``, which would plan two aggregates)."""
+    return df.groupBy(*key, ts).agg(*_pivot_aggs(name_col, value_col, names))
+
+
+def pivot_resample_mean(long: DataFrame, key: list[str], ts: str, name_col: str, value_col: str,
+                        names: list[str], interval: str, origin_us: int | str = "start_day",
+                        out_ts: str = "ts") -> DataFrame:
+    """A1 + A2 with one shuffle: rows are hash-partitioned by (key, bin), so the
+    per-timestamp means and the per-bin means of those means are both computed
+    in place (a bin's rows never span partitions), then the spine is added."""
+    iv = interval_micros(interval)
+    if origin_us == "start_day":
+        origin_us = start_day_origin(long, ts) if (86_400_000_000 % iv) else 0
+    rows = long.withColumn("_bin", _bin_start(ts, iv, origin_us)).repartition(*key, "_bin")
+    per_ts = rows.groupBy(*key, "_bin", ts).agg(*_pivot_aggs(name_col, value_col, names))
+    binned = per_ts.groupBy(*key, "_bin").agg(*[F.avg(F.col(f"`{n}`")).alias(n) for n in names])
+    return _with_spine(binned, key, names, iv, out_ts)
 
 
 def _bin_start(ts: str, iv_us: int, origin_us: int):
@@ -58,11 +81,22 @@ def resample_mean(wide: DataFrame, key: list[str], ts: str, names: list[str], in
         origin_us = start_day_origin(wide, ts) if (86_400_000_000 % iv) else 0
     binned = (wide.withColumn("_bin", _bin_start(ts, iv, origin_us))
                   .groupBy(*key, "_bin").agg(*[F.avg(F.col(f"`{n}`")).alias(n) for n in names]))
-    bounds = binned.groupBy(*key).agg(F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi"))
-    spine = bounds.select(*key, F.explode(F.sequence(
-        F.col("_lo"), F.col("_hi"), F.make_dt_interval(secs=F.lit(iv / 1e6)))).alias("_bin"))
-    return (spine.join(binned, [*key, "_bin"], "left")
-                 .withColumnRenamed("_bin", out_ts))
+    return _with_spine(binned, key, names, iv, out_ts)
+
+
+def _with_spine(binned: DataFrame, key: list[str], names: list[str], iv: int, out_ts: str) -> DataFrame:
+    # spine without a join: every present bin also emits the empty bins up to
+    # the next present bin of its key (``lead`` over the key's bins)
+    step = F.make_dt_interval(secs=F.lit(iv / 1e6))
+    binned = binned.withColumn("_nxt", F.lead("_bin").over(Window.partitionBy(*key).orderBy("_bin")))
+    nxt = F.col("_nxt")
+    gaps = F.when(nxt > F.col("_bin") + step, F.sequence(F.col("_bin") + step, nxt - step, step))
+    rows = F.concat(F.array(F.struct(F.col("_bin").alias("b"), F.lit(True).alias("o"))),
+                    F.transform(F.coalesce(gaps, F.array().cast("array<timestamp_ntz>")),
+                                lambda g: F.struct(g.alias("b"), F.lit(False).alias("o"))))
+    out = binned.select(*key, *[F.col(f"`{n}`") for n in names], F.explode(rows).alias("_r"))
+    return out.select(*key, F.col("_r.b").alias(out_ts),
+                      *[F.when(F.col("_r.o"), F.col(f"`{n}`")).alias(n) for n in names])
 
 
 def gap_fill_linear(series: DataFrame, key: list[str], ts: str, names: list[str]) -> DataFrame:
@@ -92,7 +126,8 @@ def regular_series(long: DataFrame, key: list[str], ts: str, name_col: str, valu
                    names: list[str], interval: str | None, fill: bool = True,
                    origin_us: int | str = "start_day") -> DataFrame:
     """A1 -> A2 -> W6 in one lazy plan."""
-    wide = pivot_mean(long, key, ts, name_col, value_col, names)
     if interval:
-        wide = resample_mean(wide, key, ts, names, interval, origin_us, out_ts=ts)
+        wide = pivot_resample_mean(long, key, ts, name_col, value_col, names, interval, origin_us, out_ts=ts)
+    else:
+        wide = pivot_mean(long, key, ts, name_col, value_col, names)
     return gap_fill_linear(wide, key, ts, names) if fill else wide
