@@ -45,8 +45,9 @@ class ReadingStore:
 
     # ---- S5 / S6 / W10 / P1
     def device_data(self, device_id: str, count: int = 100, sensors: list[str] | None = None) -> DataFrame:
-        """Newest ``count`` readings of one device (bucket-pruned), oldest first,
-        sensors flattened to columns when ``sensors`` is given."""
+        """Newest ``count`` readings of one device (bucket-pruned), oldest first
+        (O1: the only sort is at the output), sensors flattened to columns when
+        ``sensors`` is given."""
         d = last_n_per_device(self._device(device_id), count, "device_id", ["ts"])
         d = d.drop("bucket", "day").orderBy("ts")
         if sensors:
