@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gearsight.config import DEFAULT, PRIORITIES, Thresholds
-from gearsight.functions.numeric import rnd
+from gearsight.functions.numeric import rnd, round_half_even_sql
 from gearsight.functions.sensors import sensor_fault
 from gearsight.operators.cooldown import DAY_US, greedy_cooldown
 from gearsight.operators.latest import latest_per_device
@@ -33,25 +33,32 @@ class Rule:
     priority: str
     condition: str          # Spark SQL predicate over the reading columns
     message: str            # format_string template; args below
-    message_args: tuple[str, ...]
+    message_args: tuple[str, ...]  # Spark SQL expressions, one per %-field
     cooldown_minutes: int
 
 
+def _fmt(col: str, decimals: int) -> str:
+    """A number for a ``%.Nf`` field, rounded first like Python's formatting
+    (binary value, half-even); Java's formatter would round the decimal text
+    half-up. F20."""
+    return round_half_even_sql(f"`{col}`", decimals)
+
+
 def default_rules(t: Thresholds = DEFAULT.thresholds) -> list[Rule]:
     """L1: the four default rules; a missing health is 100, a missing anomaly 0."""
     return [
         Rule("health_low", "health_low", "medium",
              f"coalesce(health_score, 100D) < {t.health_alert}",
-             "Device %s health is %.1f%%, below the threshold.", ("device_id", "health_score"),
+             "Device %s health is %.1f%%, below the threshold.", ("device_id", _fmt("health_score", 1)),
              t.cooldown_minutes),
         Rule("health_critical", "health_low", "critical",
              f"coalesce(health_score, 100D) < {t.health_critical_alert}",
-             "Device %s health is critical (%.1f%%); inspect it now.", ("device_id", "health_score"),
+             "Device %s health is critical (%.1f%%); inspect it now.", ("device_id", _fmt("health_score", 1)),
              t.critical_cooldown_minutes),
         Rule("anomaly_high", "anomaly_high", "high",
              f"coalesce(anomaly_score, 0D) > {t.anomaly_alert}",
-             "Device %s shows an anomaly pattern (anomaly score: %.3f).", ("device_id", "anomaly_score"),
-             t.cooldown_minutes),
+             "Device %s shows an anomaly pattern (anomaly score: %.3f).",
+             ("device_id", _fmt("anomaly_score", 3)), t.cooldown_minutes),
         Rule("sensor_fault", "sensor_fault", "high", "sensor_fault",
              "Device %s reports a sensor fault.", ("device_id",), t.cooldown_minutes),
     ]
@@ -84,7 +91,7 @@ def rule_matches(readings: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row per (reading, matching rule), with the rule's attributes."""
     entries = []
     for i, r in enumerate(rules):
-        msg = F.format_string(r.message, *[F.col(a) for a in r.message_args])
+        msg = F.format_string(r.message, *[F.expr(a) for a in r.message_args])
         entries.append(F.when(F.expr(r.condition), F.struct(
             F.lit(i).alias("rule_order"), F.lit(r.name).alias("rule"),
             F.lit(r.alert_type).alias("alert_type"), F.lit(r.priority).alias("priority"),
@@ -228,7 +235,7 @@ def device_banner(latest: DataFrame) -> DataFrame:
     bad = latest.where(F.col("status").isin("critical", "warning"))
     return bad.select("device_id", "status", F.format_string(
         "Device %s is %s (health %.1f%%)", F.col("device_id"), F.col("status"),
-        rnd(F.col("health_score"), 1)).alias("message"))
+        F.expr(_fmt("health_score", 1))).alias("message"))
 
 
 def threshold_alerts(readings: DataFrame, t: Thresholds = DEFAULT.thresholds) -> DataFrame:
@@ -271,9 +278,13 @@ def _matches_sql(rules: list[Rule]) -> str:
              "health_critical": "coalesce(health_score, 100) < 30",
              "anomaly_high": "coalesce(anomaly_score, 0) > 0.7",
              "sensor_fault": f"coalesce({fault}, false)"}
+    def msg(r: Rule) -> str:
+        args = ", ".join(a.replace("`", "") for a in r.message_args)
+        return f"printf('{r.message}', {args})"
     parts = [f"select {i} as rule_order, '{r.name}' as rule, '{r.alert_type}' as alert_type, "
              f"'{r.priority}' as priority, {r.cooldown_minutes * 60_000_000} as cd_us, "
-             f"device_id, ts, event_id, health_score, anomaly_score from sc where {conds[r.name]}"
+             f"device_id, ts, event_id, health_score, anomaly_score, {msg(r)} as message "
+             f"from sc where {conds[r.name]}"
              for i, r in enumerate(rules)]
     return " union all ".join(parts)
 
@@ -299,12 +310,12 @@ hist as (select concat_ws('_', mm.device_id, mm.alert_type, cast(floor(epoch_us(
 
 
 def _hist_cols_sql() -> str:
-    return ("alert_id, rule, device_id, alert_type, priority, ts, event_id, "
+    return ("alert_id, rule, device_id, alert_type, priority, ts, event_id, message, "
             "round(health_score, 6) as health_score, round(anomaly_score, 6) as anomaly_score")
 
 
 def _hist_cols(h: DataFrame) -> DataFrame:
-    return h.select("alert_id", "rule", "device_id", "alert_type", "priority", "ts", "event_id",
+    return h.select("alert_id", "rule", "device_id", "alert_type", "priority", "ts", "event_id", "message",
                     rnd("health_score", 6).alias("health_score"),
                     rnd("anomaly_score", 6).alias("anomaly_score"))
 

@@ -136,3 +136,17 @@ def latest_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.select("device_id", "ts", "event_id",
                          rnd("health_score", 6).alias("health_score"),
                          rnd("anomaly_score", 6).alias("anomaly_score"), "status")
+
+
+# ---------------------------------------------------------------- F6 device policy
+@register("device_policy_scores", f"""
+select event_id, round(least(1e0, (100e0 - health_score) / 70e0), 6) as anomaly_device,
+  case when health_score > 70 then 'normal' when health_score > 30 then 'warning' else 'critical' end as status_device
+from ({scored_sql()}) s
+""", ids=("F6",))
+def device_policy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the simulator's status (> 70 / > 30) and anomaly ((100 - h) / 70) policy."""
+    from gearsight.functions.scoring import anomaly_device, status_device
+    s = scored_telemetry(spark, sf_dir)
+    return s.select("event_id", rnd(anomaly_device(F.col("health_score")), 6).alias("anomaly_device"),
+                    status_device(F.col("health_score")).alias("status_device"))
