@@ -301,3 +301,30 @@ def robot_training_set(features: DataFrame, key: list[str] | None = None, ts: st
     df = df.select(*key, ts, *feats, "maintenance_needed")
     return ffill_then_zero(df.withColumn("_tb", F.monotonically_increasing_id()), key, [ts, "_tb"], feats) \
         .drop("_tb")
+
+
+# ---------------------------------------------------------------- XML round trip
+@register("robot_features_xml", _robot_sql("6h"), ids=("S1", "S2", "S3", "P4", "J1", "M1"))
+def robot_features_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 from tag-history XML: the events-derived tag history is written by
+    Spark as XML (one folder per device, in the shared checkpoint folder),
+    then read back through the XML scan, cleaned with the full 29-tag map
+    and run through the same pipeline as ``robot_features``."""
+    import uuid
+    from gearsight.config import ROBOT_TAG_MAP
+    from gearsight.session import checkpoint_dir
+    from gearsight.sources.xml import write_tag_history
+    tag_of = {v: k for k, v in ROBOT_TAG_MAP.items()}
+    robot_tag = F.create_map(*[x for ev, sensor in EVENT_TAG_MAP.items()
+                               for x in (F.lit(ev), F.lit(tag_of[sensor]))])
+    long = tag_long(spark, sf_dir)
+    rec = long.select("device_id", robot_tag[F.col("tag")].alias("TagName"),
+                      F.col("status").cast("string").alias("Status"),
+                      F.col("tag_value").cast("string").alias("TagValue"),
+                      F.col("ts").cast("string").alias("TimeStamp"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tag_history_xml/{uuid.uuid4().hex[:12]}"
+    write_tag_history(rec, path, partition="device_id")
+    recs = read_tag_history(spark, path, partitions="device_id")
+    clean = clean_tag_history(recs, tag_map_frame(spark))
+    f = robot_from_long(clean, ["device_id"], ROBOT_SENSORS, "6h")
+    return f.select("device_id", "ts", *[rnd(c, 6).alias(c) for c in ROBOT_OUT], "status")

@@ -42,13 +42,16 @@ def newest_file(spark: SparkSession, pattern: str) -> str | None:
     return r[0].path if r else None
 
 
-def read_tag_history(spark: SparkSession, paths: str | list[str], row_tag: str = "HistoricalTextData"
-                     ) -> DataFrame:
-    """S1 + S2 + S3: tag_name, status, tag_value, timestamp (string), file_source."""
+def read_tag_history(spark: SparkSession, paths: str | list[str], row_tag: str = "HistoricalTextData",
+                     partitions: str | None = None) -> DataFrame:
+    """S1 + S2 + S3: tag_name, status, tag_value, timestamp (string), file_source.
+
+    ``partitions`` names a partition column of a partitioned folder (e.g. a
+    device id) to keep."""
     raw = (spark.read.format("xml").option("rowTag", row_tag)
            .option("columnNameOfCorruptRecord", "_corrupt_record")
            .option("mode", "PERMISSIVE")
-           .schema(RAW_SCHEMA)
+           .schema(RAW_SCHEMA + (f", {partitions} string" if partitions else ""))
            .load(paths)
            .select("*", F.col("_metadata.file_path").alias("_path"),
                    F.col("_metadata.file_name").alias("file_source")))
@@ -64,7 +67,7 @@ def read_tag_history(spark: SparkSession, paths: str | list[str], row_tag: str =
         F.expr("try_cast(trim(TagValue) AS DOUBLE)"))
     rec = good.where(present).select(
         F.trim("TagName").alias("tag_name"), status.alias("status"), value.alias("tag_value"),
-        F.trim("TimeStamp").alias("timestamp"), "file_source")
+        F.trim("TimeStamp").alias("timestamp"), "file_source", *([partitions] if partitions else []))
     return rec.where(F.col("status").isNotNull() & F.col("tag_value").isNotNull())
 
 
@@ -111,3 +114,11 @@ def tag_pattern_groups(records: DataFrame, patterns: tuple[str, ...], tag: str =
     arr = F.array(*[F.lit(p) for p in patterns])
     return tags.select(F.explode(F.filter(arr, lambda p: F.lower(F.col(tag)).contains(p))).alias("pattern"),
                        tag)
+
+
+def write_tag_history(records: DataFrame, path: str, partition: str | None = None) -> None:
+    """Write (TagName, Status, TagValue, TimeStamp) rows as tag-history XML,
+    one ``HistoricalTextData`` element per row, in parallel part files."""
+    w = records.write.mode("overwrite").format("xml").option("rowTag", "HistoricalTextData") \
+        .option("rootTag", "root")
+    (w.partitionBy(partition) if partition else w).save(path)
