@@ -71,3 +71,30 @@ def anomaly_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_statistics_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("device_id", F.col("user_id"))
     return store_statistics(e, "ts", "device_id")
+
+
+@register("store_csv_roundtrip", f"""
+select device_id, ts, round(health_score, 6) as health_score, status,
+  {", ".join(f"round({c}, 6) as {c}" for c in SENSORS)}
+from (select *, row_number() over (partition by device_id order by ts desc) as rn
+      from ({scored_sql()}) s) x where rn <= {HISTORY_N}
+""", ids=("S7", "S10", "S4", "S5", "O5"))
+def store_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings appended to the partitioned store (S7), exported as CSV (S10),
+    read back by name (S4) and cut to the newest N per device (S5)."""
+    import uuid
+    from gearsight.functions.sensors import sensors_map
+    from gearsight.session import checkpoint_dir
+    from gearsight.sources.store import ReadingStore, read_csv_readings
+    base = f"{checkpoint_dir(spark).rstrip('/')}/store/{uuid.uuid4().hex[:12]}"
+    s = scored_telemetry(spark, sf_dir)
+    readings = s.select("device_id", "ts", F.lit(None).cast("double").alias("operating_hours"),
+                        "health_score", "anomaly_score", "status",
+                        sensors_map({c: c for c in SENSORS}).alias("sensors"))
+    store = ReadingStore(spark, f"{base}/parquet", buckets=16)
+    store.append(readings)
+    store.export_csv(f"{base}/csv", SENSORS)
+    back = read_csv_readings(spark, f"{base}/csv", SENSORS)
+    last = last_n_per_device(back, HISTORY_N, "device_id", ["ts"])
+    return last.select("device_id", "ts", rnd("health_score", 6).alias("health_score"), "status",
+                       *[rnd(F.col("sensors")[c], 6).alias(c) for c in SENSORS])
