@@ -102,24 +102,31 @@ def _with_spine(binned: DataFrame, key: list[str], names: list[str], iv: int, ou
 def gap_fill_linear(series: DataFrame, key: list[str], ts: str, names: list[str]) -> DataFrame:
     """Linear interpolation by row position, both ends extended.
 
-    Previous/next known (position, value) come from ``last``/``first``
-    ignoring nulls over the two unbounded frames of one window spec.
+    Previous known (position, value): ``last`` ignoring nulls over a running
+    frame in time order; next known: the same over a running frame in
+    reverse time order. Running frames are evaluated incrementally (linear
+    per device); an "unbounded following" frame would be re-aggregated for
+    every row (quadratic).
     """
     w = Window.partitionBy(*key).orderBy(ts)
     s = series.withColumn("_p", F.row_number().over(w).cast("double"))
     back = w.rowsBetween(Window.unboundedPreceding, 0)
-    fwd = w.rowsBetween(0, Window.unboundedFollowing)
-    cols = {}
-    for n in names:
+    back_rev = Window.partitionBy(*key).orderBy(F.col(ts).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    prevs, nexts = {}, {}
+    for i, n in enumerate(names):
         c = F.col(f"`{n}`")
         known = F.when(c.isNotNull(), F.struct(F.col("_p").alias("p"), c.alias("v")))
-        prev = F.last(known, ignorenulls=True).over(back)
-        nxt = F.first(known, ignorenulls=True).over(fwd)
+        prevs[f"_prev{i}"] = F.last(known, ignorenulls=True).over(back)
+        nexts[f"_next{i}"] = F.last(known, ignorenulls=True).over(back_rev)
+    s = s.withColumns(prevs).withColumns(nexts)
+    cols = {}
+    for i, n in enumerate(names):
+        c, prev, nxt = F.col(f"`{n}`"), F.col(f"_prev{i}"), F.col(f"_next{i}")
         interp = prev["v"] + (nxt["v"] - prev["v"]) * (F.col("_p") - prev["p"]) / (nxt["p"] - prev["p"])
         cols[n] = (F.when(c.isNotNull(), c)
                    .when(prev.isNotNull() & nxt.isNotNull(), interp)
                    .otherwise(F.coalesce(prev["v"], nxt["v"])))
-    return s.withColumns(cols).drop("_p")
+    return s.withColumns(cols).drop("_p", *prevs, *nexts)
 
 
 def regular_series(long: DataFrame, key: list[str], ts: str, name_col: str, value_col: str,
