@@ -19,6 +19,7 @@ from gearsight.functions.numeric import rnd
 from gearsight.functions.scoring import robot_anomaly, robot_health, robot_status
 from gearsight.functions.sensors import suggest_sensor_name
 from gearsight.operators.series import regular_series
+from gearsight.operators.wide_rolling import rolling_mean_std
 from gearsight.plans.registry import register
 from gearsight.sources.tables import TAG_LONG_SQL, tag_long
 from gearsight.sources.xml import (clean_tag_history, list_files, read_tag_history, tag_map_frame,
@@ -64,15 +65,10 @@ def robot_features(series: DataFrame, key: list[str], ts: str = "ts",
     if all(c in cols for c in xyz):
         new["cartesian_distance"] = rowwise.vector_norm_null_zero(xyz)   # Q9: named axes
     out = out.withColumns(new)
-    # List fixed before the loop; calendar parts excluded; one window spec
+    # List fixed before the loop; calendar parts excluded; every
+    # (column, window) pair in one vectorised pass per partition
     roll = numeric_columns(out, exclude=(*key, ts, *CALENDAR))
-    feats = {}
-    for n in windows:
-        fr = w.rowsBetween(-(n - 1), 0)
-        for c in roll:
-            feats[f"{c}_ma_{n}"] = F.avg(c).over(fr)
-            feats[f"{c}_std_{n}"] = F.coalesce(F.stddev_samp(c).over(fr), F.lit(0.0))
-    out = out.withColumns(feats)
+    out = rolling_mean_std(out, key, ts, roll, list(windows))
     z = F.lit(None).cast("double")
     rms = F.col("total_position_error") if err else z
     imb = F.col("torque_cmd_imbalance") if tq_cmd else z

@@ -54,3 +54,22 @@ def test_known_points_kept(spark):
     long = spark.createDataFrame(rows, "device_id string, ts timestamp_ntz, tag string, v double")
     got = regular_series(long, ["device_id"], "ts", "tag", "v", ["a"], "10s").orderBy("ts").collect()
     assert [r.a for r in got] == [0.0, 10.0, 20.0, 30.0, 40.0]
+
+
+def test_wide_rolling_matches_pandas(spark):
+    from gearsight.operators.wide_rolling import rolling_mean_std
+    rng = random.Random(5)
+    rows = [(f"D{d}", i, rng.random() * 100 if rng.random() > 0.3 else None,
+             rng.random() if rng.random() > 0.1 else None)
+            for d in range(6) for i in range(rng.randint(1, 45))]
+    df = spark.createDataFrame(rows, "k string, t int, x double, y double")
+    got = rolling_mean_std(df, ["k"], "t", ["x", "y"], [5, 10, 20]).toPandas().sort_values(["k", "t"])
+    pdf = pd.DataFrame(rows, columns=["k", "t", "x", "y"]).sort_values(["k", "t"])
+    for c in ("x", "y"):
+        for n in (5, 10, 20):
+            r = pdf.groupby("k")[c].rolling(n, min_periods=1)
+            ma = r.mean().reset_index(level=0, drop=True).sort_index()
+            sd = r.std().reset_index(level=0, drop=True).fillna(0).sort_index()
+            g = got.set_index(pdf.index)
+            assert np.allclose(g[f"{c}_ma_{n}"].astype(float), ma.loc[pdf.index], equal_nan=True)
+            assert np.allclose(g[f"{c}_std_{n}"].astype(float), sd.loc[pdf.index])
