@@ -97,7 +97,7 @@ def robot_from_xml(spark: SparkSession, pattern: str, interval: str | None = "5s
     return robot_from_long(clean, ["device_id"], sensors, interval)
 
 
-def pipeline_summary(features: DataFrame) -> DataFrame:
+def robot_summary(features: DataFrame) -> DataFrame:
     """A10 + A11 + A13 over the feature frame as (metric, key, value)."""
     span = features.agg(
         F.min("ts").cast("string").alias("first"), F.max("ts").cast("string").alias("last"),

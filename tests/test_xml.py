@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from gearsight.plans.robot import pipeline_summary, robot_from_xml
+from gearsight.plans.robot import robot_summary, robot_from_xml
 from gearsight.sources.xml import (clean_tag_history, list_files, newest_file, read_tag_history,
                                    tag_map_frame, unmapped_tags)
 
@@ -82,7 +82,7 @@ def test_robot_pipeline_end_to_end(spark):
     assert rows[1].joint1_pos_error == 1.0                         # linear fill between 0.5 and 1.5
     assert rows[0].total_torque_cmd == 4.0
     assert rows[0].health_score <= 100 and rows[0].status in ("normal", "warning", "critical")
-    s = {(r.metric, r.key) for r in pipeline_summary(f).collect()}
+    s = {(r.metric, r.key) for r in robot_summary(f).collect()}
     assert ("summary", "rows") in s
 
 
