@@ -163,15 +163,11 @@ CORR_COLS = list(TELEMETRY_SENSORS.values()) + ["health_score", "anomaly_score"]
 def correlation_long(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson r for every ordered pair (pairwise-complete rows), one aggregate."""
     pairs = list(combinations(cols, 2))
-    aggs = [F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
-    wide = df.agg(*aggs)
-    entries = []
-    for i, (a, b) in enumerate(pairs):
-        entries += [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{i}").alias("r")),
-                    F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), F.col(f"r{i}").alias("r"))]
-    entries += [F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), F.lit(1.0).alias("r"))
-                for c in cols]
-    return wide.select(F.inline(F.array(*entries)))
+    wide = df.selectExpr(*[f"corr(`{a}`, `{b}`) AS r{i}" for i, (a, b) in enumerate(pairs)])
+    rows = [f"'{a}', '{b}', r{i}, '{b}', '{a}', r{i}" for i, (a, b) in enumerate(pairs)]
+    rows += [f"'{c}', '{c}', 1.0D" for c in cols]
+    n = 2 * len(pairs) + len(cols)
+    return wide.selectExpr(f"stack({n}, {', '.join(rows)}) AS (col_a, col_b, r)")
 
 
 def _corr_sql(cols: list[str], src: str) -> str:
