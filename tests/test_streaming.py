@@ -55,3 +55,34 @@ def test_fan_out_isolates_failures(spark):
         seen.append(epoch)
     fan_out([bad, good])(spark.range(1), 7)
     assert seen == [7]
+
+
+def test_stream_buffers_and_latest_across_batches(spark):
+    import glob
+    import os
+    import shutil
+    from gearsight.operators.latest import last_n_per_device
+    from gearsight.plans.fleet import scored_telemetry
+    from gearsight.streaming.queries import last_change, latest_state_stream
+    from gearsight.streaming.stateful import stream_buffers
+    d, days = _split_by_day(spark)
+    src = tempfile.mkdtemp(prefix="gearsight-stream-src-", dir="/tmp")
+    for i in range(len(days)):
+        dst = os.path.join(src, f"events-{i:03d}.parquet")
+        shutil.copy(glob.glob(f"{d}/tmp{i:03d}/*.parquet")[0], dst)
+        os.utime(dst, (1_700_000_000 + i, 1_700_000_000 + i))
+    st = stream_buffers(scored_stream(event_stream(spark, src, max_files=3)), cap=5)
+    sink = run_available(st, spark, "buffers")
+    got = {r.device_id: (r.buffer_size, r.newest_us) for r in last_change(read_sink(spark, sink, st),
+                                                                          ["device_id"]).collect()}
+    s = scored_telemetry(spark, SF)
+    last5 = last_n_per_device(s, 5, "device_id", ["ts", "event_id"])
+    want = {r.device_id: (r.n, r.newest) for r in last5.groupBy("device_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("newest")).collect()}
+    assert got == want
+    lt = latest_state_stream(scored_stream(event_stream(spark, src, max_files=3)))
+    sink2 = run_available(lt, spark, "latest", "update")
+    got2 = {r.device_id: r.event_id for r in last_change(read_sink(spark, sink2, lt), ["device_id"]).collect()}
+    want2 = {r.device_id: r.event_id for r in s.groupBy("device_id").agg(
+        F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id")).collect()}
+    assert got2 == want2
