@@ -37,6 +37,9 @@ from gearsight.streaming.stateful import stream_buffers, stream_cooldown
 log = logging.getLogger(__name__)
 Handler = Callable[[DataFrame, int], None]
 
+# ST6 run state: name -> the last progress report of the last run of that stream
+LAST_PROGRESS: dict[str, dict] = {}
+
 
 def event_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
     """ST1: events as a file stream (schema from the table, no inference).
@@ -80,6 +83,7 @@ def run_available(stream: DataFrame, spark: SparkSession, name: str, output_mode
     q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))
+    LAST_PROGRESS[name] = q.lastProgress or {}
     return sink
 
 

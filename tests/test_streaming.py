@@ -43,6 +43,8 @@ def test_stream_cooldown_equals_batch_across_batches(spark):
     assert streamed == expect and len(expect) > 0
     n_batches = spark.read.parquet(sink).select("_batch").distinct().count()
     assert n_batches > 1
+    from gearsight.streaming.queries import LAST_PROGRESS
+    assert "numInputRows" in LAST_PROGRESS["parity"]
 
 
 def test_fan_out_isolates_failures(spark):
