@@ -193,10 +193,10 @@ def _sorted_shards(length: int):
         for batch in batches:
             cols = [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("shard", "h", "c", "cut", "raw")]
             for s, h, c, cut, raw in zip(*cols):
-                if s != shard and rows:
+                if (s, cut) != shard and rows:          # a content can be whole in several cuts: sort cuts apart
                     yield from finish(rows)
                     rows = []
-                shard = s
+                shard = (s, cut)
                 rows.append((h, c, cut, raw))
         if rows:
             yield from finish(rows)
@@ -258,7 +258,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
                        .mapInArrow(_cut_texts(length), "h long, c long, raw binary"))
     dealt, shards = _dealt(contents, length, anchor)
     dealt = written(dealt)
-    found = (dealt.repartition(shards, "shard").sortWithinPartitions("shard", "h", "c")
+    found = (dealt.repartition(shards, "shard").sortWithinPartitions("shard", "cut", "h", "c")
              .mapInArrow(_sorted_shards(length), "h long, c long, cut int, first array<int>, end array<int>"))
     shifts = dealt.select("h", "c", "cut", "shift")
     found = (found.join(shifts, ["h", "c", "cut"])
