@@ -41,23 +41,27 @@ def _us(c: str):
 
 
 def complete_groups(batches: Iterator[pd.DataFrame], cols: list[str]) -> Iterator[pd.DataFrame]:
-    """Re-cut a sorted partition's Arrow batches so no group spans two frames."""
-    carry = None
+    """Re-cut a sorted partition's Arrow batches so no group spans two frames.
+    The open group is kept as a list of frames and joined once, so a long group
+    costs its length."""
+    held: list[pd.DataFrame] = []
     for pdf in batches:
-        if carry is not None and len(carry):
-            pdf = pd.concat([carry, pdf], ignore_index=True)
         if pdf.empty:
             continue
-        tail = np.ones(len(pdf), dtype=bool)
+        last = np.ones(len(pdf), dtype=bool)
         for c in cols:
             v = pdf[c].to_numpy()
-            tail &= v == v[-1]
-        cut = len(pdf) - int(np.argmin(tail[::-1])) if not tail.all() else 0
-        if cut:
+            last &= v == v[-1]
+        cut = len(pdf) - int(np.argmin(last[::-1])) if not last.all() else 0
+        if held and (cut or any(held[-1][c].iloc[-1] != pdf[c].iloc[0] for c in cols)):
+            # the held group ends in this frame, or before it
+            yield pd.concat([*held, pdf.iloc[:cut]], ignore_index=True)
+            held = []
+        elif cut:
             yield pdf.iloc[:cut].reset_index(drop=True)
-        carry = pdf.iloc[cut:]
-    if carry is not None and len(carry):
-        yield carry.reset_index(drop=True)
+        held.append(pdf.iloc[cut:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def _chains(pdf: pd.DataFrame, chunk_us: int):

@@ -6,8 +6,10 @@ Here rows get an exact per-device position first, then the series is cut
 into fixed-size blocks of positions; each block is its own window partition
 and carries copies of the few neighbour rows its frames need (the halo).
 
-positions:  rows -> (key, slice) counts -> per-key running offsets over the
-            small count table -> row_number inside (key, slice) + offset.
+positions:  per key, quantiles of the leading order column cut the rows into
+            slices of like size; (key, slice) counts -> running offsets over
+            the small count table -> row_number inside (key, slice) + offset.
+            Rows without an order value are a slice of their own (the first).
 blocks:     block = pos // block_rows; a row also goes to the next block
             when it lies in the last ``lookback`` positions (and to the
             previous block for ``lookahead``); copies are dropped after.
@@ -15,12 +17,14 @@ carry:      unbounded "last non-null" (forward fill) is done per block and
             the carry-in comes from a window over the per-block summary.
 
 Every step is an aggregate, an equi-join or a window over bounded
-partitions; nothing is collected.
+partitions; nothing is collected and no job runs while the plan is built.
 
-:func:`ordered_window` decides per key: one aggregate counts rows per key;
-keys above ``block_rows`` rows ("hot") take the blocked path, all others a
-plain ``partitionBy(key)`` window (one shuffle). The hot-key list is at
-most rows / block_rows long, so its size is known before it is broadcast.
+:func:`ordered_window` splits by key inside the plan: keys of more than
+``block_rows`` rows take the blocked path, all others a plain window (one
+shuffle). Both give the same rows. Where no key is that large, the adaptive
+planner finds the large-key table empty and drops the blocked branch.
+
+Keys are compared as one struct, so null keys match each other everywhere.
 """
 
 from __future__ import annotations
@@ -29,26 +33,47 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_BLOCK_ROWS = 1 << 20
-BROADCAST_KEYS_MAX = 100_000
-
-
-def default_slice(order_col: str) -> Column:
-    """Order-preserving bucket of the leading order column (minute): the unit
-    a hot key's rows are numbered in; the count table is keys x minutes."""
-    return F.date_trunc("minute", F.col(order_col))
+SLICES = 128        # quantile slices that one key's rows are numbered in
+_KEY = "_key"
+
+
+def _ordinal(df: DataFrame, column: str) -> Column:
+    """A number that rises with an order column; null where it is null."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(column).cast("timestamp"))
+    if isinstance(kind, T.DateType):
+        return F.unix_date(F.col(column))
+    if isinstance(kind, T.NumericType):
+        return F.col(column)
+    return F.when(F.col(column).isNotNull(), F.lit(0))
+
+
+def quantile_slices(df: DataFrame, key: list[str], order_col: str) -> DataFrame:
+    """``df`` with ``_slice``: non-decreasing in ``order_col`` within a key, -1 for
+    null; each slice holds about 1/``SLICES`` of the key's rows (equal values
+    are never parted). The quantiles come from a mergeable sketch."""
+    d = df.withColumn("_ord", _ordinal(df, order_col))
+    cuts = [i / SLICES for i in range(1, SLICES)]
+    bounds = d.groupBy(*key).agg(F.array_distinct(F.percentile_approx("_ord", cuts, 10_000)).alias("_bounds"))
+    inside = F.size(F.filter("_bounds", lambda b: b < F.col("_ord")))
+    return (d.join(bounds, key, "inner")
+             .withColumn("_slice", F.when(F.col("_ord").isNull(), F.lit(-1)).otherwise(inside))
+             .drop("_ord", "_bounds"))
 
 
 def with_positions(df: DataFrame, key: list[str], order: list[str],
                    slice_expr: Column | None = None, pos_col: str = "_pos") -> DataFrame:
     """Add ``pos_col``: 0-based rank of each row within its key by ``order``.
 
-    ``order`` must be unique within a key (add a tiebreak id) and
-    ``slice_expr`` must be non-decreasing in ``order``.
+    ``order`` must be unique within a key (add a tiebreak id). ``slice_expr``
+    replaces the quantile slices; it must be non-null and non-decreasing in
+    ``order``. Key columns must not be null (pass a struct of them).
     """
-    slice_expr = slice_expr if slice_expr is not None else default_slice(order[0])
-    d = df.withColumn("_slice", slice_expr)
+    d = df.withColumn("_slice", slice_expr) if slice_expr is not None else quantile_slices(df, key, order[0])
     counts = d.groupBy(*key, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(*key, "_slice", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
@@ -105,15 +130,9 @@ def forward_fill(df: DataFrame, key: list[str], cols: list[str], block_rows: int
     return d.withColumns(filled).drop("_blk", *[f"_carry_{i}" for i in range(len(cols))])
 
 
-def _hot_keys(df: DataFrame, key: list[str], block_rows: int) -> tuple[DataFrame, int]:
-    hot = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows).select(*key)
-    return hot, hot.count()
-
-
 def ordered_window(df: DataFrame, key: list[str], order: list[str],
                    build: Callable[[WindowSpec], dict[str, Column]], lookback: int, lookahead: int = 0,
-                   ffill: list[str] | None = None, block_rows: int = DEFAULT_BLOCK_ROWS,
-                   slice_expr: Column | None = None) -> DataFrame:
+                   ffill: list[str] | None = None, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Window columns over rows ordered by ``order`` within ``key``.
 
     ``build(w)`` gets a window ordered within the key (by ``order``, or by the
@@ -121,14 +140,16 @@ def ordered_window(df: DataFrame, key: list[str], order: list[str],
     {name: column}; frames must stay within
     ``lookback`` rows back and ``lookahead`` rows ahead. ``ffill`` columns get
     a forward-filled twin ``<c>__ff`` (unbounded reach) before ``build``.
-    Hot keys are split into blocks; the rest use one plain window.
+    Every input row comes out once, also with null keys or order values
+    (nulls order first), whatever ``block_rows`` is.
     """
     ffill = ffill or []
-    hot, n_hot = _hot_keys(df, key, block_rows)
+    df = df.withColumn(_KEY, F.struct(*key))
+    large = (df.groupBy(_KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows).select(_KEY))
 
     def plain(part: DataFrame) -> DataFrame:
         # one spec for the position and the features: one shuffle, one sort
-        w = Window.partitionBy(*key).orderBy(*order)
+        w = Window.partitionBy(_KEY).orderBy(*order)
         p = part.withColumn("_pos", F.row_number().over(w) - 1)
         if ffill:
             fr = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -136,12 +157,10 @@ def ordered_window(df: DataFrame, key: list[str], order: list[str],
         return p.withColumns(build(w))
 
     def blocked(part: DataFrame) -> DataFrame:
-        p = with_positions(part, key, order, slice_expr)
+        p = with_positions(part, [_KEY], order)
         if ffill:
-            p = forward_fill(p, key, ffill, block_rows, suffix="__ff")
-        return blocked_window(p, key, build, lookback, lookahead, block_rows)
+            p = forward_fill(p, [_KEY], ffill, block_rows, suffix="__ff")
+        return blocked_window(p, [_KEY], build, lookback, lookahead, block_rows)
 
-    if n_hot == 0:
-        return plain(df)
-    hk = F.broadcast(hot) if n_hot <= BROADCAST_KEYS_MAX else hot
-    return plain(df.join(hk, key, "left_anti")).unionByName(blocked(df.join(hk, key, "left_semi")))
+    return (plain(df.join(large, _KEY, "left_anti"))
+            .unionByName(blocked(df.join(large, _KEY, "left_semi"))).drop(_KEY))

@@ -47,8 +47,7 @@ def rolling_features(df: DataFrame, key: list[str], order: list[str], cols: list
                      windows: list[int] = (5, 15, 30),
                      stats: tuple[str, ...] = ("mean", "std", "min", "max"),
                      with_diff: bool = True, with_pct: bool = True,
-                     block_rows: int = DEFAULT_BLOCK_ROWS, slice_expr: Column | None = None
-                     ) -> DataFrame:
+                     block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """W1 + W2 per key, ordered by ``order`` (unique within a key)."""
     windows = list(windows)
 
@@ -64,7 +63,7 @@ def rolling_features(df: DataFrame, key: list[str], order: list[str], cols: list
         return out
 
     out = ordered_window(df, key, order, build, lookback=max(windows + [2]) - 1,
-                         ffill=cols if with_pct else None, block_rows=block_rows, slice_expr=slice_expr)
+                         ffill=cols if with_pct else None, block_rows=block_rows)
     drop = ["_pos"] + ([f"{c}__ff" for c in cols] if with_pct else [])
     return out.drop(*drop)
 

@@ -146,7 +146,7 @@ LI_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber"]
 def lineitem_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", *LI_ORDER, *LI_COLS)
     r = rolling_features(li, ["l_suppkey"], LI_ORDER, LI_COLS, [5, 15, 30], stats=("mean", "std"),
-                         with_pct=False, slice_expr=F.date_trunc("month", F.col("l_shipdate")))
+                         with_pct=False)
     return _round_all(r.drop("l_suppkey", "l_shipdate", *LI_COLS), ["l_orderkey", "l_linenumber"])
 
 

@@ -27,8 +27,7 @@ def _frame(spark, n_dev=3, n=37, seed=7):
 def test_sequences_match_loop_and_block_halo(spark, block_rows):
     df, rows = _frame(spark)
     L, H = 5, 2
-    got = sequence_samples(df, ["device_id"], ["ts", "id"], ["a", "b"], "y", L, H, block_rows=block_rows,
-                           slice_expr=F.date_trunc("minute", "ts")).collect()
+    got = sequence_samples(df, ["device_id"], ["ts", "id"], ["a", "b"], "y", L, H, block_rows=block_rows).collect()
     got = {(r.device_id, r.id): (r.seq, r.label) for r in got}
     pdf = pd.DataFrame(rows, columns=["device_id", "t", "id", "a", "b", "y"]).sort_values(["device_id", "t", "id"])
     want = {}
@@ -58,8 +57,7 @@ def test_rolling_matches_pandas_across_blocks(spark, block_rows):
     pdf.loc[pdf.index[::5], "a"] = np.nan
     sdf = spark.createDataFrame(pdf.astype({"a": "float64"}).replace({np.nan: None})) \
         .withColumn("ts", F.timestamp_seconds("t").cast("timestamp_ntz"))
-    got = rolling_features(sdf, ["device_id"], ["ts", "id"], ["a"], [3, 5], block_rows=block_rows,
-                           slice_expr=F.date_trunc("minute", "ts")).toPandas().set_index("id").sort_index()
+    got = rolling_features(sdf, ["device_id"], ["ts", "id"], ["a"], [3, 5], block_rows=block_rows).toPandas().set_index("id").sort_index()
     for d, g in pdf.groupby("device_id"):
         s = g.set_index("id")["a"]
         for w in (3, 5):
@@ -70,3 +68,35 @@ def test_rolling_matches_pandas_across_blocks(spark, block_rows):
         assert np.allclose(got.loc[s.index, "a_diff"].astype(float), s.diff().fillna(0))
         pct = s.ffill().pct_change(fill_method=None).fillna(0)
         assert np.allclose(got.loc[s.index, "a_pct_change"].astype(float), pct)
+
+
+@pytest.mark.parametrize("block_rows", [6, 40, 10**6])
+def test_null_times_and_keys_keep_every_row(spark, block_rows):
+    """Null order values and null keys: the same rows whatever the block size."""
+    rng = random.Random(11)
+    rows = [(rng.choice(["A", "B", None]), rng.choice([None, *range(40)]), i, rng.choice([None, rng.random()]))
+            for i in range(150)]
+    sdf = spark.createDataFrame(rows, "device_id string, t long, id long, a double") \
+        .withColumn("ts", F.timestamp_seconds("t").cast("timestamp_ntz"))
+    got = {r.id: (r.a_ma_3, r.a_diff, r.a_pct_change) for r in rolling_features(
+        sdf, ["device_id"], ["ts", "id"], ["a"], [3], stats=("mean",), block_rows=block_rows).collect()}
+    assert len(got) == 150
+    pdf = pd.DataFrame(rows, columns=["device_id", "t", "id", "a"]).sort_values(
+        ["t", "id"], na_position="first").astype({"a": float})
+    for _, g in pdf.groupby("device_id", dropna=False):
+        s = g.set_index("id")["a"]
+        mean = s.rolling(3, min_periods=1).mean()
+        for i in s.index:
+            assert got[i][0] == pytest.approx(mean[i]) if not np.isnan(mean[i]) else got[i][0] is None
+            assert got[i][1] == pytest.approx(s.diff().fillna(0)[i])
+
+
+def test_no_job_while_planning(spark):
+    df, _ = _frame(spark)
+    tracker, group = spark.sparkContext.statusTracker(), "plan-only"
+    spark.sparkContext.setJobGroup(group, "planning runs no job")
+    try:
+        rolling_features(df, ["device_id"], ["ts", "id"], ["a"], [3], block_rows=6)
+        assert not tracker.getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
