@@ -7,11 +7,12 @@ registered query runs its stream with ``availableNow`` to completion, with
 checkpoint and sink in a fresh folder under ``spark.checkpoint.dir``, and
 returns the sink read back as a batch DataFrame.
 
-Sinks: every stream writes through ``foreachBatch`` (ST7): one call per
-micro-batch fans the batch out to a list of handlers; a failing handler is
-logged and the others still run. Stateful aggregates in update mode write
-a changelog (rows tagged with the batch id); readers take the last change
-per key.
+Sinks: every stream writes through ``foreachBatch`` (ST7). The sink comes
+first: it overwrites the folder of its batch id, so a batch that runs again
+after a crash replaces its rows, and a failure there stops the query before
+the batch is committed. Then the batch goes to the other handlers; one that
+fails is logged and the rest still run. Stateful aggregates in update mode
+write a changelog (one folder per batch); readers take the last change per key.
 """
 
 from __future__ import annotations
@@ -20,14 +21,16 @@ import logging
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gearsight.functions.numeric import rnd
 from gearsight.functions.scoring import score
 from gearsight.functions.sensors import sensor_fault
 from gearsight.plans.alerts import _hist_cols, _hist_cols_sql, default_rules, fired_sql, rule_matches, \
-    alert_id, threshold_alerts
+    alert_id, threshold_alerts, THRESHOLD_SQL
 from gearsight.plans.fleet import LATEST_READINGS_SQL, scored_sql
 from gearsight.plans.registry import register
 from gearsight.session import checkpoint_dir
@@ -42,11 +45,28 @@ LAST_PROGRESS: dict[str, dict] = {}
 
 
 def event_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
-    """ST1: events as a file stream (schema from the table, no inference).
-    The stream source watches a folder; the glob filter picks the table's files."""
-    schema = spark.read.option("pathGlobFilter", "events*.parquet").parquet(sf_dir.rstrip("/")).schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .option("pathGlobFilter", "events*.parquet").parquet(sf_dir.rstrip("/")))
+    """ST1: events as a file stream (schema from the table, no inference). The
+    table may be one file or a folder of part files."""
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    # as a pattern, the path may name a file; a plain path must be a folder
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{path}*")
+
+
+JSON_TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def to_messages(readings: DataFrame) -> DataFrame:
+    """Readings as messages (key = device, value = JSON of the reading,
+    timestamp = event time), the shape of a message log."""
+    return readings.select(F.col("device_id").alias("key"), F.to_json(F.struct(*readings.columns), JSON_TIMES).alias("value"),
+                           F.col("ts").cast("timestamp").alias("timestamp"))
+
+
+def from_messages(messages: DataFrame, schema) -> DataFrame:
+    """Readings of a message stream; values that are not such JSON are dropped."""
+    return messages.select(F.from_json("value", schema, JSON_TIMES).alias("r"), "key").where("key is not null").select("r.*").where(
+        "device_id is not null")
 
 
 def scored_stream(events: DataFrame) -> DataFrame:
@@ -64,35 +84,43 @@ def fan_out(handlers: list[Handler]) -> Handler:
     return run
 
 
-def parquet_appender(path: str) -> Handler:
+def parquet_sink(path: str) -> Handler:
+    """Writes a batch to its own folder, replacing what an earlier try left."""
     def h(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("_batch", F.lit(epoch)).write.mode("append").parquet(path)
-    h.__name__ = f"append:{path}"
+        batch.write.mode("overwrite").parquet(f"{path}/_batch={epoch}")
     return h
 
 
 def run_available(stream: DataFrame, spark: SparkSession, name: str, output_mode: str = "append",
-                  extra: list[Handler] | None = None) -> str:
-    """Run a stream over everything available now; return its sink folder."""
+                  extra: list[Handler] | None = None, sink: Callable[[str], Handler] = parquet_sink) -> str:
+    """Run a stream over everything available now; return its sink folder.
+    Raises if the sink fails."""
     base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
-    sink = f"{base}/sink"
+    path = f"{base}/sink"
+    write, others = sink(path), fan_out(extra or [])
+
+    def batch_done(batch: DataFrame, epoch: int) -> None:
+        write(batch, epoch)
+        others(batch, epoch)
     q = (stream.writeStream.outputMode(output_mode)
          .option("checkpointLocation", f"{base}/checkpoint")
-         .foreachBatch(fan_out([parquet_appender(sink), *(extra or [])]))
-         .trigger(availableNow=True).start())
+         .foreachBatch(batch_done).trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))
     LAST_PROGRESS[name] = q.lastProgress or {}
-    return sink
+    return path
 
 
 def read_sink(spark: SparkSession, sink: str, schema_of: DataFrame) -> DataFrame:
-    """The sink as a batch frame (empty with the stream's schema if no batch wrote)."""
+    """The sink as a batch frame (empty with the stream's schema if no batch came)."""
+    schema = T.StructType([*schema_of.schema.fields, T.StructField("_batch", T.LongType())])
     try:
-        return spark.read.parquet(sink)
-    except Exception:  # noqa: BLE001 - no file written yet
-        return spark.createDataFrame([], schema_of.schema.add("_batch", "long"))
+        return spark.read.schema(schema).parquet(sink)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def last_change(changes: DataFrame, key: list[str]) -> DataFrame:
@@ -102,12 +130,12 @@ def last_change(changes: DataFrame, key: list[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- ST2
-def latest_state_stream(scored: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """ST2: latest reading per device by event time, update mode."""
-    s = scored.withColumn("_evt", F.col("ts").cast("timestamp")).withWatermark("_evt", watermark)
+def latest_state_stream(scored: DataFrame) -> DataFrame:
+    """ST2: latest reading per device by event time, update mode. The state is
+    one row per device and stays: a device's last reading never expires."""
     payload = F.struct("ts", "event_id", "health_score", "anomaly_score", "status")
-    return s.groupBy("device_id").agg(F.max_by(payload, F.struct("ts", "event_id")).alias("_r")) \
-            .select("device_id", "_r.*")
+    return scored.groupBy("device_id").agg(F.max_by(payload, F.struct("ts", "event_id")).alias("_r")) \
+                 .select("device_id", "_r.*")
 
 
 @register("stream_latest_state", LATEST_READINGS_SQL, ids=("ST1", "ST2", "ST7", "S14", "S15"))
@@ -120,19 +148,18 @@ def stream_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- ST3
-@register("stream_threshold_alerts", f"""
-select event_id, device_id, ts,
-  case when coalesce(anomaly_score, 0) > 0.7 then 'anomaly_threshold' else 'health_critical' end as alert_type,
-  case when coalesce(anomaly_score, 0) > 0.7 then (case when anomaly_score > 0.9 then 'high' else 'medium' end)
-       else 'critical' end as priority
-from ({scored_sql()}) s
-where coalesce(anomaly_score, 0) > 0.7 or coalesce(health_score, 100) < 30
-""", ids=("ST3",))
+THRESHOLD_COLS = ["event_id", "device_id", "ts", "alert_type", "priority", "message"]
+
+
+@register("stream_threshold_alerts", THRESHOLD_SQL, ids=("ST3", "S14"))
 def stream_threshold_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    st = threshold_alerts(scored_stream(event_stream(spark, sf_dir))).select(
-        "event_id", "device_id", "ts", "alert_type", "priority")
+    """Readings travel as messages; the alerts carry message and scores."""
+    scored = scored_stream(event_stream(spark, sf_dir))
+    st = threshold_alerts(from_messages(to_messages(scored), scored.schema)).select(
+        *THRESHOLD_COLS, "health_score", "anomaly_score")
     sink = run_available(st, spark, "threshold_alerts")
-    return read_sink(spark, sink, st).drop("_batch")
+    return read_sink(spark, sink, st).select(*THRESHOLD_COLS, rnd("health_score", 6).alias("health_score"),
+                                             rnd("anomaly_score", 6).alias("anomaly_score"))
 
 
 # ---------------------------------------------------------------- ST4

@@ -30,7 +30,8 @@ def test_stream_cooldown_equals_batch_across_batches(spark):
     src = tempfile.mkdtemp(prefix="gearsight-stream-src-", dir="/tmp")
     for i in range(len(days)):
         part = glob.glob(f"{d}/tmp{i:03d}/*.parquet")[0]
-        dst = os.path.join(src, f"events-{i:03d}.parquet")
+        dst = os.path.join(src, "events.parquet", f"part-{i:03d}.parquet")
+        os.makedirs(os.path.dirname(dst), exist_ok=True)
         shutil.copy(part, dst)
         os.utime(dst, (1_700_000_000 + i, 1_700_000_000 + i))   # file source orders by mtime
     rules = with_cooldown(default_rules(), 24 * 60)     # day-scale: decisions span batches
@@ -70,7 +71,8 @@ def test_stream_buffers_and_latest_across_batches(spark):
     d, days = _split_by_day(spark)
     src = tempfile.mkdtemp(prefix="gearsight-stream-src-", dir="/tmp")
     for i in range(len(days)):
-        dst = os.path.join(src, f"events-{i:03d}.parquet")
+        dst = os.path.join(src, "events.parquet", f"part-{i:03d}.parquet")
+        os.makedirs(os.path.dirname(dst), exist_ok=True)
         shutil.copy(glob.glob(f"{d}/tmp{i:03d}/*.parquet")[0], dst)
         os.utime(dst, (1_700_000_000 + i, 1_700_000_000 + i))
     st = stream_buffers(scored_stream(event_stream(spark, src, max_files=3)), cap=5)
@@ -88,3 +90,36 @@ def test_stream_buffers_and_latest_across_batches(spark):
     want2 = {r.device_id: r.event_id for r in s.groupBy("device_id").agg(
         F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id")).collect()}
     assert got2 == want2
+
+
+def test_sink_failure_stops_the_stream(spark):
+    import pytest
+
+    def broken(path):
+        def h(batch, epoch):
+            raise ValueError("disk full")
+        return h
+    st = scored_stream(event_stream(spark, SF)).select("event_id")
+    with pytest.raises(Exception, match="disk full"):
+        run_available(st, spark, "broken", sink=broken)
+
+
+def test_repeated_batch_replaces_its_rows(spark):
+    from gearsight.streaming.queries import parquet_sink
+    path = tempfile.mkdtemp(prefix="gearsight-sink-", dir="/tmp")
+    write = parquet_sink(path)
+    write(spark.range(5), 0)
+    write(spark.range(7), 1)
+    write(spark.range(7), 1)        # the batch runs again after a crash
+    got = read_sink(spark, path, spark.range(0))
+    assert got.count() == 12 and {r._batch for r in got.collect()} == {0, 1}
+    assert read_sink(spark, path + "-none", spark.range(0)).count() == 0
+
+
+def test_messages_round_trip(spark):
+    from gearsight.streaming.queries import from_messages, to_messages
+    r = spark.sql("select 'D1' as device_id, timestamp_ntz'2024-01-01 00:00:00' as ts, 1.5D as health_score")
+    m = to_messages(r)
+    assert m.columns == ["key", "value", "timestamp"]
+    junk = spark.createDataFrame([("D2", "{not json", None), (None, "{}", None)], m.schema)
+    assert from_messages(m.unionByName(junk), r.schema).collect() == r.collect()
