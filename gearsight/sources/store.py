@@ -29,11 +29,13 @@ class ReadingStore:
 
     # ---- S7
     def append(self, readings: DataFrame) -> None:
-        """Append readings (STORE_COLUMNS); new files only, nothing rewritten."""
+        """Append readings (STORE_COLUMNS); new files only, nothing rewritten. Rows
+        are rebalanced by (bucket, day): small ones share a writer, a hot one
+        is split over several."""
         rows = readings.select(*STORE_COLUMNS).withColumns({
             "bucket": bucket_of(F.col("device_id"), self.buckets),
             "day": F.to_date("ts")})
-        (rows.repartition("bucket", "day").write.mode("append")
+        (rows.hint("rebalance", "bucket", "day").write.mode("append")
              .partitionBy("bucket", "day").parquet(self.root))
 
     def _scan(self) -> DataFrame:
@@ -72,34 +74,41 @@ class ReadingStore:
         flat.write.mode("overwrite").option("header", True).csv(path)
 
     # ---- S8
-    def delete_device(self, device_id: str) -> int:
-        """Drop a device's rows by rewriting only the partitions it touches.
-
-        Returns the number of rows removed (0 = the device had none). The
-        kept rows are checkpointed (shared checkpoint folder) before the
-        overwrite, because the partitions are read and written in one go.
+    def delete_devices(self, devices: DataFrame) -> DataFrame:
+        """Drop the rows of ``devices(device_id)``; returns ``(device_id, removed)``,
+        zero for devices that had none.
+
+        Only the (bucket, day) partitions that hold such rows are rewritten, by
+        one dynamic overwrite. The kept rows and the counts are checkpointed
+        first (shared folder), because partitions are read and replaced in one
+        go; partitions left without rows are removed after the overwrite. Run it
+        again after a failure: it removes what is left.
         """
-        b = self.spark.range(1).select(bucket_of(F.lit(device_id), self.buckets)).first()[0]
-        part = self._scan().where(F.col("bucket") == b)
-        removed = part.where(F.col("device_id") == device_id).count()
-        if removed == 0:
-            return 0
         checkpoint_dir(self.spark)
-        days = [r.day for r in part.where(F.col("device_id") == device_id).select("day").distinct().collect()]
-        keep = part.where((F.col("device_id") != device_id) & F.col("day").isin(days)).checkpoint(eager=True)
-        left = {r.day for r in keep.select("day").distinct().collect()}
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        if left:
-            keep.write.mode("overwrite").partitionBy("bucket", "day").parquet(self.root)
+        gone = devices.select("device_id").where("device_id is not null").distinct()
+        named = gone.withColumn("bucket", bucket_of(F.col("device_id"), self.buckets))
+        scan = self._scan()
+        hits = scan.join(named, ["bucket", "device_id"], "left_semi")
+        counts = gone.join(hits.groupBy("device_id").agg(F.count(F.lit(1)).alias("removed")), "device_id", "left") \
+            .select("device_id", F.coalesce("removed", F.lit(0)).cast("long").alias("removed")).checkpoint(eager=True)
+        touched = hits.select("bucket", "day").distinct().checkpoint(eager=True)
+        keep = (scan.join(touched, ["bucket", "day"], "left_semi").join(gone, "device_id", "left_anti")
+                .checkpoint(eager=True))
+        (keep.hint("rebalance", "bucket", "day").write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "day").parquet(self.root))
         # partitions left empty are not touched by a dynamic overwrite: remove them
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for day in days:
-            if day in left:
-                continue
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/bucket={b}/day={day}")
+        empty = touched.join(keep.select("bucket", "day").distinct(), ["bucket", "day"], "left_anti")
+        for r in empty.toLocalIterator():       # at most buckets x days folder names
+            p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/bucket={r['bucket']}/day={r['day']}")
             p.getFileSystem(conf).delete(p, True)
-        return removed
+        return counts
+
+    def delete_device(self, device_id: str) -> int:
+        """Drop one device's rows; returns their number."""
+        one = self.spark.createDataFrame([(device_id,)], "device_id string")
+        return self.delete_devices(one).first()["removed"]
 
     # ---- A15
     def statistics(self) -> DataFrame:
@@ -118,25 +127,42 @@ def store_statistics(scan: DataFrame, ts: str = "ts", device: str = "device_id")
                 .drop("_one")
 
 
-def read_csv_readings(spark: SparkSession, path: str, sensors: list[str]) -> DataFrame:
-    """CSV readings (header line, read as text columns — no inference
-    pass), typed by name; sensors missing from the header are null, so
-    frames from files with different sensor sets combine with
-    ``unionByName``. Files read in one call share one header."""
-    raw = spark.read.option("header", True).csv(path)
+def _csv_readings(raw: DataFrame, sensors: list[str]) -> DataFrame:
     have = set(raw.columns)
 
+    def text(c: str):
+        return F.col(f"`{c}`") if c in have else F.lit(None).cast("string")
+
     def num(c: str):
-        return F.col(c).cast("double") if c in have else F.lit(None).cast("double")
+        return text(c).try_cast("double")
     return raw.select(
-        "device_id", F.to_timestamp("timestamp").cast("timestamp_ntz").alias("ts"),
+        text("device_id").alias("device_id"),
+        F.try_to_timestamp(text("timestamp")).cast("timestamp_ntz").alias("ts"),
         num("operating_hours").alias("operating_hours"), num("health_score").alias("health_score"),
-        num("anomaly_score").alias("anomaly_score"), F.col("status"),
+        num("anomaly_score").alias("anomaly_score"), text("status").alias("status"),
         F.map_filter(F.map_from_arrays(F.array(*[F.lit(s) for s in sensors]),
                                        F.array(*[num(s) for s in sensors])),
                      lambda k, v: v.isNotNull()).alias("sensors"))
 
 
+def read_csv_readings(spark: SparkSession, path: str, sensors: list[str]) -> DataFrame:
+    """CSV readings, typed by name (no inference pass). Every file has its own
+    header: files are read in groups of equal headers and combined by column
+    name. Cells that are no number or time become null; a sensor that a file
+    does not have is not in the reading's map."""
+    lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("f"),
+                                         F.col("_metadata.file_block_start").alias("at"))
+    # the first line of each file; the driver gets file names by header
+    heads = (lines.where("at = 0").withColumn("n", F.monotonically_increasing_id())
+             .groupBy("f").agg(F.min_by("value", "n").alias("head"))
+             .groupBy("head").agg(F.collect_list("f").alias("files")).collect())
+    parts = [_csv_readings(spark.read.option("header", True).option("enforceSchema", False).csv(r["files"]), sensors)
+             for r in sorted(heads, key=lambda r: r["head"])]
+    if not parts:
+        raise ValueError(f"no CSV file with a header in {path}")
+    return concat_frames(parts)
+
+
 def save_processed(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """S11."""
     w = df.write.mode("overwrite")

@@ -5,22 +5,26 @@ as one row. All four children are read as STRING so a bad number never
 marks a record corrupt; the rules are then column expressions:
 
 * all four children present (missing child = NULL, empty child = '');
-* empty child -> default ('' for text, 0 for status, 0.0 for value);
+* empty child -> default ('' for text, 0 for status, 0.0 for value); a child of
+  white space alone is not empty and is no number;
 * a status that is not an integer or a value that is not a number drops
-  the record (``try_cast``); tag and timestamp are trimmed.
+  the record; tag and timestamp are trimmed.
 
 A file that is not well-formed yields a ``_corrupt_record`` row; such a
-file contributes nothing (S2): a window partitioned by file path flags
-every row of a file that has one, so the decision is per file, distributed.
+file contributes nothing (S2): the few paths with such a row are aggregated
+and anti-joined, so the rows themselves are not shuffled by file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gearsight.config import ROBOT_TAG_MAP
 
+# Texts that are numbers: no suffixes such as 1f or 1.0d.
+INTEGER = r"^[+-]?\d+$"
+NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)$"
 RAW_SCHEMA = "TagName string, Status string, TagValue string, TimeStamp string, _corrupt_record string"
 
 
@@ -50,21 +54,21 @@ def read_tag_history(spark: SparkSession, paths: str | list[str], row_tag: str =
     device id) to keep."""
     raw = (spark.read.format("xml").option("rowTag", row_tag)
            .option("columnNameOfCorruptRecord", "_corrupt_record")
-           .option("mode", "PERMISSIVE")
+           .option("mode", "PERMISSIVE").option("ignoreSurroundingSpaces", "false")
            .schema(RAW_SCHEMA + (f", {partitions} string" if partitions else ""))
            .load(paths)
            .select("*", F.col("_metadata.file_path").alias("_path"),
                    F.col("_metadata.file_name").alias("file_source")))
-    # per-file flag as a window over the file's rows (a file is a bounded
-    # unit); one scan reads data and corrupt-record columns together, which
-    # Spark requires
-    bad = F.max(F.col("_corrupt_record").isNotNull().cast("int")).over(Window.partitionBy("_path"))
-    good = raw.withColumn("_bad_file", bad).where(F.col("_bad_file") == 0)
+    # the tag count is there because Spark refuses to read the corrupt column alone
+    bad = (raw.groupBy("_path").agg(F.count("_corrupt_record").alias("_bad"), F.count("TagName").alias("_tags"))
+           .where("_bad > 0 and _tags >= 0").select("_path"))
+    good = raw.join(bad, "_path", "left_anti")
     present = (F.col("TagName").isNotNull() & F.col("Status").isNotNull()
                & F.col("TagValue").isNotNull() & F.col("TimeStamp").isNotNull())
-    status = F.when(F.trim("Status") == "", F.lit(0)).otherwise(F.expr("try_cast(trim(Status) AS INT)"))
-    value = F.when(F.trim("TagValue") == "", F.lit(0.0)).otherwise(
-        F.expr("try_cast(trim(TagValue) AS DOUBLE)"))
+    status = F.when(F.col("Status") == "", F.lit(0)).when(
+        F.trim("Status").rlike(INTEGER), F.expr("try_cast(trim(Status) AS INT)"))
+    value = F.when(F.col("TagValue") == "", F.lit(0.0)).when(
+        F.trim("TagValue").rlike(NUMBER), F.expr("try_cast(trim(TagValue) AS DOUBLE)"))
     rec = good.where(present).select(
         F.trim("TagName").alias("tag_name"), status.alias("status"), value.alias("tag_value"),
         F.trim("TimeStamp").alias("timestamp"), "file_source", *([partitions] if partitions else []))

@@ -38,3 +38,29 @@ def test_round_trip_last_n_delete(spark):
     back = read_csv_readings(spark, out, ["temperature", "current", "pressure"])
     assert back.count() == 11
     assert back.where(F.col("sensors")["temperature"] == 70.0).count() == 1
+
+
+def test_delete_many_reports_each(spark):
+    root = tempfile.mkdtemp(prefix="gearsight-store-", dir="/tmp")
+    st = ReadingStore(spark, root, buckets=2)
+    st.append(_readings(spark, 5, tuple(f"D{i}" for i in range(6))))
+    gone = st.delete_devices(spark.createDataFrame([("D1",), ("D4",), ("D4",), ("none",), (None,)], "device_id string"))
+    assert {r.device_id: r.removed for r in gone.collect()} == {"D1": 5, "D4": 5, "none": 0}
+    assert sorted(r.device_id for r in st.devices().collect()) == ["D0", "D2", "D3", "D5"]
+    assert st.all_data().count() == 20
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+
+
+def test_csv_files_with_their_own_headers(spark):
+    d = tempfile.mkdtemp(prefix="gearsight-csv-", dir="/tmp")
+    files = {"A": "device_id,timestamp,temperature,pressure,status\nA,2024-01-01 00:00:00,50,2,normal\n",
+             "B": "timestamp,device_id,pressure,temperature\n2024-01-01 00:00:01,B,3,60\n2024-01-01 00:00:02,B,oops,61\n",
+             "C": "device_id,timestamp,humidity\nC,not a time,5\n"}
+    for name, text in files.items():
+        with open(os.path.join(d, f"{name}.csv"), "w") as f:
+            f.write(text)
+    got = sorted(((r.device_id, str(r.ts), r.status, r.sensors) for r in read_csv_readings(
+        spark, d, ["temperature", "pressure", "humidity"]).collect()), key=str)
+    assert got == [("A", "2024-01-01 00:00:00", "normal", {"temperature": 50.0, "pressure": 2.0}),
+                   ("B", "2024-01-01 00:00:01", None, {"pressure": 3.0, "temperature": 60.0}),
+                   ("B", "2024-01-01 00:00:02", None, {"temperature": 61.0}), ("C", "None", None, {"humidity": 5.0})]

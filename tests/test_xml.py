@@ -112,3 +112,19 @@ def test_basic_rolling_and_start_day_origin(spark):
             "joint1_pos_error_trend"} <= set(f.columns)
     first = f.orderBy("ts").first()
     assert first.joint1_pos_error_trend == 0.0 and first.joint1_pos_error_std_5 == 0.0
+
+
+def test_white_space_and_suffixed_numbers_are_dropped(spark):
+    d = tempfile.mkdtemp(prefix="gearsight-xml-", dir="/tmp")
+    _write(d, "a.dat", "<root>" + "".join(REC.format(t=J1ERR, s=s, v=v, ts=f"2024-01-01 00:00:{i:02d}") for i, (s, v) in
+           enumerate([("  ", "1"), ("0", "  "), ("0", "1f"), ("0", "1.0d"), (" 1 ", " 2.5 "), ("0", "1e3"), ("", "")])) + "</root>")
+    got = sorted((r.status, r.tag_value) for r in read_tag_history(spark, f"{d}/*.dat").collect())
+    assert got == [(0, 0.0), (0, 1000.0), (1, 2.5)]
+
+
+def test_newest_file_by_time(spark):
+    d = tempfile.mkdtemp(prefix="gearsight-xml-", dir="/tmp")
+    for name, at in (("z.dat", 1_700_000_000), ("a.dat", 1_700_000_900), ("m.dat", 1_700_000_500)):
+        _write(d, name, "<root></root>")
+        os.utime(os.path.join(d, name), (at, at))
+    assert newest_file(spark, f"{d}/*.dat").endswith("/a.dat")
