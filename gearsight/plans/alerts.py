@@ -113,43 +113,65 @@ def evaluate_rules(readings: DataFrame, rules: list[Rule], tiebreak: str = "even
     # chunks much longer than the longest cool-down keep the candidate table small
     chunk = max(DAY_US, 16 * max(r.cooldown_minutes for r in rules) * 60_000_000)
     fired = greedy_cooldown(m, ["rule", "device_id"], "ts", tiebreak, F.col("cooldown_us"), chunk_us=chunk)
+    # the reading that raised the alert, as text
+    metadata = F.map_filter(F.map_from_arrays(F.array(*[F.lit(c) for c in readings.columns]),
+                                              F.array(*[F.col(c).cast("string") for c in readings.columns])),
+                            lambda _, v: v.isNotNull()).alias("metadata")
     return fired.select(
         alert_id(F.col("device_id"), F.col("alert_type"), F.col("ts")).alias("alert_id"),
         "rule", "rule_order", "device_id", "alert_type", "priority", "message",
         F.col("ts").alias("ts"), F.col(tiebreak).alias(tiebreak),
-        "health_score", "anomaly_score", F.lit("active").alias("status"))
+        "health_score", "anomaly_score", F.lit("active").alias("status"), metadata)
+
+
+def manual_alerts(requests: DataFrame) -> DataFrame:
+    """``requests(device_id, message, ts, priority)`` as rows of the alert
+    history (union them by name); other priorities than the known are left out."""
+    secs = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long")
+    return requests.where(F.col("priority").isin(*PRIORITIES)).select(
+        F.concat_ws("_", F.lit("manual"), "device_id", secs.cast("string")).alias("alert_id"),
+        F.lit("manual").alias("rule"), F.lit(-1).alias("rule_order"), "device_id",
+        F.lit("system_error").alias("alert_type"), "priority", "message", "ts",
+        F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("double").alias("health_score"),
+        F.lit(None).cast("double").alias("anomaly_score"), F.lit("active").alias("status"),
+        F.create_map(F.lit("manual"), F.lit("true")).alias("metadata"))
 
 
 def manual_alert(spark: SparkSession, device_id: str, message: str, at, priority: str = "medium"
                  ) -> DataFrame:
-    """One system_error alert row (append it to the alert table)."""
+    """One manual alert; an unknown priority is an error."""
     if priority not in PRIORITIES:
         raise ValueError(f"unknown priority {priority}")
-    df = spark.createDataFrame([(device_id, message, at, priority)],
-                               "device_id string, message string, ts timestamp_ntz, priority string")
-    secs = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long")
-    return df.select(F.concat_ws("_", F.lit("manual"), "device_id", secs.cast("string")).alias("alert_id"),
-                     F.lit("manual").alias("rule"), "device_id", F.lit("system_error").alias("alert_type"),
-                     "priority", "message", "ts", F.lit("active").alias("status"))
+    return manual_alerts(spark.createDataFrame([(device_id, message, at, priority)],
+                                               "device_id string, message string, ts timestamp_ntz, priority string"))
 
 
 def apply_actions(alerts: DataFrame, actions: DataFrame) -> DataFrame:
     """Acknowledge and resolve by alert id.
 
-    ``actions`` = (alert_id, action in {acknowledge, resolve}, user, at).
-    The latest action of each kind per id is joined (left); actions for
-    unknown ids are ignored; resolved alerts leave the active set.
+    ``actions`` = (alert_id, action in {acknowledge, resolve}, user, at). An id
+    names its active alert: the last in time, then rule order; earlier alerts of
+    the same id keep their state. The first resolve ends the alert; actions
+    before the alert or after its resolve, and actions for unknown ids, are
+    refused. Of several acknowledgements the last one stays.
     """
-    a = actions.groupBy("alert_id").agg(
-        F.max_by(F.struct("user", "at"), F.when(F.col("action") == "acknowledge", F.col("at"))).alias("_ack"),
-        F.max(F.when(F.col("action") == "resolve", F.col("at"))).alias("resolved_at"))
-    j = alerts.join(a, "alert_id", "left")
-    return (j.withColumn("acknowledged_by", F.col("_ack.user"))
-             .withColumn("acknowledged_at", F.col("_ack.at"))
+    w = Window.partitionBy("alert_id")
+    a = alerts.withColumn("_last", F.struct("ts", "rule_order") == F.max(F.struct("ts", "rule_order")).over(w))
+    raised = a.where("_last").select("alert_id", F.col("ts").alias("_raised"))
+    valid = actions.join(raised, "alert_id").where(F.col("at") >= F.col("_raised"))
+    ends = valid.where("action = 'resolve'").groupBy("alert_id").agg(F.min("at").alias("_end"))
+    acks = (valid.where("action = 'acknowledge'").join(ends, "alert_id", "left")
+            .where(F.col("_end").isNull() | (F.col("at") <= F.col("_end")))
+            .groupBy("alert_id").agg(F.max(F.struct("at", "user")).alias("_ack")))
+    j = a.join(acks, "alert_id", "left").join(ends, "alert_id", "left")
+    mine = F.col("_last")
+    return (j.withColumn("acknowledged_by", F.when(mine, F.col("_ack.user")))
+             .withColumn("acknowledged_at", F.when(mine, F.col("_ack.at")))
+             .withColumn("resolved_at", F.when(mine, F.col("_end")))
              .withColumn("status", F.when(F.col("resolved_at").isNotNull(), F.lit("resolved"))
                          .when(F.col("acknowledged_at").isNotNull(), F.lit("acknowledged"))
                          .otherwise(F.col("status")))
-             .drop("_ack"))
+             .drop("_ack", "_end", "_last"))
 
 
 def severity(priority: Column) -> Column:
@@ -248,10 +270,19 @@ def threshold_alerts(readings: DataFrame, t: Thresholds = DEFAULT.thresholds) ->
            .when(h < t.stream_health_critical, F.lit("health_critical")))
     pri = (F.when(a > t.stream_anomaly, F.when(a > t.stream_anomaly_high, F.lit("high")).otherwise(F.lit("medium")))
            .when(h < t.stream_health_critical, F.lit("critical")))
-    return readings.withColumn("alert_type", typ).withColumn("priority", pri) \
+    msg = (F.when(a > t.stream_anomaly, F.format_string(
+               "Device %s has an anomaly score above the threshold (" + str(t.stream_anomaly) + ").", F.col("device_id")))
+           .when(h < t.stream_health_critical, F.format_string(
+               "Device %s is at a critical health level (%.1f%%).", F.col("device_id"), F.expr(_fmt("health_score", 1)))))
+    return readings.withColumn("alert_type", typ).withColumn("priority", pri).withColumn("message", msg) \
                    .where(F.col("alert_type").isNotNull())
 
 
+def of_devices(alerts: DataFrame, devices: list[str]) -> DataFrame:
+    """History or active alerts of some devices."""
+    return alerts.where(F.col("device_id").isin(*devices))
+
+
 # ---------------------------------------------------------------- readings
 
 def alert_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +308,8 @@ def _matches_sql(rules: list[Rule]) -> str:
     conds = {"health_low": "coalesce(health_score, 100) < 70",
              "health_critical": "coalesce(health_score, 100) < 30",
              "anomaly_high": "coalesce(anomaly_score, 0) > 0.7",
-             "sensor_fault": f"coalesce({fault}, false)"}
+             "sensor_fault": f"coalesce({fault}, false)",
+             "pressure_high": "coalesce(pressure, 0) > 4.0"}
     def msg(r: Rule) -> str:
         args = ", ".join(a.replace("`", "") for a in r.message_args)
         return f"printf('{r.message}', {args})"
@@ -330,7 +362,7 @@ def alerts_fired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("alerts_fired_daily_cooldown", fired_sql(DAILY) + f"select {_hist_cols_sql()} from hist",
-          ids=("W13", "L2", "L4"))
+          ids=("W13", "L2"))
 def alerts_fired_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hist_cols(history_of(spark, sf_dir, DAILY))
 
@@ -386,23 +418,108 @@ def alert_dashboard_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alert_dashboard(materialize(active_alerts(h)))
 
 
-@register("threshold_alerts", f"""
+def _fmt_sql(expr: str, decimals: int) -> str:
+    """A double as text with ``decimals`` places, rounded from its exact binary
+    value, half to even (both engines get the same digits from the decimal)."""
+    return f"printf('%.{decimals}f', {expr})"
+
+
+THRESHOLD_SQL = f"""
 select event_id, device_id, ts,
   case when coalesce(anomaly_score, 0) > 0.7 then 'anomaly_threshold' else 'health_critical' end as alert_type,
   case when coalesce(anomaly_score, 0) > 0.7 then (case when anomaly_score > 0.9 then 'high' else 'medium' end)
-       else 'critical' end as priority
+       else 'critical' end as priority,
+  case when coalesce(anomaly_score, 0) > 0.7
+       then 'Device ' || device_id || ' has an anomaly score above the threshold (0.7).'
+       else 'Device ' || device_id || ' is at a critical health level (' || {_fmt_sql("health_score", 1)} || '%).' end as message,
+  round(health_score, 6) as health_score, round(anomaly_score, 6) as anomaly_score
 from ({scored_sql()}) s
 where coalesce(anomaly_score, 0) > 0.7 or coalesce(health_score, 100) < 30
-""", ids=("ST3",))
+"""
+
+
+@register("threshold_alerts", THRESHOLD_SQL, ids=("ST3",))
 def threshold_alerts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_alerts(scored_telemetry(spark, sf_dir)).select(
-        "event_id", "device_id", "ts", "alert_type", "priority")
+        "event_id", "device_id", "ts", "alert_type", "priority", "message",
+        rnd("health_score", 6).alias("health_score"), rnd("anomaly_score", 6).alias("anomaly_score"))
+
+
+# One rule added, one removed (L4): the last rule gives way to a pressure rule.
+EDITED = add_rule(remove_rule(DAILY, "sensor_fault"), Rule(
+    "pressure_high", "anomaly_detected", "low", "coalesce(pressure, 0) > 4.0",
+    "Device %s reports high pressure.", ("device_id",), 24 * 60))
+
+
+def _action_rows(history: DataFrame) -> DataFrame:
+    """Actions derived from fired alerts by their reading's number: who does what
+    when, including late, early, repeated and unknown ones."""
+    def act(kind: str, user: str, hours: int, when: str):
+        return history.where(when).select("alert_id", F.lit(kind).alias("action"), F.lit(user).alias("user"),
+                                          (F.col("ts") + F.expr(f"interval {hours} hours")).alias("at"))
+    parts = [act("acknowledge", "early", -1, "event_id % 2 = 0"), act("acknowledge", "ann", 1, "event_id % 2 = 0"),
+             act("acknowledge", "bob", 2, "event_id % 4 = 0"), act("resolve", "cem", 3, "event_id % 3 = 0"),
+             act("resolve", "dan", 5, "event_id % 3 = 0"), act("acknowledge", "late", 6, "event_id % 3 = 0"),
+             act("acknowledge", "eve", 1, "event_id % 5 = 0").withColumn("alert_id", F.lit("unknown"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("alert_lifecycle", fired_sql(EDITED) + """,
+manual as (
+  select 'manual_' || device_id || '_' || cast(cast(floor(epoch_us(ts) / 1000000) as bigint) as varchar) as alert_id,
+         'manual' as rule, -1 as rule_order, device_id, 'system_error' as alert_type, ts,
+         null::bigint as event_id, 'check ' || device_id as message
+  from sc where event_id % 50 = 0),
+alerts as (
+  select alert_id, rule, rule_order, device_id, alert_type, ts, event_id, message from hist
+  union all select * from manual),
+last as (select alert_id, max(ts) as raised from alerts group by 1),
+flagged as (select a.*, (a.ts, a.rule_order) = (select (b.ts, b.rule_order) from alerts b where b.alert_id = a.alert_id
+                                              order by b.ts desc, b.rule_order desc limit 1) as mine from alerts a),
+acts as (
+  select alert_id, 'acknowledge' as action, 'early' as who, ts - interval 1 hour as done from hist where event_id % 2 = 0
+  union all select alert_id, 'acknowledge', 'ann', ts + interval 1 hour from hist where event_id % 2 = 0
+  union all select alert_id, 'acknowledge', 'bob', ts + interval 2 hours from hist where event_id % 4 = 0
+  union all select alert_id, 'resolve', 'cem', ts + interval 3 hours from hist where event_id % 3 = 0
+  union all select alert_id, 'resolve', 'dan', ts + interval 5 hours from hist where event_id % 3 = 0
+  union all select alert_id, 'acknowledge', 'late', ts + interval 6 hours from hist where event_id % 3 = 0),
+valid as (select v.* from acts v join last using (alert_id) where done >= raised),
+ends as (select alert_id, min(done) as ended from valid where action = 'resolve' group by 1),
+acks as (select alert_id, arg_max(who, (done, who)) as who, max(done) as done from valid left join ends using (alert_id)
+         where action = 'acknowledge' and (ended is null or done <= ended) group by 1)
+select f.alert_id, f.rule, f.device_id, f.alert_type, f.ts, f.event_id, f.message,
+       case when mine then acks.who end as acknowledged_by, case when mine then acks.done end as acknowledged_at,
+       case when mine then ends.ended end as resolved_at,
+       case when mine and ends.ended is not null then 'resolved' when mine and acks.done is not null then 'acknowledged'
+            else 'active' end as status
+from flagged f left join acks on acks.alert_id = f.alert_id left join ends on ends.alert_id = f.alert_id
+""", ids=("J3", "L4", "L5", "L8"))
+def alert_lifecycle_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = stored_history(spark, sf_dir, EDITED)
+    asked = scored_telemetry(spark, sf_dir).where("event_id % 50 = 0").select(
+        "device_id", F.concat(F.lit("check "), "device_id").alias("message"), "ts", F.lit("medium").alias("priority"))
+    alerts = h.unionByName(manual_alerts(asked))
+    return apply_actions(alerts, _action_rows(h)).select(
+        "alert_id", "rule", "device_id", "alert_type", "ts", "event_id", "message", "acknowledged_by",
+        "acknowledged_at", "resolved_at", "status")
+
+
+@register("device_alerts", ACTIVE_SQL + """
+select alert_id, device_id, ts from act where device_id in ('DEVICE_00001', 'DEVICE_00007')
+""", ids=("L6", "P9"))
+def device_alerts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    act = active_alerts(stored_history(spark, sf_dir, DAILY))
+    return of_devices(act, ["DEVICE_00001", "DEVICE_00007"]).select("alert_id", "device_id", "ts")
 
 
 @register("device_banner", f"""
-select device_id, status from (select *, row_number() over (partition by device_id order by ts desc, event_id desc) as rn
+select device_id, status, 'Device ' || device_id || ' is ' || status || ' (health ' || printf('%.1f', health_score) || '%)' as message
+from (select *, row_number() over (partition by device_id order by ts desc, event_id desc) as rn
   from ({scored_sql()}) s) x where rn = 1 and status in ('critical', 'warning')
 """, ids=("L7",))
 def device_banner_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = latest_per_device(scored_telemetry(spark, sf_dir), "device_id", ["ts", "event_id"])
-    return device_banner(latest).select("device_id", "status")
+    return device_banner(latest).select("device_id", "status", "message")

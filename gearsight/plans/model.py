@@ -11,6 +11,7 @@ step is a distributed DataFrame/ML job.
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -23,6 +24,7 @@ from gearsight.functions.calendar import add_time_features
 from gearsight.functions.numeric import rnd
 from gearsight.functions.sensors import (failure_risk, finite_or_zero, label_generic,
                                          prediction_risk, risk_advice)
+from gearsight.operators.ordered import ordered_window, with_positions
 from gearsight.operators.sequences import latest_sequence, sequence_samples
 from gearsight.plans.fleet import scored_sql, scored_telemetry
 from gearsight.plans.registry import register
@@ -48,7 +50,6 @@ def prepare_features(readings: DataFrame, ts: str = "ts", key: list[str] | None
 def ensure_basic_rolling(df: DataFrame, key: list[str], order: list[str], features: list[str]) -> DataFrame:
     """When fewer than 5 rolling columns exist, add per-device mean 5/15,
     std 5 and trend (diff, 0 first) for the first 10 joint columns."""
-    from gearsight.operators.ordered import ordered_window
     have = [c for c in df.columns if "_ma_" in c or "_std_" in c]
     joints = [c for c in features if any(j in c for j in ("joint1", "joint2", "joint3", "joint6"))][:10]
     if len(have) >= 5 or not joints:
@@ -95,26 +96,25 @@ def apply_scaler(df: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataF
 
 # ---------------------------------------------------------------- M5
 
-def split_flag(key: Column, seed: int, share: float) -> Column:
-    """Repeatable hash split of single rows (about ``share`` held out)."""
-    u = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_003)).cast("double") / 1_000_003.0)
-    return u < share
-
-
-def stratified_split(df: DataFrame, label: str, key: Column, share: float, seed: int) -> DataFrame:
-    """M5: exact stratified hold-out. Within each class, samples are ranked by
-    xxhash64(key, seed) and the first round(share * n_class) are held out
-    (``_test``). The rank is exact and distributed: a class is a hot key, so
-    :func:`with_positions` numbers it by hash slices (counts per slice ->
-    running offsets -> row_number inside a slice), never in one task."""
-    from gearsight.operators.ordered import with_positions
-    h = df.withColumn("_h", F.xxhash64(key, F.lit(seed))).withColumn("_hk", F.to_json(F.struct(key.alias("k"))))
-    ranked = with_positions(h, [label], ["_h", "_hk"], F.shiftright(F.col("_h"), 40))
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+def stratified_split(df: DataFrame, label: str, key: list[str], share: float) -> DataFrame:
+    """M5: exact, repeatable stratified hold-out. Within each class, samples are
+    ranked by the md5 of their key and the first round(share * n_class) are held
+    out (``_test``). A class is a hot key, so :func:`with_positions` numbers it
+    by slices of the digest (counts per slice -> running offsets -> row_number
+    inside a slice), never in one task. Null labels are a class of their own."""
+    h = df.withColumn("_h", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key])))
+    h = h.withColumn("_class", F.struct(label))
+    ranked = with_positions(h, ["_class"], ["_h"], F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    sizes = h.groupBy("_class").agg(F.count(F.lit(1)).alias("_n"))
     # one row per class: a fixed-size table
-    ranked = ranked.join(F.broadcast(sizes), label)
+    ranked = ranked.join(F.broadcast(sizes), "_class")
     test = F.col("_pos") < F.round(F.col("_n") * share)
-    return ranked.withColumn("_test", test).drop("_h", "_hk", "_pos", "_n")
+    return ranked.withColumn("_test", test).drop("_h", "_class", "_pos", "_n")
+
+
+def split_samples(samples: DataFrame, settings: ModelSettings) -> DataFrame:
+    """The one split that scaler, training and evaluation share."""
+    return stratified_split(samples, "label", SAMPLE_KEY, settings.validation_split)
 
 
 # ---------------------------------------------------------------- M6 / M7 / A22
@@ -123,9 +123,8 @@ def train(samples: DataFrame, settings: ModelSettings = DEFAULT.model, max_iter:
           ) -> tuple[PipelineModel, DataFrame]:
     """M6 on samples (seq array, label); returns the model and the hold-out
     predictions. A single-class training set raises (Q12)."""
-    s = samples.withColumn("features", array_to_vector("seq")).withColumn("label", F.col("label").cast("double"))
-    key = F.to_json(F.struct(*[c for c in samples.columns if c not in ("seq", "label")]))
-    s = stratified_split(s, "label", key, settings.validation_split, settings.seed)
+    s = split_samples(samples, settings).withColumn("features", array_to_vector("seq")).withColumn(
+        "label", F.col("label").cast("double"))
     tr, te = s.where(~F.col("_test")), s.where(F.col("_test"))
     classes = tr.agg(F.countDistinct("label")).first()[0]
     if classes < 2:
@@ -154,9 +153,10 @@ def evaluation(pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
-def predict_all(model: PipelineModel, latest: DataFrame, key: str = "device_id",
-                settings: ModelSettings = DEFAULT.model, method: str = "sequence_logistic") -> DataFrame:
-    """M7 for every device at once; short histories give an error row."""
+def predict_all(model: PipelineModel, latest: DataFrame, key: str = "device_id", *,
+                settings: ModelSettings, method: str = "sequence_logistic") -> DataFrame:
+    """M7 for every device at once; short histories give an error row. ``settings``
+    are those the model was trained with."""
     ok = latest.where(F.col("seq").isNotNull()).withColumn("features", array_to_vector("seq"))
     scored = model.transform(ok).withColumn("maintenance_probability", vector_to_array("probability")[1])
     t = DEFAULT.thresholds
@@ -194,6 +194,8 @@ def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
 # Telemetry has about two readings per device and day, so the registered
 # sequence queries use a window of 10 readings and a 2-reading horizon.
 SEQ_LEN, SEQ_H = 10, 2
+SAMPLE_KEY = ["device_id", "event_id"]
+SETTINGS = replace(DEFAULT.model, sequence_length=SEQ_LEN, prediction_horizon=SEQ_H)
 FEATURES = list(TELEMETRY_SENSORS.values())
 
 
@@ -214,11 +216,11 @@ def telemetry_samples(spark: SparkSession, sf_dir: str, length: int = SEQ_LEN, h
 
 
 def training_scaler(spark: SparkSession, sf_dir: str) -> dict[str, tuple[float, float]]:
-    """M3 fitted on the readings of the training share (Q11: not on one device)."""
-    rows = telemetry_rows(spark, sf_dir)
-    tr = rows.where(~split_flag(F.col("event_id").cast("string"), DEFAULT.model.seed,
-                                DEFAULT.model.validation_split))
-    return fit_scaler(tr, FEATURES)
+    """M3 fitted on the readings that end a training sample of the split that
+    training uses (Q11: not on one device); no reading that ends a held-out
+    sample takes part."""
+    ends = split_samples(telemetry_samples(spark, sf_dir), SETTINGS).where(~F.col("_test")).select(*SAMPLE_KEY)
+    return fit_scaler(telemetry_rows(spark, sf_dir).join(ends, SAMPLE_KEY, "left_semi"), FEATURES)
 
 
 def _seq_sql(length: int, horizon: int) -> str:
@@ -262,7 +264,7 @@ def latest_sequences_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _trained(spark: SparkSession, sf_dir: str):
     scaler = training_scaler(spark, sf_dir)
-    model, held_out = train(telemetry_samples(spark, sf_dir, scaler=scaler), DEFAULT.model, max_iter=30)
+    model, held_out = train(telemetry_samples(spark, sf_dir, scaler=scaler), SETTINGS, max_iter=30)
     return model, held_out, scaler
 
 
@@ -276,12 +278,35 @@ def model_evaluation_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def device_predictions_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, _, scaler = _trained(spark, sf_dir)
     rows = apply_scaler(telemetry_rows(spark, sf_dir), scaler)
-    return predict_all(model, latest_sequence(rows, ["device_id"], ["ts", "event_id"], FEATURES, SEQ_LEN))
+    latest = latest_sequence(rows, ["device_id"], ["ts", "event_id"], FEATURES, SEQ_LEN)
+    return predict_all(model, latest, settings=SETTINGS)
+
+
+def _split_sql() -> str:
+    """The samples of the registered model with their class rank and split."""
+    return f"""
+smp as ({_seq_sql(SEQ_LEN, SEQ_H)}),
+rk as (select *, row_number() over (partition by label order by md5(concat_ws('|', device_id, cast(event_id as varchar)))) - 1 as pos,
+              count(*) over (partition by label) as n from smp),
+sp as (select device_id, event_id, label, pos < round(n * {DEFAULT.model.validation_split}) as test from rk)
+"""
+
+
+@register("sample_split", f"with {_split_sql()} select device_id, event_id, label, test from sp", ids=("M5",))
+def sample_split_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_samples(telemetry_samples(spark, sf_dir), SETTINGS).select(
+        *SAMPLE_KEY, F.col("label").cast("int").alias("label"), F.col("_test").alias("test"))
 
 
-@register("feature_scaler", None, ids=("M3",))
+@register("feature_scaler", f"with {_split_sql()}, tr as (select sc.* from ({scored_sql()}) sc semi join "
+          "(select * from sp where not test) x on x.device_id = sc.device_id and x.event_id = sc.event_id) "
+          + " union all ".join(f"select '{c}' as feature, round(avg(coalesce({c}, 0e0)), 6) as mean, "
+                               f"round(case when stddev_pop(coalesce({c}, 0e0)) = 0 then 1e0 "
+                               f"else stddev_pop(coalesce({c}, 0e0)) end, 6) as scale from tr" for c in FEATURES),
+          ids=("M3",))
 def feature_scaler_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3 statistics on the training share of the per-reading features."""
     sc = training_scaler(spark, sf_dir)
     return spark.createDataFrame([(c, float(m), float(s)) for c, (m, s) in sc.items()],
-                                 "feature string, mean double, scale double")
+                                 "feature string, mean double, scale double").select(
+        "feature", rnd("mean", 6).alias("mean"), rnd("scale", 6).alias("scale"))

@@ -106,3 +106,33 @@ def test_cooldown_properties(spark):
     for tt, _, i in [(r[1], r[0], r[2]) for r in rows]:
         if i not in fired_ids:
             assert any(ft <= tt and tt - ft < cd for ft, _ in fired)
+
+
+def test_first_resolve_ends_the_alert(spark):
+    """Later resolves, acknowledgements after the resolve and actions before the alert
+    are refused; of two alerts with one id only the last in order is touched."""
+    h = lambda x: T0 + dt.timedelta(hours=x)
+    alerts = spark.createDataFrame(
+        [("a", h(0), 0, "active"), ("b", h(0), 0, "active"), ("b", h(0), 1, "active"), ("c", h(2), 0, "active")],
+        "alert_id string, ts timestamp_ntz, rule_order int, status string")
+    actions = spark.createDataFrame(
+        [("a", "resolve", "x", h(1)), ("a", "resolve", "y", h(5)), ("a", "acknowledge", "late", h(6)),
+         ("b", "acknowledge", "u", h(1)), ("b", "acknowledge", "v", h(2)), ("c", "resolve", "x", h(1)), (None, "resolve", "x", h(9))],
+        "alert_id string, action string, user string, at timestamp_ntz")
+    got = {(r.alert_id, r.rule_order): (r.status, r.acknowledged_by, r.resolved_at) for r in
+           apply_actions(alerts, actions).collect()}
+    assert got == {("a", 0): ("resolved", None, h(1)), ("b", 0): ("active", None, None),
+                   ("b", 1): ("acknowledged", "v", None), ("c", 0): ("active", None, None)}
+
+
+def test_complete_groups_keeps_order_and_groups():
+    import pandas as pd
+    from gearsight.operators.cooldown import complete_groups
+    rng = random.Random(2)
+    keys = sorted(rng.choice("abcdefgh") for _ in range(200)) + ["z"] * 500
+    frame = pd.DataFrame({"k": keys, "v": range(len(keys))})
+    for size in (1, 3, 50, 1000):
+        parts = list(complete_groups((frame.iloc[i:i + size] for i in range(0, len(frame), size)), ["k"]))
+        assert pd.concat(parts, ignore_index=True).equals(frame)
+        seen = [set(p["k"]) for p in parts]
+        assert all(not (a & b) for i, a in enumerate(seen) for b in seen[:i])

@@ -5,7 +5,7 @@ import tempfile
 from gearsight.operators.sequences import latest_sequence
 from gearsight.plans.model import (apply_scaler, evaluation, load_model, predict_all,
                                    save_model, telemetry_rows, telemetry_samples, train, training_scaler,
-                                   FEATURES, SEQ_LEN)
+                                   FEATURES, SEQ_LEN, SETTINGS, split_samples)
 from gearsight.config import DEFAULT
 
 SF = "/root/testdata/sf0.01"
@@ -14,20 +14,24 @@ SF = "/root/testdata/sf0.01"
 def test_train_predict_save_load(spark):
     sc = training_scaler(spark, SF)
     assert all(s > 0 for _, s in sc.values())
-    model, held = train(telemetry_samples(spark, SF, scaler=sc), DEFAULT.model, max_iter=10)
+    model, held = train(telemetry_samples(spark, SF, scaler=sc), SETTINGS, max_iter=10)
     ev = {r.label: r for r in evaluation(held).collect()}
     assert set(ev) == {0, 1} and all(0 <= r.precision <= 1 for r in ev.values())
     rows = apply_scaler(telemetry_rows(spark, SF), sc)
-    pred = predict_all(model, latest_sequence(rows, ["device_id"], ["ts", "event_id"], FEATURES, SEQ_LEN))
+    pred = predict_all(model, latest_sequence(rows, ["device_id"], ["ts", "event_id"], FEATURES, SEQ_LEN), settings=SETTINGS)
     p = pred.collect()
     assert len(p) == 150
+    assert {r.prediction_horizon_minutes for r in p} == {2}         # the model's own horizon
+    ends = split_samples(telemetry_samples(spark, SF), SETTINGS)
+    split = {(r.device_id, r.event_id): r._test for r in ends.collect()}
+    assert {(r.device_id, r.event_id) for r in held.collect()} == {k for k, t in split.items() if t}
     assert all((r.error is None) == (r.maintenance_probability is not None) for r in p)
     assert all(r.risk_level in (None, "low", "medium", "high") for r in p)
     path = tempfile.mkdtemp(prefix="gearsight-model-", dir="/tmp")
-    save_model(model, path, FEATURES, DEFAULT.model, spark)
+    save_model(model, path, FEATURES, SETTINGS, spark)
     m2, meta = load_model(spark, path)
-    assert meta["feature_columns"] == FEATURES and meta["sequence_length"] == DEFAULT.model.sequence_length
-    again = predict_all(m2, latest_sequence(rows, ["device_id"], ["ts", "event_id"], FEATURES, SEQ_LEN))
+    assert meta["feature_columns"] == FEATURES and (meta["sequence_length"], meta["prediction_horizon"]) == (10, 2)
+    again = predict_all(m2, latest_sequence(rows, ["device_id"], ["ts", "event_id"], FEATURES, SEQ_LEN), settings=SETTINGS)
     a = {r.device_id: r.maintenance_probability for r in again.collect()}
     assert all(a[r.device_id] == r.maintenance_probability for r in p)
 
@@ -44,10 +48,10 @@ def test_stratified_split_exact_share(spark):
     from pyspark.sql import functions as F
     from gearsight.plans.model import stratified_split
     df = spark.range(0, 1037).withColumn("label", (F.col("id") % 7 == 0).cast("int"))
-    s = stratified_split(df, "label", F.col("id").cast("string"), 0.2, 42)
+    s = stratified_split(df, "label", ["id"], 0.2)
     got = {(r.label, r._test): r["count"] for r in s.groupBy("label", "_test").count().collect()}
     n1 = len([i for i in range(1037) if i % 7 == 0]); n0 = 1037 - n1
     assert got[(1, True)] == round(n1 * 0.2) and got[(0, True)] == round(n0 * 0.2)
-    again = {r.id for r in stratified_split(df, "label", F.col("id").cast("string"), 0.2, 42)
+    again = {r.id for r in stratified_split(df, "label", ["id"], 0.2)
              .where("_test").collect()}
     assert again == {r.id for r in s.where("_test").collect()}
