@@ -121,5 +121,5 @@ def test_messages_round_trip(spark):
     r = spark.sql("select 'D1' as device_id, timestamp_ntz'2024-01-01 00:00:00' as ts, 1.5D as health_score")
     m = to_messages(r)
     assert m.columns == ["key", "value", "timestamp"]
-    junk = spark.createDataFrame([("D2", "{not json", None), (None, "{}", None)], m.schema)
+    junk = spark.createDataFrame([("D2", "{not json", None), (None, "{}", None)], "key string, value string, timestamp timestamp")
     assert from_messages(m.unionByName(junk), r.schema).collect() == r.collect()
