@@ -188,6 +188,28 @@ def _answers(lists: DataFrame, indexes: DataFrame, shards: int, salts: int, min_
             .groupBy("doc_id").agg(F.collect_list("gone").alias("gone")))
 
 
+def _gone(docs: DataFrame, min_docs: int) -> DataFrame:
+    """``(doc_id, gone)``: for each document with common lines, their key hashes."""
+    lists = written(_hash_lists(docs))
+    counts = written(_counted(lists))
+    n, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shards = max(1, -(-n // SHARD_KEYS))
+    salts = max(1, -(-total // (shards * PROBES)))
+    return _answers(lists, _indexes(counts, shards, min_docs), shards, salts, min_docs)
+
+
+def _kept_lines(text: str, blobs) -> tuple[str, int, int]:
+    """The text without the lines whose key hash is in ``blobs``, its lines before
+    and the dropped ones."""
+    lines = text.encode().split(b"\n")
+    if not blobs:
+        return text, len(lines), 0
+    bad = set(map(bytes, np.frombuffer(b"".join(blobs), "V16").tolist()))
+    keys = key_hashes(text).view("V16").ravel().tolist()
+    kept = [x for x, k in zip(lines, keys) if bytes(k) not in bad]
+    return b"\n".join(kept).decode(), len(lines), len(lines) - len(kept)
+
+
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
     """``(doc_id, text, n_lines, n_dropped)``: one row per input row, its text
@@ -199,30 +221,34 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id
     any other. An empty table gives no rows.
     """
     docs = id_and_text(docs, id_col, text_col)
-    lists = written(_hash_lists(docs))
-    counts = written(_counted(lists))
-    n, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    shards = max(1, -(-n // SHARD_KEYS))
-    salts = max(1, -(-total // (shards * PROBES)))
-    gone = _answers(lists, _indexes(counts, shards, min_docs), shards, salts, min_docs)
 
     def rebuild(batches):
         for batch in batches:
             for part, text in slices(batch):
-                out = []
-                for t, blobs in zip(text, texts(part, "gone")):
-                    lines = t.encode().split(b"\n")
-                    if blobs:
-                        bad = set(map(bytes, np.frombuffer(b"".join(blobs), "V16").tolist()))
-                        h = key_hashes(t)
-                        kept = [x for x, k in zip(lines, h.view("V16").ravel().tolist()) if bytes(k) not in bad]
-                    else:
-                        kept = lines
-                    out.append((b"\n".join(kept).decode(), len(lines), len(lines) - len(kept)))
+                out = [_kept_lines(t, blobs) for t, blobs in zip(text, texts(part, "gone"))]
                 yield pa.record_batch(
                     [part.column(part.schema.get_field_index("doc_id")), pa.array([o[0] for o in out], pa.string()),
                      pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())],
                     names=["doc_id", "text", "n_lines", "n_dropped"])
-    d, g = docs.alias("d"), gone.alias("g")
+    d, g = docs.alias("d"), _gone(docs, min_docs).alias("g")
     return (d.join(g, F.expr("d.doc_id <=> g.doc_id"), "left").select("d.doc_id", "d.text", "g.gone")
             .mapInArrow(rebuild, "doc_id long, text string, n_lines long, n_dropped long"))
+
+
+def without_common_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id",
+                         text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns and rows, texts as in :func:`drop_common_lines`
+    (a null text becomes the empty text)."""
+    schema, at = docs.schema, docs.columns.index(text_col)
+    gone = _gone(id_and_text(docs, id_col, text_col), min_docs).select(
+        F.col("doc_id").alias("__line_doc"), F.col("gone").alias("__line_keys"))
+
+    def rebuild(batches):
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                cols = list(part.columns)
+                cols[at] = pa.array([_kept_lines(t or "", blobs)[0] for t, blobs in
+                                     zip(cols[at].to_pylist(), cols.pop().to_pylist())], pa.string())
+                yield pa.RecordBatch.from_arrays(cols, names=part.schema.names[:-1])
+    joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__line_doc"]), "left")
+    return joined.drop("__line_doc").mapInArrow(rebuild, schema)

@@ -22,6 +22,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,13 +136,14 @@ def fit_lexicon(rows: list[tuple[str, int]]) -> Lexicon:
     if not len(y) or y.min() == y.max():
         return Lexicon({})
     bad, good = Counter(), Counter()
-    for t, v in zip(texts, y):
-        (bad if v else good).update(set(_WORD.findall(t)))
+    for t in (t for t, v in zip(texts, y) if v):
+        bad.update(set(_WORD.findall(t)))
+    bad = {w: n for w, n in bad.items() if n >= MIN_DOCS and len(w) > 1}
+    for t in (t for t, v in zip(texts, y) if not v):
+        good.update(bad.keys() & set(_WORD.findall(t)))
     n1, n0 = y.sum(), (1 - y).sum()
     weights = {}
     for w, a in bad.items():
-        if a < MIN_DOCS or len(w) < 2:
-            continue
         b = good[w]
         odds = math.log((a + .5) / (n1 - a + .5)) - math.log((b + .5) / (n0 - b + .5))
         low = odds - 1.64 * math.sqrt(1 / (a + .5) + 1 / (b + .5) + 1 / (n1 - a + .5) + 1 / (n0 - b + .5))
@@ -187,9 +189,24 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5, id
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def is_toxic(spark, lexicon: Lexicon, text: Column, threshold: float = 0.5) -> Column:
+    """The verdict as a column, for filters that keep all other columns."""
+    shared = Shared(spark, lexicon)
+
+    @F.pandas_udf("boolean")
+    def verdict(texts: pd.Series) -> pd.Series:
+        lex = shared.value
+        return texts.map(lambda t: lex.score(t or "") >= threshold)
+    return verdict(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
+    """The lexicon of the labelled rows outside the held-out fold."""
+    return fit_lexicon(labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0, sample))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """Fit on labelled rows outside the held-out fold, score all rows:
     ``(doc_id, held_out, score, predicted)``."""
-    rows = labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0, sample)
-    return score_toxicity(docs, fit_lexicon(rows), threshold).select(
+    return score_toxicity(docs, fit(docs, labels, sample), threshold).select(
         "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
