@@ -15,25 +15,21 @@ from gearsight.session import apply_defaults, checkpoint_dir
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is not in ``gone(doc_id)``; null ids stay."""
-    return docs.join(gone.where("doc_id is not null").distinct(), "doc_id", "left_anti")
+    """The rows of ``docs`` whose id is not in ``gone(doc_id)``; null ids stay. A
+    shuffle join at every size, as ``gone`` grows with the documents."""
+    return docs.hint("merge").join(gone.where("doc_id is not null").distinct(), "doc_id", "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity, learned from all labels outside the held-out fold."""
-    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, scored.where("predicted = 1").select("doc_id"))
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return docs.where(~toxicity.is_toxic(spark, lexicon, F.col("text")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten or more documents hold go. Documents stay, even if empty;
     ``n_chars`` follows the text."""
-    kept = line_dedup.drop_common_lines(docs, min_docs=10).select(
-        F.col("doc_id").alias("id"), F.col("text").alias("kept")).dropDuplicates(["id"])
-    rest = docs.drop("text", "n_chars")
-    return (rest.join(kept, F.expr("doc_id <=> id"), "left")
-            .select(*[{"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}.get(c, F.col(c)).alias(c)
-                      for c in docs.columns]))
+    return line_dedup.without_common_lines(docs, min_docs=10).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
