@@ -116,10 +116,12 @@ def sensor_fault_map(m: Column) -> Column:
     """F18 over a sensor map (``exists`` over its entries)."""
     def bad(e):
         k, v = e["key"], e["value"]
-        return (((k == "temperature") & ((v < 0) | (v > 150)))
-                | (k.startswith("vibration") & ((v < 0) | (v > 10)))
-                | ((k == "pressure") & ((v < 0) | (v > 10)))
-                | ((k == "current") & ((v < 0) | (v > 50))))
+        out = F.lit(False)
+        for name, (lo, hi) in FAULT_LIMITS.items():
+            # every vibration axis has the limits of its group
+            mine = k.startswith(name) if name == "vibration" else k == name
+            out = out | (mine & ((v < lo) | (v > hi)))
+        return out
     return F.coalesce(F.exists(F.map_entries(m), bad), F.lit(False))
 
 

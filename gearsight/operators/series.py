@@ -47,13 +47,13 @@ def pivot_mean(df: DataFrame, key: list[str], ts: str, name_col: str, value_col:
 def pivot_resample_mean(long: DataFrame, key: list[str], ts: str, name_col: str, value_col: str,
                         names: list[str], interval: str, origin_us: int | str = "start_day",
                         out_ts: str = "ts") -> DataFrame:
-    """A1 + A2 with one shuffle: rows are hash-partitioned by (key, bin), so the
-    per-timestamp means and the per-bin means of those means are both computed
-    in place (a bin's rows never span partitions), then the spine is added."""
+    """A1 + A2: per-timestamp means are combined in the map tasks and shuffled by
+    (key, bin, timestamp), so no bin of raw rows meets in one task; the per-bin
+    means of those means are a second, small aggregate. Then the spine is added."""
     iv = interval_micros(interval)
     if origin_us == "start_day":
         origin_us = start_day_origin(long, ts) if (86_400_000_000 % iv) else 0
-    rows = long.withColumn("_bin", _bin_start(ts, iv, origin_us)).repartition(*key, "_bin")
+    rows = long.withColumn("_bin", _bin_start(ts, iv, origin_us))
     per_ts = rows.groupBy(*key, "_bin", ts).agg(*_pivot_aggs(name_col, value_col, names))
     binned = per_ts.groupBy(*key, "_bin").agg(*[F.avg(F.col(f"`{n}`")).alias(n) for n in names])
     return _with_spine(binned, key, names, iv, out_ts)

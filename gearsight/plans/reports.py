@@ -437,11 +437,6 @@ def power_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("power_consumption"))
 
 
-# ---------------------------------------------------------------- A4 helper re-export
-def latest_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_per_device(scored_telemetry(spark, sf_dir), "device_id", ["ts", "event_id"])
-
-
 # ---------------------------------------------------------------- P7
 def validate_frame(df: DataFrame, required: list[str]) -> DataFrame:
     """P7 as a report row: row count, required columns missing from the
@@ -496,7 +491,7 @@ RANGE_FROM, RANGE_TO = "2024-01-10 00:00:00", "2024-01-12 00:00:00"
 @register("device_range", f"""
 select event_id, device_id, ts, round(health_score, 6) as health_score, status from {SCORED}
 where ts >= timestamp '{RANGE_FROM}' and ts < timestamp '{RANGE_TO}'
-""", ids=("2.13", "P9"))
+""", ids=("2.13",))
 def device_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Historical range for all devices: the time filter reaches the parquet scan."""
     s = scored_telemetry(spark, sf_dir).where(

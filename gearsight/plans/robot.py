@@ -21,7 +21,7 @@ from gearsight.functions.sensors import suggest_sensor_name
 from gearsight.operators.series import regular_series
 from gearsight.operators.wide_rolling import rolling_mean_std
 from gearsight.plans.registry import register
-from gearsight.sources.tables import TAG_LONG_SQL, tag_long
+from gearsight.sources.tables import ROBOT_TAG_LONG_SQL, TAG_LONG_SQL, robot_tag_long, tag_long
 from gearsight.sources.xml import (clean_tag_history, list_files, read_tag_history, tag_map_frame,
                                    tag_pattern_groups, tag_profile)
 
@@ -212,11 +212,11 @@ def tag_profile_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("tag_pattern_groups", f"""
-select p.pattern, t.tag_name from (select distinct tag as tag_name from ({TAG_LONG_SQL}) x) t
+select p.pattern, t.tag_name from (select distinct tag as tag_name from ({ROBOT_TAG_LONG_SQL}) x) t
 join (values {", ".join(f"('{p}')" for p in TAG_PATTERNS)}) p(pattern) on contains(lower(t.tag_name), p.pattern)
-""", ids=("A19",))
+""", ids=("A19", "O6"))
 def tag_pattern_groups_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recs = tag_long(spark, sf_dir).select(F.col("tag").alias("tag_name"))
+    recs = robot_tag_long(spark, sf_dir).select(F.col("tag").alias("tag_name"))
     return tag_pattern_groups(recs, TAG_PATTERNS)
 
 
@@ -237,12 +237,12 @@ def _suggest_sql(tag: str) -> str:
 
 @register("tag_name_suggestions", f"""
 select tag_name, n, {_suggest_sql("tag_name")} as suggested from (
-  select tag as tag_name, count(*) as n from ({TAG_LONG_SQL}) x group by tag) y
+  select tag as tag_name, count(*) as n from ({ROBOT_TAG_LONG_SQL}) x group by tag) y
 order by n desc, tag_name limit 50
 """, ids=("F19", "O4"))
 def tag_name_suggestions_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F19 over the 50 most frequent tags (A18 order)."""
-    recs = tag_long(spark, sf_dir)
+    recs = robot_tag_long(spark, sf_dir)
     top = recs.groupBy(F.col("tag").alias("tag_name")).agg(F.count(F.lit(1)).alias("n")) \
               .orderBy(F.col("n").desc(), "tag_name").limit(50)
     return top.withColumn("suggested", suggest_sensor_name(F.col("tag_name")))

@@ -15,14 +15,9 @@ from gearsight.sources.tables import TAG_LONG_SQL, TELEMETRY_SQL, table, tag_lon
 TELE = f"({TELEMETRY_SQL}) t"
 
 
-def tag_names(long: DataFrame, col: str = "tag") -> list[str]:
-    """Distinct tag names (bounded metadata, sorted) for a declared pivot."""
-    return sorted(r[0] for r in long.select(col).distinct().collect())
-
-
 def tag_series(spark: SparkSession, sf_dir: str, interval: str) -> DataFrame:
     long = tag_long(spark, sf_dir).where(F.col("status") == 0)  # P5
-    names = tag_names(long)
+    names = EVENT_TYPES         # declared: no pass over the data to find them
     s = regular_series(long, ["device_id"], "ts", "tag", "tag_value", names, interval)
     return s.select("device_id", "ts", *[rnd(F.col(f"`{n}`"), 6).alias(n) for n in names])
 
@@ -82,7 +77,7 @@ from ({TAG_LONG_SQL}) x where status = 0 group by device_id, ts
 """, ids=("A1", "P5"))
 def tag_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = tag_long(spark, sf_dir).where(F.col("status") == 0)
-    names = tag_names(long)
+    names = EVENT_TYPES
     s = regular_series(long, ["device_id"], "ts", "tag", "tag_value", names, None, fill=False)
     return s.select("device_id", "ts", *[rnd(F.col(f"`{n}`"), 6).alias(n) for n in names])
 
@@ -127,7 +122,7 @@ def _round_all(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 @register("rolling_features", _rolling_sql(TELE, "device_id", "ts, event_id", ROLL_COLS, ROLL_WINDOWS),
-          ids=("W1", "W2", "W3"))
+          ids=("W1", "W2"))
 def rolling_features_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = telemetry(spark, sf_dir).select("event_id", "device_id", "ts", *ROLL_COLS)
     r = rolling_features(t, ["device_id"], ["ts", "event_id"], ROLL_COLS, ROLL_WINDOWS)
@@ -142,7 +137,7 @@ LI_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber"]
           _rolling_sql("lineitem", "l_suppkey", ", ".join(LI_ORDER), LI_COLS, [5, 15, 30],
                        stats=("mean", "std"), diff=True, pct=False,
                        id_cols=("l_orderkey", "l_linenumber")),
-          ids=("W1", "W4"))
+          ids=("W1", "W2"))
 def lineitem_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", *LI_ORDER, *LI_COLS)
     r = rolling_features(li, ["l_suppkey"], LI_ORDER, LI_COLS, [5, 15, 30], stats=("mean", "std"),

@@ -52,12 +52,15 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests, local runs) a fresh local
-    folder is created and registered; on a cluster the setting must exist.
+    A local session (one JVM: tests, local runs) that names none gets a fresh
+    local folder; on a cluster the setting must exist, as executors could not
+    share such a folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
+    if not d and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="gearsight-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)

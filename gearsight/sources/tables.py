@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gearsight.config import ROBOT_TAG_MAP
+
 # Telemetry column for each catalogue sensor it carries.
 TELEMETRY_SENSORS: dict[str, str] = {
     "temperature": "temperature",
@@ -73,7 +75,15 @@ def tag_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# DuckDB text of the same two views, used by the oracle SQL.
+def robot_tag_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tag history under the robot's own tag names: an event takes the name
+    at its number modulo the length of the map."""
+    names = sorted(ROBOT_TAG_MAP)
+    at = (F.pmod(F.col("event_id"), F.lit(len(names))) + 1).cast("int")
+    return tag_long(spark, sf_dir).withColumn("tag", F.element_at(F.array(*[F.lit(n) for n in names]), at))
+
+
+# DuckDB text of the same views, used by the oracle SQL.
 TELEMETRY_SQL = """
 select event_id, concat('DEVICE_', lpad(cast(user_id as varchar), 5, '0')) as device_id, ts,
   case when event_id % 97 = 0 then 200.0e0
@@ -87,6 +97,11 @@ select event_id, concat('DEVICE_', lpad(cast(user_id as varchar), 5, '0')) as de
 from (select *, cast(json_extract_string(props, '$.k') as int) as k from events) e
 """
 
+ROBOT_TAG_LONG_SQL = f"""
+select event_id, ts, value as tag_value, [{", ".join(f"'{n}'" for n in sorted(ROBOT_TAG_MAP))}][event_id % {len(ROBOT_TAG_MAP)} + 1] as tag
+from events
+"""
+
 TAG_LONG_SQL = """
 select event_id, concat('DEVICE_', lpad(cast(user_id as varchar), 5, '0')) as device_id, ts,
   event_type as tag, value as tag_value,
