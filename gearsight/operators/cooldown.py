@@ -16,8 +16,8 @@ function. Done exactly and without putting one key's matches in one task:
    pick each chunk's real first fire.
 3. Per chunk, follow ``nxt`` from the chosen start; those rows fire.
 
-Steps 1 and 3 run on the same hash partitioning of the matches by
-(key, chunk) (Spark reuses the exchange), sorted within partitions; a
+Steps 1 and 3 run on a hash partitioning of the matches by (key, chunk),
+sorted within partitions; step 1 shuffles only the five columns it needs. A
 ``mapInPandas`` task handles all chunks of its partition with vectorised
 numpy over the whole batch, so there is no per-group Python call. Step 2
 sees only the candidate table. Timestamps are int64 microseconds.
@@ -152,7 +152,8 @@ def _emit_batches(it: Iterator[pd.DataFrame], chunk_us: int, out_cols: list[str]
 def greedy_cooldown(matches: DataFrame, key: list[str], ts: str, tiebreak: str,
                     cooldown_us, chunk_us: int = DAY_US) -> DataFrame:
     """Keep the matches that fire. ``cooldown_us`` is a Column or int (constant
-    within a key); ``tiebreak`` (integral) orders matches with equal ts."""
+    within a key); ``tiebreak`` (integral) orders matches with equal ts. Matches
+    without a time are left out."""
     spark = matches.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cd = cooldown_us if not isinstance(cooldown_us, int) else F.lit(cooldown_us)
@@ -161,7 +162,7 @@ def greedy_cooldown(matches: DataFrame, key: list[str], ts: str, tiebreak: str,
         "*", F.to_json(F.struct(*[F.col(k) for k in key])).alias("_k"),
         _us(ts).alias("_t"), F.col(tiebreak).cast("long").alias("_tb"),
         cd.cast("long").alias("_cd"),
-    ).withColumn("_chunk", (F.floor(F.col("_t") / F.lit(chunk_us)) * F.lit(chunk_us)).cast("long"))
+    ).where(F.col("_t").isNotNull()).withColumn("_chunk", (F.floor(F.col("_t") / F.lit(chunk_us)) * F.lit(chunk_us)).cast("long"))
     mp = m.repartition(n_parts, "_k", "_chunk")
     order = ["_k", "_chunk", "_t", "_tb"]
     transfer = mp.select("_k", "_chunk", "_t", "_tb", "_cd").sortWithinPartitions(*order).mapInPandas(

@@ -101,6 +101,13 @@ def rule_matches(readings: DataFrame, rules: list[Rule]) -> DataFrame:
     return m.select("*", "_m.*").drop("_m")
 
 
+def undated_matches(readings: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Matches that raise no alert because their reading has no event time: a
+    cool-down cannot place them. One row per (reading, rule), as a report."""
+    return rule_matches(readings.where(F.col("ts").isNull()), rules).select(
+        "device_id", "rule", "alert_type", "priority", "message")
+
+
 def alert_id(device: Column, alert_type: Column, ts: Column) -> Column:
     """L3: device_type_epochSeconds."""
     secs = F.floor(F.unix_micros(ts.cast("timestamp")) / 1_000_000).cast("long")
@@ -108,7 +115,8 @@ def alert_id(device: Column, alert_type: Column, ts: Column) -> Column:
 
 
 def evaluate_rules(readings: DataFrame, rules: list[Rule], tiebreak: str = "event_id") -> DataFrame:
-    """L2: matched, cooled-down alert rows (the alert history)."""
+    """L2: matched, cooled-down alert rows (the alert history). Readings without
+    an event time raise none; :func:`undated_matches` lists them."""
     m = rule_matches(readings, rules)
     # chunks much longer than the longest cool-down keep the candidate table small
     chunk = max(DAY_US, 16 * max(r.cooldown_minutes for r in rules) * 60_000_000)

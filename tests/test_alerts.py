@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from gearsight.operators.cooldown import greedy_cooldown
 from gearsight.plans.alerts import (active_alerts, alert_dashboard, alert_statistics, apply_actions,
-                                    default_rules, evaluate_rules, manual_alert, threshold_alerts)
+                                    default_rules, evaluate_rules, manual_alert, threshold_alerts,
+                                    undated_matches)
 from gearsight.functions.sensors import sensor_fault_map
 
 T0 = dt.datetime(2024, 1, 1, 12, 0, 0)
@@ -136,3 +137,11 @@ def test_complete_groups_keeps_order_and_groups():
         assert pd.concat(parts, ignore_index=True).equals(frame)
         seen = [set(p["k"]) for p in parts]
         assert all(not (a & b) for i, a in enumerate(seen) for b in seen[:i])
+
+
+def test_readings_without_time_are_reported(spark):
+    df = _cases(spark, [("D1", 20.0, 0.95, {}), ("D2", 20.0, 0.95, {})])
+    df = df.withColumn("ts", F.when(F.col("device_id") == "D2", F.col("ts")))
+    assert {r.device_id for r in evaluate_rules(df, default_rules()).collect()} == {"D2"}
+    assert {(r.device_id, r.rule) for r in undated_matches(df, default_rules()).collect()} == {
+        ("D1", "health_low"), ("D1", "health_critical"), ("D1", "anomaly_high")}
