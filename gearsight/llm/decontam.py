@@ -179,7 +179,8 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = SEED_WORDS, thresho
     per_doc = (found.join(items.select("item_id", F.col("text").alias("item_text")).dropDuplicates(["item_id"]),
                           "item_id")
                .groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_text", "pos", "at")).alias("items")))
-    return (docs.join(written(per_doc), "doc_id").select("doc_id", "text", "items")
+    # a shuffle join at every size: the candidates grow with the documents
+    return (docs.hint("merge").join(written(per_doc), "doc_id").select("doc_id", "text", "items")
             .mapInArrow(_aligned(threshold), "doc_id long, item_id long, score double, end_word long")
             .groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "end_word")).alias("b"))
             .select("doc_id", "item_id", "b.score", "b.end_word"))
