@@ -88,28 +88,43 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 @dataclass
 class Vocabulary:
     """Counts of the most frequent tokens and of the classes."""
-    ids: dict[bytes, int]           # frequent tokens, most frequent first
+    ids: dict[bytes, int]           # frequent tokens
     counts: np.ndarray              # of these tokens
     classes: np.ndarray             # of these tokens
     total: int                      # N: training tokens
     types: int                      # V: distinct training tokens
     class_total: np.ndarray
     class_types: np.ndarray
+    heads: dict[bytes, int]
+    floor: int | None               # level from which tokens are frequent
 
     def class_of(self, token: bytes) -> int:
-        i = self.ids.get(token, -1)
-        return int(self.classes[i]) if i >= 0 else tail_class(token)
+        """Class of a token that is not among the frequent ones."""
+        return self.heads[token] if token in self.heads else tail_class(token)
 
     def inside(self) -> np.ndarray:
         """Per class, the log10 of the denominator of P(token | class)."""
         return np.log10(self.class_total + self.class_types + 1.0)
 
 
+def _level(n: Column) -> Column:
+    """Counts on a scale of eight levels per doubling: at most 504 levels."""
+    return F.floor(F.log2(n) * 8).cast("int")
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """From the count table; only its ``FREQUENT`` top rows reach the driver."""
-    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
-    names, n = [bytes(r["token"]) for r in top], np.array([r["n"] for r in top], np.int64)
-    heads = {t: i for i, t in enumerate(names[:HEADS])}
+    """From the count table. The frequent tokens are those from the lowest level
+    on that keeps them at ``FREQUENT`` or fewer; only they reach the driver."""
+    floor, room = None, FREQUENT
+    for r in sorted(counts.groupBy(_level(F.col("n")).alias("level")).count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        floor = r["level"]
+    heads = {bytes(r["token"]): i for i, r in enumerate(counts.orderBy(F.desc("n"), "token").limit(HEADS).collect())}
+    frequent = counts.where(F.lit(False)) if floor is None else counts.where(_level(F.col("n")) >= floor)
+    top = frequent.select("token", "n").toArrow()
+    names, n = top.column("token").to_pylist(), top.column("n").to_numpy()
     classes = np.array([heads[t] if t in heads else tail_class(t) for t in names], np.int16)
 
     def sums(batches):
@@ -127,7 +142,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     for r in (counts.mapInArrow(sums, "c long, n long, v long").groupBy("c")
               .agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()):
         total[r["c"]], types[r["c"]] = r["n"], r["v"]
-    return Vocabulary({t: i for i, t in enumerate(names)}, n, classes, int(total.sum()), int(types.sum()), total, types)
+    return Vocabulary({t: i for i, t in enumerate(names)}, n, classes, int(total.sum()), int(types.sum()), total, types,
+                      heads, floor)
 
 
 def _class_ids(vocab: Vocabulary, text: list[str]):
@@ -148,7 +164,7 @@ def _class_ids(vocab: Vocabulary, text: list[str]):
     cls = np.where(ids >= 0, vocab.classes[ids] if len(vocab.classes) else 0, 0).astype(np.int64)
     flat = [w for ws in rare for w in ws]
     if flat:
-        known: dict[bytes, int] = {w: tail_class(w) for w in set(flat)}
+        known: dict[bytes, int] = {w: vocab.class_of(w) for w in set(flat)}
         cls[ids < 0] = [known[w] for w in flat]
     ends = np.array(ends)
     sizes = np.diff(ends, prepend=0)
@@ -266,8 +282,8 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocab, net) -> DataFrame:
                                         "rare array<binary>, times array<long>")
                    .withColumn("row", F.concat_ws("-", F.spark_partition_id(), F.monotonically_increasing_id())))
     # the rest of the count table: tokens beyond the frequent ones
-    least = vocab.value.counts[-1] if len(vocab.value.counts) >= FREQUENT else 0
-    rest = counts.where(F.col("n") <= F.lit(int(least))).select(F.col("token").alias("rare_token"), "n")
+    floor = vocab.value.floor
+    rest = (counts if floor is None else counts.where(_level(F.col("n")) < floor)).select(F.col("token").alias("rare_token"), "n")
     asked = rows.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
         "row", F.col("x.rare").alias("rare_token"), F.col("x.times").alias("times"))
     added = (asked.join(rest, "rare_token").groupBy("row")
