@@ -3,20 +3,19 @@
 1. Test items and documents are folded to words; every ``n`` words make a seed
    hash. The items' seeds form a bit table of fixed size, which every task
    holds: documents keep only seed positions that pass it.
-2. Hits join the items' seeds exactly. A seed counts as rare for an item if no
-   more documents hold it than hold the item's median seed, so an item that
-   leaked into very many documents keeps half its seeds, and phrases that are
-   common anyway find nothing.
-3. Where a document holds a rare seed of an item, the words around it are
-   aligned with the item by Smith-Waterman. A document is contaminated if the
-   score reaches ``threshold`` of the item's own.
+2. Hits join the items' seeds exactly. Every seed counts, however many documents
+   hold it: the seeds that survive an edit are also held by all fuller copies.
+3. Where a document holds a seed of an item, the words around it are aligned with
+   the item by Smith-Waterman, unless too few of the item's words lie there for
+   any alignment. A document is contaminated if the score reaches ``threshold``
+   of the item's own.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gearsight.llm.common import Shared, id_and_text, shingle_hashes, slices, written
@@ -57,6 +56,13 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, at
 
 
+def most_matches(item: np.ndarray, passage: np.ndarray) -> int:
+    """Words of the item (ids from 0) that find a partner in the passage in any
+    order; -1 is no word of the item. No alignment has more matches."""
+    have = np.bincount(passage[passage >= 0], minlength=int(item.max(initial=0)) + 1)
+    return int(np.minimum(np.bincount(item, minlength=len(have)), have).sum())
+
+
 def _seeds(items: DataFrame, n: int) -> DataFrame:
     """``(item_id, h, at, words)`` of the items' seeds; ``n`` words or, for a
     shorter item, all its words. Items without words have none."""
@@ -126,17 +132,20 @@ def _aligned(threshold: float):
                     item = words_of(c["item_text"])
                     slack = max(8, len(item) // 2)
                     spans: list[list[int]] = []
-                    for s in sorted({p - a for p, a in zip(c["pos"], c["at"])}):
+                    for s in sorted(c["starts"]):
                         lo, hi = max(0, s - slack), min(len(words), s + len(item) + slack)
                         if spans and lo <= spans[-1][1]:
                             spans[-1][1] = max(hi, spans[-1][1])
                         else:
                             spans.append([lo, hi])
                     ids: dict[bytes, int] = defaultdict(lambda: len(ids))
-                    want = np.array([ids[w] for w in item])
+                    want = np.array([ids[w] for w in item], np.int64)
                     best = (0, 0)
                     for lo, hi in spans:
-                        score, end = align(want, np.array([ids.get(w, -1) for w in words[lo:hi]]))
+                        passage = np.array([ids.get(w, -1) for w in words[lo:hi]], np.int64)
+                        if most_matches(want, passage) / len(item) < threshold:
+                            continue
+                        score, end = align(want, passage)
                         best = max(best, (score, lo + end))
                     share = best[0] / (MATCH * len(item))
                     if share >= threshold:
@@ -169,16 +178,11 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = SEED_WORDS, thresho
     sizes = sorted(r[0] for r in seeds.select(F.least("words", F.lit(n))).distinct().collect())   # at most n numbers
     hits = written(_hits(docs, Shared(spark, _bits(seeds)), sizes))
     spread = hits.select("doc_id", F.explode(F.arrays_zip("h", "pos")).alias("x")).select("doc_id", "x.h", "x.pos")
-    known = seeds.select("h").distinct()
-    held = spread.select("doc_id", "h").distinct().join(known, "h").groupBy("h").agg(F.count("*").alias("docs"))
-    rated = seeds.join(held, "h").withColumn(
-        "median", F.percentile("docs", F.lit(0.5)).over(Window.partitionBy("item_id")))
-    rare = written(rated.where("docs <= median").select("h", "item_id", "at"))
-    found = (spread.join(rare, "h").groupBy("doc_id", "item_id")
-             .agg(F.collect_list("pos").alias("pos"), F.collect_list("at").alias("at")))     # a document's own hits
+    found = (spread.join(seeds.select("h", "item_id", "at").distinct(), "h")
+             .groupBy("doc_id", "item_id").agg(F.collect_set(F.col("pos") - F.col("at")).alias("starts")))  # a document's own
     per_doc = (found.join(items.select("item_id", F.col("text").alias("item_text")).dropDuplicates(["item_id"]),
                           "item_id")
-               .groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_text", "pos", "at")).alias("items")))
+               .groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_text", "starts")).alias("items")))
     # a shuffle join at every size: the candidates grow with the documents
     return (docs.hint("merge").join(written(per_doc), "doc_id").select("doc_id", "text", "items")
             .mapInArrow(_aligned(threshold), "doc_id long, item_id long, score double, end_word long")

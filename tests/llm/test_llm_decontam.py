@@ -59,6 +59,27 @@ def test_planted(spark):
     assert all(0.5 <= r.score <= 1 for r in got)
 
 
+def test_edited_beside_exact(spark):
+    """The seeds an edited copy keeps are the item's most frequent ones."""
+    item = [f"w{i}" for i in range(30)]
+    kept = {0, 1, 2} | {i for i in range(4, 30) if i % 3}           # one run of three, then pairs: a single seed
+    rows = [(1, "before " + " ".join(item) + " behind")]
+    rows += [(d, " ".join("x" if k % n == n - 1 else w for k, w in enumerate(item))) for d, n in ((2, 5), (3, 6))]
+    rows += [(4, " ".join(w if k in kept else "x" for k, w in enumerate(item)))]
+    rows += [(10 + d, f"w0 w1 w2 then other words {d}") for d in range(20)]       # the phrase alone is no leak
+    got = decontam.contaminated(docs_frame(spark, rows), items_frame(spark, [(7, " ".join(item))])).collect()
+    share = {d: plain_align(item, t.split()) / 60 for d, t in rows}
+    assert {d for d, x in share.items() if x >= 0.5} == {1, 2, 3, 4}
+    assert {r.doc_id: r.score for r in got} == {d: share[d] for d in (1, 2, 3, 4)} and len(got) == 4
+
+
+def test_most_matches_bounds_alignments():
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = (np.array([rng.randrange(lo, 6) for _ in range(rng.randint(1, 15))]) for lo in (0, -1))
+        assert decontam.align(a, b)[0] <= 2 * decontam.most_matches(a, b)
+
+
 def test_empty(spark):
     one = [(1, "some words of an item")]
     assert decontam.contaminated(docs_frame(spark, []), items_frame(spark, one)).collect() == []
