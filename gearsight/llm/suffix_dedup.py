@@ -15,9 +15,11 @@ segment; all windows of a text lie in exactly one segment.
 4. Repeated windows go back to the texts they were cut from, and each text
    drops the union of its repeats.
 
-Contents of one anchor that exceed a shard (a passage found in very many
-different surroundings) are cut by the anchor's offset in the window, so they
-spread over shards; a window has one offset, so again no repeat is split.
+Contents of one anchor that exceed ``HOT_BYTES`` (a passage found in very many
+different surroundings) are never sorted together: they are texts of a new round,
+whose anchors are least under another seed and so mostly lie in the surroundings.
+What is still hot after ``ROUNDS`` is told by 128-bit hashes of its windows, which
+Spark counts. So no group in a task is larger than ``2 * HOT_BYTES``, at any size.
 """
 
 from __future__ import annotations
@@ -36,8 +38,9 @@ LENGTH = 400
 ANCHOR = 32
 SHARD_BYTES = 4 << 20           # bytes of a shard, on average
 SORT_MEMORY = 192 << 20         # queue bytes a sort keeps in memory
-HOT_BYTES = 16 << 20            # content bytes of one anchor that are cut by offset
-OFFSET_CUTS = 8
+HOT_BYTES = 16 << 20            # content bytes of one anchor that are not sorted together
+ROUNDS = 3                      # seeds tried before windows are hashed
+WINDOWS = 1 << 16               # window hashes of one Arrow batch
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -52,8 +55,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Segmenter:
-    def __init__(self, length: int = LENGTH, anchor: int = ANCHOR):
-        self.length, self.anchor = length, min(anchor, length)
+    def __init__(self, length: int = LENGTH, anchor: int = ANCHOR, seed: int = 0):
+        self.length, self.anchor, self.seed = length, min(anchor, length), np.uint64(seed * 0xD6E8FEB86659FD93 % (1 << 64))
         n = _BLOCK + length + 1
         self.up, self.down = _powers(_BASE, n), _powers(_INVERSE, n)
 
@@ -65,7 +68,7 @@ class Segmenter:
                 part = text[at:at + _BLOCK + k - 1]
                 sums = np.zeros(len(part) + 1, np.uint64)
                 np.cumsum((part + np.uint64(1)) * self.up[:len(part)], out=sums[1:])
-                h = (sums[k:] - sums[:-k]) * self.down[:len(part) - k + 1]
+                h = (sums[k:] - sums[:-k]) * self.down[:len(part) - k + 1] ^ self.seed
                 h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                 h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
                 out.append(h ^ (h >> np.uint64(29)))
@@ -99,16 +102,20 @@ def _long(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _placed(docs: DataFrame, length: int, anchor: int) -> DataFrame:
+def _raw(text) -> bytes:
+    return text if isinstance(text, bytes) else text.encode()
+
+
+def _placed(docs: DataFrame, length: int, anchor: int, seed: int) -> DataFrame:
     """Per row: id, text key, size, and the segments as parallel arrays."""
     def run(batches):
         from xxhash import xxh3_128_digest
-        seg = Segmenter(length, anchor)
+        seg = Segmenter(length, anchor, seed)
         for batch in batches:
             for part, text in slices(batch):
                 keys, sizes, cols = [], [], [[], [], [], [], []]
                 for t in text:
-                    raw = t.encode()
+                    raw = _raw(t)
                     keys.append(xxh3_128_digest(raw))
                     sizes.append(len(raw))
                     got = seg.segments(raw)
@@ -134,7 +141,7 @@ def _cut_texts(length: int):
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                raw = r["text"].encode()
+                raw = _raw(r["text"])
                 rows += [(s["h"], s["c"], raw[s["a"]:s["b"] + length]) for s in r["want"]]
                 if len(rows) > 4096:
                     yield _contents(rows)
@@ -175,76 +182,125 @@ def _runs(mask: np.ndarray) -> tuple[list[int], list[int]]:
     return edges[::2].tolist(), edges[1::2].tolist()
 
 
-def _sorted_shards(length: int):
-    """Rows sorted by shard -> per content the runs of repeated window starts."""
+def _sorted_shards(length: int, most: int):
+    """Rows sorted by shard and anchor -> per content the runs of repeated window
+    starts. Whole anchors are sorted together, a new lot beyond ``most`` bytes."""
     def finish(rows):
-        out = [(h, c, cut, *_runs(mask)) for (h, c, cut, _), mask in
-               zip(rows, repeated_windows([r[3] for r in rows], length))]
-        out = [o for o in out if o[3]]
+        out = [(h, c, *_runs(mask)) for (h, c, _), mask in
+               zip(rows, repeated_windows([r[2] for r in rows], length))]
+        out = [o for o in out if o[2]]
         if out:
-            h, c, cut, first, end = zip(*out)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(cut, pa.int32()),
-                 pa.array(first, pa.list_(pa.int32())), pa.array(end, pa.list_(pa.int32()))],
-                names=["h", "c", "cut", "first", "end"])
+            yield _run_batch(out)
 
     def run(batches):
-        shard, rows = None, []
+        shard, held, rows = None, 0, []
         for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("shard", "h", "c", "cut", "raw")]
-            for s, h, c, cut, raw in zip(*cols):
-                if (s, cut) != shard and rows:          # a content can be whole in several cuts: sort cuts apart
+            cols = [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("shard", "h", "c", "raw")]
+            for s, h, c, raw in zip(*cols):
+                if rows and (s != shard or held > most and h != rows[-1][0]):
                     yield from finish(rows)
-                    rows = []
-                shard = (s, cut)
-                rows.append((h, c, cut, raw))
+                    held, rows = 0, []
+                shard = s
+                held += len(raw)
+                rows.append((h, c, raw))
         if rows:
             yield from finish(rows)
     return run
 
 
-def _dealt(contents: DataFrame, length: int, anchor: int) -> tuple[DataFrame, int]:
-    """Contents with a shard; those of a hot anchor cut by offset.
+_RUNS = "h long, c long, first array<int>, end array<int>"
 
-    In a content of one anchor at place ``p``, the window at ``s`` has the anchor
-    at offset ``p - s``. Cut ``i`` holds the windows of the ``i``-th range of offsets.
-    """
+
+def _run_batch(rows):
+    h, c, first, end = zip(*rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(h, pa.int64()), pa.array(c, pa.int64()),
+         pa.array(first, pa.list_(pa.int32())), pa.array(end, pa.list_(pa.int32()))], names=["h", "c", "first", "end"])
+
+
+def _by_sort(contents: DataFrame, length: int) -> DataFrame:
+    """``(h, c, first, end)``: repeated windows of contents, by sorted shards."""
     spark = contents.sparkSession
     total, = contents.agg(F.coalesce(F.sum(F.length("raw")), F.lit(0))).first()
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
-    hot = (contents.groupBy("h").agg(F.sum(F.length("raw")).alias("bytes")).where(F.col("bytes") > HOT_BYTES)
-           .select("h", F.lit(True).alias("hot")))
-    step = -(-(length - anchor + 1) // OFFSET_CUTS)
+    return (contents.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(n)).cast("int"))
+            .repartition(n, "shard").sortWithinPartitions("shard", "h", "c")
+            .mapInArrow(_sorted_shards(length, HOT_BYTES), _RUNS))
+
+
+def _by_hash(contents: DataFrame, length: int) -> DataFrame:
+    """The same by the windows' hashes: nothing is gathered but counts and, for
+    ``WINDOWS`` neighbouring starts of a content, which of them repeat."""
+    most = WINDOWS
 
-    def cut(batches):
-        seg = Segmenter(length, anchor)
+    def hashes(batches):
+        from xxhash import xxh3_128_digest
         for batch in batches:
-            rows = []
+            cols = [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("h", "c", "raw")]
+            parts, held = [], 0
+            for h, c, raw in zip(*cols):
+                windows = len(raw) - length + 1
+                for lo in range(0, windows, most):
+                    hi = min(windows, lo + most)
+                    digests = b"".join([xxh3_128_digest(raw[i:i + length]) for i in range(lo, hi)])
+                    parts.append((h, c, lo, hi, np.frombuffer(digests, "<i8").reshape(-1, 2)))
+                    held += hi - lo
+                    if held >= most:
+                        yield _hash_batch(parts)
+                        parts, held = [], 0
+            if parts:
+                yield _hash_batch(parts)
+
+    def to_runs(batches):
+        for batch in batches:
+            out = []
             for r in batch.to_pylist():
-                raw = r["raw"]
-                at = np.flatnonzero(seg._hashes(np.frombuffer(raw, np.uint8)) == np.uint64(r["h"] & (1 << 64) - 1)) \
-                    if r["hot"] else ()
-                if len(at) != 1:            # not hot, or the anchor twice: kept whole in every cut
-                    rows += [(r["h"], r["c"], i, 0, raw) for i in (range(OFFSET_CUTS) if r["hot"] else (-1,))]
-                    continue
-                for i in range(OFFSET_CUTS):
-                    lo = max(0, int(at[0]) - (i + 1) * step + 1)
-                    hi = min(len(raw) - length, int(at[0]) - i * step)
-                    if lo <= hi:
-                        rows.append((r["h"], r["c"], i, lo, raw[lo:hi + length]))
-            cols = list(zip(*rows)) or [[], [], [], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
-                names=["h", "c", "cut", "shift", "raw"])
-    dealt = (contents.join(hot, "h", "left").mapInArrow(cut, "h long, c long, cut int, shift int, raw binary")
-             .withColumn("shard", F.pmod(F.xxhash64("h", "cut"), F.lit(n)).cast("int")))
-    return dealt, n
-
-
-def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+                s = np.sort(np.array(r["s"], np.int32))
+                new = np.flatnonzero(np.diff(s) > 1)
+                out.append((r["h"], r["c"], s[np.append(0, new + 1)].tolist(), (s[np.append(new, len(s) - 1)] + 1).tolist()))
+            if out:
+                yield _run_batch(out)
+    windows = contents.select("h", "c", "raw").mapInArrow(hashes, "h long, c long, s int, x long, y long")
+    same = windows.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")
+    return (windows.hint("merge").join(same, ["x", "y"])
+            .groupBy("h", "c", F.floor(F.col("s") / F.lit(most)).alias("block"))
+            .agg(F.collect_list("s").alias("s")).select("h", "c", "s").mapInArrow(to_runs, _RUNS))
+
+
+def _hash_batch(parts):
+    sizes = [hi - lo for _, _, lo, hi, _ in parts]
+    xy = np.concatenate([p[4] for p in parts])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.repeat(np.array([p[i] for p in parts], np.int64), sizes)) for i in (0, 1)]
+        + [pa.array(np.concatenate([np.arange(lo, hi, dtype=np.int32) for _, _, lo, hi, _ in parts]))]
+        + [pa.array(np.ascontiguousarray(xy[:, i])) for i in (0, 1)], names=["h", "c", "s", "x", "y"])
+
+
+def _spread_runs(found: DataFrame) -> DataFrame:
+    return found.select("h", "c", F.explode(F.arrays_zip("first", "end")).alias("x")).select("h", "c", "x.first", "x.end")
+
+
+def _repeated(contents: DataFrame, length: int, anchor: int, seed: int) -> DataFrame:
+    """``(h, c, first, end)``: runs of repeated windows within contents ``(h, c, raw)``."""
+    hot = written(contents.groupBy("h").agg(F.sum(F.length("raw")).alias("bytes")).where(F.col("bytes") > HOT_BYTES)
+                  .select("h"))
+    if hot.isEmpty():
+        return _spread_runs(_by_sort(contents, length))
+    hot = F.broadcast(hot)                                  # at most one row for HOT_BYTES of contents
+    cold = _spread_runs(_by_sort(contents.join(hot, "h", "left_anti"), length))
+    dense = contents.join(hot, "h")
+    if seed + 1 >= ROUNDS:
+        return cold.unionByName(_spread_runs(_by_hash(dense, length)))
+    dense = written(_keyed(dense.select("h", "c", F.col("raw").alias("text"))))
+    again = repeats(dense.select("text"), length, anchor, seed + 1)
+    return cold.unionByName(dense.select("h", "c", "t").join(again, "t")
+                            .select("h", "c", F.explode("runs").alias("x")).select("h", "c", "x.first", "x.end"))
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, seed: int = 0) -> DataFrame:
     """``(t, first, end)``: per distinct text (by its 128-bit key) the runs of
-    starts of repeated windows. ``docs(text)``."""
-    placed = written(_placed(docs, length, anchor))
+    starts of repeated windows. ``docs(text)``, as a string or bytes."""
+    placed = written(_placed(docs, length, anchor, seed))
     groups = placed.groupBy("h", "c").agg(
         F.sum("m").alias("times"), F.max("twice").alias("twice"), F.min(F.struct("t", "a", "b")).alias("at"))
     kinds = groups.groupBy("h").agg(F.count("*").alias("kinds"))
@@ -256,18 +312,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Data
     keyed = _keyed(docs).join(want.select("t"), "t", "left_semi").dropDuplicates(["t"])
     contents = written(keyed.join(want, "t").select("text", "want")
                        .mapInArrow(_cut_texts(length), "h long, c long, raw binary"))
-    dealt, shards = _dealt(contents, length, anchor)
-    dealt = written(dealt)
-    found = (dealt.repartition(shards, "shard").sortWithinPartitions("shard", "cut", "h", "c")
-             .mapInArrow(_sorted_shards(length), "h long, c long, cut int, first array<int>, end array<int>"))
-    shifts = dealt.select("h", "c", "cut", "shift")
-    found = (found.join(shifts, ["h", "c", "cut"])
-             .select("h", "c", F.explode(F.arrays_zip("first", "end")).alias("x"), "shift")
-             .select("h", "c", (F.col("x.first") + F.col("shift")).alias("first"),
-                     (F.col("x.end") + F.col("shift")).alias("end")))
     copies = groups.where("times > 1").select("h", "c", F.lit(0).alias("first"),
                                               (F.col("at.b") - F.col("at.a") + 1).alias("end"))
-    runs = found.unionByName(copies)
+    runs = _repeated(contents, length, anchor, seed).unionByName(copies)
     return (placed.select("h", "c", "t", "a").join(runs, ["h", "c"])
             .select("t", (F.col("a") + F.col("first")).alias("first"), (F.col("a") + F.col("end")).alias("end"))
             .groupBy("t").agg(F.collect_set(F.struct("first", "end")).alias("runs")))    # a text's own windows
@@ -279,7 +326,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part, text in slices(batch):
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([xxh3_128_digest(t.encode()) for t in text], pa.binary())],
+                    [*part.columns, pa.array([xxh3_128_digest(_raw(t)) for t in text], pa.binary())],
                     names=[*part.schema.names, "t"])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, schema + ", t binary")

@@ -1,7 +1,10 @@
 """Induced sorting and repeat removal against brute force."""
 
 import hashlib
+import os
 import random
+import tempfile
+import uuid
 
 import numpy as np
 import pytest
@@ -79,6 +82,32 @@ def test_removal(spark, hot, monkeypatch):
     assert any(w[2] for w in want) and any(not w[2] for w in want)
 
 
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_hot_anchor_lots_are_bounded(spark, rounds, monkeypatch):
+    """One passage in many surroundings and a text of one letter: no lot that a
+    task sorts exceeds twice HOT_BYTES, and all repeats are found."""
+    most, notes = 3000, tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    plain = suffix_dedup.repeated_windows
+
+    def noted(contents, length, *rest):
+        with open(f"{notes}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(sum(map(len, contents))))
+        return plain(contents, length, *rest)
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", noted)
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", most)
+    monkeypatch.setattr(suffix_dedup, "ROUNDS", rounds, raising=False)
+    rng = random.Random(4)
+    letter = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = letter(24)
+    rows = [(i, letter(60) + passage + letter(60)) for i in range(400)] + [(500, "x" * 9000), (501, "yz" * 4000)]
+    rows += [(600 + i, letter(9) + rows[i][1][20:110] + letter(9)) for i in range(0, 60, 3)]
+    docs = docs_frame(spark, rows).repartition(3)
+    got = suffix_dedup.remove_repeats(docs, length=40, anchor=8)
+    assert sorted((tuple(r)[:5] for r in got.collect()), key=str) == plain_removed(rows, 40)
+    lots = [int(open(f"{notes}/{x}").read()) for x in os.listdir(notes)]
+    assert lots and max(lots) <= 2 * most
+
+
 def test_full_length(spark):
     rng = random.Random(9)
     letter = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
