@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +77,17 @@ def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 256):
         yield part, texts(part, column)
 
 
+def pieces(batch: pa.RecordBatch, column: str, size: int):
+    """A batch in runs of rows with about ``size`` bytes in ``column``; a larger
+    value is a run of its own."""
+    lengths = pc.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0)
+    run = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield (part := batch.slice(a, b - a)), texts(part, column)
+
+
 def shingle_hashes(words: list[bytes], size: int, seed: int = 42) -> np.ndarray:
     """XXH64 of every run of ``size`` words joined by one space; of the whole
     sequence if it is shorter; none for no words."""

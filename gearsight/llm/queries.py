@@ -7,18 +7,20 @@ import importlib.util
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gearsight.llm import ann, decontam, line_dedup, lm, packing, quality, simhash, suffix_dedup, toxicity, url_filter
+from gearsight.llm import (
+    ann, byte_bpe, decontam, line_dedup, lm, packing, quality, simhash, suffix_dedup, toxicity, url_filter)
 from gearsight.llm.common import fold, table
 from gearsight.llm.oracles import ORACLES
 from gearsight.session import apply_defaults
 
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
-def tokenizer_path() -> str:
-    """Where the installed public vocabulary lies; the same on every machine."""
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where an installed public vocabulary lies; the same on every machine."""
     import public_tokenizers
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,13 +67,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), cap=1024, end_id=2)
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+    ranks = tokenizer_path(RANKS)
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, PATTERN)
+    return byte_bpe.decode(encoded, ranks, PATTERN).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 _QUERIES = (op1_simhash, op2_suffix_dedup, op3_decontamination, op4_url_filter, op5_nearest, op6_quality, op7_toxicity,
-            op8_line_dedup, op9_language_model, op10_packing)
+            op8_line_dedup, op9_language_model, op10_packing, op11_byte_bpe)
 
 
 def _prepared(build):
