@@ -69,10 +69,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
-    ranks = tokenizer_path(RANKS)
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, PATTERN)
-    return byte_bpe.decode(encoded, ranks, PATTERN).select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    back = byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(RANKS), PATTERN)
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
