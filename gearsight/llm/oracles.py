@@ -73,4 +73,62 @@ select page_id, r.host, path, rule,
 from ruled r left join hosts h on h.host = r.host
 """
 
-ORACLES = {"op4_url_filter": URL_FILTER, "op8_line_dedup": LINE_DEDUP}
+_FIELDS = ("doc_id", "source", "lang", "n_chars")
+
+
+def _leaf(text: str) -> str:
+    parts = [f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')" for c in (*_FIELDS, text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+# CRC-32 of a string of ASCII characters, bit by bit (reflected polynomial 0xEDB88320).
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length({0}) + 1),
+  lambda i: ascii({0}[i])::bigint)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+  lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"""
+
+
+def _merkle_levels(name: str, leaves: str) -> str:
+    return f"""
+{name}(g, level, pos, h) as (
+  select g, 0, pos, h from {leaves}
+  union all
+  select g, level + 1, pos // 8, sha256(string_agg(h, '' order by pos))
+  from (select *, count(*) over (partition by g) as n from {name}) where n > 1 group by g, level, pos // 8),
+{name}_runs as (
+  select g, level, pos // 8 as up, list(h order by pos) as hs
+  from (select *, count(*) over (partition by g, level) as n from {name}) where n > 1 group by 1, 2, 3)"""
+
+
+def _merkle_climb(name: str, tree: str, start: str) -> str:
+    """From each start (k, g, pos, folded, proof) to the root of its tree."""
+    return f"""
+{name}(k, g, level, pos, folded, proof) as (
+  select k, g, 0, pos, folded, proof from {start}
+  union all
+  select k, c.g, c.level + 1, pos // 8,
+         sha256(array_to_string(hs[:pos % 8], '') || folded || array_to_string(hs[pos % 8 + 2:], '')),
+         proof || array_to_string(hs[:pos % 8], '') || array_to_string(hs[pos % 8 + 2:], '')
+  from {name} c join {tree}_runs r on r.g = c.g and r.level = c.level and r.up = c.pos // 8),
+{name}_end as (select k, g, arg_max(folded, level) as folded, arg_max(proof, level) as proof from {name} group by k, g)"""
+
+
+MERKLE = f"""
+with recursive lowered as (select *, translate(text, '{_UPPER}', '{_LOWER}') as low, cast(doc_id as varchar) as s from documents),
+hashed as (
+  select doc_id, coalesce('=' || lang, '') as g, {_leaf("text")} as h,
+         case when {_CRC.format("s")} % 3 = 0 then {_leaf("low")} else {_leaf("text")} end as shown
+  from lowered),
+placed as (select *, row_number() over () as k, row_number() over (partition by g order by doc_id nulls first, h) - 1 as pos
+           from hashed),{_merkle_levels("node", "placed")},
+subroots as (select g as lang, arg_max(h, level) as h from node group by g),
+tops as (select '' as g, lang, h, row_number() over (order by lang) - 1 as pos from subroots),{_merkle_levels("high", "tops")},
+top as (select arg_max(h, level) as root from high),
+started as (select k, g, pos, shown as folded, '' as proof from placed),{_merkle_climb("climb", "node", "started")},
+higher as (select k, '' as g, t.pos, folded, proof from climb_end c join tops t on t.lang = c.g),
+{_merkle_climb("rise", "high", "higher")}
+select doc_id, p.h as leaf, s.h as subroot, root, sha256(proof) as proof_sha256, folded as folded_root,
+       folded = root as verified
+from placed p join subroots s on s.lang = p.g join rise_end r on r.k = p.k, top
+"""
+
+ORACLES = {"op4_url_filter": URL_FILTER, "op8_line_dedup": LINE_DEDUP, "op12_merkle": MERKLE}

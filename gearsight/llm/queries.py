@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gearsight.llm import (
-    ann, byte_bpe, decontam, line_dedup, lm, packing, quality, simhash, suffix_dedup, toxicity, url_filter)
+    ann, byte_bpe, decontam, line_dedup, lm, merkle, packing, quality, simhash, suffix_dedup, toxicity, url_filter)
 from gearsight.llm.common import fold, table
 from gearsight.llm.oracles import ORACLES
+from gearsight.llm.url_filter import LOWER, UPPER
 from gearsight.session import apply_defaults
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -74,13 +75,26 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    plain = ["doc_id", "source", "lang", "n_chars"]
+    lowered = F.translate("text", UPPER, LOWER)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    leaf = merkle.leaf([F.col(c) for c in [*plain, "text"]])
+    leaves = docs.select("doc_id", "lang", leaf.alias("leaf"),
+                         F.when(tampered, merkle.leaf([*map(F.col, plain), lowered])).otherwise(leaf).alias("shown"))
+    proven = merkle.manifest(leaves, ["doc_id"], "lang").withColumn("folded_root", merkle.folded(F.col("shown"), F.col("path")))
+    return proven.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 _QUERIES = (op1_simhash, op2_suffix_dedup, op3_decontamination, op4_url_filter, op5_nearest, op6_quality, op7_toxicity,
-            op8_line_dedup, op9_language_model, op10_packing, op11_byte_bpe)
+            op8_line_dedup, op9_language_model, op10_packing, op11_byte_bpe, op12_merkle)
 
 
 def _prepared(build):
