@@ -59,9 +59,8 @@ def _numbered(leaves: DataFrame, order: list[str]) -> DataFrame:
     """``leaves(group, leaf, row, *order)`` with ``pos`` from 0 in the group and the
     group's number of leaves ``n``."""
     ways = ["group", *order, "leaf", "_tie"]
-    spread = (leaves.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*ways)
-              .withColumn("_range", F.spark_partition_id()))
-    spread = written(spread)
+    leaves = written(leaves.withColumn("_tie", F.monotonically_increasing_id()))     # ranges are found by a pass of their own
+    spread = written(leaves.repartitionByRange(*ways).withColumn("_range", F.spark_partition_id()))
     group = Window.partitionBy("group")
     counts = (spread.groupBy("group", "_range").count()
               .select("group", "_range", (F.sum("count").over(group.orderBy("_range")) - F.col("count")).alias("_first"),

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gearsight.llm import (
-    ann, byte_bpe, decontam, line_dedup, lm, merkle, packing, quality, simhash, suffix_dedup, toxicity, url_filter)
+    ann, byte_bpe, decontam, line_dedup, lm, merkle, packing, quality, simhash, suffix_dedup, token_alignment, toxicity,
+    url_filter)
 from gearsight.llm.common import fold, table
 from gearsight.llm.oracles import ORACLES
 from gearsight.llm.url_filter import LOWER, UPPER
@@ -16,6 +17,7 @@ from gearsight.session import apply_defaults
 
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -88,13 +90,21 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenizer_path(), tokenizer_path(PIECES)
+    aligned = token_alignment.align(table(spark, sf_dir, "documents"), *files)
+    hashed = aligned.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")).drop("groups")
+    return token_alignment.link_counts(hashed, *token_alignment.vocabulary_sizes(*files)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 _QUERIES = (op1_simhash, op2_suffix_dedup, op3_decontamination, op4_url_filter, op5_nearest, op6_quality, op7_toxicity,
-            op8_line_dedup, op9_language_model, op10_packing, op11_byte_bpe, op12_merkle)
+            op8_line_dedup, op9_language_model, op10_packing, op11_byte_bpe, op12_merkle, op13_alignment)
 
 
 def _prepared(build):
