@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from gearsight.llm.common import written
 
 FANOUT = 8
+TASK_ROWS = 1 << 17     # nodes that one task of an upper level writes
 PATH = "array<struct<before:string,after:string>>"
 
 
@@ -59,8 +60,8 @@ def _numbered(leaves: DataFrame, order: list[str]) -> DataFrame:
     """``leaves(group, leaf, row, *order)`` with ``pos`` from 0 in the group and the
     group's number of leaves ``n``."""
     ways = ["group", *order, "leaf", "_tie"]
-    leaves = written(leaves.withColumn("_tie", F.monotonically_increasing_id()))     # ranges are found by a pass of their own
-    spread = written(leaves.repartitionByRange(*ways).withColumn("_range", F.spark_partition_id()))
+    spread = written(leaves.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*ways)
+                     .withColumn("_range", F.spark_partition_id()))
     group = Window.partitionBy("group")
     counts = (spread.groupBy("group", "_range").count()
               .select("group", "_range", (F.sum("count").over(group.orderBy("_range")) - F.col("count")).alias("_first"),
@@ -82,12 +83,12 @@ def _pivot(nodes: DataFrame, fanout: int, carried: list[str]) -> DataFrame:
 
 
 def _levels(nodes: DataFrame, fanout: int) -> list[DataFrame]:
-    """The runs of every level, leaves first, each written once."""
+    """The runs of every level, leaves first, each written once, in files of some size."""
     levels = [written(_pivot(nodes, fanout, ["row"]))]
-    while (levels[-1].agg(F.max("n")).first()[0] or 0) > fanout:
+    while (size := levels[-1].agg(F.max("n"), F.count("*")).first())[0] and size[0] > fanout:
         up = levels[-1].where(F.col("n") > fanout).select(
             "group", "pos", F.ceil(F.col("n") / fanout).alias("n"), F.col("node").alias("leaf"))
-        levels.append(written(_pivot(up, fanout, [])))
+        levels.append(written(_pivot(up, fanout, []).coalesce(-(-size[1] // TASK_ROWS))))
     return levels
 
 
@@ -139,7 +140,7 @@ def manifest(leaves: DataFrame, order: list[str], group: str, fanout: int = FANO
     keys = [f"_order{i}" for i in range(len(order))]
     rows = leaves.select(own.alias("group"), "leaf", F.struct(*rest).alias("row"),
                          *[F.col(c).alias(k) for c, k in zip(order, keys)])
-    inner = _levels(_numbered(rows, keys), fanout)
+    inner = _levels(_numbered(written(rows), keys), fanout)      # ranges are sought by a pass of its own
     tops = written(_tops(inner, fanout))
     over = tops.select(F.lit("").alias("group"), F.col("top").alias("leaf"), F.struct(*tops.columns).alias("row"),
                        F.col("group").alias("_order0"))
