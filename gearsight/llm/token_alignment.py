@@ -17,6 +17,8 @@
 from __future__ import annotations
 
 import json
+import os
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -26,9 +28,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gearsight.llm.common import Shared, id_and_text, pieces, worker_cache, written
-from gearsight.llm.packing import _BYTE_CHARS, WordCachedTokenizer
+from gearsight.llm.packing import _BYTE_CHARS
 
-CACHE = 300_000             # words whose ids a Python worker keeps
+CACHE = 500_000             # words whose ids a Python worker keeps
 SLICE_BYTES = 1 << 20       # text worked on at once; one document is never cut
 FREQUENT = 1 << 19          # pairs sent to every task: 16 bytes each
 HELD_PAIRS = 1 << 21        # pairs a task sums up before it passes them on
@@ -41,7 +43,10 @@ class Encoders:
 
     def __init__(self, byte_file: str, piece_file: str):
         import sentencepiece
-        self.a = WordCachedTokenizer(byte_file)
+        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # one task, one core
+        self.a = Tokenizer.from_file(byte_file)
+        self.a.encode_special_tokens = True         # their strings in a text are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_file)
         back = {chr(c): x for x, c in _BYTE_CHARS.items()}
         with open(byte_file, encoding="utf-8") as f:
@@ -58,10 +63,20 @@ class Encoders:
         self.shown = shown
         # words can be encoded alone if no piece goes on behind a space or holds a line feed
         self.by_word = not any(_SPACE in n.lstrip(_SPACE) or "\n" in n for n in names)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known_a: dict[str, bytes] = {}
+        self.known_b: dict[str, bytes] = {}
+        self.changed: set[str] = set()              # chunks whose bytes a side does not give back
+        self.stops = {x: self.a_whole(x) for x in ".,"}
 
-    def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(self.a._whole(" " + text), "<u4"), np.array(self.b.encode(text), "<u4")
+    def a_whole(self, text: str) -> bytes:
+        return array("I", self.a.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _whole(self, text: str) -> tuple[bytes, bytes]:
+        return self.a_whole(" " + text), array("I", self.b.encode(text)).tobytes()
+
+    def _same(self, ids: tuple[bytes, bytes], want: bytes) -> bool:
+        return all(b"".join(map(of.__getitem__, array("I", side))) == want
+                   for side, of in zip(ids, (self.a_bytes, self.b_bytes)))
 
     def _chunks(self, text: str) -> list[str] | None:
         """Space + text cut before every space and around line feeds, where both
@@ -71,31 +86,43 @@ class Encoders:
             return None
         return (" " + text.replace("\n", "\0\n\0").replace(" ", "\0 ")).split("\0")
 
+    def _a_chunk(self, chunk: str) -> bytes:
+        """A word is one piece of the byte-level split rule, and so is one stop or comma behind it."""
+        body = chunk[chunk[0] == " ":]
+        if body.isalpha():
+            shown = chunk.encode().decode("latin-1").translate(_BYTE_CHARS)
+            return array("I", [t.id for t in self.a.model.tokenize(shown)]).tobytes()
+        if body[-1:] in (".", ",") and body[:-1].isalpha():
+            return (self.known_a.get(chunk[:-1]) or self._a_chunk(chunk[:-1])) + self.stops[body[-1]]
+        return self.a_whole(chunk)
+
     def _learn(self, chunks: list[str]) -> None:
         """Ids of new chunks. The model adds a space, which chunks that begin with
         one leave out; others get a line feed in front, and lose both again."""
         spaced = [c[0] == " " for c in chunks]
-        ids = self.b.encode([c[1:] if s else "\n" + c for c, s in zip(chunks, spaced)], num_threads=1)
-        for c, s, b in zip(chunks, spaced, ids):
-            a = self.a._chunk(c) if len(c) > 1 else self.a._whole(c)
-            self.known[c] = a, np.array(b if s else b[2:], "<u4").tobytes()
+        found = self.b.encode([c[1:] if s else "\n" + c for c, s in zip(chunks, spaced)], num_threads=1)
+        for c, s, ids in zip(chunks, spaced, found):
+            ids = self._a_chunk(c), array("I", ids if s else ids[2:]).tobytes()
+            self.known_a[c], self.known_b[c] = ids
+            if not self._same(ids, c.encode()):
+                self.changed.add(c)
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """``(A ids, B ids)`` of each text; no ids where the bytes of a side differ."""
         cut = [self._chunks(t) if t else None for t in texts]
-        if len(self.known) > CACHE:
-            self.known, self.a.chunks = {}, {}
-        if new := list(set(chain.from_iterable(c for c in cut if c)).difference(self.known)):
+        if len(self.known_a) > CACHE:
+            self.known_a, self.known_b, self.changed = {}, {}, set()
+        if new := list(set(chain.from_iterable(c for c in cut if c)).difference(self.known_a)):
             self._learn(new)
         out = []
         for text, chunks in zip(texts, cut):
             if chunks:
-                a, b = (np.frombuffer(b"".join(side), "<u4") for side in zip(*map(self.known.__getitem__, chunks)))
+                ids = b"".join(map(self.known_a.__getitem__, chunks)), b"".join(map(self.known_b.__getitem__, chunks))
             else:
-                a, b = self._whole(text) if text else (np.empty(0, "<u4"),) * 2
-            want = b" " + text.encode()
-            same = all(b"".join(map(of.__getitem__, ids.tolist())) == want for ids, of in ((a, self.a_bytes), (b, self.b_bytes)))
-            out.append((a, b) if same and text else (a[:0], b[:0]))
+                ids = self._whole(text) if text else (b"", b"")
+            if not chunks or not self.changed.isdisjoint(chunks):
+                ids = ids if text and self._same(ids, b" " + text.encode()) else (b"", b"")
+            out.append(tuple(np.frombuffer(x, "<u4") for x in ids))
         return out
 
 
@@ -140,6 +167,7 @@ def align_batch(encoders: Encoders, texts: list[str]) -> dict[str, list]:
     n_groups, groups = _grouped(a, b, len(texts), encoders.shown)
     doc, width = a["doc"].to_numpy()[in_a], len(encoders.b_bytes)
     pair = a["id"].to_numpy()[in_a] * width + b["id"].to_numpy()[in_b]
+    n_links = np.bincount(doc, minlength=len(texts)).tolist()
     order = np.lexsort((pair, doc))
     doc, pair = doc[order], pair[order]
     first = np.flatnonzero(np.diff(doc, prepend=-1) | np.diff(pair, prepend=-1))
@@ -148,7 +176,7 @@ def align_batch(encoders: Encoders, texts: list[str]) -> dict[str, list]:
     packed = pair[first].astype(pair_type(len(encoders.a_bytes), width))
     spans = list(zip(edges[:-1], edges[1:]))
     return {"n_a": [len(x) for x, _ in ids], "n_b": [len(x) for _, x in ids], "n_groups": n_groups.tolist(),
-            "n_links": np.bincount(doc, minlength=len(texts)).tolist(), "groups": groups,
+            "n_links": n_links, "groups": groups,
             "pairs": [packed[i:j].tobytes() for i, j in spans], "times": [times[i:j].tobytes() for i, j in spans]}
 
 
