@@ -1,14 +1,18 @@
 """Removal of lines that many documents share.
 
-1. Each document becomes its list of 128-bit line-key hashes (written once).
+1. Each document becomes its list of 128-bit line-key hashes (written once),
+   known by a hash of its text: equal texts lose equal lines.
 2. The hashes are counted per document with map-side combining.
 3. Distinct hashes go to shards of bounded size. A shard builds a minimal
    perfect hash (levels of bit arrays; a key's index is the rank of its bit)
    with a fingerprint and a saturating count at each index.
-4. Documents probe: hash lists go to ``(shard, salt)``, where the shard's
-   arrays come first in the sort order and are the only thing held in memory.
-   Lines are never joined with lines, and a hot shard is split by salt.
-5. Only the hashes to drop go back to the texts.
+4. Documents probe: one row per (document, line hash) goes to the hash's shard,
+   where the shard's arrays come first in the sort order and are the only thing
+   held in memory. Lines are never joined with lines.
+5. A hash that holds a 4,096th of all these rows or more would make its shard hot.
+   There are 4,096 such hashes at most; their own small index goes to every task
+   and is probed where the documents are, so nothing hot is shuffled.
+6. Only the hashes to drop go back to the texts.
 """
 
 from __future__ import annotations
@@ -20,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gearsight.llm.common import id_and_text, slices, texts, written
+from gearsight.llm.common import Shared, id_and_text, slices, texts, written
 
 SHARD_KEYS = 1 << 18        # distinct hashes per shard: about 1.3 MB of arrays
-PROBES = 1 << 20            # probes per (shard, salt)
+PROBES = 1 << 20            # mean number of probes per shard
+HOT = 1 << 12               # hashes that every task probes: those of at least 1 / HOT of all probes
 SPACE = b" \t\n\x0b\x0c\r"
 _LEVELS = 24
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -51,9 +56,10 @@ def _slot(h: np.ndarray, level: int, size: int) -> np.ndarray:
         return ((x ^ (x >> np.uint64(31))) % np.uint64(size)).astype(np.int64)
 
 
-def build_index(keys: np.ndarray, counts: np.ndarray, most: int) -> dict:
+def build_index(keys: np.ndarray, counts: np.ndarray, most: int, exact: bool = False) -> dict:
     """Index of distinct ``keys`` (n, 2). Keys without a free slot after the last
-    level stay in a short sorted list. Counts saturate at ``most``."""
+    level stay in a short sorted list. Counts saturate at ``most``. With ``exact``
+    whole keys are kept beside the fingerprints, for probes by keys of other sets."""
     levels, left, order, done = [], np.arange(len(keys)), [], 0
     for level in range(_LEVELS):
         if not len(left):
@@ -73,7 +79,10 @@ def build_index(keys: np.ndarray, counts: np.ndarray, most: int) -> dict:
     for of, to in order:
         prints[to] = (keys[of, 1] & np.uint64(0xFFFF)).astype(np.uint16)
         values[to] = np.minimum(counts[of], most)
-    return {"levels": levels, "rest": keys[rest], "first": done, "prints": prints, "values": values}
+    whole = np.zeros((len(keys), 2), np.uint64) if exact else None
+    for of, to in order if exact else ():
+        whole[to] = keys[of]
+    return {"levels": levels, "rest": keys[rest], "first": done, "prints": prints, "values": values, "whole": whole}
 
 
 def open_index(index: dict) -> dict:
@@ -83,7 +92,7 @@ def open_index(index: dict) -> dict:
 
 
 def probe(index: dict, h: np.ndarray) -> np.ndarray:
-    """Counts of ``h`` (n, 2); zero where the fingerprint differs."""
+    """Counts of ``h`` (n, 2); zero where the fingerprint (or the whole key) differs."""
     place, left = np.full(len(h), -1), np.arange(len(h))
     for level, (bits, ranks, size) in enumerate(index["ranks"]):
         if not len(left):
@@ -98,20 +107,28 @@ def probe(index: dict, h: np.ndarray) -> np.ndarray:
             place[i] = index["first"] + where.get(tuple(h[i].tolist()), -1 - index["first"])
     ok = place >= 0
     out = np.zeros(len(h), np.int64)
-    same = index["prints"][place[ok]] == (h[ok, 1] & np.uint64(0xFFFF)).astype(np.uint16)
+    if index["whole"] is not None:
+        same = (index["whole"][place[ok]] == h[ok]).all(axis=1)
+    else:
+        same = index["prints"][place[ok]] == (h[ok, 1] & np.uint64(0xFFFF)).astype(np.uint16)
     out[ok] = np.where(same, index["values"][place[ok]], 0)
     return out
 
 
 # --- the Spark job ------------------------------------------------------------------------
 
+def _by_text(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with ``_line_key``, the MD5 of the text: what a document loses follows from its text."""
+    return docs.withColumn("_line_key", F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+
+
 def _hash_lists(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part, text in slices(batch):
                 yield pa.record_batch([part.column(0), pa.array([key_hashes(t).tobytes() for t in text], pa.binary())],
-                                      names=["doc_id", "hashes"])
-    return docs.mapInArrow(run, "doc_id long, hashes binary")
+                                      names=["key", "hashes"])
+    return docs.mapInArrow(run, "key binary, hashes binary")
 
 
 def _distinct(blob: bytes) -> np.ndarray:
@@ -142,72 +159,75 @@ def _indexes(counts: DataFrame, shards: int, most: int) -> DataFrame:
             .groupBy("shard").applyInPandas(build, "shard int, arrays binary"))
 
 
-def _probes(lists: DataFrame, shards: int, salts: int) -> DataFrame:
+def _probes(lists: DataFrame, hot: Shared) -> DataFrame:
+    """``(key, h0, h1)``: every document with each of its different hashes that is not hot."""
     def run(batches):
+        index = hot.value
         for batch in batches:
             for part, blobs in slices(batch, "hashes", 1024):
-                rows = []
-                for doc, blob in zip(part.column(0).to_pylist(), blobs):
-                    h = _distinct(blob)
-                    # pmod of the signed value, as in _indexes
-                    shard = np.mod(h[:, 0].view(np.int64) if len(h) else np.empty(0, np.int64), shards)
-                    rows += [(int(s), doc, h[shard == s].tobytes()) for s in np.unique(shard)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()),
-                         pa.array([r[2] for r in rows], pa.binary())], names=["shard", "doc_id", "arrays"])
-    return (lists.mapInArrow(run, "shard int, doc_id long, arrays binary")
-            .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")))
-
-
-def _answers(lists: DataFrame, indexes: DataFrame, shards: int, salts: int, min_docs: int) -> DataFrame:
-    both = (indexes.select("shard", F.lit(None).cast("long").alias("doc_id"), "arrays",
-                           F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"))
-            .unionByName(_probes(lists, shards, salts).withColumn("kind", F.lit(1))))
+                each = [_distinct(b) for b in blobs]
+                h = np.concatenate(each)
+                of = np.repeat(np.arange(len(each)), [len(x) for x in each])
+                cold = probe(index, h) == 0
+                if cold.any():
+                    h = np.ascontiguousarray(h[cold].T).view(np.int64)
+                    yield pa.record_batch([part.column(0).take(pa.array(of[cold])), pa.array(h[0]), pa.array(h[1])],
+                                          names=["key", "h0", "h1"])
+    return lists.mapInArrow(run, "key binary, h0 long, h1 long")
+
+
+def _answers(probes: DataFrame, indexes: DataFrame, shards: int, min_docs: int) -> DataFrame:
+    """``(key, gone)``: for each text the hashes that ``min_docs`` documents hold."""
+    nothing = F.lit(None)
+    both = (indexes.select("shard", F.lit(0).alias("kind"), nothing.cast("binary").alias("key"), nothing.cast("long").alias("h0"),
+                           nothing.cast("long").alias("h1"), "arrays")
+            .unionByName(probes.withColumns({"shard": F.pmod(F.col("h0"), F.lit(shards)).cast("int"), "kind": F.lit(1),
+                                             "arrays": nothing.cast("binary")})))
 
     def run(batches):
-        index = None
+        index, at = None, None
         for batch in batches:
-            ids, out = batch.column(batch.schema.get_field_index("doc_id")), []
-            kinds = batch.column(batch.schema.get_field_index("kind")).to_pylist()
-            blobs = batch.column(batch.schema.get_field_index("arrays"))
-            for i, kind in enumerate(kinds):
-                if kind == 0:
-                    index = open_index(pickle.loads(blobs[i].as_py()))
-                    continue
-                h = np.frombuffer(blobs[i].as_py(), "<u8").reshape(-1, 2)
-                gone = h[probe(index, h) >= min_docs]
-                if len(gone):
-                    out.append((ids[i].as_py(), gone.tobytes()))
-            if out:
-                yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()),
-                                       pa.array([o[1] for o in out], pa.binary())], names=["doc_id", "gone"])
-    n = max(shards * salts, int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return (both.repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-            .mapInArrow(run, "doc_id long, gone binary")
-            .groupBy("doc_id").agg(F.collect_list("gone").alias("gone")))
-
-
-def _gone(docs: DataFrame, min_docs: int) -> DataFrame:
-    """``(doc_id, gone)``: for each document with common lines, their key hashes."""
+            shard, kind = (batch.column(i).to_numpy() for i in (0, 1))
+            h = np.column_stack([batch.column(i).fill_null(0).to_numpy().view(np.uint64) for i in (3, 4)])
+            gone = np.zeros(len(shard), bool)
+            edges = np.flatnonzero(np.diff(shard, prepend=shard[0] - 1)).tolist() + [len(shard)]
+            for a, b in zip(edges, edges[1:]):
+                if kind[a] == 0:
+                    index, at = open_index(pickle.loads(batch.column(5)[a].as_py())), shard[a]
+                    a += 1
+                assert at == shard[b - 1], "a shard's arrays come before its probes"
+                gone[a:b] = probe(index, h[a:b]) >= min_docs
+            yield pa.record_batch([batch.column(i).filter(pa.array(gone)) for i in (2, 3, 4)], names=["key", "h0", "h1"])
+    n = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (both.repartition(max(n, shards // 4), "shard").sortWithinPartitions("shard", "kind")
+            .mapInArrow(run, "key binary, h0 long, h1 long")
+            .groupBy("key").agg(F.collect_set(F.struct("h0", "h1")).alias("gone")))
+
+
+def _gone(docs: DataFrame, min_docs: int) -> tuple[DataFrame, Shared]:
+    """``(key, gone)`` of ``docs(key, text)``, and the index of the hot hashes."""
+    spark = docs.sparkSession
     lists = written(_hash_lists(docs))
     counts = written(_counted(lists))
     n, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    shards = max(1, -(-n // SHARD_KEYS))
-    salts = max(1, -(-total // (shards * PROBES)))
-    return _answers(lists, _indexes(counts, shards, min_docs), shards, salts, min_docs)
-
-
-def _kept_lines(text: str, blobs) -> tuple[str, int, int]:
-    """The text without the lines whose key hash is in ``blobs``, its lines before
-    and the dropped ones."""
-    lines = text.encode().split(b"\n")
-    if not blobs:
+    hot = counts.where(F.col("n") * HOT >= total).toPandas()
+    keys = np.ascontiguousarray(hot[["h0", "h1"]].to_numpy(np.int64)).view(np.uint64)
+    shared = Shared(spark, open_index(build_index(keys, hot["n"].to_numpy(np.int64), max(min_docs, 1), exact=True)))
+    shards = max(-(-n // SHARD_KEYS), -(-total // PROBES), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return written(_answers(_probes(lists, shared), _indexes(counts, shards, min_docs), shards, min_docs)), shared
+
+
+def _kept_lines(text: str, gone, hot: dict, min_docs: int) -> tuple[str, int, int]:
+    """The text without the lines whose key hash is in ``gone`` or hot and common; its
+    lines before, and the dropped ones."""
+    lines, h = text.encode().split(b"\n"), key_hashes(text)
+    bad = (probe(hot, h) >= min_docs) & (h != 0).any(axis=1)
+    if gone:
+        own = {(g["h0"], g["h1"]) for g in gone}
+        bad |= np.fromiter((k in own for k in map(tuple, h.view(np.int64).tolist())), bool, len(h))
+    if not bad.any():
         return text, len(lines), 0
-    bad = set(map(bytes, np.frombuffer(b"".join(blobs), "V16").tolist()))
-    keys = key_hashes(text).view("V16").ravel().tolist()
-    kept = [x for x, k in zip(lines, keys) if bytes(k) not in bad]
-    return b"\n".join(kept).decode(), len(lines), len(lines) - len(kept)
+    return b"\n".join([x for x, b in zip(lines, bad.tolist()) if not b]).decode(), len(lines), int(bad.sum())
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id",
@@ -217,21 +237,23 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id
 
     A key is the line without surrounding ASCII white space, A-Z lower-cased;
     empty keys are never dropped. A null text is one empty line. Each row is a
-    document: a repeated row counts again. Rows with a null id are handled like
-    any other. An empty table gives no rows.
+    document: a repeated row counts again. Ids play no part: rows with null or
+    equal ids are handled like any other. An empty table gives no rows.
     """
-    docs = id_and_text(docs, id_col, text_col)
+    docs = _by_text(id_and_text(docs, id_col, text_col), "text")
+    found, hot = _gone(docs.select("_line_key", "text"), min_docs)
 
     def rebuild(batches):
+        index = hot.value
         for batch in batches:
             for part, text in slices(batch):
-                out = [_kept_lines(t, blobs) for t, blobs in zip(text, texts(part, "gone"))]
+                out = [_kept_lines(t, gone, index, min_docs) for t, gone in zip(text, texts(part, "gone"))]
                 yield pa.record_batch(
                     [part.column(part.schema.get_field_index("doc_id")), pa.array([o[0] for o in out], pa.string()),
                      pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())],
                     names=["doc_id", "text", "n_lines", "n_dropped"])
-    d, g = docs.alias("d"), _gone(docs, min_docs).alias("g")
-    return (d.join(g, F.expr("d.doc_id <=> g.doc_id"), "left").select("d.doc_id", "d.text", "g.gone")
+    # a shuffle join at every size, as what goes follows the documents
+    return (docs.hint("merge").join(found.withColumnRenamed("key", "_line_key"), "_line_key", "left").select("doc_id", "text", "gone")
             .mapInArrow(rebuild, "doc_id long, text string, n_lines long, n_dropped long"))
 
 
@@ -240,15 +262,17 @@ def without_common_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc
     """``docs`` with all its columns and rows, texts as in :func:`drop_common_lines`
     (a null text becomes the empty text)."""
     schema, at = docs.schema, docs.columns.index(text_col)
-    gone = _gone(id_and_text(docs, id_col, text_col), min_docs).select(
-        F.col("doc_id").alias("__line_doc"), F.col("gone").alias("__line_keys"))
+    keyed = _by_text(docs, text_col)
+    found, hot = _gone(_by_text(id_and_text(docs, id_col, text_col), "text").select("_line_key", "text"), min_docs)
+    found = found.select(F.col("key").alias("_line_key"), F.col("gone").alias("_line_gone"))
 
     def rebuild(batches):
+        index = hot.value
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 cols = list(part.columns)
-                cols[at] = pa.array([_kept_lines(t or "", blobs)[0] for t, blobs in
+                cols[at] = pa.array([_kept_lines(t or "", gone, index, min_docs)[0] for t, gone in
                                      zip(cols[at].to_pylist(), cols.pop().to_pylist())], pa.string())
                 yield pa.RecordBatch.from_arrays(cols, names=part.schema.names[:-1])
-    joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__line_doc"]), "left")
-    return joined.drop("__line_doc").mapInArrow(rebuild, schema)
+    joined = keyed.hint("merge").join(found, "_line_key", "left").select(*[keyed[c] for c in docs.columns], "_line_gone")
+    return joined.mapInArrow(rebuild, schema)

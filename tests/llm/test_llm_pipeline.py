@@ -79,8 +79,54 @@ def test_run(spark, stages):
     assert Counter(got.select(*cols).collect()) == Counter(stages["packing"][1].select(*cols).collect())
 
 
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def as_table(spark, rows, folder):
+    """A documents table of (id, text) rows, beside the other small tables."""
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    df.coalesce(2).write.parquet(f"{folder}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        table(spark, SF, t).write.parquet(f"{folder}/{t}.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+A, B, C = ("one two three four five six seven", "quite another text of some more words here", "a third text that stands for itself")
+
+
+def test_near_duplicates_by_row(spark, tmp_path):
+    """Null, repeated and clashing ids: one row of each text stays, and no other goes."""
+    docs = as_table(spark, [(3, A), (7, A), (7, B), (9, C), (9, C), (None, A), (None, B), (None, None), (1, "")], tmp_path)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(r.text or "" for r in kept.collect()) == sorted([A, B, C, ""])
+
+
+def test_leaks_by_row(spark, tmp_path):
+    leak = table(spark, SF, "benchmark").first().text
+    docs = as_table(spark, [(3, A), (3, "so " + leak), (None, leak), (None, B), (5, leak), (5, leak), (None, None)], tmp_path)
+    kept = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(3, A), (0, B), (0, "")])
+
+
+def test_run_on_odd_rows(spark, tmp_path):
+    docs = [(3, A), (7, A), (7, B), (None, C), (None, C), (8, None), (8, ""), (9, "long " * 30_000)]
+    as_table(spark, docs, tmp_path)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    sums = Counter()
+    for r in got:
+        sums[r.sequence_id] += r.length
+    assert max(sums.values()) <= 1024 and {r.doc_id for r in got} >= {7, None, 9}
+    assert len({(r.start, r.ids_crc32) for r in got if r.piece == 0}) == 5      # A, B, C, the long and the empty text
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    as_table(spark, [], tmp_path)
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_sql_oracles(spark):
-    """The two SQL queries on the small tables (the driver compares larger ones)."""
+    """The SQL queries on the small tables (the driver compares larger ones)."""
     from gearsight.llm.queries import oracle_sql, queries
     con = duckdb.connect()
     for t in ("documents", "pages"):
