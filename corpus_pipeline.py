@@ -9,41 +9,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gearsight.llm import decontam, line_dedup, packing, simhash, toxicity
-from gearsight.llm.common import table
+from gearsight.llm.common import table, written
 from gearsight.llm.queries import tokenizer_path
 from gearsight.session import apply_defaults, checkpoint_dir
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is not in ``gone(doc_id)``; null ids stay. A
-    shuffle join at every size, as ``gone`` grows with the documents."""
-    return docs.hint("merge").join(gone.where("doc_id is not null").distinct(), "doc_id", "left_anti")
+ROW = "__pipeline_row"
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key for each row, written, so both reads see the same keys.
+    Ids may be null, repeated or shared by different texts; decisions are by row."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` without those of ``gone(doc_id)``, which names row keys. A shuffle
+    join at every size, as ``gone`` grows with the documents."""
+    return rows.hint("merge").join(gone.select(F.col("doc_id").alias(ROW)), ROW, "left_anti").drop(ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxicity, learned from all labels outside the held-out fold."""
+    """Toxicity, learned from all labels outside the held-out fold. A null text stays."""
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return docs.where(~toxicity.is_toxic(spark, lexicon, F.col("text")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten or more documents hold go. Documents stay, even if empty;
-    ``n_chars`` follows the text."""
+    ``n_chars`` follows the text, and a null text becomes the empty text."""
     return line_dedup.without_common_lines(docs, min_docs=10).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one of the smallest id."""
-    groups = simhash.near_duplicates(docs, shingle=3, distance=2)
-    return _without(docs, groups.where("doc_id <> component_id").select("doc_id"))
+    """One document of each SimHash group stays: its first row in the table. Empty
+    texts are one group; ids play no part."""
+    rows = _rows(docs)
+    groups = simhash.near_duplicates(rows, shingle=3, distance=2, id_col=ROW)
+    return _without(rows, groups.where("doc_id <> component_id"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go."""
-    return _without(docs, decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    """Documents that hold a passage of a benchmark item go, each row by its own text."""
+    rows = _rows(docs)
+    found = decontam.contaminated(rows, table(spark, sf_dir, "benchmark"), id_col=ROW)
+    return _without(rows, found.select("doc_id").distinct())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row is a document of its own; an empty text is one end token."""
     return packing.pack(docs, tokenizer_path(), cap=1024, end_id=2)
 
 
@@ -56,6 +70,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of what all stages keep. Null and repeated ids, repeated
+    rows and an empty table are handled as the stages say; no documents give no rows."""
     apply_defaults(spark)
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
