@@ -83,6 +83,18 @@ def with_positions(df: DataFrame, key: list[str], order: list[str],
                   .drop("_off", "_slice"))
 
 
+def halo_blocks(df: DataFrame, lookback: int, block_rows: int, pos_col: str = "_pos") -> DataFrame:
+    """``df`` with ``_blk``, the block of each row's position, and once more, as
+    ``_halo``, the last ``lookback`` rows of a block in front of the next one."""
+    if block_rows < lookback:
+        raise ValueError("block_rows must reach as far back as the frames")
+    pos = F.col(pos_col)
+    blk = F.floor(pos / F.lit(block_rows))
+    copies = F.array(F.lit(0), F.when(pos - blk * block_rows >= block_rows - lookback, F.lit(1)))
+    return (df.withColumn("_shift", F.explode(F.filter(copies, lambda x: x.isNotNull())))
+            .withColumns({"_blk": blk + F.col("_shift"), "_halo": F.col("_shift") == 1}).drop("_shift"))
+
+
 def blocked_window(df: DataFrame, key: list[str], build: Callable[[WindowSpec], dict[str, Column]],
                    lookback: int, lookahead: int = 0, block_rows: int = DEFAULT_BLOCK_ROWS,
                    pos_col: str = "_pos") -> DataFrame:

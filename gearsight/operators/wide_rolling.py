@@ -8,11 +8,13 @@ series is hash-partitioned by key and sorted inside partitions, and one
 ``mapInPandas`` pass computes every (column, window) pair for all keys of a
 batch with ``sliding_window_view``: per frame a sequential sum (mean) and
 Welford moment updates (sample std), vectorised over rows, with rows of
-other keys masked out.
+other keys masked out. Callers that cut long keys into blocks (with halo
+rows, :func:`gearsight.operators.ordered.halo_blocks`) pass the block as part
+of the key, so one frame holds one block.
 
 Semantics equal pandas ``rolling(n, min_periods=1)``: nulls are skipped,
 the mean of an all-null frame is null, std needs two values and a missing
-std is 0. Input series are bounded per key (one row per key and bin).
+std is 0.
 """
 
 from __future__ import annotations
@@ -40,9 +42,11 @@ def _frames(values: np.ndarray, gid: np.ndarray, n: int) -> np.ndarray:
 
 
 def rolling_stats(pdf: pd.DataFrame, key: list[str], cols: list[str], windows: list[int]) -> dict:
-    k = pdf[key].astype(str).agg("\x1f".join, axis=1).to_numpy() if len(key) > 1 else pdf[key[0]].to_numpy()
-    new = np.ones(len(pdf), dtype=bool)
-    new[1:] = k[1:] != k[:-1]
+    new = np.zeros(len(pdf), dtype=bool)
+    new[:1] = True
+    for c in key:
+        k = pdf[c].to_numpy()
+        new[1:] |= k[1:] != k[:-1]
     gid = np.cumsum(new)
     out = {}
     for n in windows:
@@ -71,9 +75,10 @@ def rolling_stats(pdf: pd.DataFrame, key: list[str], cols: list[str], windows: l
     return out
 
 
-def rolling_mean_std(df: DataFrame, key: list[str], order: str, cols: list[str], windows: list[int]
-                     ) -> DataFrame:
-    """Add ``<c>_ma_<n>`` and ``<c>_std_<n>`` for every column and window."""
+def rolling_mean_std(df: DataFrame, key: list[str], order: str, cols: list[str], windows: list[int],
+                     placed: bool = False) -> DataFrame:
+    """Add ``<c>_ma_<n>`` and ``<c>_std_<n>`` for every column and window.
+    ``placed``: rows of equal key already share a partition."""
     names = [f"{c}_{s}_{n}" for n in windows for c in cols for s in ("ma", "std")]
     schema = T.StructType(df.schema.fields + [T.StructField(x, T.DoubleType()) for x in names])
     in_cols = df.columns
@@ -84,4 +89,5 @@ def rolling_mean_std(df: DataFrame, key: list[str], order: str, cols: list[str],
             extra = pd.DataFrame({x: stats[x] for x in names}, index=pdf.index)
             yield pd.concat([pdf[in_cols], extra], axis=1)
 
-    return df.repartition(*key).sortWithinPartitions(*key, order).mapInPandas(run, schema)
+    df = df if placed else df.repartition(*key)
+    return df.sortWithinPartitions(*key, order).mapInPandas(run, schema)

@@ -2,9 +2,9 @@
 engineered features (F1, F8-F11, W4, W5) -> robot scores (F12-F14) ->
 summary (A10-A13), plus the tag reports (A18, A19, F19, J1 report).
 
-One lazy plan: shuffles at the pivot/resample aggregates and one window
-partitioning per device over the *resampled* series, whose length is set
-by the time span and interval, not by how many raw rows a device sent.
+One lazy plan: shuffles at the pivot/resample aggregates, then by (device,
+block of bins): fill, steps and rolling frames work on blocks with carried
+values and halo rows, so one device of any length uses many partitions.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from gearsight.functions import rowwise
 from gearsight.functions.numeric import rnd
 from gearsight.functions.scoring import robot_anomaly, robot_health, robot_status
 from gearsight.functions.sensors import suggest_sensor_name
-from gearsight.operators.series import regular_series
+from gearsight.operators.ordered import halo_blocks, with_positions
+from gearsight.operators.series import BLOCK_ROWS, regular_series
 from gearsight.operators.wide_rolling import rolling_mean_std
 from gearsight.plans.registry import register
 from gearsight.sources.tables import ROBOT_TAG_LONG_SQL, TAG_LONG_SQL, robot_tag_long, tag_long
@@ -36,10 +37,19 @@ def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
 
 
 def robot_features(series: DataFrame, key: list[str], ts: str = "ts",
-                   windows: tuple[int, ...] = DEFAULT.robot_rolling_windows) -> DataFrame:
-    """Engineered features on a regular wide series (one row per key and bin)."""
-    cols = [c for c in series.columns if c not in (*key, ts)]
-    w = Window.partitionBy(*key).orderBy(ts)
+                   windows: tuple[int, ...] = DEFAULT.robot_rolling_windows, block_rows: int = BLOCK_ROWS,
+                   pos_col: str | None = None) -> DataFrame:
+    """Engineered features on a regular wide series (one row per key and bin).
+    ``pos_col`` names a column that numbers each key's rows without gaps; without
+    it the rows are numbered here."""
+    if pos_col is None:
+        series = (with_positions(series.withColumn("_key", F.struct(*key)), ["_key"], [ts], pos_col="_pos").drop("_key"))
+    else:
+        series = series.withColumnRenamed(pos_col, "_pos")
+    cols = [c for c in series.columns if c not in (*key, ts, "_pos")]
+    # the oldest row of a frame needs the step to the row before it
+    series = halo_blocks(series, max(windows), block_rows).repartition(*key, "_blk")
+    w = Window.partitionBy(*key, "_blk").orderBy("_pos")
     out = series.withColumns({"hour": F.hour(ts), "day_of_week": F.weekday(ts), "minute": F.minute(ts)})
     err = [c for c in cols if "pos_error" in c]
     tq_cmd = [c for c in cols if "torque_cmd" in c]
@@ -67,8 +77,9 @@ def robot_features(series: DataFrame, key: list[str], ts: str = "ts",
     out = out.withColumns(new)
     # List fixed before the loop; calendar parts excluded; every
     # (column, window) pair in one vectorised pass per partition
-    roll = numeric_columns(out, exclude=(*key, ts, *CALENDAR))
-    out = rolling_mean_std(out, key, ts, roll, list(windows))
+    roll = numeric_columns(out, exclude=(*key, ts, "_pos", "_blk", *CALENDAR))
+    out = rolling_mean_std(out, [*key, "_blk"], "_pos", roll, list(windows), placed=True)
+    out = out.where(~F.col("_halo")).drop("_halo", "_blk", "_pos")
     z = F.lit(None).cast("double")
     rms = F.col("total_position_error") if err else z
     imb = F.col("torque_cmd_imbalance") if tq_cmd else z
@@ -79,10 +90,12 @@ def robot_features(series: DataFrame, key: list[str], ts: str = "ts",
     return out.withColumn("status", robot_status(F.col("health_score"), F.col("anomaly_score")))
 
 
-def robot_from_long(clean: DataFrame, key: list[str], sensors: list[str], interval: str | None) -> DataFrame:
+def robot_from_long(clean: DataFrame, key: list[str], sensors: list[str], interval: str | None,
+                    block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Pivot/resample/fill (A1, A2, W6) then features."""
-    series = regular_series(clean, key, "ts", "sensor_name", "tag_value", sensors, interval)
-    return robot_features(series, key, "ts")
+    bins = "_bin_no" if interval else None
+    series = regular_series(clean, key, "ts", "sensor_name", "tag_value", sensors, interval, block_rows=block_rows, pos_col=bins)
+    return robot_features(series, key, "ts", block_rows=block_rows, pos_col=bins)
 
 
 def robot_from_xml(spark: SparkSession, pattern: str, interval: str | None = "5s",
@@ -125,10 +138,12 @@ EVENT_TAG_MAP = {
     "view": "joint1_actual_pos",
 }
 ROBOT_SENSORS = sorted(EVENT_TAG_MAP.values())
-ROBOT_OUT = ["total_position_error", "mean_position_error", "max_position_error", "position_error_std",
-             "total_torque_cmd", "torque_cmd_imbalance", "joint1_torque_cmd_change", "joint1_velocity_est",
-             "joint1_pos_error_ma_5", "joint1_pos_error_std_20", "total_torque_cmd_ma_10",
-             "health_score", "anomaly_score"]
+ROBOT_BASE = ["total_position_error", "total_pos_error", "mean_position_error", "max_position_error", "position_error_std",
+              "total_torque_cmd", "torque_cmd_imbalance", "joint1_torque_cmd_change", "joint2_torque_cmd_change",
+              "joint1_velocity_est"]
+ROBOT_ROLLED = [f"{c}_{x}_{n}" for n in DEFAULT.robot_rolling_windows for c in sorted([*ROBOT_SENSORS, *ROBOT_BASE])
+                for x in ("ma", "std")]
+ROBOT_OUT = [*ROBOT_BASE, *ROBOT_ROLLED, "health_score", "anomaly_score"]
 
 
 def events_robot_features(spark: SparkSession, sf_dir: str, interval: str = "6h") -> DataFrame:
@@ -153,23 +168,26 @@ def _robot_sql(interval: str) -> str:
     e1, e2 = "joint1_pos_error", "joint2_pos_error"
     t1, t2 = "joint1_torque_cmd", "joint2_torque_cmd"
     w = "partition by device_id order by ts"
+    frames = "".join(f"""
+  avg({c}) over ({w} rows between {n - 1} preceding and current row) as {c}_ma_{n},
+  coalesce(stddev_samp({c}) over ({w} rows between {n - 1} preceding and current row), 0e0) as {c}_std_{n},"""
+                     for n in DEFAULT.robot_rolling_windows for c in [*ROBOT_SENSORS, *ROBOT_BASE])
     cnt_e = f"((case when {e1} is not null then 1 else 0 end) + (case when {e2} is not null then 1 else 0 end))"
     return f"""
 with g as ({series}),
 e as (select *,
   sqrt((pow(coalesce({e1}, 0e0), 2) + pow(coalesce({e2}, 0e0), 2)) / 2) as total_position_error,
+  coalesce(abs({e1}), 0e0) + coalesce(abs({e2}), 0e0) as total_pos_error,
   (case when {cnt_e} > 0 then (coalesce({e1}, 0e0) + coalesce({e2}, 0e0)) / {cnt_e} end) as mean_position_error,
   greatest({e1}, {e2}) as max_position_error,
   {_std2_sql(e1, e2)} as position_error_std,
   coalesce(abs({t1}), 0e0) + coalesce(abs({t2}), 0e0) as total_torque_cmd,
   {_std2_sql(t1, t2)} as torque_cmd_imbalance,
   abs({t1} - lag({t1}) over ({w})) as joint1_torque_cmd_change,
+  abs({t2} - lag({t2}) over ({w})) as joint2_torque_cmd_change,
   abs(joint1_actual_pos - lag(joint1_actual_pos) over ({w})) as joint1_velocity_est
 from g),
-r as (select *,
-  avg({e1}) over ({w} rows between 4 preceding and current row) as joint1_pos_error_ma_5,
-  coalesce(stddev_samp({e1}) over ({w} rows between 19 preceding and current row), 0e0) as joint1_pos_error_std_20,
-  avg(total_torque_cmd) over ({w} rows between 9 preceding and current row) as total_torque_cmd_ma_10,
+r as (select *,{frames}
   greatest(0e0, 100e0
      - coalesce(case when total_position_error is not null then least(60e0, total_position_error * 20) end, 0e0)
      - coalesce(case when torque_cmd_imbalance is not null then least(25e0, torque_cmd_imbalance * 2) end, 0e0)

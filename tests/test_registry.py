@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from gearsight.plans.registry import load_all
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["events", "lineitem"]
@@ -38,7 +39,7 @@ def duck():
 SKIP_SLOW = {"model_evaluation", "device_predictions"}   # covered by test_model.py
 
 
-@pytest.mark.parametrize("name", [n for n in E.queries() if n not in SKIP_SLOW])
+@pytest.mark.parametrize("name", [n for n in load_all() if n not in SKIP_SLOW])
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF)
     cols = sorted(df.columns)

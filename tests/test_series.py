@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from gearsight.operators.series import regular_series
 
 TAGS = ["a", "b", "c"]
@@ -37,11 +39,13 @@ def _pandas(rows, interval):
     return p
 
 
-@pytest.mark.parametrize("seed,interval,pd_iv", [(1, "7s", "7s"), (2, "30s", "30s"), (3, "1m", "1min")])
-def test_series_matches_pandas(spark, seed, interval, pd_iv):
+@pytest.mark.parametrize("seed,interval,pd_iv,block", [(1, "7s", "7s", 1 << 16), (2, "30s", "30s", 1 << 16),
+                                                       (3, "1m", "1min", 1 << 16), (1, "7s", "7s", 4), (4, "1s", "1s", 3),
+                                                       (5, "30s", "30s", 1)])
+def test_series_matches_pandas(spark, seed, interval, pd_iv, block):
     rows = _long(seed)
     long = spark.createDataFrame(rows, "device_id string, ts timestamp_ntz, tag string, v double")
-    got = regular_series(long, ["device_id"], "ts", "tag", "v", TAGS, interval).toPandas() \
+    got = regular_series(long, ["device_id"], "ts", "tag", "v", TAGS, interval, block_rows=block).toPandas() \
         .set_index("ts").sort_index()
     want = _pandas(rows, pd_iv)
     assert list(got.index) == list(want.index)
@@ -73,3 +77,56 @@ def test_wide_rolling_matches_pandas(spark):
             g = got.set_index(pdf.index)
             assert np.allclose(g[f"{c}_ma_{n}"].astype(float), ma.loc[pdf.index], equal_nan=True)
             assert np.allclose(g[f"{c}_std_{n}"].astype(float), sd.loc[pdf.index])
+
+
+@pytest.mark.parametrize("block", [1 << 16, 5, 2])
+def test_fill_by_row_position(spark, block):
+    """Irregular times: positions are ranks; null keys are keys."""
+    from gearsight.operators.series import gap_fill_linear
+    rng = random.Random(8)
+    rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=t), rng.choice([None, None, rng.random()]), None)
+            for k in ("a", None, "b") for t in rng.sample(range(5000), 40)]
+    series = spark.createDataFrame(rows, "k string, ts timestamp_ntz, x double, y double")
+    got = gap_fill_linear(series, ["k"], "ts", ["x", "y"], block_rows=block).toPandas()
+    pdf = pd.DataFrame(rows, columns=["k", "ts", "x", "y"])
+    for k in ("a", None, "b"):
+        pick = (lambda d: d[d["k"].isna()] if k is None else d[d["k"] == k])
+        want = pick(pdf).sort_values("ts")["x"].astype(float).interpolate(method="linear", limit_direction="both").to_numpy()
+        mine = pick(got).sort_values("ts")
+        assert np.allclose(mine["x"].astype(float).to_numpy(), want) and mine["y"].isna().all()
+
+
+def test_one_long_device_uses_several_partitions(spark):
+    """A device of two million bins, mostly empty, and a block without any reading."""
+    from gearsight.operators.series import BLOCK_ROWS
+    from gearsight.plans.robot import robot_from_long
+    n = 2_000_000
+    at = sorted({0, n - 1, *(i * 997 % (BLOCK_ROWS * 3) for i in range(3000)), *range(BLOCK_ROWS * 5, n, 4001)})
+    t0 = dt.datetime(2024, 1, 1)
+    long = spark.createDataFrame([("R", t0 + dt.timedelta(seconds=5 * i), s, float(i % 17)) for i in at
+                                  for s in ("joint1_pos_error", "joint1_torque_cmd")],
+                                 "device_id string, ts timestamp_ntz, sensor_name string, tag_value double")
+    f = robot_from_long(long, ["device_id"], ["joint1_pos_error", "joint1_torque_cmd"], "5s")
+    got = f.select("ts", "joint1_pos_error", "joint1_torque_cmd_change", "joint1_pos_error_ma_20", "joint1_torque_cmd_change_std_20",
+                   F.spark_partition_id().alias("part")).cache()
+    assert got.count() == n and got.select("part").distinct().count() > 4
+    want = pd.Series([float(i % 17) for i in at], index=at).reindex(range(n)).interpolate()
+    pdf = got.toPandas().sort_values("ts")
+    assert np.allclose(pdf["joint1_pos_error"], want)
+    step = want.diff().abs()
+    assert np.allclose(pdf["joint1_torque_cmd_change"].iloc[1:], step.iloc[1:])
+    assert np.allclose(pdf["joint1_pos_error_ma_20"], want.rolling(20, min_periods=1).mean())
+    assert np.allclose(pdf["joint1_torque_cmd_change_std_20"], step.rolling(20, min_periods=1).std().fillna(0), atol=1e-6)
+
+
+@pytest.mark.parametrize("block", [20, 33, 1 << 16])
+def test_robot_features_alike_at_every_block_size(spark, block):
+    from gearsight.plans.robot import robot_features
+    rng = random.Random(1)
+    rows = [(d, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=5 * i), *[rng.random() * 50 for _ in range(4)])
+            for d in ("A", "B") for i in range(rng.randint(70, 130))]
+    names = ["joint1_pos_error", "joint2_pos_error", "joint1_torque_cmd", "joint1_actual_pos"]
+    df = spark.createDataFrame(rows, "device_id string, ts timestamp_ntz, " + ", ".join(f"{n} double" for n in names))
+    a, b = (robot_features(df, ["device_id"], block_rows=x).orderBy("device_id", "ts").toPandas() for x in (block, 1 << 20))
+    assert list(a.columns) == list(b.columns) and len(a) == len(rows)
+    pd.testing.assert_frame_equal(a, b)
