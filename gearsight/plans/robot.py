@@ -143,6 +143,7 @@ ROBOT_BASE = ["total_position_error", "total_pos_error", "mean_position_error",
               "joint1_velocity_est"]
 ROBOT_ROLLED = [f"{c}_{x}_{n}" for n in DEFAULT.robot_rolling_windows for c in sorted([*ROBOT_SENSORS, *ROBOT_BASE])
                 for x in ("ma", "std")]
+TIE = 1e-9      # added before rounding for the comparison: means of decimals often lie half-way
 ROBOT_OUT = [*ROBOT_BASE, *ROBOT_ROLLED, "health_score", "anomaly_score"]
 
 
@@ -201,7 +202,7 @@ s as (select *, least(1e0,
    + coalesce(case when position_error_std is not null then least(0.1e0, position_error_std / 10) end, 0e0))
    as anomaly_score
 from r)
-select device_id, ts, {", ".join(f"round({c}, 6) as {c}" for c in ROBOT_OUT)},
+select device_id, ts, {", ".join(f"round({c} + {TIE}, 6) as {c}" for c in ROBOT_OUT)},
   case when health_score >= 85 and anomaly_score < 0.2 then 'normal'
        when health_score >= 60 and anomaly_score < 0.5 then 'warning' else 'critical' end as status
 from s
@@ -212,7 +213,7 @@ from s
                                                         "F9", "F11", "W4", "W5", "F12", "F13", "F14"))
 def robot_features_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = events_robot_features(spark, sf_dir, "6h")
-    return f.select("device_id", "ts", *[rnd(c, 6).alias(c) for c in ROBOT_OUT], "status")
+    return f.select("device_id", "ts", *[rnd(F.col(c) + F.lit(TIE), 6).alias(c) for c in ROBOT_OUT], "status")
 
 
 @register("tag_profile", f"""
@@ -341,4 +342,4 @@ def robot_features_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = read_tag_history(spark, path, partitions="device_id")
     clean = clean_tag_history(recs, tag_map_frame(spark))
     f = robot_from_long(clean, ["device_id"], ROBOT_SENSORS, "6h")
-    return f.select("device_id", "ts", *[rnd(c, 6).alias(c) for c in ROBOT_OUT], "status")
+    return f.select("device_id", "ts", *[rnd(F.col(c) + F.lit(TIE), 6).alias(c) for c in ROBOT_OUT], "status")
