@@ -2,25 +2,27 @@
 the same (rule, device) lies less than the cool-down before it.
 
 Each decision depends on the previous decision, so it is not a window
-function. Done exactly and without putting one key's matches in one task:
-
-1. Cut each key's matches into chunks (a day by default). Inside a chunk,
-   ``nxt[i]`` = first match at or after ``ts[i] + cooldown``. The state
-   entering a chunk is "blocked until B", and B is always earlier than
-   chunk start + cooldown, so the first fire in the chunk is one of few
-   *candidates*: the matches before chunk start + cooldown and the first
-   match after. Each candidate's exit state (last fire + cooldown) is the
-   end of its ``nxt`` chain, found for all rows at once by pointer
-   doubling.
-2. Per key, walk the small (chunk, candidate, exit) table in chunk order to
-   pick each chunk's real first fire.
-3. Per chunk, follow ``nxt`` from the chosen start; those rows fire.
-
-Steps 1 and 3 run on a hash partitioning of the matches by (key, chunk),
-sorted within partitions; step 1 shuffles only the five columns it needs. A
-``mapInPandas`` task handles all chunks of its partition with vectorised
-numpy over the whole batch, so there is no per-group Python call. Step 2
-sees only the candidate table. Timestamps are int64 microseconds.
+function. Done exactly, with no key's matches or chunks in one task:
+
+1. Matches are computed and written once. Of a key's matches of one time only
+   the first can fire, so the rest works on narrow (key, time) rows. Keys of
+   more than ``chunk_rows`` of them get exact positions and are cut into chunks
+   of that many rows; all others are one chunk.
+2. The state between chunks is "blocked until B". What a chunk makes of it is a
+   step function: the first row at or after B fires, and its chain of next fires
+   ends in an exit state; if there is no such row, B stays. B lies less than the
+   cool-down behind the chunk's first row, so the function needs few steps. All
+   chains of a frame are followed at once by pointer doubling.
+3. Functions of neighbouring chunks are composed pairwise, pairs of pairs, and so
+   on: rounds follow the logarithm of the largest key's chunks. Then the entry
+   state of each whole key (nothing blocked) is handed down through the pairs:
+   the left half gets the pair's state, the right half what the left makes of it.
+4. Every chunk, now with its own entry state, follows its chain; those rows fire,
+   and pick their matches out of the written ones.
+
+Where no key has several chunks, steps 2 and 3 have nothing to do. Frames are
+worked on with numpy, all groups of an Arrow batch at once. Timestamps are int64
+microseconds.
 """
 
 from __future__ import annotations
@@ -31,9 +33,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-DAY_US = 86_400_000_000
+from gearsight.operators.ordered import with_positions
+from gearsight.session import written
+
+CHUNK_ROWS = 1 << 16        # (key, time) rows of one chunk
 
 
 def _us(c: str):
@@ -64,115 +68,141 @@ def complete_groups(batches: Iterator[pd.DataFrame], cols: list[str]) -> Iterato
         yield pd.concat(held, ignore_index=True)
 
 
-def _chains(pdf: pd.DataFrame, chunk_us: int):
-    """Group ids, group bounds and ``nxt`` for a frame sorted by (_k, _chunk, _t, _tb)."""
-    n = len(pdf)
-    k = pdf["_k"].to_numpy()
-    ch = pdf["_chunk"].to_numpy(np.int64)
-    new = np.ones(n, dtype=bool)
-    new[1:] = (k[1:] != k[:-1]) | (ch[1:] != ch[:-1])
-    g = (np.cumsum(new) - 1).astype(np.int64)
-    gstart = np.flatnonzero(new)
-    gend = np.append(gstart[1:], n)
-    t = pdf["_t"].to_numpy(np.int64)
-    cd = pdf["_cd"].to_numpy(np.int64)
-    span = np.int64(chunk_us + 1)
-    rel = t - ch                                   # 0 <= rel < chunk_us
-    comp = g * span + rel                          # sorted: group-major, then time
-    target = g * span + np.minimum(rel + cd, span - 1)
-    idx = np.arange(n)
-    nxt = np.maximum(np.searchsorted(comp, target, side="left"), idx + 1)
-    nxt = np.where(nxt >= gend[g], n, nxt)         # n = no further fire in the chunk
-    return g, gstart, gend, t, cd, span, comp, nxt
-
-
-def _transfer_batches(it: Iterator[pd.DataFrame], chunk_us: int) -> Iterator[pd.DataFrame]:
+def _first_at_or_after(g: np.ndarray, t: np.ndarray, qg: np.ndarray, qt: np.ndarray) -> np.ndarray:
+    """Index of the first row of (g, t), sorted, that is not before each (qg, qt)."""
+    n = len(t)
+    order = np.lexsort((np.arange(n + len(qt)) < n, np.concatenate([t, qt]), np.concatenate([g, qg])))
+    rows_before = np.cumsum(order < n)
+    out = np.empty(len(qt), np.int64)
+    asked = order >= n
+    out[order[asked] - n] = rows_before[asked]
+    return out
+
+
+def _groups(pdf: pd.DataFrame, cols: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group number per row, and each group's first row and end."""
+    new = np.zeros(len(pdf), dtype=bool)
+    new[:1] = True
+    for c in cols:
+        v = pdf[c].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    start = np.flatnonzero(new)
+    return np.cumsum(new) - 1, start, np.append(start[1:], len(pdf))
+
+
+def _next_fires(pdf: pd.DataFrame):
+    """Groups, times, cool-downs and the next fire after each row (``n``: none in its chunk)."""
+    g, start, end = _groups(pdf, ["_k", "_chunk"])
+    t, cd = pdf["_t"].to_numpy(np.int64), pdf["_cd"].to_numpy(np.int64)
+    nxt = np.maximum(_first_at_or_after(g, t, g, t + cd), np.arange(len(t)) + 1)
+    return g, start, end, t, cd, np.where(nxt >= end[g], len(t), nxt)
+
+
+def _steps(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each chunk's function as steps: B up to ``_upto`` leads to ``_exit``."""
     for pdf in complete_groups(it, ["_k", "_chunk"]):
-        g, gstart, gend, t, cd, span, comp, nxt = _chains(pdf, chunk_us)
-        n = len(pdf)
-        idx = np.arange(n)
+        g, start, end, t, cd, nxt = _next_fires(pdf)
+        n, idx = len(pdf), np.arange(len(pdf))
         p = np.where(nxt >= n, idx, nxt)
-        while True:                                # pointer doubling to the chain end
-            q = p[p]
-            if np.array_equal(q, p):
-                break
+        while not np.array_equal(q := p[p], p):         # pointer doubling to the chain's end
             p = q
-        exits = t[p] + cd
-        gids = np.arange(len(gstart), dtype=np.int64)
-        first_after = np.searchsorted(comp, gids * span + np.minimum(cd[gstart], span - 1), side="left")
-        last_cand = np.minimum(first_after, gend - 1)
-        cand = idx <= last_cand[g]
-        yield pd.DataFrame({"_k": pdf["_k"].to_numpy()[cand], "_chunk": pdf["_chunk"].to_numpy()[cand],
-                            "_cand_t": t[cand], "_cand_tb": pdf["_tb"].to_numpy()[cand],
-                            "_exit": exits[cand]})
-
-
-def _resolve_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in complete_groups(it, ["_k"]):
-        k = pdf["_k"].to_numpy()
-        ch = pdf["_chunk"].to_numpy(np.int64)
-        ct = pdf["_cand_t"].to_numpy(np.int64)
-        ctb = pdf["_cand_tb"].to_numpy(np.int64)
-        ex = pdf["_exit"].to_numpy(np.int64)
-        n = len(pdf)
-        new = np.ones(n, dtype=bool)
-        new[1:] = (k[1:] != k[:-1]) | (ch[1:] != ch[:-1])
-        starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], n)
-        out_i = []
-        lowest = np.iinfo(np.int64).min
-        blocked = lowest
-        for s, e in zip(starts, ends):             # one step per (key, chunk)
-            if s == 0 or k[s] != k[s - 1]:
-                blocked = lowest
-            i = s + int(np.searchsorted(ct[s:e], blocked, side="left"))
-            if i < e:
-                out_i.append(i)
-                blocked = ex[i]
-        sel = np.array(out_i, dtype=np.int64)
-        yield pd.DataFrame({"_k": k[sel], "_chunk": ch[sel], "_start_t": ct[sel], "_start_tb": ctb[sel]})
-
-
-def _emit_batches(it: Iterator[pd.DataFrame], chunk_us: int, out_cols: list[str]
-                  ) -> Iterator[pd.DataFrame]:
+        groups = np.arange(len(start))
+        beyond = _first_at_or_after(g, t, groups, t[start] + cd[start])
+        needed = idx <= np.minimum(beyond, end - 1)[g]
+        yield _fewest_steps(pd.DataFrame({"_k": pdf["_k"], "_g": pdf["_chunk"], "_upto": t, "_exit": t[p] + cd,
+                                          "_reach": (t[start] + cd[start])[g]})[needed])
+
+
+def _fewest_steps(steps: pd.DataFrame) -> pd.DataFrame:
+    """Neighbouring steps of equal exit as one."""
+    k, g, x = steps["_k"].to_numpy(), steps["_g"].to_numpy(), steps["_exit"].to_numpy()
+    last = np.ones(len(steps), dtype=bool)
+    last[:-1] = (k[1:] != k[:-1]) | (g[1:] != g[:-1]) | (x[1:] != x[:-1])
+    return steps[last].reset_index(drop=True)
+
+
+def _composed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Functions of pairs: the right half's after the left half's. ``_reach`` bounds
+    the states that can enter, so steps beyond the first at or after it are not needed."""
+    for pdf in complete_groups(it, ["_k", "_up"]):
+        pair, start, end = _groups(pdf, ["_k", "_up"])
+        right = (pdf["_g"].to_numpy(np.int64) & 1) == 1
+        upto, exits = pdf["_upto"].to_numpy(np.int64), pdf["_exit"].to_numpy(np.int64)
+        at = _first_at_or_after(pair[right], upto[right], pair[~right], exits[~right])
+        of = np.append(pair[right], -1)
+        hit = of[at] == pair[~right]                    # else it passes the right half as it is
+        out = exits.copy()
+        out[~right] = np.where(hit, np.append(exits[right], 0)[at], exits[~right])
+        reach = pdf["_reach"].to_numpy(np.int64)[start]
+        beyond = _first_at_or_after(pair, upto, np.arange(len(start)), reach)
+        needed = np.arange(len(pdf)) <= np.minimum(beyond, end - 1)[pair]
+        yield _fewest_steps(pd.DataFrame({"_k": pdf["_k"], "_g": pdf["_up"], "_upto": upto, "_exit": out,
+                                          "_reach": reach[pair]})[needed])
+
+
+def _fired(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in complete_groups(it, ["_k", "_chunk"]):
-        g, gstart, gend, t, cd, span, comp, nxt = _chains(pdf, chunk_us)
-        n = len(pdf)
-        is_start = (t == pdf["_start_t"].to_numpy(np.int64)) & \
-                   (pdf["_tb"].to_numpy(np.int64) == pdf["_start_tb"].to_numpy(np.int64))
-        fired = np.zeros(n, dtype=bool)
-        cur = np.flatnonzero(is_start)
-        while len(cur):                            # <= chunk / cooldown + 1 steps
+        g, start, end, t, _, nxt = _next_fires(pdf)
+        entry = pdf["_entry"].to_numpy(np.int64)[start]
+        cur = _first_at_or_after(g, t, np.arange(len(start)), entry)
+        cur = cur[cur < end]
+        fired = np.zeros(len(pdf), dtype=bool)
+        while len(cur):                                 # one round per fire of the chunk with most
             fired[cur] = True
             cur = nxt[cur]
-            cur = cur[cur < n]
-        yield pdf.loc[fired, out_cols]
+            cur = cur[cur < len(pdf)]
+        yield pdf.loc[fired, ["_k", "_t", "_tb"]]
+
+
+_STEP = "_k string, _g long, _upto long, _exit long, _reach long"
+_OPEN = -(1 << 62)      # a state that blocks nothing
+
+
+def _entries(chunked: DataFrame, rounds: int) -> DataFrame:
+    """``(_k, _chunk, _entry)``: the state in which each chunk of a large key is entered."""
+    steps = (chunked.select("_k", "_chunk", "_t", "_cd").repartition("_k", "_chunk")
+             .sortWithinPartitions("_k", "_chunk", "_t").mapInPandas(_steps, _STEP))
+    levels = [written(steps)]
+    for _ in range(rounds):
+        pairs = levels[-1].withColumn("_up", F.shiftright("_g", 1)).repartition("_k", "_up")
+        levels.append(written(pairs.sortWithinPartitions("_k", "_up", "_g", "_upto").mapInPandas(_composed, _STEP)))
+    state = levels.pop().select("_k", "_g").distinct().withColumn("_entry", F.lit(_OPEN).cast("long"))
+    for steps in reversed(levels):
+        halves = steps.select("_k", "_g").distinct().withColumn("_up", F.shiftright("_g", 1))
+        state = state.withColumnRenamed("_g", "_up")
+        left = steps.where(F.col("_g") % 2 == 0).withColumn("_up", F.shiftright("_g", 1)).join(state, ["_k", "_up"])
+        after = left.groupBy("_k", "_up").agg(F.coalesce(
+            F.min_by("_exit", F.when(F.col("_upto") >= F.col("_entry"), F.col("_upto"))), F.max("_entry")).alias("_after"))
+        state = written(halves.join(state, ["_k", "_up"]).join(after, ["_k", "_up"]).select(
+            "_k", "_g", F.when(F.col("_g") % 2 == 0, F.col("_entry")).otherwise(F.col("_after")).alias("_entry")))
+    return state.withColumnRenamed("_g", "_chunk")
 
 
 def greedy_cooldown(matches: DataFrame, key: list[str], ts: str, tiebreak: str,
-                    cooldown_us, chunk_us: int = DAY_US) -> DataFrame:
+                    cooldown_us, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Keep the matches that fire. ``cooldown_us`` is a Column or int (constant
-    within a key); ``tiebreak`` (integral) orders matches with equal ts. Matches
-    without a time are left out."""
-    spark = matches.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    within a key); ``tiebreak`` (integral, unique at a time) orders matches with
+    equal ts. Matches without a time are left out. Without a cool-down (null, 0 or
+    less) every match fires. The matches are written once while planning."""
     cd = cooldown_us if not isinstance(cooldown_us, int) else F.lit(cooldown_us)
-    payload = matches.columns
-    m = matches.select(
+    m = written(matches.select(
         "*", F.to_json(F.struct(*[F.col(k) for k in key])).alias("_k"),
         _us(ts).alias("_t"), F.col(tiebreak).cast("long").alias("_tb"),
-        cd.cast("long").alias("_cd"),
-    ).where(F.col("_t").isNotNull()).withColumn("_chunk", (F.floor(F.col("_t") / F.lit(chunk_us)) * F.lit(chunk_us)).cast("long"))
-    mp = m.repartition(n_parts, "_k", "_chunk")
-    order = ["_k", "_chunk", "_t", "_tb"]
-    transfer = mp.select("_k", "_chunk", "_t", "_tb", "_cd").sortWithinPartitions(*order).mapInPandas(
-        lambda it: _transfer_batches(it, chunk_us),
-        "_k string, _chunk long, _cand_t long, _cand_tb long, _exit long")
-    starts = (transfer.repartition(n_parts, "_k")
-                      .sortWithinPartitions("_k", "_chunk", "_cand_t", "_cand_tb")
-                      .mapInPandas(_resolve_batches,
-                                   "_k string, _chunk long, _start_t long, _start_tb long"))
-    located = mp.join(starts.repartition(n_parts, "_k", "_chunk"), ["_k", "_chunk"], "inner")
-    out_schema = T.StructType([matches.schema[c] for c in payload])
-    return located.sortWithinPartitions(*order).mapInPandas(
-        lambda it: _emit_batches(it, chunk_us, payload), out_schema)
+        F.coalesce(cd.cast("long"), F.lit(0)).alias("_cd")).where(F.col("_t").isNotNull()))
+    first = written(m.where("_cd > 0").groupBy("_k", "_t").agg(F.min("_tb").alias("_tb"), F.max("_cd").alias("_cd")))
+    large = first.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk_rows)
+    most = large.agg(F.max("_n")).first()[0]
+    entry = F.lit(_OPEN).cast("long").alias("_entry")
+    if most is None:
+        chunked = first.withColumn("_chunk", F.lit(0).cast("long")).select("*", entry)
+    else:
+        of_large = written(with_positions(first.join(large.select("_k"), "_k", "left_semi"), ["_k"], ["_t"])
+                           .withColumn("_chunk", F.floor(F.col("_pos") / chunk_rows)).drop("_pos"))
+        rounds = (-(-most // chunk_rows) - 1).bit_length()
+        entered = of_large.join(_entries(of_large, rounds), ["_k", "_chunk"])
+        small = first.join(large.select("_k"), "_k", "left_anti").withColumn("_chunk", F.lit(0).cast("long"))
+        chunked = small.select("*", entry).unionByName(entered)
+    fired = (chunked.repartition("_k", "_chunk").sortWithinPartitions("_k", "_chunk", "_t")
+             .mapInPandas(_fired, "_k string, _t long, _tb long"))
+    kept = m.where("_cd > 0").join(fired, ["_k", "_t", "_tb"], "left_semi")
+    return kept.unionByName(m.where("_cd <= 0")).select(*matches.columns)

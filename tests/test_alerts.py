@@ -4,6 +4,8 @@ views, and the cool-down against a brute-force loop."""
 import datetime as dt
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from gearsight.operators.cooldown import greedy_cooldown
@@ -77,8 +79,8 @@ def test_cooldown_matches_loop_with_many_chunks(spark):
             rows.append((f"K{k}", t, k * 1000 + i))
     df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id long")
     cd = 15 * 60 * 1_000_000
-    for chunk in (3_600_000_000, 86_400_000_000):
-        got = {(r.k, r.id) for r in greedy_cooldown(df, ["k"], "ts", "id", cd, chunk_us=chunk).collect()}
+    for chunk in (1, 2, 7, 299, 1 << 16):
+        got = {(r.k, r.id) for r in greedy_cooldown(df, ["k"], "ts", "id", cd, chunk_rows=chunk).collect()}
         want = set()
         for k in {r[0] for r in rows}:
             last = None
@@ -89,6 +91,37 @@ def test_cooldown_matches_loop_with_many_chunks(spark):
         assert got == want
 
 
+def _loop(rows, cd_us):
+    fired, last = set(), {}
+    for k, t, i in sorted(rows):
+        if k not in last or t - last[k] >= dt.timedelta(microseconds=cd_us):
+            fired.add((k, i))
+            last[k] = t
+    return fired
+
+
+@pytest.mark.parametrize("seed, chunk", [(1, 1), (2, 3), (3, 10), (4, 64)])
+def test_cooldown_of_a_hot_key_with_ties_and_dense_runs(spark, seed, chunk):
+    """Many chunks within one cool-down, equal times, and long silences."""
+    rng = random.Random(seed)
+    rows, t = [], T0
+    for i in range(900):
+        t += dt.timedelta(seconds=rng.choice([0, 0, 1, 1, 2, 59, 60, 61, 7200 if i % 40 == 0 else 1]))
+        rows.append(("HOT", t, i))
+    rows += [(f"C{i % 9}", T0 + dt.timedelta(seconds=rng.randint(0, 600)), 1000 + i) for i in range(120)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id long")
+    for cd in (60_000_000, 1_000_000, 3_600_000_000):
+        got = greedy_cooldown(df, ["k"], "ts", "id", cd, chunk_rows=chunk).collect()
+        assert sorted((r.k, r.id) for r in got) == sorted(_loop(rows, cd))
+
+
+def test_no_cooldown_and_no_matches(spark):
+    df = spark.createDataFrame([("A", T0, 1), ("A", T0, 2), (None, T0, 3), ("A", None, 4)], "k string, ts timestamp_ntz, id long")
+    assert sorted(r.id for r in greedy_cooldown(df, ["k"], "ts", "id", 0).collect()) == [1, 2, 3]
+    assert sorted(r.id for r in greedy_cooldown(df, ["k"], "ts", "id", 5).collect()) == [1, 3]
+    assert greedy_cooldown(df.where("id > 9"), ["k"], "ts", "id", 5).collect() == []
+
+
 def test_cooldown_properties(spark):
     """Fired alerts are >= cool-down apart; every suppressed match has a fired
     one less than the cool-down before it (SURVEY 5c)."""
@@ -101,7 +134,7 @@ def test_cooldown_properties(spark):
     df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id long")
     cd = dt.timedelta(minutes=5)
     fired = sorted((r.ts, r.id) for r in greedy_cooldown(df, ["k"], "ts", "id", 300_000_000,
-                                                          chunk_us=1_800_000_000).collect())
+                                                          chunk_rows=16).collect())
     assert all(b[0] - a[0] >= cd for a, b in zip(fired, fired[1:]))
     fired_ids = {i for _, i in fired}
     for tt, _, i in [(r[1], r[0], r[2]) for r in rows]:
