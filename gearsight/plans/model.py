@@ -11,6 +11,7 @@ step is a distributed DataFrame/ML job.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -157,8 +158,16 @@ def predict_all(model: PipelineModel, latest: DataFrame, key: str = "device_id",
                 settings: ModelSettings, method: str = "sequence_logistic") -> DataFrame:
     """M7 for every device at once; short histories give an error row. ``settings``
     are those the model was trained with."""
-    ok = latest.where(F.col("seq").isNotNull()).withColumn("features", array_to_vector("seq"))
-    scored = model.transform(ok).withColumn("maintenance_probability", vector_to_array("probability")[1])
+    def probability(ok: DataFrame) -> DataFrame:
+        scored = model.transform(ok.withColumn("features", array_to_vector("seq")))
+        return scored.withColumn("maintenance_probability", vector_to_array("probability")[1])
+    return predict_with(probability, latest, key, settings=settings, method=method)
+
+
+def predict_with(probability: Callable[[DataFrame], DataFrame], latest: DataFrame, key: str = "device_id", *,
+                 settings: ModelSettings, method: str) -> DataFrame:
+    """M7 with any scorer: ``probability`` adds ``maintenance_probability`` to rows that hold ``seq``."""
+    scored = probability(latest.where(F.col("seq").isNotNull()))
     t = DEFAULT.thresholds
     good = scored.select(
         key, "maintenance_probability",
@@ -176,20 +185,46 @@ def predict_all(model: PipelineModel, latest: DataFrame, key: str = "device_id",
 
 
 def save_model(model: PipelineModel, path: str, features: list[str], settings: ModelSettings,
-               spark: SparkSession) -> None:
-    """The fitted pipeline plus a one-row metadata JSON beside it."""
+               spark: SparkSession, scaler: dict[str, tuple[float, float]] | None = None) -> None:
+    """The fitted pipeline, and beside it one row of metadata with the scaler
+    (exact decimal text of its doubles), so a loaded model scores raw rows."""
     model.write().overwrite().save(f"{path}/pipeline")
     meta = {"sequence_length": settings.sequence_length, "prediction_horizon": settings.prediction_horizon,
-            "feature_columns": features, "model_type": "sequence_logistic"}
+            "feature_columns": features, "model_type": "sequence_logistic",
+            "scaler": {c: [float(m).hex(), float(s).hex()] for c, (m, s) in scaler.items()} if scaler else None}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1) \
         .write.mode("overwrite").text(f"{path}/metadata")
 
 
 def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
+    """The pipeline and its metadata; ``scaler`` as :func:`apply_scaler` takes it."""
     meta = json.loads(spark.read.text(f"{path}/metadata").first()[0])
+    if meta.get("scaler"):
+        meta["scaler"] = {c: (float.fromhex(m), float.fromhex(s)) for c, (m, s) in meta["scaler"].items()}
     return PipelineModel.load(f"{path}/pipeline"), meta
 
 
+def predict_saved(spark: SparkSession, path: str, rows: DataFrame, key: str = "device_id",
+                  order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """M7 from a saved model and raw feature rows: scaled as in training, newest
+    window per device, scored."""
+    model, meta = load_model(spark, path)
+    scaled = apply_scaler(rows, meta["scaler"]) if meta.get("scaler") else rows
+    latest = latest_sequence(scaled, [key], list(order), meta["feature_columns"], meta["sequence_length"])
+    settings = replace(DEFAULT.model, sequence_length=meta["sequence_length"], prediction_horizon=meta["prediction_horizon"])
+    return predict_all(model, latest, key, settings=settings)
+
+
+def model_information(spark: SparkSession, path: str) -> DataFrame:
+    """2.13: what a saved model is, one row: type, window, horizon, number of
+    features, whether it carries its scaler."""
+    meta = F.from_json("value", "model_type string, sequence_length int, prediction_horizon int, "
+                                "feature_columns array<string>, scaler map<string, array<string>>")
+    return spark.read.text(f"{path}/metadata").select(meta.alias("m")).select(
+        "m.model_type", "m.sequence_length", "m.prediction_horizon", F.size("m.feature_columns").alias("n_features"),
+        F.array_join("m.feature_columns", ",").alias("features"), F.col("m.scaler").isNotNull().alias("has_scaler"))
+
+
 # ---------------------------------------------------------------- registered queries
 # Telemetry has about two readings per device and day, so the registered
 # sequence queries use a window of 10 readings and a 2-reading horizon.

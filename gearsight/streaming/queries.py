@@ -18,31 +18,31 @@ write a changelog (one folder per batch); readers take the last change per key.
 from __future__ import annotations
 
 import logging
+import time
 import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gearsight.functions.numeric import rnd
 from gearsight.functions.scoring import score
-from gearsight.functions.sensors import sensor_fault
+from gearsight.config import DEFAULT
+from gearsight.functions.sensors import finite_or_zero, sensor_fault
 from gearsight.plans.alerts import _hist_cols, _hist_cols_sql, default_rules, fired_sql, rule_matches, \
     alert_id, threshold_alerts, THRESHOLD_SQL
 from gearsight.plans.fleet import LATEST_READINGS_SQL, scored_sql
+from gearsight.plans.model import FEATURES, SEQ_LEN, SETTINGS, apply_scaler, predict_with
 from gearsight.plans.registry import register
 from gearsight.session import checkpoint_dir
 from gearsight.sources.tables import TELEMETRY_SENSORS, TELEMETRY_SQL, telemetry_of
-from gearsight.streaming.stateful import stream_buffers, stream_cooldown
+from gearsight.streaming.stateful import stream_buffers, stream_cooldown, stream_sequences
 
 log = logging.getLogger(__name__)
 Handler = Callable[[DataFrame, int], None]
 
-# ST6 run state: name -> the last progress report of the last run of that stream
-LAST_PROGRESS: dict[str, dict] = {}
-
 
 def event_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
     """ST1: events as a file stream (schema from the table, no inference). The
@@ -91,6 +91,14 @@ def parquet_sink(path: str) -> Handler:
     return h
 
 
+def predicting_sink(predict: Callable[[DataFrame], DataFrame]) -> Callable[[str], Handler]:
+    """ST7: a sink that applies a fitted predictor to each batch and writes its rows."""
+    def sink(path: str) -> Handler:
+        write = parquet_sink(path)
+        return lambda batch, epoch: write(predict(batch), epoch)
+    return sink
+
+
 def run_available(stream: DataFrame, spark: SparkSession, name: str, output_mode: str = "append",
                   extra: list[Handler] | None = None, sink: Callable[[str], Handler] = parquet_sink) -> str:
     """Run a stream over everything available now; return its sink folder.
@@ -100,7 +108,10 @@ def run_available(stream: DataFrame, spark: SparkSession, name: str, output_mode
     write, others = sink(path), fan_out(extra or [])
 
     def batch_done(batch: DataFrame, epoch: int) -> None:
-        write(batch, epoch)
+        seen, began = Observation(), time.monotonic()
+        write(batch.observe(seen, F.count(F.lit(1)).alias("rows")), epoch)
+        done = (int(seen.get["rows"]), time.monotonic() - began)
+        spark.createDataFrame([done], PROGRESS).coalesce(1).write.mode("overwrite").parquet(f"{base}/progress/_batch={epoch}")
         others(batch, epoch)
     q = (stream.writeStream.outputMode(output_mode)
          .option("checkpointLocation", f"{base}/checkpoint")
@@ -108,10 +119,19 @@ def run_available(stream: DataFrame, spark: SparkSession, name: str, output_mode
     q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))
-    LAST_PROGRESS[name] = q.lastProgress or {}
     return path
 
 
+PROGRESS = "rows long, seconds double"
+
+
+def read_progress(spark: SparkSession, sink: str) -> DataFrame:
+    """ST6: one row per batch of a run: rows it handed to the sink (counted while
+    they were written), seconds, ``_batch``. Kept as a table beside the sink, so any
+    process can read it, also after a restart."""
+    return read_sink(spark, f"{sink.removesuffix('/sink')}/progress", spark.createDataFrame([], PROGRESS))
+
+
 def read_sink(spark: SparkSession, sink: str, schema_of: DataFrame) -> DataFrame:
     """The sink as a batch frame (empty with the stream's schema if no batch came)."""
     schema = T.StructType([*schema_of.schema.fields, T.StructField("_batch", T.LongType())])
@@ -164,13 +184,14 @@ def stream_threshold_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- ST4
 def rule_alert_stream(scored: DataFrame, rules=None) -> DataFrame:
+    """Alerts (``outcome`` fired), and matches that came too late to be decided (late)."""
     rules = rules or default_rules()
     r = scored.withColumn("sensor_fault", sensor_fault(TELEMETRY_SENSORS))
     m = rule_matches(r, rules)
-    fired = stream_cooldown(m, ["rule", "device_id"], "ts", "event_id", "cooldown_us")
-    return fired.select(alert_id(F.col("device_id"), F.col("alert_type"), F.col("ts")).alias("alert_id"),
-                        "rule", "rule_order", "device_id", "alert_type", "priority", "message", "ts",
-                        "event_id", "health_score", "anomaly_score")
+    told = stream_cooldown(m, ["rule", "device_id"], "ts", "event_id", "cooldown_us")
+    return told.select(alert_id(F.col("device_id"), F.col("alert_type"), F.col("ts")).alias("alert_id"),
+                       "rule", "rule_order", "device_id", "alert_type", "priority", "message", "ts",
+                       "event_id", "health_score", "anomaly_score", "outcome")
 
 
 @register("stream_rule_alerts", fired_sql(default_rules()) + f"select {_hist_cols_sql()} from hist",
@@ -178,7 +199,7 @@ def rule_alert_stream(scored: DataFrame, rules=None) -> DataFrame:
 def stream_rule_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = rule_alert_stream(scored_stream(event_stream(spark, sf_dir)))
     sink = run_available(st, spark, "rule_alerts")
-    return _hist_cols(read_sink(spark, sink, st))
+    return _hist_cols(read_sink(spark, sink, st).where("outcome = 'fired'"))
 
 
 # ---------------------------------------------------------------- ST5
@@ -210,3 +231,75 @@ def stream_device_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_messages"))
     sink = run_available(st, spark, "device_counts", "update")
     return last_change(read_sink(spark, sink, st), ["device_id"])
+
+
+# ---------------------------------------------------------------- ST7 with M7
+def prediction_stream(scored: DataFrame, length: int, scaler: dict | None = None) -> DataFrame:
+    """The newest window of feature rows per device, as the model reads it."""
+    rows = scored.select("device_id", "ts", "event_id", *[finite_or_zero(F.col(c)).alias(c) for c in FEATURES])
+    return stream_sequences(apply_scaler(rows, scaler) if scaler else rows, FEATURES, length)
+
+
+def run_predictions(spark: SparkSession, windows: DataFrame, predict: Callable[[DataFrame], DataFrame], name: str
+                    ) -> tuple[DataFrame, str]:
+    """Runs the stream through the predictor; the newest prediction per device, and the sink."""
+    sink = run_available(windows, spark, name, sink=predicting_sink(predict))
+    rows = read_sink(spark, sink, predict(spark.createDataFrame([], windows.schema)))
+    return last_change(rows, ["device_id"]), sink
+
+
+# A scorer whose figures SQL can repeat: a logistic curve over the window's mean
+# reading. A fitted model takes its place through ``predict_all``.
+CURVE_MIDDLE, CURVE_WIDTH = 40.0, 5.0
+
+
+def curve_probability(windows: DataFrame) -> DataFrame:
+    total = F.aggregate("seq", F.lit(0.0), lambda a, x: a + x)
+    return windows.withColumn("maintenance_probability",
+                              1 / (1 + F.exp(-(total / F.size("seq") - CURVE_MIDDLE) / CURVE_WIDTH)))
+
+
+def predict_by_curve(windows: DataFrame) -> DataFrame:
+    return predict_with(curve_probability, windows, settings=SETTINGS, method="window_curve")
+
+
+_WINDOW_SQL = f"""
+s as ({scored_sql()}),
+r as (select *, row_number() over (partition by device_id order by ts desc, event_id desc) as rn from s),
+l as (select device_id, max(ts) as ts, count(*) as n,
+             1 / (1 + exp(-(sum({" + ".join(f"coalesce({c}, 0e0)" for c in FEATURES)}) / {SEQ_LEN * len(FEATURES)} - {CURVE_MIDDLE})
+                          / {CURVE_WIDTH})) as p
+      from r where rn <= {SEQ_LEN} group by device_id)
+"""
+
+
+@register("stream_predictions", f"""
+with {_WINDOW_SQL}
+select device_id, ts as "timestamp", case when n >= {SEQ_LEN} then round(p, 6) end as maintenance_probability,
+  case when n >= {SEQ_LEN} then p > {DEFAULT.thresholds.maintenance_threshold} end as maintenance_needed,
+  case when n < {SEQ_LEN} then 'not enough data' end as error
+from l
+""", ids=("ST7", "M7", "W9"))
+def stream_predictions_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = prediction_stream(scored_stream(event_stream(spark, sf_dir)), SEQ_LEN)
+    latest, _ = run_predictions(spark, windows, predict_by_curve, "predictions")
+    return latest.select("device_id", "timestamp", rnd("maintenance_probability", 6).alias("maintenance_probability"),
+                         "maintenance_needed", "error")
+
+
+@register("stream_totals", f"""
+with {_WINDOW_SQL}
+select 'messages' as metric, count(*) as n from events union all
+select 'devices', count(*) from l union all
+select 'predictions', count(*) from l where n >= {SEQ_LEN} union all
+select 'short histories', count(*) from l where n < {SEQ_LEN}
+""", ids=("ST6",))
+def stream_totals_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages and predictions of a whole run; messages from the run's own counts."""
+    scored = scored_stream(event_stream(spark, sf_dir))
+    read = read_progress(spark, run_available(scored.select("device_id"), spark, "messages"))
+    latest, _ = run_predictions(spark, prediction_stream(scored, SEQ_LEN), predict_by_curve, "totals")
+    counts = latest.agg(F.count(F.lit(1)).alias("devices"), F.count("maintenance_probability").alias("predictions"),
+                        F.count("error").alias("short histories"))
+    return (read.agg(F.lit("messages").alias("metric"), F.coalesce(F.sum("rows"), F.lit(0)).alias("n"))
+            .unionByName(counts.unpivot([], ["devices", "predictions", "short histories"], "metric", "n")))

@@ -1,13 +1,15 @@
-"""Stateful stream operators (ST4 rule cool-down, ST5 bounded buffers).
+"""Stateful stream operators (ST4 rule cool-down, ST5 bounded buffers, ST7 the
+last rows a prediction needs).
 
-Both use ``applyInPandasWithState``: Spark routes each key's rows of a
+All use ``applyInPandasWithState``: Spark routes each key's rows of a
 micro-batch to one call together with that key's state from the state
 store (checkpointed, so a restarted query resumes where it stopped).
 
 Event-time policy (ours; the reference has none): within a batch rows are
 taken in event-time order; a row older than the newest row already
-processed for its key is late — it is dropped and counted, never
-re-decided. For in-order input, stream and batch give the same alerts.
+processed for its key is late — it comes out marked ``late``, is counted,
+and never decides anything. For in-order input, stream and batch give the
+same alerts.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 COOLDOWN_STATE = "last_fire long, last_seen long, late long"
@@ -33,6 +36,8 @@ def _cooldown_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterat
     if last_seen is not None:
         is_late = pdf["_t"].to_numpy() < last_seen
         late += int(is_late.sum())
+        if is_late.any():
+            yield pdf.loc[is_late].drop(columns=["_t", "_tb", "_cd"]).assign(outcome="late")
         pdf = pdf.loc[~is_late].reset_index(drop=True)
     if len(pdf) == 0:
         state.update((last_fire, last_seen, late))
@@ -48,17 +53,18 @@ def _cooldown_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterat
     if fired:
         last_fire = int(t[fired[-1]])
     state.update((last_fire, int(max(t[-1], last_seen or t[-1])), late))
-    yield pdf.loc[fired].drop(columns=["_t", "_tb", "_cd"])
+    yield pdf.loc[fired].drop(columns=["_t", "_tb", "_cd"]).assign(outcome="fired")
 
 
 def stream_cooldown(matches: DataFrame, key: list[str], ts: str, tiebreak: str, cooldown_us_col: str
                     ) -> DataFrame:
-    """ST4: greedy cool-down per key on a stream of rule matches."""
+    """ST4: greedy cool-down per key on a stream of rule matches: the matches that
+    fire and those that came late, told apart by ``outcome`` (fired, late)."""
     m = matches.withColumns({
         "_t": F.unix_micros(F.col(ts).cast("timestamp")),
         "_tb": F.col(tiebreak).cast("long"),
         "_cd": F.col(cooldown_us_col).cast("long")})
-    out_schema = matches.schema
+    out_schema = T.StructType([*matches.schema.fields, T.StructField("outcome", T.StringType())])
     return m.groupBy(*key).applyInPandasWithState(
         _cooldown_fn, out_schema, COOLDOWN_STATE, "Append", GroupStateTimeout.NoTimeout)
 
@@ -89,3 +95,38 @@ def stream_buffers(readings: DataFrame, cap: int = 100) -> DataFrame:
                         F.col("event_id").cast("long").alias("_tb"))
     return r.groupBy("device_id").applyInPandasWithState(
         _buffer_fn(cap), BUFFER_OUT, BUFFER_STATE, "Append", GroupStateTimeout.NoTimeout)
+
+
+SEQUENCE_STATE = "t array<long>, tb array<long>, x array<double>"
+
+
+def _sequence_fn(length: int, width: int):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(pdfs), ignore_index=True)
+        t, tb = pdf["_t"].to_numpy(np.int64), pdf["_tb"].to_numpy(np.int64)
+        x = np.array(pdf["_x"].tolist(), dtype=float).reshape(len(pdf), width)
+        if state.exists:
+            old = state.get
+            t, tb = np.concatenate([old[0], t]).astype(np.int64), np.concatenate([old[1], tb]).astype(np.int64)
+            x = np.concatenate([np.array(old[2], dtype=float).reshape(-1, width), x])
+        keep = np.lexsort((tb, t))[-length:]
+        t, tb, x = t[keep], tb[keep], x[keep]
+        flat = x.ravel().tolist()
+        state.update((t.tolist(), tb.tolist(), flat))
+        yield pd.DataFrame({"device_id": [key[0]], "ts_us": [int(t[-1])], "n_rows": [len(t)],
+                            "seq": [flat if len(t) >= length else None]})
+    return fn
+
+
+def stream_sequences(rows: DataFrame, features: list[str], length: int) -> DataFrame:
+    """ST7: the newest ``length`` feature rows per device, kept in state, as the
+    vector a model reads (row-major, oldest first; null while there are fewer).
+    Each batch emits the devices it touched. Rows are ordered by (ts, event_id),
+    whatever batch they come in; ``rows`` needs device_id, ts, event_id, features."""
+    r = rows.select("device_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"),
+                    F.col("event_id").cast("long").alias("_tb"),
+                    F.array(*[F.col(c).cast("double") for c in features]).alias("_x"))
+    held = r.where("_t is not null").groupBy("device_id").applyInPandasWithState(
+        _sequence_fn(length, len(features)), "device_id string, ts_us long, n_rows long, seq array<double>",
+        SEQUENCE_STATE, "Append", GroupStateTimeout.NoTimeout)
+    return held.select("device_id", F.timestamp_micros("ts_us").cast("timestamp_ntz").alias("ts"), "n_rows", "seq")

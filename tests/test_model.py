@@ -36,6 +36,23 @@ def test_train_predict_save_load(spark):
     assert all(a[r.device_id] == r.maintenance_probability for r in p)
 
 
+def test_saved_model_scores_raw_rows(spark):
+    from gearsight.plans.model import device_predictions_q, model_information, predict_saved
+    from gearsight.plans.model import _trained
+    model, _, scaler = _trained(spark, SF)
+    path = tempfile.mkdtemp(prefix="gearsight-model-", dir="/tmp")
+    save_model(model, path, FEATURES, SETTINGS, spark, scaler)
+    assert load_model(spark, path)[1]["scaler"] == scaler
+    before = {r.device_id: r for r in device_predictions_q(spark, SF).collect()}
+    after = {r.device_id: r for r in predict_saved(spark, path, telemetry_rows(spark, SF)).collect()}
+    assert before.keys() == after.keys()
+    for d, r in before.items():
+        p, q = r.maintenance_probability, after[d].maintenance_probability
+        assert (p is None and q is None) or abs(p - q) < 1e-9
+    info = model_information(spark, path).first()
+    assert (info.n_features, info.sequence_length, info.has_scaler) == (len(FEATURES), SEQ_LEN, True)
+
+
 def test_single_class_raises(spark):
     import pytest
     s = spark.createDataFrame([("D", i, [0.1 * i, 0.2], 0) for i in range(20)],

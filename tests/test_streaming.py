@@ -37,15 +37,69 @@ def test_stream_cooldown_equals_batch_across_batches(spark):
     rules = with_cooldown(default_rules(), 24 * 60)     # day-scale: decisions span batches
     st = rule_alert_stream(scored_stream(event_stream(spark, src, max_files=1)), rules)
     sink = run_available(st, spark, "parity")
-    streamed = {(r.rule, r.device_id, r.event_id) for r in read_sink(spark, sink, st).collect()}
+    told = read_sink(spark, sink, st).collect()
+    assert {r.outcome for r in told} == {"fired"}           # in order: nothing is late
+    streamed = {(r.rule, r.device_id, r.event_id) for r in told}
     batch = evaluate_rules(alert_readings(spark, SF), rules)
     expect = {(r.rule, r.device_id, r.event_id) for r in batch.collect()}
     assert len(streamed) == len(expect), (len(streamed), len(expect), sorted(streamed - expect)[:3], sorted(expect - streamed)[:3])
     assert streamed == expect and len(expect) > 0
     n_batches = spark.read.parquet(sink).select("_batch").distinct().count()
     assert n_batches > 1
-    from gearsight.streaming.queries import LAST_PROGRESS
-    assert "numInputRows" in LAST_PROGRESS["parity"]
+    from gearsight.streaming.queries import read_progress
+    progress = read_progress(spark, sink).collect()
+    assert sum(r.rows for r in progress) == len(told) and all(r.seconds > 0 for r in progress)
+    assert len(progress) >= n_batches
+
+
+def _day_files(spark, days_first=None):
+    """The days as files in the given order (a file source reads by time of change)."""
+    import glob
+    import os
+    import shutil
+    d, days = _split_by_day(spark)
+    src = tempfile.mkdtemp(prefix="gearsight-stream-src-", dir="/tmp")
+    order = days_first or range(len(days))
+    for place, i in enumerate(order):
+        dst = os.path.join(src, "events.parquet", f"part-{place:03d}.parquet")
+        os.makedirs(os.path.dirname(dst), exist_ok=True)
+        shutil.copy(glob.glob(f"{d}/tmp{i:03d}/*.parquet")[0], dst)
+        os.utime(dst, (1_700_000_000 + place, 1_700_000_000 + place))
+    return src
+
+
+def test_late_matches_come_out_marked(spark):
+    """Days in the order 1, 0, 2: what day 0 brings for a key already on day 1 is late."""
+    src = _day_files(spark, [1, 0, 2])
+    rules = with_cooldown(default_rules(), 60)
+    scored = scored_stream(event_stream(spark, src, max_files=1))
+    st = rule_alert_stream(scored, rules)
+    got = read_sink(spark, run_available(st, spark, "late"), st).collect()
+    day = sorted({r.ts.date() for r in got})
+    on_day_1 = {(r.rule, r.device_id) for r in got if r.ts.date() == day[1]}
+    late = {(r.rule, r.device_id) for r in got if r.outcome == "late"}
+    first = {(r.rule, r.device_id) for r in got if r.ts.date() == day[0]}
+    assert late and late == first & on_day_1
+    assert all(r.ts.date() == day[0] for r in got if r.outcome == "late")
+
+
+def test_stream_predictions_equal_the_batch_ones(spark):
+    """A fitted model over many files, in and out of order."""
+    from gearsight.plans.model import (SEQ_LEN, SETTINGS, device_predictions_q, predict_all, telemetry_samples, train,
+                                       training_scaler)
+    from gearsight.streaming.queries import prediction_stream, read_progress, run_predictions
+    scaler = training_scaler(spark, SF)
+    model, _ = train(telemetry_samples(spark, SF, scaler=scaler), SETTINGS, max_iter=30)
+    want = {r.device_id: r for r in device_predictions_q(spark, SF).collect()}
+    src = _day_files(spark, None)
+    windows = prediction_stream(scored_stream(event_stream(spark, src, max_files=4)), SEQ_LEN, scaler)
+    latest, sink = run_predictions(spark, windows, lambda b: predict_all(model, b, settings=SETTINGS), "model")
+    got = {r.device_id: r for r in latest.collect()}
+    assert got.keys() == want.keys() and read_progress(spark, sink).count() > 1
+    for d, r in want.items():
+        assert (got[d].timestamp, got[d].error, got[d].risk_level) == (r.timestamp, r.error, r.risk_level)
+        assert got[d].maintenance_probability is None if r.maintenance_probability is None else abs(
+            got[d].maintenance_probability - r.maintenance_probability) < 1e-9
 
 
 def test_fan_out_isolates_failures(spark):
