@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from gearsight.config import DEFAULT, ModelSettings
 from gearsight.functions.calendar import add_time_features
 from gearsight.functions.numeric import rnd
+from gearsight.functions import rowwise
 from gearsight.functions.sensors import (failure_risk, finite_or_zero, label_generic,
                                          prediction_risk, risk_advice)
 from gearsight.operators.ordered import ordered_window, with_positions
@@ -37,10 +38,12 @@ from gearsight.sources.tables import TELEMETRY_SENSORS
 def prepare_features(readings: DataFrame, ts: str = "ts", key: list[str] | None = None,
                      order: list[str] | None = None) -> DataFrame:
     """M2 for sensor readings: calendar parts, basic rolling when missing (W3,
-    needs ``key``/``order``), generic label (F15) and risk bin (F16)."""
+    needs ``key``/``order``), composites where their columns are there (F10 over
+    named cartesian axes, F11 sums over joints), generic label (F15), risk bin (F16)."""
     if key and order:
         from gearsight.plans.robot import numeric_columns
         readings = ensure_basic_rolling(readings, key, order, numeric_columns(readings))
+    readings = add_composites(readings)
     cols = set(readings.columns)
     a = F.col("anomaly_score") if "anomaly_score" in cols else None
     h = F.col("health_score") if "health_score" in cols else None
@@ -48,6 +51,19 @@ def prepare_features(readings: DataFrame, ts: str = "ts", key: list[str] | None
     return out.withColumns({"maintenance_needed": label_generic(a, h), "failure_risk": failure_risk(a)})
 
 
+def add_composites(df: DataFrame) -> DataFrame:
+    """M2: distance from the origin, summed position errors and torques, each only
+    if its input columns exist."""
+    new = {}
+    xyz = [f"cartesian_{a}" for a in ("x", "y", "z")]
+    if set(xyz) <= set(df.columns):
+        new["cartesian_distance"] = rowwise.vector_norm_null_zero(xyz)
+    for part, name in (("pos_error", "total_pos_error"), ("torque_cmd", "total_torque_cmd")):
+        if cols := [c for c in df.columns if part in c and c.startswith("joint") and c.rstrip("0123456789").endswith(part)]:
+            new[name] = rowwise.row_abs_sum(cols)
+    return df.withColumns(new)
+
+
 def ensure_basic_rolling(df: DataFrame, key: list[str], order: list[str], features: list[str]) -> DataFrame:
     """When fewer than 5 rolling columns exist, add per-device mean 5/15,
     std 5 and trend (diff, 0 first) for the first 10 joint columns."""

@@ -9,6 +9,9 @@ values and halo rows, so one device of any length uses many partitions.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +25,7 @@ from gearsight.operators.ordered import halo_blocks, with_positions
 from gearsight.operators.series import BLOCK_ROWS, regular_series
 from gearsight.operators.wide_rolling import rolling_mean_std
 from gearsight.plans.registry import register
+from gearsight.session import written
 from gearsight.sources.tables import ROBOT_TAG_LONG_SQL, TAG_LONG_SQL, robot_tag_long, tag_long
 from gearsight.sources.xml import (clean_tag_history, list_files, read_tag_history, tag_map_frame,
                                    tag_pattern_groups, tag_profile)
@@ -268,31 +272,48 @@ def tag_name_suggestions_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- P10, P11, P13, M8
-FEATURE_PATTERNS = {
-    # fixed values: name patterns of robot feature groups
-    "joint": ("joint", "actual_pos", "cmd_pos", "pos_error", "torque_cmd", "torque_feedback", "velocity"),
-    "coordinate": ("cartesian", "scara"),
-    "engineered": ("total_", "mean_", "max_", "_ma_", "_std_", "_change", "_imbalance"),
+# The catalogue's categories. A column belongs to one if its name is
+# among ``names``, or holds all of ``parts``, or any of ``any_of``.
+CATEGORIES = {
+    "time": {"names": ("timestamp", "ts", "hour", "day_of_week", "minute")},
+    "joint position": {"parts": ("actual_pos", "joint")},
+    "position command": {"parts": ("cmd_pos", "joint")},
+    "position error": {"parts": ("pos_error", "joint")},
+    "torque command": {"parts": ("torque_cmd", "joint")},
+    "torque feedback": {"parts": ("torque_feedback", "joint")},
+    "cartesian": {"parts": ("cartesian",)},
+    "scara coordinate": {"parts": ("scara",)},
+    "engineered": {"any_of": ("total_", "mean_", "max_", "_ma_", "_std_", "_change")},
+    "target": {"names": ("health_score", "anomaly_score", "status", "device_id")},
 }
+# Names that make a column a training feature.
+TRAINING_SENSORS = ("actual_pos", "pos_error", "torque_cmd", "cartesian")
+TRAINING_ENGINEERED = ("total_", "mean_", "max_", "_imbalance", "_std_5", "_ma_5")
+
+
+def _belongs(column: str, names: tuple = (), parts: tuple = (), any_of: tuple = ()) -> bool:
+    return column in names or bool(parts) and all(p in column for p in parts) or any(p in column for p in any_of)
 
 
 def feature_catalog(df: DataFrame) -> DataFrame:
-    """(category, column) for every numeric column matching a category
-    pattern (a column can be in several categories); schema-driven."""
-    spark = df.sparkSession
-    cols = numeric_columns(df)
-    rows = [(cat, c) for cat, pats in FEATURE_PATTERNS.items() for c in cols if any(p in c for p in pats)]
-    return spark.createDataFrame(rows, "category string, column_name string")
+    """(category, column_name) for every column of each category, in the
+    frame's order (a column can be in several); schema-driven."""
+    rows = [(cat, c) for cat, rule in CATEGORIES.items() for c in df.columns if _belongs(c, **rule)]
+    return df.sparkSession.createDataFrame(rows, "category string, column_name string")
+
+
+def feature_counts(df: DataFrame) -> DataFrame:
+    """(category, n_columns, sample), the sample being the first three names."""
+    first = F.array_join(F.slice(F.collect_list("column_name"), 1, 3), ", ")
+    return feature_catalog(df).groupBy("category").agg(F.count(F.lit(1)).alias("n_columns"), first.alias("sample"))
 
 
-def select_features(df: DataFrame, exclude: tuple[str, ...] = ("health_score", "anomaly_score"),
-                    keep_label_sources: bool = False) -> list[str]:
-    """P10: numeric columns matching the feature patterns, sorted; calendar
-    parts are left out (Q3) and so are the label sources unless asked (Q17)."""
-    ex = set(CALENDAR) | ({"maintenance_needed"}) | (set() if keep_label_sources else set(exclude))
-    cols = numeric_columns(df)
-    pats = [p for ps in FEATURE_PATTERNS.values() for p in ps]
-    return sorted(c for c in cols if c not in ex and any(p in c for p in pats))
+def select_features(df: DataFrame, with_time: bool = False, keep_label_sources: bool = False) -> list[str]:
+    """P10 for the robot: numeric sensor and engineered columns by name, sorted.
+    Calendar parts (Q3) and the label's sources (Q17) are left out unless asked for."""
+    chosen = [c for c in numeric_columns(df) if any(p in c for p in (*TRAINING_SENSORS, *TRAINING_ENGINEERED))
+              or (with_time and c in CALENDAR) or (keep_label_sources and c in ("health_score", "anomaly_score"))]
+    return sorted(chosen)
 
 
 def with_device(df: DataFrame, device_id: str = "SCARA_ROBOT_001") -> DataFrame:
@@ -300,10 +321,12 @@ def with_device(df: DataFrame, device_id: str = "SCARA_ROBOT_001") -> DataFrame:
     return df if "device_id" in df.columns else df.withColumn("device_id", F.lit(device_id))
 
 
-def robot_training_set(features: DataFrame, key: list[str] | None = None, ts: str = "ts") -> DataFrame:
-    """M8: required columns checked (P7), robot label (F15 robot policy),
-    feature choice (P10), forward fill then 0 per device (W7)."""
-    from gearsight.functions.sensors import label_robot
+def robot_training_set(features: DataFrame, key: list[str] | None = None, ts: str = "ts",
+                       with_time: bool = False) -> DataFrame:
+    """M8: required columns checked (P7), robot label (F15 robot policy) and risk
+    bin (F16), feature choice (P10), forward fill then 0 per device (W7).
+    ``(key, ts)`` is unique, so the order is."""
+    from gearsight.functions.sensors import failure_risk, label_robot
     from gearsight.operators.rolling import ffill_then_zero
     from gearsight.plans.reports import validate_frame
     df = with_device(features)
@@ -311,11 +334,36 @@ def robot_training_set(features: DataFrame, key: list[str] | None = None, ts: st
     report = validate_frame(df, [*key, ts, "health_score", "anomaly_score"]).first()
     if report["missing_columns"] or report["n_rows"] == 0:
         raise ValueError(f"training frame invalid: {report.asDict()}")
-    df = df.withColumn("maintenance_needed", label_robot(F.col("health_score"), F.col("anomaly_score")))
-    feats = select_features(df)
-    df = df.select(*key, ts, *feats, "maintenance_needed")
-    return ffill_then_zero(df.withColumn("_tb", F.monotonically_increasing_id()), key, [ts, "_tb"], feats) \
-        .drop("_tb")
+    df = df.withColumns({"maintenance_needed": label_robot(F.col("health_score"), F.col("anomaly_score")),
+                         "failure_risk": failure_risk(F.col("anomaly_score"))})
+    feats = select_features(df, with_time)
+    df = written(df.select(*key, ts, *feats, "maintenance_needed", "failure_risk"))     # read by several branches
+    return ffill_then_zero(df, key, [ts], feats)
+
+
+def _training_sql(interval: str) -> str:
+    """The robot training set, its features summed: forward fill per device, then 0."""
+    feats = sorted(c for c in [*ROBOT_SENSORS, *ROBOT_BASE, *ROBOT_ROLLED]
+                   if any(p in c for p in (*TRAINING_SENSORS, *TRAINING_ENGINEERED)))
+    w = "(partition by device_id order by ts rows between unbounded preceding and current row)"
+    filled = " + ".join(f"coalesce(last_value({c} ignore nulls) over {w}, 0e0)" for c in feats)
+    body = _robot_sql(interval)
+    return f"""{body[:body.rindex("select device_id, ts,")]}
+select device_id, ts, {len(feats)} as n_features, round({filled} + {TIE}, 5) as feature_sum,
+  case when health_score < 70 or anomaly_score > 0.5 then 1 else 0 end as maintenance_needed,
+  case when anomaly_score > 0 and anomaly_score <= 0.3 then 'low' when anomaly_score > 0.3 and anomaly_score <= 0.7 then 'medium'
+       when anomaly_score > 0.7 and anomaly_score <= 1 then 'high' end as failure_risk
+from s"""
+
+
+@register("robot_training_rows", _training_sql("6h"), ids=("M8", "P10", "F15", "F16", "W7"))
+def robot_training_rows_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The robot training set with its features summed per row."""
+    rows = robot_training_set(events_robot_features(spark, sf_dir, "6h"))
+    feats = select_features(rows)
+    return rows.select("device_id", "ts", F.lit(len(feats)).alias("n_features"),
+                       rnd(reduce(add, [F.col(c) for c in feats]) + F.lit(TIE), 5).alias("feature_sum"),
+                       "maintenance_needed", "failure_risk")
 
 
 # ---------------------------------------------------------------- XML round trip

@@ -87,7 +87,7 @@ def test_robot_pipeline_end_to_end(spark):
 
 
 def test_training_set_and_catalog(spark):
-    from gearsight.plans.robot import feature_catalog, robot_training_set, select_features
+    from gearsight.plans.robot import feature_catalog, feature_counts, robot_training_set, select_features
     d = _fixture_dir()
     f = robot_from_xml(spark, f"{d}/*.dat", interval="5s")
     ts = robot_training_set(f)
@@ -95,8 +95,21 @@ def test_training_set_and_catalog(spark):
     feats = select_features(f)
     assert "hour" not in feats and "health_score" not in feats and "total_torque_cmd" in feats
     assert ts.where(F.col(feats[0]).isNull()).count() == 0          # forward fill then 0
-    cats = {r.category for r in feature_catalog(f).collect()}
-    assert {"joint", "engineered"} <= cats
+    assert "joint1_pos_error_ma_5" in feats and "minute" in select_features(f, with_time=True)
+    cats = {r.category: r for r in feature_counts(f).collect()}
+    assert len(cats) == 10 and cats["time"].n_columns == 4 and cats["target"].n_columns == 4
+    assert cats["cartesian"].sample.count(",") == 2 and feature_catalog(f).count() == sum(r.n_columns for r in cats.values())
+    assert {r.maintenance_needed for r in ts.collect()} <= {0, 1}
+
+
+def test_composites(spark):
+    from gearsight.plans.model import add_composites
+    df = spark.createDataFrame([(3.0, 4.0, 12.0, -1.0, 2.5, -4.0, None)], "cartesian_x double, cartesian_y double, "
+                               "cartesian_z double, joint1_pos_error double, joint2_pos_error double, "
+                               "joint1_torque_cmd double, joint1_pos_error_ma_5 double")
+    r = add_composites(df).first()
+    assert (r.cartesian_distance, r.total_pos_error, r.total_torque_cmd) == (13.0, 3.5, 4.0)
+    assert add_composites(df.select("cartesian_x")).columns == ["cartesian_x"]
 
 
 def test_basic_rolling_and_start_day_origin(spark):
