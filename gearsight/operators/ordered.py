@@ -17,12 +17,16 @@ carry:      unbounded "last non-null" (forward fill) is done per block and
             the carry-in comes from a window over the per-block summary.
 
 Every step is an aggregate, an equi-join or a window over bounded
-partitions; nothing is collected and no job runs while the plan is built.
+partitions; nothing is collected, and by default no job runs while the plan
+is built.
 
-:func:`ordered_window` splits by key inside the plan: keys of more than
-``block_rows`` rows take the blocked path, all others a plain window (one
-shuffle). Both give the same rows. Where no key is that large, the adaptive
-planner finds the large-key table empty and drops the blocked branch.
+:func:`ordered_window` splits by key: keys of more than ``block_rows`` rows take
+the blocked path, all others a plain window (one shuffle). Both give the same
+rows. As one lazy plan, each branch reads its input for itself, and where no key
+is that large, the adaptive planner finds the large-key table empty and drops the
+blocked branch. With ``write_once`` the rows per key are counted first (one job
+over the key columns): without a large key the plan is the plain window alone, one
+scan and one shuffle; else rows and positions are written once and read back.
 
 Keys are compared as one struct, so null keys match each other everywhere.
 """
@@ -35,6 +39,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gearsight.session import written
+
 DEFAULT_BLOCK_ROWS = 1 << 20
 SLICES = 128        # quantile slices that one key's rows are numbered in
 _KEY = "_key"
@@ -144,7 +150,8 @@ def forward_fill(df: DataFrame, key: list[str], cols: list[str], block_rows: int
 
 def ordered_window(df: DataFrame, key: list[str], order: list[str],
                    build: Callable[[WindowSpec], dict[str, Column]], lookback: int, lookahead: int = 0,
-                   ffill: list[str] | None = None, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                   ffill: list[str] | None = None, block_rows: int = DEFAULT_BLOCK_ROWS,
+                   write_once: bool = False) -> DataFrame:
     """Window columns over rows ordered by ``order`` within ``key``.
 
     ``build(w)`` gets a window ordered within the key (by ``order``, or by the
@@ -158,6 +165,11 @@ def ordered_window(df: DataFrame, key: list[str], order: list[str],
     ffill = ffill or []
     df = df.withColumn(_KEY, F.struct(*key))
     large = (df.groupBy(_KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows).select(_KEY))
+    keep = written if write_once else (lambda frame: frame)
+    if write_once:
+        large = written(large)
+    any_large = not (write_once and large.isEmpty())
+    df = keep(df) if any_large else df
 
     def plain(part: DataFrame) -> DataFrame:
         # one spec for the position and the features: one shuffle, one sort
@@ -169,10 +181,12 @@ def ordered_window(df: DataFrame, key: list[str], order: list[str],
         return p.withColumns(build(w))
 
     def blocked(part: DataFrame) -> DataFrame:
-        p = with_positions(part, [_KEY], order)
+        p = keep(with_positions(part, [_KEY], order))
         if ffill:
             p = forward_fill(p, [_KEY], ffill, block_rows, suffix="__ff")
         return blocked_window(p, [_KEY], build, lookback, lookahead, block_rows)
 
+    if not any_large:
+        return plain(df).drop(_KEY)
     return (plain(df.join(large, _KEY, "left_anti"))
             .unionByName(blocked(df.join(large, _KEY, "left_semi"))).drop(_KEY))

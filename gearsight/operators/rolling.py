@@ -47,7 +47,7 @@ def rolling_features(df: DataFrame, key: list[str], order: list[str], cols: list
                      windows: list[int] = (5, 15, 30),
                      stats: tuple[str, ...] = ("mean", "std", "min", "max"),
                      with_diff: bool = True, with_pct: bool = True,
-                     block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                     block_rows: int = DEFAULT_BLOCK_ROWS, write_once: bool = False) -> DataFrame:
     """W1 + W2 per key, ordered by ``order`` (unique within a key)."""
     windows = list(windows)
 
@@ -63,23 +63,23 @@ def rolling_features(df: DataFrame, key: list[str], order: list[str], cols: list
         return out
 
     out = ordered_window(df, key, order, build, lookback=max(windows + [2]) - 1,
-                         ffill=cols if with_pct else None, block_rows=block_rows)
+                         ffill=cols if with_pct else None, block_rows=block_rows, write_once=write_once)
     drop = ["_pos"] + ([f"{c}__ff" for c in cols] if with_pct else [])
     return out.drop(*drop)
 
 
 def abs_step(df: DataFrame, key: list[str], order: list[str], cols: dict[str, str],
-             block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+             block_rows: int = DEFAULT_BLOCK_ROWS, write_once: bool = False) -> DataFrame:
     """|c - previous c| per key; first row null. ``cols`` maps input -> output name."""
     out = ordered_window(df, key, order, lambda w: {o: F.abs(F.col(c) - F.lag(c, 1).over(w))
                                                     for c, o in cols.items()},
-                         lookback=1, block_rows=block_rows)
+                         lookback=1, block_rows=block_rows, write_once=write_once)
     return out.drop("_pos")
 
 
 def ffill_then_zero(df: DataFrame, key: list[str], order: list[str], cols: list[str],
-                    block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                    block_rows: int = DEFAULT_BLOCK_ROWS, write_once: bool = False) -> DataFrame:
     """Forward fill per key, leading nulls become 0."""
-    f = ordered_window(df, key, order, lambda w: {}, lookback=0, ffill=cols, block_rows=block_rows)
+    f = ordered_window(df, key, order, lambda w: {}, lookback=0, ffill=cols, block_rows=block_rows, write_once=write_once)
     return (f.withColumns({c: F.coalesce(F.col(f"{c}__ff"), F.lit(0.0)) for c in cols})
              .drop("_pos", *[f"{c}__ff" for c in cols]))

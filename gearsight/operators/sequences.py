@@ -25,7 +25,8 @@ def _row_vector(features: list[str]) -> Column:
 
 
 def sequence_samples(df: DataFrame, key: list[str], order: list[str], features: list[str], label: str,
-                     length: int, horizon: int, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                     length: int, horizon: int, block_rows: int = DEFAULT_BLOCK_ROWS,
+                     write_once: bool = False) -> DataFrame:
     """One row per sample: key, end-row order columns, ``seq`` (L*F doubles,
     row-major, oldest first) and ``label`` (the label ``horizon`` rows later)."""
     def build(w):
@@ -36,7 +37,7 @@ def sequence_samples(df: DataFrame, key: list[str], order: list[str], features:
         }
 
     out = ordered_window(df.withColumn("_x", _row_vector(features)), key, order, build,
-                         lookback=length - 1, lookahead=horizon, block_rows=block_rows)
+                         lookback=length - 1, lookahead=horizon, block_rows=block_rows, write_once=write_once)
     out = out.where((F.col("_pos") >= length - 1) & F.col("_y").isNotNull())
     seq = F.flatten(F.transform(F.array_sort("_xs"), lambda s: s["x"]))
     return out.select(*key, *order, seq.alias("seq"), F.col("_y").alias("label"))

@@ -263,7 +263,7 @@ def telemetry_samples(spark: SparkSession, sf_dir: str, length: int = SEQ_LEN, h
     if scaler:
         rows = apply_scaler(rows, scaler)
     return sequence_samples(rows, ["device_id"], ["ts", "event_id"], FEATURES, "maintenance_needed",
-                            length, horizon)
+                            length, horizon, write_once=True)
 
 
 def training_scaler(spark: SparkSession, sf_dir: str) -> dict[str, tuple[float, float]]:

@@ -338,7 +338,7 @@ def robot_training_set(features: DataFrame, key: list[str] | None = None, ts: st
                          "failure_risk": failure_risk(F.col("anomaly_score"))})
     feats = select_features(df, with_time)
     df = written(df.select(*key, ts, *feats, "maintenance_needed", "failure_risk"))     # read by several branches
-    return ffill_then_zero(df, key, [ts], feats)
+    return ffill_then_zero(df, key, [ts], feats, write_once=True)
 
 
 def _training_sql(interval: str) -> str:

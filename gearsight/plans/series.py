@@ -125,7 +125,7 @@ def _round_all(df: DataFrame, keep: list[str]) -> DataFrame:
           ids=("W1", "W2"))
 def rolling_features_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = telemetry(spark, sf_dir).select("event_id", "device_id", "ts", *ROLL_COLS)
-    r = rolling_features(t, ["device_id"], ["ts", "event_id"], ROLL_COLS, ROLL_WINDOWS)
+    r = rolling_features(t, ["device_id"], ["ts", "event_id"], ROLL_COLS, ROLL_WINDOWS, write_once=True)
     return _round_all(r.drop("device_id", "ts", *ROLL_COLS), ["event_id"])
 
 
@@ -140,7 +140,7 @@ LI_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber"]
           ids=("W1", "W2"))
 def lineitem_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", *LI_ORDER, *LI_COLS)
-    r = rolling_features(li, ["l_suppkey"], LI_ORDER, LI_COLS, [5, 15, 30], stats=("mean", "std"),
+    r = rolling_features(li, ["l_suppkey"], LI_ORDER, LI_COLS, [5, 15, 30], stats=("mean", "std"), write_once=True,
                          with_pct=False)
     return _round_all(r.drop("l_suppkey", "l_shipdate", *LI_COLS), ["l_orderkey", "l_linenumber"])
 
@@ -151,7 +151,7 @@ select event_id, round(abs(temperature - lag(temperature) over (partition by dev
 """, ids=("W5",))
 def abs_step_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = telemetry(spark, sf_dir).select("event_id", "device_id", "ts", "temperature")
-    r = abs_step(t, ["device_id"], ["ts", "event_id"], {"temperature": "temperature_change"})
+    r = abs_step(t, ["device_id"], ["ts", "event_id"], {"temperature": "temperature_change"}, write_once=True)
     return r.select("event_id", rnd("temperature_change", 6).alias("temperature_change"))
 
 
@@ -161,5 +161,5 @@ select event_id, coalesce(last_value(temperature ignore nulls) over (partition b
 """, ids=("W7",))
 def ffill_zero_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = telemetry(spark, sf_dir).select("event_id", "device_id", "ts", "temperature")
-    return ffill_then_zero(t, ["device_id"], ["ts", "event_id"], ["temperature"]).select(
+    return ffill_then_zero(t, ["device_id"], ["ts", "event_id"], ["temperature"], write_once=True).select(
         "event_id", "temperature")

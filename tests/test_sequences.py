@@ -100,3 +100,19 @@ def test_no_job_while_planning(spark):
         assert not tracker.getJobIdsForGroup(group)
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("block", [6, 1 << 20])
+def test_written_once_gives_the_same_rows(spark, block):
+    """With a large key and without; without one the plan is one scan and one shuffle."""
+    import contextlib
+    import io
+    df, _ = _frame(spark)
+    a, b = (rolling_features(df, ["device_id"], ["ts", "id"], ["a"], [3], block_rows=block, write_once=x) for x in (False, True))
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        b.explain()         # before it runs: the initial plan alone
+    if block > 6:
+        assert text.getvalue().count("Exchange ") == 1 and text.getvalue().count("Scan ") == 1
+    assert a.columns == b.columns
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
