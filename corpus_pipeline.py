@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gearsight.llm import decontam, line_dedup, packing, simhash, toxicity
-from gearsight.llm.common import table, written
+from gearsight.llm.common import table
 from gearsight.llm.queries import tokenizer_path
 from gearsight.session import apply_defaults, checkpoint_dir
 
@@ -19,8 +19,12 @@ ROW = "__pipeline_row"
 
 def _rows(docs: DataFrame) -> DataFrame:
     """``docs`` with a key for each row, written, so both reads see the same keys.
-    Ids may be null, repeated or shared by different texts; decisions are by row."""
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    Ids may be null, repeated or shared by different texts; decisions are by row.
+    The texts are written again for this, so as small as Parquet makes them."""
+    keyed = docs.withColumn(ROW, F.monotonically_increasing_id())
+    path = f"{checkpoint_dir(docs.sparkSession)}/pipeline-rows-{uuid.uuid4().hex}"
+    keyed.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(keyed.schema).parquet(path)
 
 
 def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
