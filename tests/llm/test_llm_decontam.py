@@ -73,6 +73,46 @@ def test_edited_beside_exact(spark):
     assert {r.doc_id: r.score for r in got} == {d: share[d] for d in (1, 2, 3, 4)} and len(got) == 4
 
 
+def test_all_pairs(spark):
+    """Against every (document, item) pair: openings that many items share, edited
+    copies of which only the opening is whole, short, equal and clashing items."""
+    rng = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(150)]
+    opening = [f"o{i}" for i in range(6)]
+    items = [(i, " ".join((opening if i % 2 else []) + rng.choices(vocabulary, k=rng.randint(4, 30)))) for i in range(40)]
+    items += [(40, "o0 o1"), (41, "o2"), (42, items[1][1]), (1, "quite another text of one id"), (43, "o1 o2 o3 o4")]
+    rows = []
+    for d in range(150):
+        body = rng.choices(vocabulary, k=rng.randint(5, 60))
+        if d % 2:
+            w = items[rng.randrange(40)][1].split()
+            body[3:3] = w[:6] + [rng.choice(vocabulary) if k % rng.choice((2, 3, 5)) == 1 else x
+                                 for k, x in enumerate(w[6:])]
+        elif d % 3:
+            body[2:2] = opening
+        rows.append((d, " ".join(body)))
+    want = {}
+    for d, t in rows:
+        doc = decontam.Passages(t, 3)
+        for i, text in items:
+            share, end = doc.best(decontam.words_of(text), 0.5)
+            if share >= 0.5:
+                want[d, i] = max(want.get((d, i), (0, 0)), (share, end))
+    got = decontam.contaminated(docs_frame(spark, rows), items_frame(spark, items)).collect()
+    assert len(want) > 100 and {(r.doc_id, r.item_id): (r.score, r.end_word) for r in got} == want and len(got) == len(want)
+
+
+def test_common_opening_makes_no_pairs(spark):
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(2_000)]
+    text = lambda k: "in this text you will find " + " ".join(rng.choices(vocabulary, k=k))
+    items, rows = [(i, text(25)) for i in range(100)], [(d, text(100)) for d in range(1_000)]
+    rows[17] = (17, "x " + items[3][1])
+    one = spark.createDataFrame(items, "item long, text string")
+    pairs = {(r.doc_id, r.item) for r in decontam.candidates(docs_frame(spark, rows).select("doc_id", "text"), one).collect()}
+    assert (17, 3) in pairs and len(pairs) < len(rows)              # of 100,000
+
+
 def test_most_matches_bounds_alignments():
     rng = random.Random(3)
     for _ in range(200):
