@@ -197,8 +197,8 @@ def near_keys(words: list[bytes], pos: np.ndarray, h: np.ndarray, reach: int, ta
     edges = [0, *(np.flatnonzero(np.diff(pos) > 2 * reach) + 1).tolist(), len(pos)]
     out = []
     for a, b in zip(edges, edges[1:]):
-        near = shingle_hashes(words[max(0, int(pos[a]) - reach):int(pos[b - 1]) + reach], 1).view(np.int64)
-        near, hs = np.append(np.unique(near), ALONE), np.unique(h[a:b])
+        near = [shingle_hashes([w], 1) for w in set(words[max(0, int(pos[a]) - reach):int(pos[b - 1]) + reach])]
+        near, hs = np.append(np.concatenate(near).view(np.int64), ALONE), np.unique(h[a:b])
         step = max(1, (1 << 20) // len(near))
         for c in range(0, len(hs), step):
             keys = mixed(hs[c:c + step], near).ravel()
@@ -209,7 +209,7 @@ def near_keys(words: list[bytes], pos: np.ndarray, h: np.ndarray, reach: int, ta
 def _hits(docs: DataFrame, tables, sizes: list[int], reach: int) -> DataFrame:
     """``(doc_id, keys)``: the possible keys of each document that holds any."""
     def run(batches):
-        rare, shared, companion = tables.value
+        seeds, shared, companion = tables.value
         for batch in batches:
             for part, text in slices(batch):
                 rows = []
@@ -218,8 +218,9 @@ def _hits(docs: DataFrame, tables, sizes: list[int], reach: int) -> DataFrame:
                     keys, pos, held = [], [], []
                     for n in sizes:
                         h = seed_hashes(words, n)
-                        keys.append(h[seen(rare, h)])
-                        at = np.flatnonzero(seen(shared, h))
+                        at = np.flatnonzero(seen(seeds, h))
+                        keys.append(h[at])
+                        at = at[seen(shared, h[at])]
                         pos.append(at)
                         held.append(h[at])
                     if sum(map(len, pos)):
@@ -237,42 +238,53 @@ class Passages:
     """A document's words, asked for the best aligned passage of one item after another."""
 
     def __init__(self, text: str, n: int):
-        self.words, self.n, self._sorted = words_of(text), n, {}
-
-    def _starts(self, item: list[bytes]) -> list[int]:
-        """Where the item would begin, by each seed that both hold."""
-        size = min(self.n, len(item))
-        if size not in self._sorted:
-            h = seed_hashes(self.words, size)
-            order = np.argsort(h, kind="stable")
-            self._sorted[size] = h[order], order
-        h, order = self._sorted[size]
-        seeds = seed_hashes(item, size)
-        lo, hi = np.searchsorted(h, seeds, "left"), np.searchsorted(h, seeds, "right")
-        return sorted({int(p) - at for at, (a, b) in enumerate(zip(lo.tolist(), hi.tolist())) for p in order[a:b]})
+        words, self.n = words_of(text), n
+        self.ids = {w: i for i, w in enumerate(set(words))}
+        self.at = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
 
     def best(self, item: list[bytes], threshold: float) -> tuple[float, int]:
         """The alignment's share of the item's own score, and the word behind it."""
+        ids = {w: i for i, w in enumerate(dict.fromkeys(item))}
+        want = np.array([ids[w] for w in item], np.int64)
+        known = np.full(len(self.ids) + 1, -1, np.int64)         # the item's number of each word of the document
+        for w, i in ids.items():
+            known[self.ids.get(w, -1)] = i
+        known[-1] = -1
+        words = known[self.at]
+        if most_matches(want, words) / len(item) < threshold:
+            return 0.0, 0
         slack = max(8, len(item) // 2)
         spans: list[list[int]] = []
-        for s in self._starts(item):
-            lo, hi = max(0, s - slack), min(len(self.words), s + len(item) + slack)
+        for s in _starts(want, words, min(self.n, len(item))):
+            lo, hi = max(0, s - slack), min(len(words), s + len(item) + slack)
             if spans and lo <= spans[-1][1]:
                 spans[-1][1] = max(hi, spans[-1][1])
             else:
                 spans.append([lo, hi])
-        ids = {w: i for i, w in enumerate(dict.fromkeys(item))}
-        want = np.array([ids[w] for w in item], np.int64)
         best = (0, 0)
         for lo, hi in spans:
-            passage = np.array([ids.get(w, -1) for w in self.words[lo:hi]], np.int64)
-            if most_matches(want, passage) / len(item) < threshold:
+            if most_matches(want, words[lo:hi]) / len(item) < threshold:
                 continue
-            score, end = align(want, passage)
+            score, end = align(want, words[lo:hi])
             best = max(best, (score, lo + end))
         return best[0] / (MATCH * len(item)), best[1]
 
 
+def _starts(item: np.ndarray, words: np.ndarray, size: int) -> list[int]:
+    """Where the item would begin, by each run of ``size`` words that both hold."""
+    if len(words) < size:
+        return []
+    base = int(item.max()) + 2
+
+    def codes(of):
+        return sum((of[i:len(of) - size + 1 + i] + 1) * base ** (size - 1 - i) for i in range(size))
+    seeds, h = codes(item), codes(words)
+    at = np.flatnonzero(np.isin(h, seeds))
+    order = np.argsort(seeds, kind="stable")
+    lo, hi = np.searchsorted(seeds[order], h[at], "left"), np.searchsorted(seeds[order], h[at], "right")
+    return sorted({p - int(i) for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist()) for i in order[a:b]})
+
+
 def _aligned(n: int, threshold: float):
     def run(batches):
         for batch in batches:
@@ -302,7 +314,7 @@ def candidates(docs: DataFrame, items: DataFrame, n: int = SEED_WORDS, threshold
     longest = seeds.agg(F.max("words")).first()[0] or 0
     reach = longest + max(8, longest // 2) + n              # from a seed to the ends of any span around it
     tables = Shared(spark, tuple(_bits(k) for k in (
-        anchors.where("alone").select("key"), anchors.where("not alone").select("h").distinct(),
+        seeds.select("h").distinct(), anchors.where("not alone").select("h").distinct(),
         anchors.where("not alone").select("key"))))
     hits = written(_hits(docs, tables, sizes, reach))
     return (hits.select("doc_id", F.explode("keys").alias("key")).join(anchors, "key")
