@@ -115,6 +115,9 @@ class ModelSettings:
     validation_split: float = 0.2
     seed: int = 42
     max_features: int = 50
+    classifier: str = "logistic"            # or "tree": gradient-boosted trees
+    tree_rounds: int = 20
+    tree_depth: int = 4
 
 
 @dataclass(frozen=True)

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +30,7 @@ from gearsight.operators.ordered import ordered_window, with_positions
 from gearsight.operators.sequences import latest_sequence, sequence_samples
 from gearsight.plans.fleet import scored_sql, scored_telemetry
 from gearsight.plans.registry import register
+from gearsight.session import materialize
 from gearsight.sources.tables import TELEMETRY_SENSORS
 
 # ---------------------------------------------------------------- M2 / M8
@@ -139,22 +140,44 @@ def split_samples(samples: DataFrame, settings: ModelSettings) -> DataFrame:
 def train(samples: DataFrame, settings: ModelSettings = DEFAULT.model, max_iter: int = 50
           ) -> tuple[PipelineModel, DataFrame]:
     """M6 on samples (seq array, label); returns the model and the hold-out
-    predictions. A single-class training set raises (Q12)."""
-    s = split_samples(samples, settings).withColumn("features", array_to_vector("seq")).withColumn(
+    predictions. ``settings`` choose the classifier: logistic regression or
+    gradient-boosted trees. The samples are written once, as every pass of the
+    optimiser reads them. A single-class training set raises (Q12)."""
+    s = materialize(split_samples(samples, settings)).withColumn("features", array_to_vector("seq")).withColumn(
         "label", F.col("label").cast("double"))
     tr, te = s.where(~F.col("_test")), s.where(F.col("_test"))
     classes = tr.agg(F.countDistinct("label")).first()[0]
     if classes < 2:
         raise ValueError("training labels hold a single class; need both classes to train")
-    model = Pipeline(stages=[LogisticRegression(maxIter=max_iter, regParam=0.01)]).fit(tr)
+    model = Pipeline(stages=[_classifier(settings, max_iter)]).fit(tr)
     return model, model.transform(te)
 
 
+def _classifier(settings: ModelSettings, max_iter: int):
+    if settings.classifier == "logistic":
+        return LogisticRegression(maxIter=max_iter, regParam=0.01)
+    if settings.classifier == "tree":
+        return GBTClassifier(maxIter=settings.tree_rounds, maxDepth=settings.tree_depth, seed=settings.seed)
+    raise ValueError(f"no classifier named {settings.classifier!r}")
+
+
+def feature_importance(spark: SparkSession, model: PipelineModel, features: list[str]) -> DataFrame:
+    """M6: ``(feature, importance)`` of a tree model, most important first; a
+    feature's places in the window are summed, all features sum to 1."""
+    weights = model.stages[-1].featureImportances.toArray().reshape(-1, len(features)).sum(axis=0)
+    return spark.createDataFrame([(f, float(w)) for f, w in zip(features, weights)],
+                                 "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
 def evaluation(pred: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """A22 of a classifier's predictions."""
+    return evaluation_of(pred, vector_to_array("probability")[1], threshold)
+
+
+def evaluation_of(pred: DataFrame, probability: Column, threshold: float = 0.5) -> DataFrame:
     """Per class precision, recall, f1, support from one confusion
     aggregate (zero on an empty denominator)."""
-    p1 = vector_to_array("probability")[1]
-    cm = pred.select(F.col("label").cast("int").alias("y"), (p1 > threshold).cast("int").alias("p"))
+    cm = pred.select(F.col("label").cast("int").alias("y"), (probability > threshold).cast("int").alias("p"))
     agg = cm.agg(*[F.count_if((F.col("y") == a) & (F.col("p") == b)).alias(f"c{a}{b}")
                    for a in (0, 1) for b in (0, 1)])
     rows = []
@@ -206,7 +229,7 @@ def save_model(model: PipelineModel, path: str, features: list[str], settings: M
     (exact decimal text of its doubles), so a loaded model scores raw rows."""
     model.write().overwrite().save(f"{path}/pipeline")
     meta = {"sequence_length": settings.sequence_length, "prediction_horizon": settings.prediction_horizon,
-            "feature_columns": features, "model_type": "sequence_logistic",
+            "feature_columns": features, "model_type": f"sequence_{settings.classifier}",
             "scaler": {c: [float(m).hex(), float(s).hex()] for c, (m, s) in scaler.items()} if scaler else None}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1) \
         .write.mode("overwrite").text(f"{path}/metadata")
@@ -228,7 +251,7 @@ def predict_saved(spark: SparkSession, path: str, rows: DataFrame, key: str = "d
     scaled = apply_scaler(rows, meta["scaler"]) if meta.get("scaler") else rows
     latest = latest_sequence(scaled, [key], list(order), meta["feature_columns"], meta["sequence_length"])
     settings = replace(DEFAULT.model, sequence_length=meta["sequence_length"], prediction_horizon=meta["prediction_horizon"])
-    return predict_all(model, latest, key, settings=settings)
+    return predict_all(model, latest, key, settings=settings, method=meta["model_type"])
 
 
 def model_information(spark: SparkSession, path: str) -> DataFrame:
@@ -313,9 +336,9 @@ def latest_sequences_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                      rnd(F.aggregate("seq", F.lit(0.0), lambda a, x: a + x), 6).alias("seq_sum"))
 
 
-def _trained(spark: SparkSession, sf_dir: str):
+def _trained(spark: SparkSession, sf_dir: str, settings: ModelSettings = SETTINGS):
     scaler = training_scaler(spark, sf_dir)
-    model, held_out = train(telemetry_samples(spark, sf_dir, scaler=scaler), SETTINGS, max_iter=30)
+    model, held_out = train(telemetry_samples(spark, sf_dir, scaler=scaler), settings, max_iter=30)
     return model, held_out, scaler
 
 
@@ -325,6 +348,12 @@ def model_evaluation_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation(held_out)
 
 
+@register("tree_evaluation", None, ids=("M5", "M6", "A22"))
+def tree_evaluation_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, held_out, _ = _trained(spark, sf_dir, replace(SETTINGS, classifier="tree"))
+    return evaluation(held_out)
+
+
 @register("device_predictions", None, ids=("M7", "F17", "2.13"))
 def device_predictions_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, _, scaler = _trained(spark, sf_dir)
@@ -349,6 +378,29 @@ def sample_split_q(spark: SparkSession, sf_dir: str) -> DataFrame:
         *SAMPLE_KEY, F.col("label").cast("int").alias("label"), F.col("_test").alias("test"))
 
 
+def _report_sql(cut: float) -> str:
+    """A22 of the held-out samples, with the current anomaly score as the stored probability."""
+    def of(k: int) -> str:
+        tp, fp, fn = (f"count(*) filter (y {a} {k} and p {b} {k})" for a, b in (("=", "="), ("<>", "="), ("=", "<>")))
+        return (f"select {k} as label, {tp} as tp, {fp} as fp, {fn} as fn from c")
+    return f"""with {_split_sql()},
+c as (select sp.label as y, case when sc.anomaly_score > {cut}e0 then 1 else 0 end as p from sp
+      join ({scored_sql()}) sc on sc.device_id = sp.device_id and sc.event_id = sp.event_id where sp.test),
+k as ({of(0)} union all {of(1)}),
+m as (select label, tp + fn as support, case when tp + fp > 0 then tp / (tp + fp) else 0e0 end as prec,
+             case when tp + fn > 0 then tp / (tp + fn) else 0e0 end as rec from k)
+select label, round(prec, 6) as precision, round(rec, 6) as recall,
+       round(case when prec + rec > 0 then 2 * prec * rec / (prec + rec) else 0e0 end, 6) as f1, support from m"""
+
+
+@register("score_report", _report_sql(0.3), ids=("A22", "M5"))
+def score_report_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A22 on a stored score: does the anomaly score now tell the label two readings on."""
+    held_out = split_samples(telemetry_samples(spark, sf_dir), SETTINGS).where("_test").select(*SAMPLE_KEY, "label")
+    scores = scored_telemetry(spark, sf_dir).select(*SAMPLE_KEY, "anomaly_score")
+    return evaluation_of(held_out.join(scores, SAMPLE_KEY), F.col("anomaly_score"), 0.3)
+
+
 @register("feature_scaler", f"with {_split_sql()}, tr as (select sc.* from ({scored_sql()}) sc semi join "
           "(select * from sp where not test) x on x.device_id = sc.device_id and x.event_id = sc.event_id) "
           + " union all ".join(f"select '{c}' as feature, round(avg(coalesce({c}, 0e0)), 6) as mean, "

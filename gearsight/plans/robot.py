@@ -21,6 +21,7 @@ from gearsight.functions import rowwise
 from gearsight.functions.numeric import rnd
 from gearsight.functions.scoring import robot_anomaly, robot_health, robot_status
 from gearsight.functions.sensors import suggest_sensor_name
+from gearsight.operators.gram import gram_correlation
 from gearsight.operators.ordered import halo_blocks, with_positions
 from gearsight.operators.series import BLOCK_ROWS, regular_series
 from gearsight.operators.wide_rolling import rolling_mean_std
@@ -220,6 +221,22 @@ def robot_features_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("device_id", "ts", *[rnd(F.col(c) + F.lit(TIE), 6).alias(c) for c in ROBOT_OUT], "status")
 
 
+CORRELATED = sorted([*ROBOT_BASE, *ROBOT_ROLLED[:48], "health_score", "anomaly_score"])
+
+
+@register("robot_correlation", f"""
+with f as ({_robot_sql("6h")}),
+l as (unpivot (select device_id, ts, {", ".join(CORRELATED)} from f) on {", ".join(CORRELATED)} into name c value v),
+p as (select a.c as col_a, b.c as col_b, count(*) as n, corr(a.v, b.v) as r from l a
+      join l b on a.device_id = b.device_id and a.ts = b.ts and a.c < b.c group by all)
+select col_a, col_b, n, round(r, 6) as r from p where r is not null and not isnan(r)
+""", ids=("A8", "A9"))
+def robot_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 over the robot frame's derived and rolling columns, one pass over the written frame."""
+    c = gram_correlation(written(robot_features_q(spark, sf_dir).select(*CORRELATED)), CORRELATED)
+    return c.where("r is not null").select("col_a", "col_b", "n", rnd("r", 6).alias("r"))
+
+
 @register("tag_profile", f"""
 select tag_name, n, round(sample_value, 6) as sample_value, sample_timestamp, sample_status from (
   select tag as tag_name, count(*) as n, arg_min(tag_value, (ts, event_id)) as sample_value,

@@ -72,3 +72,33 @@ def test_stratified_split_exact_share(spark):
     again = {r.id for r in stratified_split(df, "label", ["id"], 0.2)
              .where("_test").collect()}
     assert again == {r.id for r in s.where("_test").collect()}
+
+
+def test_tree_classifier(spark):
+    """Labels that only a product of two features tells: trees learn them, and
+    name the features; a loaded tree model scores alike and knows its type."""
+    import random
+    from dataclasses import replace
+    import pytest
+    from gearsight.plans.model import feature_importance, model_information
+    rng = random.Random(1)
+    rows = []
+    for i in range(600):
+        x = [rng.uniform(-1, 1) for _ in range(6)]                   # two steps of three features
+        rows.append(("D", i, x, int(x[0] * x[4] > 0)))
+    s = spark.createDataFrame(rows, "device_id string, event_id long, seq array<double>, label int")
+    settings = replace(DEFAULT.model, classifier="tree", sequence_length=2)
+    model, held = train(s, settings)
+    assert all(r.recall > 0.8 for r in evaluation(held).collect())
+    linear, plain = train(s, DEFAULT.model)
+    assert min(r.recall for r in evaluation(plain).collect()) < 0.7
+    top = feature_importance(spark, model, ["a", "b", "c"]).collect()
+    assert {r.feature for r in top[:2]} == {"a", "b"} and abs(sum(r.importance for r in top) - 1) < 1e-9
+    path = tempfile.mkdtemp(prefix="gearsight-model-", dir="/tmp")
+    save_model(model, path, ["a", "b", "c"], settings, spark)
+    again = load_model(spark, path)[0].transform(held.select("features", "event_id"))
+    want = {r.event_id: r.probability for r in held.collect()}
+    assert all(want[r.event_id] == r.probability for r in again.collect())
+    assert model_information(spark, path).first().model_type == "sequence_tree"
+    with pytest.raises(ValueError):
+        train(s, replace(DEFAULT.model, classifier="other"))
