@@ -153,10 +153,22 @@ ROBOT_OUT = [*ROBOT_BASE, *ROBOT_ROLLED, "health_score", "anomaly_score"]
 
 
 def events_robot_features(spark: SparkSession, sf_dir: str, interval: str = "6h") -> DataFrame:
+    return robot_from_long(_clean_events(spark, sf_dir), ["device_id"], ROBOT_SENSORS, interval)
+
+
+def _clean_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = tag_long(spark, sf_dir).withColumnRenamed("tag", "tag_name")
     tm = spark.createDataFrame(sorted(EVENT_TAG_MAP.items()), "tag_name string, sensor_name string")
-    clean = long.join(F.broadcast(tm), "tag_name", "inner").where(F.col("status") == 0)
-    return robot_from_long(clean, ["device_id"], ROBOT_SENSORS, interval)
+    return long.join(F.broadcast(tm), "tag_name", "inner").where(F.col("status") == 0)
+
+
+def basic_rolling_series(spark: SparkSession, sf_dir: str, interval: str = "6h") -> DataFrame:
+    """W3 on the regular robot series: it holds no rolling column yet, so means, std
+    and trend of the joint columns are added per device."""
+    from gearsight.plans.model import ensure_basic_rolling
+    series = regular_series(_clean_events(spark, sf_dir), ["device_id"], "ts", "sensor_name", "tag_value", ROBOT_SENSORS,
+                            interval)
+    return ensure_basic_rolling(series, ["device_id"], ["ts"], ROBOT_SENSORS)
 
 
 def _std2_sql(a: str, b: str) -> str:
@@ -221,6 +233,40 @@ def robot_features_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("device_id", "ts", *[rnd(F.col(c) + F.lit(TIE), 6).alias(c) for c in ROBOT_OUT], "status")
 
 
+BASIC_ROLLED = [f"{c}_{x}" for c in ROBOT_SENSORS for x in ("ma_5", "ma_15", "std_5", "trend")]
+
+
+def _basic_sql(interval: str) -> str:
+    from gearsight.plans.series import _tag_series_sql
+    mapped = "case tag " + " ".join(f"when '{k}' then '{v}'" for k, v in EVENT_TAG_MAP.items()) + " end"
+    w = "partition by device_id order by ts"
+    cols = ", ".join(f"""avg({c}) over ({w} rows 4 preceding) as {c}_ma_5, avg({c}) over ({w} rows 14 preceding) as {c}_ma_15,
+  coalesce(stddev_samp({c}) over ({w} rows 4 preceding), 0e0) as {c}_std_5, coalesce({c} - lag({c}) over ({w}), 0e0) as {c}_trend"""
+                     for c in ROBOT_SENSORS)
+    return (f"select device_id, ts, {cols} from "
+            f"({_tag_series_sql(interval, ROBOT_SENSORS, decimals=None, tag_sql=mapped)}) g")
+
+
+@register("robot_basic_rolling", f"select device_id, ts, {', '.join(f'round({c} + {TIE}, 6) as {c}' for c in BASIC_ROLLED)} "
+          f"from ({_basic_sql('6h')}) b", ids=("W3", "M2"))
+def robot_basic_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = basic_rolling_series(spark, sf_dir, "6h")
+    return rows.select("device_id", "ts", *[rnd(F.col(c) + F.lit(TIE), 6).alias(c) for c in BASIC_ROLLED])
+
+
+@register("robot_chosen_features", f"""
+with v as (unpivot (select {", ".join(f"var_samp({c}) as {c}" for c in BASIC_ROLLED)} from ({_basic_sql("6h")}) b)
+           on {", ".join(BASIC_ROLLED)} into name feature value variance),
+r as (select feature, row_number() over (order by variance desc, feature) as place from v)
+select cast(place as integer) as place, feature from r where place <= 10
+""", ids=("A21", "P10", "W3"))
+def robot_chosen_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A21 as training applies it: the ten rolling columns of largest variance."""
+    from gearsight.plans.model import variance_ranked
+    chosen = variance_ranked(basic_rolling_series(spark, sf_dir, "6h"), BASIC_ROLLED, 10)
+    return spark.createDataFrame(list(enumerate(chosen, 1)), "place int, feature string")
+
+
 CORRELATED = sorted([*ROBOT_BASE, *ROBOT_ROLLED[:48], "health_score", "anomaly_score"])
 
 
