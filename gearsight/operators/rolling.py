@@ -6,7 +6,9 @@ nulls, ``std`` is the sample std with a single observation giving 0;
 +-infinity on a zero base and 0 for 0/0 and leading rows.
 
 All rolling frames of one call share one window partitioning (key +
-block) and one sort, so many features cost one shuffle.
+block) and one sort, so many features cost one shuffle. Means and standard
+deviations are one vectorised pass over these rows (``wide_rolling``), with the
+figures of Spark's own frames to the last bit.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from gearsight.operators.ordered import DEFAULT_BLOCK_ROWS, ordered_window
+from gearsight.operators.wide_rolling import rolling_mean_std
 
 
 def _rolling_cols(w: WindowSpec, cols: list[str], windows: list[int], stats: tuple[str, ...]
@@ -23,10 +26,6 @@ def _rolling_cols(w: WindowSpec, cols: list[str], windows: list[int], stats: tup
     for c in cols:
         for n in windows:
             fr = w.rowsBetween(-(n - 1), 0)
-            if "mean" in stats:
-                out[f"{c}_ma_{n}"] = F.avg(c).over(fr)
-            if "std" in stats:
-                out[f"{c}_std_{n}"] = F.coalesce(F.stddev_samp(c).over(fr), F.lit(0.0))
             if "min" in stats:
                 out[f"{c}_min_{n}"] = F.min(c).over(fr)
             if "max" in stats:
@@ -62,10 +61,16 @@ def rolling_features(df: DataFrame, key: list[str], order: list[str], cols: list
                                                          F.lag(f"{c}__ff", 1).over(w))
         return out
 
+    def moments(rows: DataFrame, key: list[str], order: list[str], placed: bool) -> DataFrame:
+        return rolling_mean_std(rows, key, order, cols, windows, placed, as_window=True)
+
     out = ordered_window(df, key, order, build, lookback=max(windows + [2]) - 1,
-                         ffill=cols if with_pct else None, block_rows=block_rows, write_once=write_once)
-    drop = ["_pos"] + ([f"{c}__ff" for c in cols] if with_pct else [])
-    return out.drop(*drop)
+                         ffill=cols if with_pct else None, block_rows=block_rows, write_once=write_once,
+                         rows_pass=moments if {"mean", "std"} & set(stats) else None)
+    wanted = {"mean": "ma", "std": "std", "min": "min", "max": "max"}
+    made = [f"{c}_{wanted[x]}_{n}" for c in cols for n in windows for x in wanted if x in stats]
+    made += [f"{c}_{x}" for x, on in (("diff", with_diff), ("pct_change", with_pct)) if on for c in cols]
+    return out.select(*df.columns, *made)
 
 
 def abs_step(df: DataFrame, key: list[str], order: list[str], cols: dict[str, str],

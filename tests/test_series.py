@@ -130,3 +130,40 @@ def test_robot_features_alike_at_every_block_size(spark, block):
     a, b = (robot_features(df, ["device_id"], block_rows=x).orderBy("device_id", "ts").toPandas() for x in (block, 1 << 20))
     assert list(a.columns) == list(b.columns) and len(a) == len(rows)
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_rolling_pass_over_small_batches_equals_window_functions(spark):
+    """Frames reach over batches, null keys are a key, NaN and infinity are values: figures are Spark's own."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from gearsight.operators.rolling import rolling_features
+    from gearsight.operators.wide_rolling import STEP_VALUES
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1, 2]), i, None if rng.random() < 0.2 else rng.random() * 1e5) for i in range(400)]
+    rows += [(3, 400, 1.0), (3, 401, float("inf")), (3, 402, 2.0), (4, 403, float("nan")), (4, 404, 2.0), (5, 405, None)]
+    df = spark.createDataFrame(rows, "k int, t int, x double")
+    assert STEP_VALUES > 400
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for block in (1 << 20, 40):
+            got = rolling_features(df, ["k"], ["t"], ["x"], [3, 30], stats=("mean", "std"), with_pct=False, block_rows=block)
+            assert "MapInArrow" in got._jdf.queryExecution().toString()
+            w = Window.partitionBy("k").orderBy("t")
+            want = df.select("t", *[c for n in (3, 30) for c in (
+                F.avg("x").over(w.rowsBetween(1 - n, 0)).alias(f"m{n}"),
+                F.coalesce(F.stddev_samp("x").over(w.rowsBetween(1 - n, 0)), F.lit(0.0)).alias(f"s{n}"))])
+            a = sorted(map(repr, map(tuple, got.select("t", "x_ma_3", "x_std_3", "x_ma_30", "x_std_30").collect())))
+            b = sorted(map(repr, map(tuple, want.select("t", "m3", "s3", "m30", "s30").collect())))
+            assert a == b
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_rounded_columns_equal_rnd(spark):
+    from gearsight.functions.numeric import rnd, rnd_columns
+    rng = random.Random(8)
+    xs = [0.0, -0.0, 0.5, -0.5, 2.5e-6, -2.5e-6, 0.4999995, -1e-9, 1e300, -1e17, 123456789.1234565, None, float("nan"), float("inf")]
+    xs += [rng.uniform(-1e5, 1e5) for _ in range(500)] + [rng.randint(-9999, 9999) / 2e6 for _ in range(500)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = df.select(rnd("x", 6).alias("a"), *rnd_columns(df, ["x"])).collect()
+    assert [repr(r.a) for r in got] == [repr(r.x) for r in got]
