@@ -47,15 +47,16 @@ def newest_file(spark: SparkSession, pattern: str) -> str | None:
 
 
 def read_tag_history(spark: SparkSession, paths: str | list[str], row_tag: str = "HistoricalTextData",
-                     partitions: str | None = None) -> DataFrame:
+                     partitions: str | None = None, extra: str | None = None) -> DataFrame:
     """S1 + S2 + S3: tag_name, status, tag_value, timestamp (string), file_source.
 
     ``partitions`` names a partition column of a partitioned folder (e.g. a
-    device id) to keep."""
+    device id) to keep, ``extra`` a further child of the records; a record may lack it."""
+    kept = [c for c in (partitions, extra) if c]
     raw = (spark.read.format("xml").option("rowTag", row_tag)
            .option("columnNameOfCorruptRecord", "_corrupt_record")
            .option("mode", "PERMISSIVE").option("ignoreSurroundingSpaces", "false")
-           .schema(RAW_SCHEMA + (f", {partitions} string" if partitions else ""))
+           .schema(RAW_SCHEMA + "".join(f", {c} string" for c in kept))
            .load(paths)
            .select("*", F.col("_metadata.file_path").alias("_path"),
                    F.col("_metadata.file_name").alias("file_source")))
@@ -71,7 +72,7 @@ def read_tag_history(spark: SparkSession, paths: str | list[str], row_tag: str =
         F.trim("TagValue").rlike(NUMBER), F.expr("try_cast(trim(TagValue) AS DOUBLE)"))
     rec = good.where(present).select(
         F.trim("TagName").alias("tag_name"), status.alias("status"), value.alias("tag_value"),
-        F.trim("TimeStamp").alias("timestamp"), "file_source", *([partitions] if partitions else []))
+        F.trim("TimeStamp").alias("timestamp"), "file_source", *kept)
     return rec.where(F.col("status").isNotNull() & F.col("tag_value").isNotNull())
 
 

@@ -141,3 +141,41 @@ def test_newest_file_by_time(spark):
         _write(d, name, "<root></root>")
         os.utime(os.path.join(d, name), (at, at))
     assert newest_file(spark, f"{d}/*.dat").endswith("/a.dat")
+
+
+def test_xml_round_trip_files_do_not_grow_with_devices(spark, tmp_path):
+    """Records carry their device: files follow the tasks, and a missing device comes back as null."""
+    from gearsight.sources.xml import write_tag_history
+    rows = [(f"DEVICE_{i}" if i else None, "T", "0", str(float(i)), "2024-01-01 00:00:00") for i in range(60)]
+    rec = spark.createDataFrame(rows, "device_id string, TagName string, Status string, TagValue string, TimeStamp string")
+    path = str(tmp_path / "x")
+    write_tag_history(rec.coalesce(2), path)
+    assert sum(f.startswith("part-") for _, _, fs in os.walk(path) for f in fs) <= 2
+    back = read_tag_history(spark, path, extra="device_id").collect()
+    assert sorted((r.device_id or "", r.tag_value) for r in back) == sorted((r[0] or "", float(r[3])) for r in rows)
+
+
+def test_robot_xml_query_writes_few_files(spark):
+    """60 devices, one file per task and not one per task and device."""
+    from gearsight.plans.registry import load_all
+    from gearsight.session import checkpoint_dir
+    base = f"{checkpoint_dir(spark)}/tag_history_xml"
+    seen = set(os.listdir(base)) if os.path.isdir(base) else set()
+    load_all()["robot_features_xml"].build(spark, "/root/testdata/sf0.001")
+    made = [f for d in set(os.listdir(base)) - seen for _, _, fs in os.walk(f"{base}/{d}") for f in fs if f.startswith("part-")]
+    assert 0 < len(made) <= 16
+
+
+def test_training_set_works_out_features_once(spark):
+    from pyspark.sql import functions as F
+    from gearsight.plans.robot import robot_training_set
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+    f = spark.range(9).select(F.lit("D").alias("device_id"), F.expr("timestamp_ntz'2024-01-01' + make_interval(0,0,0,0,0,0,id)").alias("ts"),
+                              F.lit(80.0).alias("health_score"), F.lit(0.2).alias("anomaly_score"), F.col("id").cast("double").alias("total_x"))
+    assert robot_training_set(f.mapInArrow(seen, f.schema)).count() == 9
+    assert calls.value == 9
