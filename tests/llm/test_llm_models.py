@@ -108,3 +108,21 @@ def test_language_model_empty(spark):
     assert lm.language_model(docs_frame(spark, []), F.lit(True)).collect() == []
     only = lm.language_model(docs_frame(spark, [(1, "a b")]), F.lit(False)).collect()
     assert only[0].n_known == 0 and only[0].train_tokens == 0 and only[0].score < 0
+
+
+def test_quality_fit_uses_every_labelled_row(spark, monkeypatch):
+    """Rows beyond one block count, and the cut is the exact quantile of all strengths."""
+    import inspect
+    assert "sample" not in inspect.signature(quality.quality).parameters
+    monkeypatch.setattr(quality, "BLOCK", 16)
+    monkeypatch.setattr(quality, "FEW", 3)
+    monkeypatch.setattr(quality, "BINS", 8)
+    texts = [("fine words in a calm sentence number %d" % i) if i % 3 else ("$$ !! || %d 9 9" % i) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(120)], "doc_id long, quality int")
+    rows = quality.labelled_features(docs, labels, "quality", F.lit(True))
+    assert rows.count() == 120
+    ranker = quality.fit_ranker(rows)
+    s = ranker.strengths(np.array([quality.features(t) for t in texts]))
+    assert np.isclose(ranker.cut, np.quantile(s, 1 / 3))
+    assert s[np.arange(120) % 3 > 0].min() > s[np.arange(120) % 3 == 0].max()
