@@ -187,11 +187,11 @@ def rule_alert_stream(scored: DataFrame, rules=None) -> DataFrame:
     """Alerts (``outcome`` fired), and matches that came too late to be decided (late)."""
     rules = rules or default_rules()
     r = scored.withColumn("sensor_fault", sensor_fault(TELEMETRY_SENSORS))
-    m = rule_matches(r, rules)
+    kept = ["rule", "rule_order", "device_id", "alert_type", "priority", "message", "ts", "event_id", "health_score",
+            "anomaly_score"]
+    m = rule_matches(r, rules).select(*kept, "cooldown_us")
     told = stream_cooldown(m, ["rule", "device_id"], "ts", "event_id", "cooldown_us")
-    return told.select(alert_id(F.col("device_id"), F.col("alert_type"), F.col("ts")).alias("alert_id"),
-                       "rule", "rule_order", "device_id", "alert_type", "priority", "message", "ts",
-                       "event_id", "health_score", "anomaly_score", "outcome")
+    return told.select(alert_id(F.col("device_id"), F.col("alert_type"), F.col("ts")).alias("alert_id"), *kept, "outcome")
 
 
 @register("stream_rule_alerts", fired_sql(default_rules()) + f"select {_hist_cols_sql()} from hist",

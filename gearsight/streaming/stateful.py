@@ -23,50 +23,74 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-COOLDOWN_STATE = "last_fire long, last_seen long, late long"
+COOLDOWN_BUCKETS = 1024     # groups that the keys of a cool-down are dealt to; fixed for a stream's life
+COOLDOWN_STATE = "key array<string>, last_fire array<long>, last_seen array<long>, late array<long>"
+UNDATED, NO_TIEBREAK = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
-def _cooldown_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    if state.exists:
-        last_fire, last_seen, late = state.get
-    else:
-        last_fire, last_seen, late = None, None, 0
-    pdf = pdf.sort_values(["_t", "_tb"], kind="stable").reset_index(drop=True)
-    if last_seen is not None:
-        is_late = pdf["_t"].to_numpy() < last_seen
-        late += int(is_late.sum())
-        if is_late.any():
-            yield pdf.loc[is_late].drop(columns=["_t", "_tb", "_cd"]).assign(outcome="late")
-        pdf = pdf.loc[~is_late].reset_index(drop=True)
-    if len(pdf) == 0:
-        state.update((last_fire, last_seen, late))
-        return
-    t = pdf["_t"].to_numpy(np.int64)
-    cd = int(pdf["_cd"].iloc[0])
-    nxt = np.maximum(np.searchsorted(t, t + cd, side="left"), np.arange(1, len(t) + 1))
+def _chain(t: np.ndarray, cd: int, last_fire: int | None) -> list[int]:
+    """Positions that fire among one key's times (ascending)."""
+    nxt = np.maximum(np.searchsorted(t, t + cd, side="left"), np.arange(1, len(t) + 1)).tolist()
     i = 0 if last_fire is None else int(np.searchsorted(t, last_fire + cd, side="left"))
     fired = []
     while i < len(t):                 # fires are >= cooldown apart
         fired.append(i)
         i = nxt[i]
-    if fired:
-        last_fire = int(t[fired[-1]])
-    state.update((last_fire, int(max(t[-1], last_seen or t[-1])), late))
-    yield pdf.loc[fired].drop(columns=["_t", "_tb", "_cd"]).assign(outcome="fired")
+    return fired
 
 
-def stream_cooldown(matches: DataFrame, key: list[str], ts: str, tiebreak: str, cooldown_us_col: str
-                    ) -> DataFrame:
+def _cooldown_fn(bucket, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    pdf = pd.concat(list(pdfs), ignore_index=True)
+    known = {k: list(v) for k, *v in zip(*state.get)} if state.exists else {}
+    codes, keys = pd.factorize(pdf["_key"])
+    t, tb, cd = pdf["_t"].to_numpy(np.int64), pdf["_tb"].to_numpy(np.int64), pdf["_cd"].to_numpy()
+    order = np.lexsort((tb, t, t == UNDATED, codes))      # by key and time, undated rows last
+    t, cd = t[order], cd[order]
+    ends = np.cumsum(np.bincount(codes, minlength=len(keys))).tolist()
+    picked, late_rows = [], []
+    for key, lo, hi in zip(keys, [0, *ends], ends):
+        last_fire, last_seen, late = known.get(key, (None, None, 0))
+        at = np.arange(lo, hi)
+        if last_seen is not None:
+            is_late = (t[lo:hi] < last_seen) & (t[lo:hi] != UNDATED)
+            late += int(is_late.sum())
+            late_rows += at[is_late].tolist()
+            at = at[~is_late]
+        if len(at):
+            own = t[at]
+            fired = _chain(own, int(cd[at[0]]), last_fire)
+            if fired:
+                last_fire = int(own[fired[-1]])
+            picked += at[fired].tolist()
+            last_seen = int(max(own[-1], last_seen or own[-1]))
+        known[key] = [last_fire, last_seen, late]
+    state.update((list(known), *map(list, zip(*known.values()))))
+    told = pdf.take(order[np.array(picked + late_rows, np.int64)]).drop(columns=["_bucket", "_key", "_t", "_tb", "_cd"])
+    yield told.assign(outcome=["fired"] * len(picked) + ["late"] * len(late_rows))
+
+
+def stream_cooldown(matches: DataFrame, key: list[str], ts: str, tiebreak: str, cooldown_us_col: str,
+                    buckets: int = COOLDOWN_BUCKETS) -> DataFrame:
     """ST4: greedy cool-down per key on a stream of rule matches: the matches that
-    fire and those that came late, told apart by ``outcome`` (fired, late)."""
+    fire and those that came late, told apart by ``outcome`` (fired, late).
+
+    Keys are dealt to ``buckets`` by their hash; a call takes one bucket's rows of a
+    micro-batch with the state of its keys, so that calls do not grow with the keys.
+    Columns of ``matches`` pass through Python: select those wanted first."""
+    longs = [f.name for f in matches.schema if isinstance(f.dataType, T.LongType)]
     m = matches.withColumns({
-        "_t": F.unix_micros(F.col(ts).cast("timestamp")),
-        "_tb": F.col(tiebreak).cast("long"),
+        "_key": F.to_json(F.struct(*key)),
+        "_t": F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(UNDATED)),
+        "_tb": F.coalesce(F.col(tiebreak).cast("long"), F.lit(NO_TIEBREAK)),
         "_cd": F.col(cooldown_us_col).cast("long")})
-    out_schema = T.StructType([*matches.schema.fields, T.StructField("outcome", T.StringType())])
-    return m.groupBy(*key).applyInPandasWithState(
+    m = m.withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int"))
+    # a null among them would turn a frame's longs into doubles
+    m = m.withColumns({f"_no_{c}": F.col(c).isNull() for c in longs} | {c: F.coalesce(c, F.lit(0).cast("long")) for c in longs})
+    out_schema = T.StructType([*matches.schema.fields, *[T.StructField(f"_no_{c}", T.BooleanType()) for c in longs],
+                               T.StructField("outcome", T.StringType())])
+    told = m.groupBy("_bucket").applyInPandasWithState(
         _cooldown_fn, out_schema, COOLDOWN_STATE, "Append", GroupStateTimeout.NoTimeout)
+    return told.withColumns({c: F.when(~F.col(f"_no_{c}"), F.col(c)) for c in longs}).drop(*[f"_no_{c}" for c in longs])
 
 
 BUFFER_STATE = "ts array<long>, health array<double>"
